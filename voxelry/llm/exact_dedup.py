@@ -40,11 +40,11 @@ def _winners(rows: DataFrame, tracked: int, proposed: int, hot_rows: int) -> Dat
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = TRACKED, proposed: int = PROPOSED, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, group_rank_one_of_same_id.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null and empty texts are equal to each other. The row with the smallest id stays; null ids come
     last, and of rows with equal text and id exactly one stays. An empty table gives an empty result;
-    extra columns are ignored. ``same_id`` counts the group's rows that share the kept row's id.
+    extra columns are ignored, whatever their names.
     """
     unique = F.monotonically_increasing_id()
     rows = docs.select(
@@ -76,11 +76,11 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """
     kept = exact_dedup(docs, **options)
     one = kept.groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    one = written(one.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("digest").alias("keep_digest"), "rows"), "kept")
+    one = written(one.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"), F.col("rows").alias("__rows")), "kept")
     marked = docs.withColumn("__digest", digest())
-    same = marked["doc_id"].eqNullSafe(F.col("keep_id")) & (marked["__digest"] == F.col("keep_digest"))
-    single = marked.join(one.where("rows = 1"), same, "left_semi")
-    repeated = marked.join(one.where("rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    same = marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__digest"] == F.col("__kept"))
+    single = marked.join(one.where("__rows = 1"), same, "left_semi")
+    repeated = marked.join(one.where("__rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "__digest"])
     return single.unionByName(repeated).drop("__digest")
 
 

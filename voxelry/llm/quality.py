@@ -105,8 +105,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         ids = ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
         got = rows.mapInArrow(_featured, "doc_id bigint, x array<double>").toArrow()
-        x = np.array(got["x"].to_pylist(), float).reshape(got.num_rows, -1)
-        return x[np.lexsort((*x.T, got["doc_id"].to_numpy()))] if len(x) else x
+        if not got.num_rows:
+            return np.zeros((0, 1))
+        x = np.array(got["x"].to_pylist(), float)
+        return x[np.lexsort((*x.T, got["doc_id"].to_numpy()))]
 
     positive = some(known.where("quality > 0"))
     unlabelled = some(docs.where("doc_id IS NOT NULL").where(~held_out()))
@@ -119,7 +121,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in texts(batch)]).reshape(batch.num_rows, -1)
+            x = np.array([statistics(t) for t in texts(batch)])
             margin = expanded(x, model) @ model.weights + model.bias if model and len(x) else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -50, 50))))], ["doc_id", "score"])
 
