@@ -70,8 +70,8 @@ def objects(spark: SparkSession, folder: str, width: int = OBJECT_WIDTH) -> Data
 
 
 def rejected(spark: SparkSession, folder: str, width: int = OBJECT_WIDTH) -> DataFrame:
-    """path and reason of the files that :func:`objects` leaves out as invalid."""
-    return files(spark, folder, width).where("NOT valid").select("path", F.when(F.col("length") == 0, "empty").otherwise("not whole points").alias("reason"))
+    """path and reason of the files that :func:`objects` leaves out as invalid; Spark's reader skips empty files itself."""
+    return files(spark, folder, width).where("NOT valid").select("path", F.lit("not whole points").alias("reason"))
 
 
 def write_objects(clouds: DataFrame, folder: str) -> None:
