@@ -179,13 +179,13 @@ def bev_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.components(clustering.bev_cells(_celled(spark, sf_dir))).groupBy("frame_id", "label").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-@query(f"WITH RECURSIVE {LABELS} SELECT frame_id, label, count(*) AS n_points, round(avg(z), 8) AS mean_z FROM labelled GROUP BY ALL")
+@query(f"WITH RECURSIVE {LABELS} SELECT frame_id, label, count(*) AS n_points, round(avg(z), 8) + 0.0 AS mean_z FROM labelled GROUP BY ALL")
 def point_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points by the label of their cell."""
     return _labelled(spark, sf_dir).groupBy("frame_id", "label").agg(F.count(F.lit(1)).alias("n_points"), _r(F.avg("z"), 8).alias("mean_z"))
 
 
-@query(f"""WITH RECURSIVE {CLUSTERS} SELECT frame_id, label, n_before, n_points, round(mx, 8) AS mx, round(my, 8) AS my, round(mz, 8) AS mz, round(z_range, 8) AS z_range,
+@query(f"""WITH RECURSIVE {CLUSTERS} SELECT frame_id, label, n_before, n_points, round(mx, 8) + 0.0 AS mx, round(my, 8) + 0.0 AS my, round(mz, 8) + 0.0 AS mz, round(z_range, 8) AS z_range,
 round(xy_spread, 8) AS xy_spread, reject_reason FROM clusters""")
 def cluster_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters after the ground trim, with what rejects them."""
@@ -207,7 +207,7 @@ def _pick(axis: str, bits: str, value: int) -> str:
 
 
 @query(f"""WITH RECURSIVE {BOXES}, e(edge, p, q) AS (VALUES {_CORNERS})
-SELECT frame_id, label, edge, {', '.join(f"{_pick(a, s, v)} AS {a}{i}" for i, s in ((1, 'p'), (2, 'q')) for a, v in (('x', 1), ('y', 2), ('z', 8)))} FROM box, e WHERE n >= {MIN_POINTS}""")
+SELECT frame_id, label, edge, {', '.join(f"{_pick(a, s, v)} AS {a}{i}" for i, s in ((1, 'p'), (2, 'q')) for a, v in (('x', 1), ('y', 2), ('z', 4)))} FROM box, e WHERE n >= {MIN_POINTS}""")
 def bbox_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 12 edges of each cluster's box."""
     edges = clustering.bbox_edges(_boxes(spark, sf_dir).where(F.col("n") >= MIN_POINTS))
