@@ -173,26 +173,42 @@ def hull_vertices(xyz: np.ndarray) -> int | None:
     d = int(np.argmax(height))
     if height[d] <= eps * np.linalg.norm(normal):
         return None
-    inside = pts[[a, b, c, d]].mean(0)
-    faces: list[tuple[tuple[int, int, int], np.ndarray, float]] = []
-
-    def face(i: int, j: int, k: int) -> tuple[tuple[int, int, int], np.ndarray, float]:
-        m = np.cross(pts[j] - pts[i], pts[k] - pts[i])
-        norm = np.linalg.norm(m)
-        m = m / norm if norm else m
-        off = float(m @ pts[i])
-        return ((i, j, k), m, off) if m @ inside <= off else ((i, k, j), -m, -off)
-
-    faces = [face(a, b, c), face(a, b, d), face(a, c, d), face(b, c, d)]
-    for i in range(len(pts)):
-        seen = [f for f in faces if pts[i] @ f[1] > f[2] + eps]
-        if not seen:
-            continue
-        edges = [e for f in seen for e in ((f[0][0], f[0][1]), (f[0][1], f[0][2]), (f[0][2], f[0][0]))]
-        known = set(edges)
-        gone = {id(f) for f in seen}
-        faces = [f for f in faces if id(f) not in gone] + [face(p, q, i) for p, q in edges if (q, p) not in known]
-    return len({v for f in faces for v in f[0]})
+    return _grown(pts, (a, b, c, d), eps)
+
+
+def _grown(pts: np.ndarray, simplex: tuple[int, int, int, int], eps: float) -> int:
+    """Vertices of the hull that the simplex grows to. Extreme points come first; points inside by then are skipped at once."""
+    p = pts.tolist()
+    ox, oy, oz = pts[list(simplex)].mean(0).tolist()
+
+    def face(i: int, j: int, k: int) -> tuple:
+        (ax, ay, az), (bx, by, bz), (cx, cy, cz) = p[i], p[j], p[k]
+        ux, uy, uz, vx, vy, vz = bx - ax, by - ay, bz - az, cx - ax, cy - ay, cz - az
+        nx, ny, nz = uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
+        norm = (nx * nx + ny * ny + nz * nz) ** 0.5 or 1.0
+        nx, ny, nz = nx / norm, ny / norm, nz / norm
+        off = nx * ax + ny * ay + nz * az
+        return (i, j, k, nx, ny, nz, off) if nx * ox + ny * oy + nz * oz <= off else (i, k, j, -nx, -ny, -nz, -off)
+
+    faces = [face(*(v for v in simplex if v != w)) for w in simplex]
+
+    def add(i: int) -> None:
+        nonlocal faces
+        x, y, z = p[i]
+        seen = [f for f in faces if f[3] * x + f[4] * y + f[5] * z > f[6] + eps]
+        if seen:
+            edges = {e for f in seen for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))}
+            hidden = set(map(id, seen))
+            faces = [f for f in faces if id(f) not in hidden] + [face(u, v, i) for u, v in edges if (v, u) not in edges]
+
+    directions = np.random.default_rng(0).normal(size=(32, 3))
+    for i in dict.fromkeys(np.argmax(pts @ directions.T, axis=0).tolist()):
+        add(i)
+    plane = np.array([f[3:] for f in faces])
+    outside = np.flatnonzero((pts @ plane[:, :3].T > plane[:, 3] + eps).any(1))
+    for i in outside[np.argsort(-(pts[outside] ** 2).sum(1), kind="stable")].tolist():
+        add(i)
+    return len({v for f in faces for v in f[:3]})
 
 
 def _heavy(pts: list) -> tuple[float, float, float, float]:
