@@ -13,10 +13,10 @@ whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import count
+from functools import cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,15 @@ from voxelry.llm.common import small_batches, texts
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that are packed together, and the most cached spellings in a Python worker.
-CHUNK, CACHE = 2048, 400_000
+CHUNK, CACHE = 512, 600_000
 #: The share of a window that differencing leaves open, to be filled with cut-off tokens.
 OPEN = 1 / 32
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _TASK_BITS = 36
-_MARK = re.compile(rb"^(.*[a-z])([.,!?;:])$", re.DOTALL)
+#: Characters that, after a letter, begin a word of their own; the apostrophe is not one of them.
+MARKS = b".,!?;:#%*|()[]{}\"/"
+#: Words that are spelled at once.
+JOINED = 64
 
 
 def tokenizer_path() -> str:
@@ -46,8 +49,9 @@ class Spellings:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes, by way of cached spellings.
 
     The tokenizer drops white space, never joins text across it and lower-cases, so a text's ids are
-    those of its parts between ASCII white space, lower-cased in ASCII. Texts that hold a special
-    token's string are given to the tokenizer whole.
+    those of its parts between ASCII white space, lower-cased in ASCII. Marks after a letter are words of
+    their own, and each word ends in one of the vocabulary's end pieces, so words made of letters are
+    spelled many at a time. Texts that hold a special token's string are given to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,16 +59,46 @@ class Spellings:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, parts: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)
-        self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(parts, found, strict=True))
+    def _spell(self, parts: list[bytes]) -> None:
+        words, rest = [], []
+        for x in parts:
+            (words if x.decode().isalpha() else rest).append(x)
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                self.known.update((x, raw[a:b]) for x, a, b in zip(some, [0, *cuts], cuts, strict=False))
+            else:
+                rest += some
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)
+        self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(rest, found, strict=True))
+
+    def _learn(self, parts: set[bytes]) -> None:
+        known = self.known
+        if len(known) > CACHE:  # common spellings come early, so the early half stays
+            self.known = known = dict(islice(known.items(), CACHE // 2))
+        new, marked = set(), []
+        for x in parts:
+            if x not in known:
+                word = x.rstrip(MARKS)
+                if len(word) < len(x) and word[-1:].isalpha():
+                    marked.append((x, word, x[len(word) :]))
+                    new.update(marked[-1][1:])
+                else:
+                    new.add(x)
+        self._spell(sorted(x for x in new if x not in known))
+        for x, word, marks in marked:
+            known[x] = known[word] + known[marks]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        whole, parts, new = {}, [], set()
+        whole, parts = {}, []
         for i, text in enumerate(batch):
             raw = text.encode()
             if any(x in raw for x in self.special):
@@ -72,14 +106,15 @@ class Spellings:
                 parts.append([])
             else:
                 parts.append(raw.lower().split())
-                new.update(parts[-1])
-        new -= self.known.keys()
-        marked = {x: m.groups() for x in new if (m := _MARK.match(x))}
-        plain = {y for x in new for y in marked.get(x, (x,))} - self.known.keys()
-        self._learn(sorted(plain))
-        for x, (word, mark) in marked.items():
-            self.known[x] = self.known[word] + self.known[mark]
-        return [whole.get(i) or b"".join(map(self.known.__getitem__, p)) for i, p in enumerate(parts)]
+        self._learn(set().union(*parts))
+        spelled = self.known.__getitem__
+        return [whole.get(i) or b"".join(map(spelled, p)) for i, p in enumerate(parts)]
+
+
+@cache
+def spellings(path: str) -> Spellings:
+    """One for each Python worker, whose tasks share what it has learnt."""
+    return Spellings(path)
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -123,9 +158,9 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Sets of at most ``capacity`` in all; as few as differencing allows. No size may exceed it."""
-    k = max(1, -(-sum(sizes) // capacity))
+def windows(sizes: list[int], capacity: int, k: int = 1) -> list[list[int]]:
+    """Sets of at most ``capacity`` in all, ``k`` or as many more as differencing needs. No size may exceed it."""
+    k = max(k, -(-sum(sizes) // capacity))
     while True:
         found = differencing(sizes, k)
         if all(sum(sizes[i] for i in x) <= capacity for x in found):
@@ -174,7 +209,7 @@ class _Packer:
         else:
             some, tail = [], some
         if some:
-            for members in windows([len(p[2]) // 4 for p in some], self.window):
+            for members in windows([len(p[2]) // 4 for p in some], self.window, full):
                 inside = [some[i] for i in members]
                 self._sequence(inside + self._cut(tail, self.window - sum(len(p[2]) // 4 for p in inside)))
         left = sum(len(p[2]) // 4 for p in tail)
@@ -214,10 +249,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     end = np.array([END_ID], "<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spellings = Spellings(path or tokenizer_path())
+        known = spellings(path or tokenizer_path())
         packer = _Packer(window, chunk, TaskContext.get().partitionId() << _TASK_BITS)
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), spellings.encode(texts(batch)), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), known.encode(texts(batch)), strict=True):
                 packer.add(doc_id, ids + end)
             yield packer.taken()
         packer.flush()
