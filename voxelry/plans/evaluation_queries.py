@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelry.operators import evaluation, tracks
+from voxelry.operators import evaluation, tracks, views
 from voxelry.plans.registry import query
 from voxelry.sources.adapters import DETECTIONS_SQL, PREDS_SQL, detections, predictions
 from voxelry.streaming import tracker
@@ -174,3 +174,51 @@ def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique tracks, and confirmed ones in the last frame by class."""
     return tracks.summary(tracker.track(_sensor_frames(spark, sf_dir)))
+
+
+_GATE_SQL = f"""{DETECTIONS_SQL}, s(v) AS (VALUES (0.25::DOUBLE + 100.0::DOUBLE * 0.01::DOUBLE + 0.25::DOUBLE + 0.3::DOUBLE)), e AS (
+SELECT DISTINCT a.det_id FROM s, detections a JOIN detections b ON b.frame_id = a.frame_id - 1 AND a.class_label = b.class_label WHERE ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / v <= 7.81)"""
+
+
+@query(f"WITH {_GATE_SQL} SELECT det_id, frame_id, class_label FROM detections WHERE det_id NOT IN (SELECT det_id FROM e)")
+def unmatched_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections that no track of the frame before may take: they start tracks."""
+    return detections(spark, sf_dir).join(gating_edges(spark, sf_dir), "det_id", "left_anti").select("det_id", "frame_id", "class_label")
+
+
+@query(f"WITH {DETECTIONS_SQL}, c(class_label) AS (VALUES ('bicyclist'), ('car'), ('pedestrian')) SELECT frame_id, {', '.join(f"count(*) FILTER (class_label = '{k}') AS n_{k}" for k in ('bicyclist', 'car', 'pedestrian'))} FROM detections GROUP BY frame_id")
+def frame_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of each frame by class."""
+    by = [F.count_if(F.col("class_label") == k).alias(f"n_{k}") for k in ("bicyclist", "car", "pedestrian")]
+    return detections(spark, sf_dir).groupBy("frame_id").agg(*by)
+
+
+@query(f"""WITH {PREDS_SQL}, k AS (
+SELECT 'wrong' AS bucket, doc_id, (row_number() OVER (PARTITION BY truth, pred ORDER BY conf DESC, doc_id))::INT AS nth, 40 AS most FROM preds WHERE truth <> pred
+UNION ALL SELECT 'unsure', doc_id, (row_number() OVER (PARTITION BY truth ORDER BY conf, doc_id))::INT, 40 FROM preds WHERE truth = pred
+UNION ALL SELECT 'sure', doc_id, (row_number() OVER (PARTITION BY truth ORDER BY conf DESC, doc_id))::INT, 10 FROM preds WHERE truth = pred)
+SELECT bucket, doc_id, nth FROM k WHERE nth <= most""")
+def visual_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that an error analysis shows: confident errors, unsure hits and sure hits."""
+    p = predictions(spark, sf_dir)
+    buckets = {"wrong": evaluation.top_misclassified, "unsure": evaluation.least_confident, "sure": evaluation.most_confident}
+    out = None
+    for name, f in buckets.items():
+        rows = f(p).select(F.lit(name).alias("bucket"), "doc_id", "nth")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH {PREDS_SQL} SELECT doc_id, truth FROM preds ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred rows drawn without replacement by a seeded hash."""
+    key = F.md5(F.concat_ws(":", F.lit(42), F.col("doc_id").cast("string")))
+    return predictions(spark, sf_dir).orderBy(key, "doc_id").limit(100).select("doc_id", "truth")
+
+
+@query()
+def track_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tracks of one sensor's last frame, as a viewer lists them."""
+    rows = tracker.track(_sensor_frames(spark, sf_dir)).where("sensor_id = 0")
+    last = rows.withColumn("last", F.max("frame_id").over(Window.partitionBy("sensor_id"))).where("frame_id = last").drop("last")
+    return views.track_list(last)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelry.functions.geometry import rotated, rotation_to_vertical
-from voxelry.operators import clustering, ground, merging, splitting
+from voxelry.operators import clustering, ground, merging, splitting, views
 from voxelry.operators.ground import Calibration
 from voxelry.plans.registry import query
 from voxelry.sources.adapters import POINTS_SQL, points
@@ -286,3 +286,22 @@ def height_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     band = F.when(z < 0, "low").when(z < 2, "middle").otherwise("high").alias("band")
     shown = points(spark, sf_dir).where(horizontal_range(F.col("x"), F.col("y")) < 60)
     return shown.groupBy("frame_id", band).agg(F.count(F.lit(1)).alias("n"), _r(F.avg(affine_colour(z, -1.0, 3.0)), 8).alias("mean_colour"))
+
+
+@query(f"""WITH RECURSIVE {LABELS}, p AS (SELECT m.*, l.label FROM masked m LEFT JOIN (SELECT DISTINCT frame_id, x, y, z, label FROM labelled) l USING (frame_id, x, y, z))
+SELECT frame_id, mode, count(*) FILTER (CASE mode WHEN 'all' THEN true WHEN 'ground' THEN is_ground WHEN 'other' THEN NOT is_ground ELSE label IS NOT NULL END) AS n
+FROM p, (VALUES ('all'), ('ground'), ('other'), ('clusters')) v(mode) GROUP BY ALL""")
+def viewer_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that each viewer mode shows."""
+    masked = ground.with_ground(_clipped(spark, sf_dir), CALIBRATION)
+    labels = _labelled(spark, sf_dir).select("frame_id", "x", "y", "z", "label").distinct()
+    p = masked.join(labels, ["frame_id", "x", "y", "z"], "left")
+    modes = ("all", "ground", "other", "clusters")
+    counts = p.groupBy("frame_id").agg(*[F.count_if(views.shown(m)).alias(m) for m in modes])
+    return counts.unpivot("frame_id", list(modes), "mode", "n")
+
+
+@query(f"WITH {POINTS_SQL} SELECT frame_id, count(*) AS n FROM points WHERE sqrt((x - 10) ** 2 + (y - 5) ** 2) < 6 GROUP BY frame_id")
+def selected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points around a selected place."""
+    return views.selected(points(spark, sf_dir), 10.0, 5.0, 6.0).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
