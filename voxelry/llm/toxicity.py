@@ -35,7 +35,7 @@ PREFIXES = (4, 6)
 #: Features in fewer training rows are left out.
 LEAST_ROWS = 5
 #: Labelled rows that the chain is fitted on.
-SAMPLE = 4000
+SAMPLE = 8000
 _WORD = re.compile(r"\w+")
 
 
@@ -113,11 +113,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             found = [(words(x), set(_WORD.findall(x.lower()))) for x in texts(batch)]
             kinds = [[int(not found_words.isdisjoint(v)) for v in KINDS.values()] for _, found_words in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int64()))], ["doc_id", "toxic", "at", "kinds"]
+                [batch.column("doc_id"), batch.column("toxic"), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.int64()))], ["doc_id", "toxic", "at", "kinds"]
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("bigint").alias("toxic"))), "doc_id")
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(featured, "doc_id bigint, toxic bigint, at array<bigint>, kinds array<bigint>").toArrow()
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(featured, "doc_id bigint, toxic bigint, at array<int>, kinds array<bigint>").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     cells = [got["at"][int(i)].values.to_numpy() for i in order]
     toxic = got["toxic"].to_numpy()[order] > 0
