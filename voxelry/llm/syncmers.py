@@ -88,8 +88,8 @@ def _ranges(docs: DataFrame, n: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b).cast("bigint") for b in bounds]), lambda b: b < F.col("key"))) if bounds else F.lit(0)
 
 
-def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, next_text, units, next_units: each row with its successor by descending id; the last row's is the first.
+def next_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
+    """doc_id, text, next_text, fingerprint, next_fingerprint: each row with its successor by descending id; the last row's is the first.
 
     Rows are dealt out by ranges of ids; each range also gets a copy of the next range's first row, so
     that no task orders the table. Null ids come last; rows of equal id are ordered by a hash of their
@@ -109,24 +109,22 @@ def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     guests = keyed.join(F.broadcast(heads), F.col("key") == F.col("head")).withColumn("nth", F.row_number().over(first)).where("nth = 1")
     guests = guests.select("doc_id", "text", "key", F.col("host").alias("part"), F.lit(True).alias("guest"))
     dealt = keyed.unionByName(guests).repartition("part").withColumn("units", unit_hashes(F.col("text")))
+    dealt = dealt.withColumn("fingerprint", syncmers(F.col("units"), k, s)).drop("units")
     order = Window.partitionBy("part").orderBy("guest", F.desc("key"), F.xxhash64("text"))
-    return dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_units", F.lead("units").over(order)).where("NOT guest")
+    return dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("NOT guest")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
     """Fingerprints of each text, of its edited text, and how alike they and the next document's are.
 
     The edited text replaces the last third (rounded down) by the start of the next document, see
-    :func:`next_texts`. Empty tables give an empty result; other columns are ignored.
+    :func:`next_fingerprints`. Empty tables give an empty result; other columns are ignored.
     """
     n, cut = F.col("n_chars"), F.floor(F.col("n_chars") / 3)
-    rows = next_texts(docs, id_col, text_col).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    rows = next_fingerprints(docs, id_col, text_col, k, s).withColumn("n_chars", F.char_length("text").cast("bigint"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next_text", F.lit(1), cut.cast("int"))))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "units", "next_units", unit_hashes(F.col("edited")).alias("edited_units"))
-    rows = rows.select(
-        "doc_id", "n_chars", "edited_sha256", syncmers(F.col("units"), k, s).alias("fingerprint"), syncmers(F.col("edited_units"), k, s).alias("edited_fingerprint"),
-        syncmers(F.col("next_units"), k, s).alias("next_fingerprint"),
-    )
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", unit_hashes(F.col("edited")).alias("edited_units"))
+    rows = rows.withColumn("edited_fingerprint", syncmers(F.col("edited_units"), k, s))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
