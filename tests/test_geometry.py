@@ -10,7 +10,7 @@ from voxelry.operators.clustering import EDGES, STRIDE, union_find
 from voxelry.operators.merging import fold
 from voxelry.operators.splitting import gap_thresholds, split_frame
 from voxelry.plans import pipeline
-from voxelry.streaming.tracker import FAR, Tracker, assign
+from voxelry.streaming.tracker import FAR, Tracker, assign, assign_feasible
 
 
 @pytest.mark.parametrize("normal", [(0, 0, 1), (0, 0, -1), (1, 0, 0), (-1, 0, 0), (0.1, -0.2, 0.9)])
@@ -133,6 +133,16 @@ def test_assignment_is_optimal(n, m, seed):
     assert sum(cost[i, j] for i, j in got) == pytest.approx(best)
 
 
+@given(st.integers(0, 6), st.integers(0, 6), st.integers(0, 10_000))
+@settings(max_examples=60, deadline=None)
+def test_groups_of_feasible_pairs_are_solved_exactly(n, m, seed):
+    rng = np.random.default_rng(seed)
+    cost = np.where(rng.random((n, m)) < 0.4, rng.uniform(0, 3, (n, m)), FAR)
+    whole = [p for p in assign(cost) if cost[p] < FAR]
+    parts = assign_feasible(cost)
+    assert len(parts) == len(whole) and sum(cost[p] for p in parts) == pytest.approx(sum(cost[p] for p in whole))
+
+
 def _det(x, label="car"):
     return {"position": (x, 0.0, 0.0), "class_label": label, "class_confidence": 0.9, "n_points": 10}
 
