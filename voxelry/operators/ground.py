@@ -110,32 +110,45 @@ def ground_height(valid: DataFrame, rotation: np.ndarray) -> DataFrame:
     return valid.agg(F.percentile(rz, F.lit(0.05)).alias("ground_height"))
 
 
-def polar_cells(clipped: DataFrame, calibration: Calibration) -> DataFrame:
-    """frame_id, r_bin, theta_bin, n, local, accepted, ground for each polar cell.
+_CELL = ["frame_id", "r_bin", "theta_bin"]
+
+
+def _with_local(clipped: DataFrame) -> DataFrame:
+    """Adds the polar cell, its n, and ``local``: the cell's order statistic at max(1, floor(5 % of n)), null below five points.
 
-    ``local`` is the order statistic at max(1, floor(5 % of n)); cells of fewer than five points have
-    none, and values too far from the calibrated height are not accepted: both use that height.
+    Three windows by cell share one shuffle and one sort.
     """
-    cell = Window.partitionBy("frame_id", "r_bin", "theta_bin")
+    cell = Window.partitionBy(*_CELL)
     k = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(CELL_SHARE)))
-    ranked = (
-        clipped.select("frame_id", ring_bin(F.col("rx"), F.col("ry")).alias("r_bin"), sector_bin(F.col("rx"), F.col("ry")).alias("theta_bin"), "rz")
-        .withColumn("n", F.count(F.lit(1)).over(cell))
-        .withColumn("at", F.row_number().over(cell.orderBy("rz")) - 1)
-    )
-    cells = ranked.groupBy("frame_id", "r_bin", "theta_bin").agg(F.max("n").alias("n"), F.max(F.when((F.col("n") >= LEAST_CELL) & (F.col("at") == k), F.col("rz"))).alias("local"))
+    keyed = clipped.withColumn("r_bin", ring_bin(F.col("rx"), F.col("ry"))).withColumn("theta_bin", sector_bin(F.col("rx"), F.col("ry")))
+    ranked = keyed.withColumn("n", F.count(F.lit(1)).over(cell)).withColumn("nth", F.row_number().over(cell.orderBy("rz")) - 1)
+    return ranked.withColumn("local", F.max(F.when((F.col("n") >= LEAST_CELL) & (F.col("nth") == k), F.col("rz"))).over(cell)).drop("nth")
+
+
+def _accepted(calibration: Calibration) -> Column:
+    """Whether ``local`` is near enough to the calibrated height; farther cells may differ more."""
     tolerance = F.least(0.5 + 0.08 * (F.col("r_bin") + 0.5) * 5.0, F.lit(2.0))
-    accepted = F.coalesce(F.abs(F.col("local") - F.lit(calibration.ground_height)) <= tolerance, F.lit(False))
-    return cells.withColumn("accepted", accepted).withColumn("ground", F.when(F.col("accepted"), F.col("local")).otherwise(F.lit(calibration.ground_height)))
+    return F.coalesce(F.abs(F.col("local") - F.lit(calibration.ground_height)) <= tolerance, F.lit(False))
+
+
+def _ground(calibration: Calibration) -> Column:
+    return F.when(_accepted(calibration), F.col("local")).otherwise(F.lit(calibration.ground_height))
+
+
+def polar_cells(clipped: DataFrame, calibration: Calibration) -> DataFrame:
+    """frame_id, r_bin, theta_bin, n, local, accepted, ground for each polar cell.
+
+    Cells of fewer than five points, and those whose value is too far from the calibrated height, use
+    that height.
+    """
+    cells = _with_local(clipped).groupBy(*_CELL).agg(F.max("n").alias("n"), F.max("local").alias("local"))
+    return cells.withColumn("accepted", _accepted(calibration)).withColumn("ground", _ground(calibration))
 
 
 def with_ground(clipped: DataFrame, calibration: Calibration) -> DataFrame:
-    """Adds ``is_ground``: a point from 0.1 below to 0.15 above its cell's ground."""
-    keyed = clipped.withColumn("r_bin", ring_bin(F.col("rx"), F.col("ry"))).withColumn("theta_bin", sector_bin(F.col("rx"), F.col("ry")))
-    cells = polar_cells(clipped, calibration).select("frame_id", "r_bin", "theta_bin", "ground")
-    local = F.coalesce("ground", F.lit(calibration.ground_height))
-    joined = keyed.join(cells, ["frame_id", "r_bin", "theta_bin"], "left")
-    return joined.withColumn("is_ground", (F.col("rz") >= local - BELOW) & (F.col("rz") <= local + ABOVE)).drop("r_bin", "theta_bin", "ground")
+    """Adds ``is_ground``: a point from 0.1 below to 0.15 above its cell's ground. The frame is read once and shuffled once."""
+    local = _ground(calibration)
+    return _with_local(clipped).withColumn("is_ground", (F.col("rz") >= local - BELOW) & (F.col("rz") <= local + ABOVE)).drop("r_bin", "theta_bin", "n", "local")
 
 
 def non_ground(points: DataFrame, calibration: Calibration) -> DataFrame:
