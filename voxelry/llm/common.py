@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 OWN_FOLDER = "/tmp/checkpoints/voxelry"
 
 
+@cache
+def _own_folder(application: str) -> str:
+    """A folder for one application on one machine; it goes when Python ends."""
+    path = f"{OWN_FOLDER}/{application}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own if unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or OWN_FOLDER).rstrip("/")
+    return found.rstrip("/") if found else _own_folder(spark.sparkContext.applicationId)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
