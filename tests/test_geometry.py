@@ -114,10 +114,9 @@ def test_features_of_small_clouds_agree_with_numpy(spark, n):
     row = feats.features(spark.createDataFrame([(1, 2, pts)], "sample_id bigint, label int, pts array<struct<x:double,y:double,z:double>>"), 35).first()
     assert all(np.isfinite(row[k]) for k in feats.FULL)
     assert sum(row[f"layer_frac_{i}"] for i in range(5)) <= 1 + 1e-9
-    want = pipeline.compact_features(xyz)
-    got = feats.features(spark.createDataFrame([(1, 2, pts)], "sample_id bigint, label int, pts array<struct<x:double,y:double,z:double>>"), 19).first()
-    for k in feats.COMPACT:
-        assert got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-7), k
+    got = feats.features(spark.createDataFrame([(1, 2, pts)], "sample_id bigint, label int, pts array<struct<x:double,y:double,z:double>>"), 23).first()
+    for k, want in zip(feats.EXTENDED, pipeline.vector(xyz, 23), strict=True):
+        assert got[k] == pytest.approx(want, rel=1e-6, abs=1e-7), k
 
 
 @given(st.integers(0, 5), st.integers(0, 5), st.integers(0, 10_000))

@@ -211,9 +211,8 @@ def _grown(pts: np.ndarray, simplex: tuple[int, int, int, int], eps: float) -> i
     return len({v for f in faces for v in f[:3]})
 
 
-def _heavy(pts: list) -> tuple[float, float, float, float]:
-    """nn_dist_std, hull_point_ratio, n_components, largest_component_ratio."""
-    xyz = np.array([(p["x"], p["y"], p["z"]) for p in pts], float)
+def local_values(xyz: np.ndarray) -> tuple[float, float, float, float]:
+    """nn_dist_std, hull_point_ratio, n_components, largest_component_ratio of one cloud."""
     n = len(xyz)
     spread = float(neighbour_distances(xyz, 5).mean(1).std()) if n > 6 else 0.0
     if n <= 10:
@@ -228,7 +227,7 @@ def local_features(clouds: DataFrame) -> DataFrame:
     """``clouds`` plus nn_dist_std, hull_point_ratio, n_components and largest_component_ratio, by Arrow batches."""
     @F.pandas_udf("nn_dist_std double, hull_point_ratio double, n_components double, largest_component_ratio double")
     def heavy(pts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_heavy(p) for p in pts], columns=["nn_dist_std", "hull_point_ratio", "n_components", "largest_component_ratio"])
+        return pd.DataFrame([local_values(np.array([(p["x"], p["y"], p["z"]) for p in a], float)) for a in pts], columns=["nn_dist_std", "hull_point_ratio", "n_components", "largest_component_ratio"])
 
     return clouds.withColumn("__local", heavy("pts")).select("*", "__local.*").drop("__local")
 

@@ -44,17 +44,27 @@ def merge_frame(found: list[dict]) -> list[dict]:
     return out
 
 
-def compact_features(xyz: np.ndarray) -> dict[str, float]:
-    """The compact features of one cloud in NumPy, for use inside stateful functions; as :func:`features.native_features` gives them."""
-    n, z = len(xyz), np.sort(xyz[:, 2])
-    zr = float(z[-1] - z[0])
+def _sides(p: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Extents along the axes of scatter, the longer scatter first, and the scatter's eigenvalues."""
+    values, vectors = np.linalg.eigh(np.cov(p.T, bias=True))
+    return (*np.ptp(p @ vectors[:, ::-1], axis=0), values)
 
-    def sides(p: np.ndarray) -> tuple[float, float, np.ndarray]:
-        values, vectors = np.linalg.eigh(np.cov(p.T, bias=True))
-        return (*np.ptp(p @ vectors[:, ::-1], axis=0), values)
 
+def _sections(xyz: np.ndarray) -> list[float]:
+    """Widths of five slices by height; empty for clouds that are too small or flat."""
+    low, zr = xyz[:, 2].min(), np.ptp(xyz[:, 2])
+    if zr <= 0.1 or len(xyz) <= 20:
+        return []
+    slices = [xyz[(xyz[:, 2] >= low + zr * (i / 5)) & (xyz[:, 2] < low + zr * ((i + 1) / 5)), :2] for i in range(5)]
+    return [float(np.hypot(*_sides(p)[:2])) if len(p) > 2 else 0.0 for p in slices]
+
+
+def extended_features(xyz: np.ndarray) -> dict[str, float]:
+    """The features of mode 23 of one cloud in NumPy, for use inside stateful functions; as :func:`features.features` gives them."""
+    n, z = len(xyz), np.sort(xyz[:, 2])
+    zr = float(z[-1] - z[0])
     if n > 3:
-        x, y, l2 = sides(xyz[:, :2])
+        x, y, l2 = _sides(xyz[:, :2])
         aspect = max(l2[1], 1e-9) / max(l2[0], 1e-9)
     else:
         (x, y), aspect = np.ptp(xyz[:, :2], axis=0), 1.0
@@ -62,26 +72,22 @@ def compact_features(xyz: np.ndarray) -> dict[str, float]:
     spread, area = float(np.hypot(x, y)), max(float(x * y), 1e-9)
     s = (xyz[:, 2] - z[0]) / zr if zr > 0.01 else None
     layers = [float(((s >= i / 5) & (s < (i + 1) / 5)).mean()) if s is not None else 0.2 for i in range(5)]
-    section = 0.0
-    if zr > 0.1 and n > 20:
-        widths = []
-        for i in range(5):
-            p = xyz[(xyz[:, 2] >= z[0] + zr * (i / 5)) & (xyz[:, 2] < z[0] + zr * ((i + 1) / 5)), :2]
-            widths.append(float(np.hypot(*sides(p)[:2])) if len(p) > 2 else 0.0)
-        section = float(np.std(widths))
+    widths = _sections(xyz)
     rank = lambda q: float(z[int(q * (n - 1))])
-    row = [n, spread, area, zr, zr / max(spread, 1e-6), n / max(area * np.sqrt(zr + 1e-6), 1e-6), rank(0.25), rank(0.75), float(z.std()), aspect, e[0] / e[2], (e[2] - e[1]) / e[2], (e[1] - e[0]) / e[2], *layers, section]
-    return dict(zip(feats.COMPACT, np.nan_to_num(row, nan=0.0, posinf=0.0, neginf=0.0).tolist(), strict=True))
+    found = {
+        "num_points": n, "xy_spread": spread, "xy_area": area, "z_range": zr, "height_to_footprint": zr / max(spread, 1e-6), "density": n / max(area * np.sqrt(zr + 1e-6), 1e-6),
+        "z_25": rank(0.25), "z_75": rank(0.75), "z_std": z.std(), "xy_aspect_ratio": aspect, "scattering": e[0] / e[2], "linearity": (e[2] - e[1]) / e[2], "planarity": (e[1] - e[0]) / e[2],
+        **{f"layer_frac_{i}": v for i, v in enumerate(layers)}, "cross_section_var": np.std(widths) if widths else 0.0, "cross_section_mean": np.mean(widths) if widths else 0.0,
+        "z_range_cleaned": rank(0.95) - rank(0.05) if n > 10 else zr,
+    }
+    return {k: float(np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0)) for k, v in found.items()}
 
 
 def vector(xyz: np.ndarray, mode: int) -> list[float]:
     """The mode's features of one cloud, in the mode's order; modes 19 and 23."""
-    found = compact_features(xyz)
+    found = extended_features(xyz)
     if mode == 23:
-        pts = [{"x": a, "y": b, "z": c} for a, b, c in xyz.tolist()]
-        spread, hull, _, _ = feats._heavy(pts)
-        z, n = np.sort(xyz[:, 2]), len(xyz)
-        found |= {"nn_dist_std": spread, "hull_point_ratio": hull, "z_range_cleaned": float(z[int(0.95 * (n - 1))] - z[int(0.05 * (n - 1))]) if n > 10 else float(z[-1] - z[0]), "cross_section_mean": 0.0}
+        found["nn_dist_std"], found["hull_point_ratio"] = feats.local_values(xyz)[:2]
     return [found[k] for k in feats.MODES[mode]]
 
 
