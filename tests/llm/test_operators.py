@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from voxelry.llm import components, exact_dedup, langid, licenses, mixing, packing, quality, queries, secrets, simhash, syncmers, toxicity
+from voxelry.llm import components, exact_dedup, langid, licenses, mixing, near, packing, quality, queries, secrets, simhash, syncmers, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, digest int, fp int, component_id string, copies int, keep_id int, units string, at int, x int, part string"
 EXTRA = ("s", 1, 2, "c", 3, 4, "u", 5, 6, "p")
@@ -318,6 +318,57 @@ def test_links_of_dense_groups_hold_every_component_together(spark, block):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def _jaccard_components(docs, words=5, least=0.8):
+    """Least id by id; union-find over all pairs."""
+    sets, parent = {}, {}
+    for d, t in docs.items():
+        w = t.lower().split()
+        sets[d], parent[d] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}, d
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+@pytest.mark.parametrize("block", [1, 64])
+def test_near_copies_equal_all_pairs_of_shingle_sets(spark, block):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(3000)]
+    bases = [[words[i] for i in rng.integers(0, 3000, 90)] for _ in range(4)]
+    rows = {}
+    for k in range(240):
+        w = list(bases[k % 4])
+        for at in rng.integers(0, 90, rng.integers(0, 5)):
+            w[at] = words[rng.integers(3000)]
+        rows[k] = " ".join(w)
+    rows |= {k: " ".join(words[i] for i in rng.integers(0, 3000, 40)) + " one passage that very many of these texts have" for k in range(240, 330)}
+    got = near.near_components(_docs(spark, [(k, t, "en", "a") for k, t in rows.items()]), block=block).toPandas().set_index("doc_id")
+    assert got.component_id.to_dict() == _jaccard_components(rows)
+
+
+def test_the_stage_drops_near_copies_that_two_bits_miss(spark):
+    import corpus_pipeline
+
+    text = [f"word{i}" for i in range(100)]
+    docs = _docs(spark, [(1, " ".join(text), "en", "a"), (2, " ".join([*text[:50], "other", *text[51:]]), "en", "a"), (3, " ".join(reversed(text)), "en", "a")])
+    assert simhash.drop_near_copies(docs).count() == 3
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()} == {1, 3}
+
+
+def test_near_copies_of_odd_and_empty_tables(odd, none):
+    assert near.drop_near_copies(odd).columns == odd.columns and near.drop_near_copies(none).count() == 0
+    assert near.near_components(odd).count() == odd.count()
+
+
 def test_components_of_a_long_chain_and_of_nothing(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a bigint, b bigint")
     assert {r["root"] for r in components.components(chain).collect()} == {0, 500}

@@ -35,15 +35,14 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(f"pivot {i}", 1)).astype(np.int64)) for i in range(n)]
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """SimHash of the word shingles, as an unsigned number; without words 0.
+def hashed(text: str, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Hashes (XXH64, seed 42) of the word shingles in order, some at a time; without words none.
 
-    A-Z count as lower case; fewer words than a shingle are one shingle; a bit is 1 if over half of the
-    shingles' hashes (XXH64, seed 42) have it.
+    A-Z count as lower case; fewer words than a shingle are one shingle.
     """
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return
     whole = b" ".join(w)
     if len(w) <= words:
         starts, ends = [0], [len(whole)]
@@ -52,11 +51,20 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         starts = [0, *after[: len(w) - words].tolist()]
         ends = (after[words - 1 :] - 1).tolist()
     h = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, len(starts), _AT_ONCE):
-        some = np.array([h(whole[a:b], 42) for a, b in zip(starts[at : at + _AT_ONCE], ends[at : at + _AT_ONCE], strict=True)], np.uint64)
+        yield np.array([h(whole[a:b], 42) for a, b in zip(starts[at : at + _AT_ONCE], ends[at : at + _AT_ONCE], strict=True)], np.uint64)
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """SimHash of the word shingles, as an unsigned number; without words 0.
+
+    A bit is 1 if over half of the shingles' hashes have it.
+    """
+    counts, n = np.zeros(64, np.int64), 0
+    for some in hashed(text, words):
         counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts), bitorder="little").tobytes(), "little")
+        n += len(some)
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,11 +122,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = written(components(links(nodes.select("fp"))), "roots")
+    return named(rows, nodes, links(nodes.select("fp")))
+
+
+def named(rows: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp) with the component_id of their node, from nodes (fp, least) and the links between them."""
+    roots = written(components(linked), "roots")
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(joined.join(ids, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    by_fp = written(joined.join(ids, "root").select("fp", "component_id"), "named")
+    return rows.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -126,7 +139,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows of one id are one document. Rows without an id stay only where their component has no id.
     """
-    found = simhash_components(docs)
+    return without_copies(docs, simhash_components(docs))
+
+
+def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are their component's smallest id in ``found`` (doc_id, component_id)."""
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = written(kept, "kept")
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
