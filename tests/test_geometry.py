@@ -237,3 +237,16 @@ def test_augmented_classes_do_not_outgrow_the_originals(spark, sf_dir):
     out = augment(c, min_points=5, limits=SMALL).groupBy("label").count().collect()
     before = {r["label"]: r["count"] for r in c.groupBy("label").count().collect()}
     assert all(before[r["label"]] <= r["count"] <= 2 * before[r["label"]] for r in out)
+
+
+def test_bicyclists_have_four_cuts_two_along_the_longer_side(spark):
+    from voxelry.operators import augmentation
+
+    v = [i / 100 for i in range(100)]
+    rows = [(1, 1, [{"x": 2 * t, "y": t, "z": t} for t in v]), (2, 1, [{"x": t, "y": 3 * t, "z": t} for t in v]), (3, 3, [{"x": 2 * t, "y": t, "z": t} for t in v])]
+    clouds = spark.createDataFrame(rows, "sample_id bigint, label int, pts array<struct<x:double,y:double,z:double>>")
+    got = {(r["sample_id"], r["cut"]): sorted(p["y"] for p in r["pts"]) for r in augmentation.all_cuts(clouds).collect()}
+    assert {s: sorted(c for t, c in got if t == s) for s in (1, 2, 3)} == {1: [0, 1, 2, 3], 2: [0, 1, 2, 3], 3: [0, 1]}
+    for s, k in ((1, 1), (2, 3)):
+        low, high = [k * t for t in v if t < 0.67 * 0.99], [k * t for t in v[:-1] if t >= 0.33 * 0.99]
+        assert got[s, 2] == pytest.approx(low) and got[s, 3] == pytest.approx(high)

@@ -21,6 +21,8 @@ AXIS_CUTS: dict[int, list[tuple[str, float, float]]] = {
     1: [("z", 0.3, 1.0), ("z", 0.0, 0.7)],
 }
 HEIGHT_CUTS: dict[int, list[tuple[float, float]]] = {2: [(_TWO, 1.0), (0.0, _TWO), (0.5, 1.0), (0.0, 0.5)]}
+#: Along the longer of x and y of each object; of equal ones x.
+LONG_CUTS: dict[int, list[tuple[float, float]]] = {1: [(0.0, _TWO), (_THIRD, 1.0)]}
 LEAST_RANGE, LEAST_POINTS, SEED = 0.1, 30, 42
 
 
@@ -63,6 +65,14 @@ def axis_cuts(clouds: DataFrame, min_points: int = LEAST_POINTS, cuts: dict[int,
     return clouds.select("sample_id", "label", F.explode(rows).alias("c")).select("sample_id", "label", "c.*").where(F.size("pts") >= min_points)
 
 
+def long_cuts(clouds: DataFrame, min_points: int = LEAST_POINTS, cuts: dict[int, list[tuple[float, float]]] = LONG_CUTS, first: int = 2) -> DataFrame:
+    """sample_id, label, cut, pts: shares along the longer of x and y; ``first`` is the first cut's number."""
+    side = {k: F.array_max(_values(k)) - F.array_min(_values(k)) for k in "xy"}
+    along = {"x": side["x"] >= side["y"], "y": side["x"] < side["y"]}
+    x, y = (axis_cuts(clouds.where(along[a]), min_points, {label: [(a, lo, hi) for lo, hi in of_class] for label, of_class in cuts.items()}) for a in "xy")
+    return x.unionByName(y).withColumn("cut", F.col("cut") + first)
+
+
 def height_axis(xyz: np.ndarray) -> np.ndarray:
     """The axis of least scatter, pointing up."""
     axis = np.linalg.eigh(np.cov(xyz.T))[1][:, 0]
@@ -90,6 +100,11 @@ def height_cuts(clouds: DataFrame, min_points: int = LEAST_POINTS, cuts: dict[in
     return rows.mapInPandas(cut, f"sample_id bigint, label int, cut int, pts {CLOUD}")
 
 
+def all_cuts(clouds: DataFrame, min_points: int = LEAST_POINTS) -> DataFrame:
+    """sample_id, label, cut, pts of every cut: along the axes, along the longer side, and by height."""
+    return axis_cuts(clouds, min_points).unionByName(long_cuts(clouds, min_points)).unionByName(height_cuts(clouds, min_points))
+
+
 def capped(cuts: DataFrame, originals: DataFrame, most: int | None = None, seed: int = SEED) -> DataFrame:
     """label, cut, pts, group_id: at most as many cuts of a class as it had objects (or ``most``), by a seeded hash.
 
@@ -105,7 +120,7 @@ def capped(cuts: DataFrame, originals: DataFrame, most: int | None = None, seed:
 def augment(clouds: DataFrame, min_points: int = LEAST_POINTS, balance: bool = True, most: int | None = None, seed: int = SEED, limits: dict = FULL) -> DataFrame:
     """Originals and their cuts: sample_id (null for cuts), label, pts, group_id."""
     full = fullness(clouds, limits).where("is_full")
-    cuts = axis_cuts(full, min_points).unionByName(height_cuts(full, min_points))
+    cuts = all_cuts(full, min_points)
     added = capped(cuts, clouds, most, seed) if balance else cuts.select("label", "cut", "pts", F.col("sample_id").alias("group_id"))
     first = clouds.select("sample_id", "label", "pts", F.col("sample_id").alias("group_id"))
     return first.unionByName(added.select(F.lit(None).cast("bigint").alias("sample_id"), "label", "pts", "group_id"))

@@ -213,6 +213,13 @@ def augment_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("group_id").alias("sample_id"), "label", "cut", F.size("pts").cast("bigint").alias("n"))
 
 
+@query()
+def augment_capped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every cut that :func:`augmentation.augment` makes, along the longer side and by height too."""
+    kept = augmentation.capped(augmentation.all_cuts(clouds(spark, sf_dir), min_points=5), clouds(spark, sf_dir))
+    return kept.select(F.col("group_id").alias("sample_id"), "label", "cut", F.size("pts").cast("bigint").alias("n"))
+
+
 @query()
 def pca_height_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts along the axis of least scatter."""
