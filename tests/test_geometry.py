@@ -250,3 +250,13 @@ def test_bicyclists_have_four_cuts_two_along_the_longer_side(spark):
     for s, k in ((1, 1), (2, 3)):
         low, high = [k * t for t in v if t < 0.67 * 0.99], [k * t for t in v[:-1] if t >= 0.33 * 0.99]
         assert got[s, 2] == pytest.approx(low) and got[s, 3] == pytest.approx(high)
+
+
+def test_tracks_of_every_sensor_are_listed(spark, sf_dir):
+    from voxelry.plans.evaluation_queries import track_batch, track_list
+
+    rows = track_batch(spark, sf_dir).toPandas()
+    rows = rows[rows.frame_id == rows.groupby("sensor_id").frame_id.transform("max")]
+    want = {s: sorted(g.track_id)[:15] for s, g in rows.groupby("sensor_id")}
+    got = track_list(spark, sf_dir).toPandas()
+    assert len(want) > 1 and {s: sorted(g.track_id) for s, g in got.groupby("sensor_id")} == want

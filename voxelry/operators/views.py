@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LISTED = 15
@@ -28,5 +28,6 @@ def selected(points: DataFrame, x: float, y: float, xy_spread: float) -> DataFra
 
 
 def track_list(tracks: DataFrame, n: int = LISTED) -> DataFrame:
-    """The first ``n`` of a frame's tracks by id; a bounded list, as a viewer prints it."""
-    return tracks.orderBy("track_id").limit(n)
+    """The first ``n`` of a frame's tracks by id, for each sensor; a bounded list, as a viewer prints it."""
+    nth = F.row_number().over(Window.partitionBy("sensor_id").orderBy("track_id"))
+    return tracks.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")

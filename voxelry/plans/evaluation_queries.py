@@ -222,7 +222,7 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def track_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first tracks of one sensor's last frame, as a viewer lists them."""
-    rows = tracker.track(_sensor_frames(spark, sf_dir)).where("sensor_id = 0")
+    """The first tracks of each sensor's last frame, as a viewer lists them."""
+    rows = tracker.track(_sensor_frames(spark, sf_dir))
     last = rows.withColumn("last", F.max("frame_id").over(Window.partitionBy("sensor_id"))).where("frame_id = last").drop("last")
     return views.track_list(last)
