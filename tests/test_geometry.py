@@ -260,3 +260,13 @@ def test_tracks_of_every_sensor_are_listed(spark, sf_dir):
     want = {s: sorted(g.track_id)[:15] for s, g in rows.groupby("sensor_id")}
     got = track_list(spark, sf_dir).toPandas()
     assert len(want) > 1 and {s: sorted(g.track_id) for s, g in got.groupby("sensor_id")} == want
+
+
+def test_tracks_die_in_gaps_of_any_length(spark, tmp_path):
+    from voxelry.streaming import tracker
+
+    rows = [(0, f, f, 0.0, 0.0, 0.0, "car", 0.9, 10) for f in (0, 1, 2, 102, 103)]
+    frames = spark.createDataFrame(rows, "sensor_id bigint, frame_id bigint, det_id bigint, x double, y double, z double, class_label string, class_confidence double, n_points bigint")
+    batch = tracker.track(frames).orderBy("frame_id", "track_id").toPandas()
+    assert batch.frame_id.tolist() == [0, 1, 2, 3, 4, 102, 103] and batch.track_id.tolist() == [1] * 5 + [2] * 2
+    assert tracker.track_streamed(frames, str(tmp_path)).orderBy("frame_id", "track_id").toPandas().equals(batch)
