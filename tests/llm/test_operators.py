@@ -209,6 +209,19 @@ def test_syncmers_equal_their_definition(spark, k, s):
             assert len(found) == len(placed) == min(len(units), 1)
 
 
+def test_texts_without_a_chosen_kmer_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    texts = [f"{a} {b} {c}" for a, b, c in ("abc", "dog", "xyz", "cat", "one", "pqr", "map", "two")]
+    d = _docs(spark, [(i, t, "en", "a") for i, t in enumerate([*texts, ""])])
+    plain = d.select("doc_id", syncmers.syncmers(syncmers.unit_hashes(F.col("text"))).alias("x")).toPandas()
+    assert (plain.x.map(len) == 0).sum() > 1  # some of these three units have no closed syncmer
+    got = syncmers.fingerprints(d).toPandas().set_index("doc_id").fingerprint
+    assert [len(got[i]) for i in range(9)] == [1] * 8 + [0] and len({got[i][0] for i in range(8)}) == 8
+    near = syncmers.edited_fingerprints(d).toPandas()
+    assert (near.near_next == 0).all()
+
+
 # Packing
 
 

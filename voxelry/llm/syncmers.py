@@ -4,7 +4,8 @@ A text is read as units: its runs of non-space characters, cut after eight code
 neighbouring units, the inner substrings of s units are hashed; the k-mer is a closed syncmer when the
 smallest of these hashes is that of the first or the last substring. The choice depends on the k-mer
 alone, so equal passages give equal anchors wherever they stand. A fingerprint is the sorted set of
-the chosen k-mers' hashes.
+the chosen k-mers' hashes; a text of which no k-mer is chosen has the hash of all its units instead, so
+that only texts without units have an empty one.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ def unit_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda x: F.xxhash64(x))
 
 
-def anchors(units: Column, k: int = K, s: int = S) -> Column:
+def anchors(units: Column, k: int = K, s: int = S, whole: bool = False) -> Column:
     """(pos, hash) of each closed syncmer among ``units``, an array column of hashes.
 
-    Fewer than k units, but one at least, are one anchor at 0; none give an empty array. ``units`` must
+    Fewer than k units, but one at least, are one anchor at 0; none give an empty array. ``whole``: so
+    are the units of which no k-mer is a closed syncmer. ``units`` must
     be a plain column, else it is computed anew for every position.
     """
     def inner(i: Column, j: int) -> Column:
@@ -44,11 +46,17 @@ def anchors(units: Column, k: int = K, s: int = S) -> Column:
     n = F.size(units)
     short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(units).alias("hash")))
     none = F.filter(short, lambda x: F.lit(False))
-    return F.when(n >= k, F.array_compact(F.transform(F.sequence(F.lit(0), n - k), at))).when(n > 0, short).otherwise(none)
+    found = F.when(n >= k, F.array_compact(F.transform(F.sequence(F.lit(0), n - k), at))).when(n > 0, short).otherwise(none)
+    return _or_whole(found, n, short) if whole else found
 
 
-def syncmers(units: Column, k: int = K, s: int = S) -> Column:
-    """The sorted set of the anchors' hashes."""
+def _or_whole(found: Column, n: Column, short: Column) -> Column:
+    """``found``, or ``short`` where it is empty though there are units; found is computed once."""
+    return F.get(F.transform(F.array(found), lambda x: F.when((F.size(x) == 0) & (n > 0), short).otherwise(x)), 0)
+
+
+def syncmers(units: Column, k: int = K, s: int = S, whole: bool = False) -> Column:
+    """The sorted set of the anchors' hashes; ``whole`` as for them."""
     def at(i: Column) -> Column:
         x = [F.get(units, i + j) for j in range(k)]
         inner = x if s == 1 else [F.xxhash64(*x[j : j + s]) for j in range(k - s + 1)]
@@ -59,6 +67,7 @@ def syncmers(units: Column, k: int = K, s: int = S) -> Column:
     n = F.size(units)
     found = F.when(n >= k, F.array_compact(F.transform(F.sequence(F.lit(0), n - k), at)))
     found = found.when(n > 0, F.array(F.xxhash64(units))).otherwise(F.array().cast("array<bigint>"))
+    found = _or_whole(found, n, F.array(F.xxhash64(units))) if whole else found
     return F.array_sort(F.array_distinct(found))
 
 
@@ -78,7 +87,7 @@ def aligned(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
     """doc_id, text, fingerprint for each row. Null texts are empty and have an empty fingerprint."""
     units = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("units", unit_hashes(F.col("text")))
-    return units.withColumn("fingerprint", syncmers(F.col("units"), k, s)).drop("units")
+    return units.withColumn("fingerprint", syncmers(F.col("units"), k, s, whole=True)).drop("units")
 
 
 def _ranges(docs: DataFrame, n: int) -> Column:
@@ -109,7 +118,7 @@ def next_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     guests = keyed.join(F.broadcast(heads), F.col("key") == F.col("head")).withColumn("nth", F.row_number().over(first)).where("nth = 1")
     guests = guests.select("doc_id", "text", "key", F.col("host").alias("part"), F.lit(True).alias("guest"))
     dealt = keyed.unionByName(guests).repartition("part").withColumn("units", unit_hashes(F.col("text")))
-    dealt = dealt.withColumn("fingerprint", syncmers(F.col("units"), k, s)).drop("units")
+    dealt = dealt.withColumn("fingerprint", syncmers(F.col("units"), k, s, whole=True)).drop("units")
     order = Window.partitionBy("part").orderBy("guest", F.desc("key"), F.xxhash64("text"))
     return dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("NOT guest")
 
@@ -124,7 +133,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = next_fingerprints(docs, id_col, text_col, k, s).withColumn("n_chars", F.char_length("text").cast("bigint"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next_text", F.lit(1), cut.cast("int"))))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", unit_hashes(F.col("edited")).alias("edited_units"))
-    rows = rows.withColumn("edited_fingerprint", syncmers(F.col("edited_units"), k, s))
+    rows = rows.withColumn("edited_fingerprint", syncmers(F.col("edited_units"), k, s, whole=True))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
