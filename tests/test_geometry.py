@@ -270,3 +270,27 @@ def test_tracks_die_in_gaps_of_any_length(spark, tmp_path):
     batch = tracker.track(frames).orderBy("frame_id", "track_id").toPandas()
     assert batch.frame_id.tolist() == [0, 1, 2, 3, 4, 102, 103] and batch.track_id.tolist() == [1] * 5 + [2] * 2
     assert tracker.track_streamed(frames, str(tmp_path)).orderBy("frame_id", "track_id").toPandas().equals(batch)
+
+
+def _car(sensor, frame, at, z=-0.2):
+    side = np.random.default_rng(0).uniform(0, 1, (400, 3)) * (1.0, 1.0, 1.2) + (at, 20.0, z)
+    return [(sensor, frame, *map(float, p)) for p in side]
+
+
+def test_sensors_are_clouds_of_their_own_and_empty_frames_are_steps(spark):
+    class _Sure:
+        """A forest that takes everything for a car."""
+
+        def proba(self, x):
+            return np.tile([0.0, 0.0, 1.0, 0.0], (len(x), 1))
+
+    cal = ground.Calibration(np.eye(3), -1.0)
+    alone = _car(0, 0, 3.0) + _car(0, 1, 3.0) + [(0, f, 30.0, 30.0, 0.0) for f in range(2, 6)] + _car(0, 6, 3.0)
+    other = [(7, *r[1:]) for r in _car(0, 0, 3.4) + _car(0, 1, 3.4)]
+    both = spark.createDataFrame(alone + other, "sensor_id bigint, frame_id bigint, x double, y double, z double").repartition(3)
+    got = pipeline.run(both, cal, _Sure(), mode=19).toPandas().sort_values(["sensor_id", "frame_id", "track_id"])
+    one = got[got.sensor_id == 0]
+    assert one.frame_id.tolist() == [0, 1, 2, 3, 6] and one.track_id.tolist() == [1, 1, 1, 1, 2] and one.misses.tolist() == [0, 0, 1, 2, 0]
+    assert got[got.sensor_id == 7].frame_id.tolist() == [0, 1] and (got[got.misses == 0].n_points < 401).all()
+    made = pipeline.objects(both, cal, _Sure(), mode=19).toPandas()
+    assert sorted(zip(made.sensor_id, made.frame_id, strict=True)) == [(0, 0), (0, 1), (0, 6), (7, 0), (7, 1)]

@@ -1,4 +1,7 @@
-"""Bird's-eye-view clustering: cells, connected components, clusters and their rejects."""
+"""Bird's-eye-view clustering: cells, connected components, clusters and their rejects.
+
+Frames are told apart by frame_id, and by sensor_id where the points have one.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.functions.geometry import axis2, float_cell
+from voxelry.schemas import frame_key
 
 # Cell size, occupancy, and the reject limits in the order they are tested.
 CELL, OCCUPIED = 0.15, 2
@@ -19,15 +23,15 @@ STRIDE = 1 << 20
 
 def with_cells(points: DataFrame, cell: float = CELL, single: bool = False) -> DataFrame:
     """Adds cx, cy: cells from the frame's least x and y; ``single`` bins in 32-bit arithmetic."""
-    least = points.groupBy("frame_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
-    joined = points.join(least, "frame_id")
+    least = points.groupBy(*frame_key(points)).agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    joined = points.join(least, frame_key(points))
     at = (lambda v, o: float_cell(F.col(v), F.col(o), cell)) if single else (lambda v, o: F.floor((F.col(v) - F.col(o)) / F.lit(cell)).cast("bigint"))
     return joined.withColumn("cx", at("x", "x0").cast("bigint")).withColumn("cy", at("y", "y0").cast("bigint")).drop("x0", "y0")
 
 
 def bev_cells(celled: DataFrame, occupied: int = OCCUPIED) -> DataFrame:
     """frame_id, cx, cy, n, z_min, z_max, height, occupied."""
-    cells = celled.groupBy("frame_id", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+    cells = celled.groupBy(*frame_key(celled), "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
     return cells.withColumn("height", F.col("z_max") - F.col("z_min")).withColumn("occupied", F.col("n") >= occupied)
 
 
@@ -60,12 +64,13 @@ def components(cells: DataFrame) -> DataFrame:
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(label=union_find(pdf.cx.to_numpy(), pdf.cy.to_numpy()))
 
-    return cells.where("occupied").select("frame_id", "cx", "cy").groupBy("frame_id").applyInPandas(label, "frame_id bigint, cx bigint, cy bigint, label bigint")
+    key = frame_key(cells)
+    return cells.where("occupied").select(*key, "cx", "cy").groupBy(*key).applyInPandas(label, ", ".join(f"{c} bigint" for c in (*key, "cx", "cy", "label")))
 
 
 def with_labels(celled: DataFrame, labels: DataFrame) -> DataFrame:
     """Points of occupied cells with their component's label."""
-    return celled.join(labels, ["frame_id", "cx", "cy"])
+    return celled.join(labels, [*frame_key(celled), "cx", "cy"])
 
 
 def extents(group: list[str], points: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def extents(group: list[str], points: DataFrame) -> DataFrame:
 
 def trimmed(labelled: DataFrame, ground_height: float) -> DataFrame:
     """Drops the low skirt of clusters near the ground: keeps z above the floor-rank 5th percentile."""
-    by = Window.partitionBy("frame_id", "label")
+    by = Window.partitionBy(*frame_key(labelled), "label")
     stats = labelled.withColumns({"n": F.count(F.lit(1)).over(by), "z_lo": F.min("z").over(by), "z_hi": F.max("z").over(by), "at": F.row_number().over(by.orderBy("z")) - 1})
     k = F.floor(F.lit(0.05) * (F.col("n") - 1))
     stats = stats.withColumn("p5", F.max(F.when(F.col("at") == k, F.col("z"))).over(by))
@@ -102,8 +107,9 @@ def reject_reason(min_points: int = MIN_POINTS, max_points: int = MAX_POINTS, ma
 def clusters(labelled: DataFrame, ground_height: float, min_points: int = MIN_POINTS, max_points: int = MAX_POINTS) -> DataFrame:
     """One row per label, with its reject reason; sizes before the trim decide ``large``."""
     points = trimmed(labelled, ground_height)
-    before = points.groupBy("frame_id", "label").agg(F.max("n_before").alias("n_before"))
-    found = extents(["frame_id", "label"], points).join(before, ["frame_id", "label"])
+    group = [*frame_key(points), "label"]
+    before = points.groupBy(*group).agg(F.max("n_before").alias("n_before"))
+    found = extents(group, points).join(before, group)
     found = found.withColumns({"z_range": F.col("z_max") - F.col("z_min"), "xy_spread": F.sqrt(F.col("x_range") * F.col("x_range") + F.col("y_range") * F.col("y_range")), "z_above_ground": F.col("z_max") - ground_height})
     return found.withColumn("reject_reason", reject_reason(min_points, max_points))
 
@@ -111,9 +117,10 @@ def clusters(labelled: DataFrame, ground_height: float, min_points: int = MIN_PO
 def cluster_points(labelled: DataFrame, ground_height: float, **limits: int) -> DataFrame:
     """The clusters that pass, with their points as an array of at most ``max_points``."""
     passed = clusters(labelled, ground_height, **limits).where("reject_reason IS NULL")
-    pts = trimmed(labelled, ground_height).join(passed.select("frame_id", "label"), ["frame_id", "label"])
-    pts = pts.groupBy("frame_id", "label").agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("pts"))
-    return passed.join(pts, ["frame_id", "label"])
+    group = [*frame_key(labelled), "label"]
+    pts = trimmed(labelled, ground_height).join(passed.select(*group), group)
+    pts = pts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("pts"))
+    return passed.join(pts, group)
 
 
 def cluster_frame(points: DataFrame, ground_height: float, cell: float = CELL, min_points: int = MIN_POINTS, max_points: int = MAX_POINTS, single: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.functions.geometry import horizontal_range, ring_bin, rotated, rotation_to_vertical, sector_bin
+from voxelry.schemas import frame_key
 
 # The limits of the clip, the calibration and the ground test.
 MAX_RANGE, MAX_HEIGHT, MIN_HEIGHT = 80.0, 3.0, -1.0
@@ -110,15 +111,12 @@ def ground_height(valid: DataFrame, rotation: np.ndarray) -> DataFrame:
     return valid.agg(F.percentile(rz, F.lit(0.05)).alias("ground_height"))
 
 
-_CELL = ["frame_id", "r_bin", "theta_bin"]
-
-
 def _with_local(clipped: DataFrame) -> DataFrame:
     """Adds the polar cell, its n, and ``local``: the cell's order statistic at max(1, floor(5 % of n)), null below five points.
 
     Three windows by cell share one shuffle and one sort.
     """
-    cell = Window.partitionBy(*_CELL)
+    cell = Window.partitionBy(*frame_key(clipped), "r_bin", "theta_bin")
     k = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(CELL_SHARE)))
     keyed = clipped.withColumn("r_bin", ring_bin(F.col("rx"), F.col("ry"))).withColumn("theta_bin", sector_bin(F.col("rx"), F.col("ry")))
     ranked = keyed.withColumn("n", F.count(F.lit(1)).over(cell)).withColumn("nth", F.row_number().over(cell.orderBy("rz")) - 1)
@@ -136,12 +134,12 @@ def _ground(calibration: Calibration) -> Column:
 
 
 def polar_cells(clipped: DataFrame, calibration: Calibration) -> DataFrame:
-    """frame_id, r_bin, theta_bin, n, local, accepted, ground for each polar cell.
+    """frame_id (and sensor_id, if given), r_bin, theta_bin, n, local, accepted, ground for each polar cell.
 
     Cells of fewer than five points, and those whose value is too far from the calibrated height, use
     that height.
     """
-    cells = _with_local(clipped).groupBy(*_CELL).agg(F.max("n").alias("n"), F.max("local").alias("local"))
+    cells = _with_local(clipped).groupBy(*frame_key(clipped), "r_bin", "theta_bin").agg(F.max("n").alias("n"), F.max("local").alias("local"))
     return cells.withColumn("accepted", _accepted(calibration)).withColumn("ground", _ground(calibration))
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.schemas import CLOUD, CLUSTER
+from voxelry.schemas import CLOUD, CLUSTER, frame_key
 
 # Limits of candidates, pieces and the histogram.
 LOW, HIGH, LEAST, MOST, STRICT = 1.0, 2.2, 100, 2000, 150
@@ -102,9 +102,9 @@ def by_axis(xyz: np.ndarray, axis: np.ndarray) -> list[np.ndarray]:
 
 
 def as_clusters(found: DataFrame) -> DataFrame:
-    """Rows of the clustering step in the cluster schema."""
+    """Rows of the clustering step in the cluster schema, after their sensor_id, if they have one."""
     return found.select(
-        "frame_id", F.col("label").alias("cluster_id"), F.col("label").alias("label_id"), "n_points", F.struct(F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z")).alias("centroid"),
+        *frame_key(found), F.col("label").alias("cluster_id"), F.col("label").alias("label_id"), "n_points", F.struct(F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z")).alias("centroid"),
         "z_range", "xy_spread", "z_above_ground", F.lit(False).alias("was_split"), F.lit(False).alias("track_guided"), F.col("pts").cast(CLOUD).alias("pts"),
     )
 

@@ -16,7 +16,7 @@ from voxelry.functions import features as feats
 from voxelry.operators import clustering, ground, merging, splitting
 from voxelry.operators.classify import Forest
 from voxelry.operators.ground import Calibration
-from voxelry.schemas import CLASSES, CLUSTER, TRACKS
+from voxelry.schemas import CLASSES, CLUSTER, TRACKS, frame_key
 from voxelry.streaming.tracker import COLUMNS, Tracker, track_rows
 
 GATE_DISTANCE, MAX_MISSES = 5.0, 3
@@ -108,25 +108,38 @@ def classified(found: list[dict], forest: Forest, mode: int) -> list[dict]:
 
 def objects(points: DataFrame, calibration: Calibration, forest: Forest, mode: int = 23, **options) -> DataFrame:
     """Every frame's clusters with their class, split and merged without tracks."""
+    made = clusters(points, calibration, **options)
+    key = frame_key(made)
+    sensors = [c for c in key if c != "frame_id"]
+    schema = f"{CLUSTER}, pred int, s2_pred int, conf double, proba array<double>"
+
     def of_frame(pdf: pd.DataFrame) -> pd.DataFrame:
         found = classified(merge_frame(splitting.split_frame(splitting.clusters_of(pdf), [])), forest, mode)
-        return splitting.rows_of(found).assign(pred=[c["pred"] for c in found], s2_pred=[c["s2_pred"] for c in found], conf=[c["conf"] for c in found], proba=[c["proba"] for c in found])
+        return splitting.rows_of(found).assign(**{c: pdf[c].iloc[0] for c in sensors}, pred=[c["pred"] for c in found], s2_pred=[c["s2_pred"] for c in found], conf=[c["conf"] for c in found], proba=[c["proba"] for c in found])
 
-    return clusters(points, calibration, **options).groupBy("frame_id").applyInPandas(of_frame, f"{CLUSTER}, pred int, s2_pred int, conf double, proba array<double>")
+    return made.groupBy(*key).applyInPandas(of_frame, ", ".join([*[f"{c} bigint" for c in sensors], schema]))
 
 
 def run(points: DataFrame, calibration: Calibration, forest: Forest, mode: int = 23, dt: float = 0.1, legacy_split_gate: bool = False, class_gate: bool = True, **options) -> DataFrame:
-    """Track rows of all frames. Points may have a sensor_id; sensors run in parallel, a sensor's frames in order."""
-    found = clusters(points, calibration, **options).withColumn("sensor_id", F.lit(0).cast("bigint"))
+    """Track rows of all frames. Points may have a sensor_id; sensors run in parallel, a sensor's frames in order.
+
+    Without sensor_id the sensor is 0; null ones are sensor -1. Tracks take a step in every frame that
+    has points, also where no cluster passes.
+    """
+    sensor = F.coalesce(F.col("sensor_id").cast("bigint"), F.lit(-1)) if "sensor_id" in points.columns else F.lit(0)
+    points = points.withColumn("sensor_id", sensor.cast("bigint"))
+    found, frames = clusters(points, calibration, **options), points.select("sensor_id", "frame_id").distinct()
 
-    def of_sensor(pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_sensor(pdf: pd.DataFrame, seen_frames: pd.DataFrame) -> pd.DataFrame:
         tracker, guides, out = Tracker(MAX_MISSES, 2, GATE_DISTANCE, dt, class_gate), [], []
-        for frame, rows in pdf.groupby("frame_id", sort=True):
-            here = merge_frame(splitting.split_frame(splitting.clusters_of(rows), guides, legacy_split_gate))
+        by_frame = dict(iter(pdf.groupby("frame_id")))
+        for frame in sorted(seen_frames.frame_id):
+            rows = by_frame.get(frame)
+            here = merge_frame(splitting.split_frame(splitting.clusters_of(rows), guides, legacy_split_gate)) if rows is not None else []
             seen = [c for c in classified(here, forest, mode) if c["pred"] > 0]
             tracks = tracker.step([{"position": c["xyz"].mean(0), "class_label": CLASSES[c["pred"]], "class_confidence": c["conf"], "n_points": c["n_points"]} for c in seen])
-            out += track_rows(int(rows.sensor_id.iloc[0]), int(frame), tracks)
+            out += track_rows(int(seen_frames.sensor_id.iloc[0]), int(frame), tracks)
             guides = [{"position": t.position, "class_label": t.last_class} for t in tracker.confirmed() if t.last_class != "background"]
         return pd.DataFrame(out, columns=COLUMNS)
 
-    return found.groupBy("sensor_id").applyInPandas(of_sensor, TRACKS)
+    return found.groupBy("sensor_id").cogroup(frames.toDF(*frames.columns).groupBy("sensor_id")).applyInPandas(of_sensor, TRACKS)

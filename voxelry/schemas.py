@@ -18,6 +18,11 @@ TRACKS = (
 CLASSES = {0: "background", 1: "bicyclist", 2: "car", 3: "pedestrian"}
 
 
+def frame_key(df: DataFrame) -> list[str]:
+    """The columns that name a frame: frame_id, and sensor_id where there are several sensors."""
+    return [c for c in ("sensor_id", "frame_id") if c in df.columns]
+
+
 def classes(spark: SparkSession) -> DataFrame:
     """class_id, class_name: four rows, small enough to broadcast by definition."""
     return spark.createDataFrame(list(CLASSES.items()), "class_id int, class_name string")
