@@ -435,6 +435,12 @@ def test_files_inherit_from_the_nearest_folder(spark):
     }
 
 
+def test_a_license_at_the_root_of_relative_paths_is_inherited(spark):
+    files = spark.createDataFrame([(1, "LICENSE", "The MIT License (MIT)"), (2, "src/a.py", "code"), (3, "src/b/c.py", "code"), (4, "d.py", "code")], "doc_id bigint, path string, text string")
+    got = licenses.resolve(files).toPandas().set_index("doc_id")
+    assert got.origin.to_dict() == {1: "file", 2: "inherited", 3: "inherited", 4: "inherited"} and got.given_by[3] == ""
+
+
 # The pipeline
 
 

@@ -157,14 +157,15 @@ def inherit(scanned: DataFrame, file_share: float = FILE_SHARE) -> DataFrame:
 
     Licence files, those with a share of ``file_share`` at least, give their folder a licence: the one of
     the best score, then by name. Folders are few against files, so the ancestors of each folder are
-    looked up once, and files are joined to their folder's result. Null paths inherit nothing.
+    looked up once (the empty one of relative paths too), and files are joined to their folder's result. Null paths inherit nothing.
     """
     scanned = scanned.withColumn("folder", F.when(F.col("path").isNotNull(), _folder("path")))
     best = F.min(F.struct(-F.col("score"), "license"))["license"]
     owners = scanned.where((F.col("share") >= file_share) & F.col("folder").isNotNull()).groupBy("folder").agg(best.alias("given"))
     parts = F.split("folder", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    folders = scanned.where("folder IS NOT NULL").select("folder").distinct().withColumn("ancestor", F.explode(ancestors))
+    root = F.when(F.startswith(F.col("folder"), F.lit("/")) | (F.col("folder") == ""), ancestors).otherwise(F.concat(F.array(F.lit("")), ancestors))
+    folders = scanned.where("folder IS NOT NULL").select("folder").distinct().withColumn("ancestor", F.explode(root))
     owners = owners.select(F.col("folder").alias("ancestor"), "given")
     nearest = folders.join(owners, "ancestor").groupBy("folder").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "given")).alias("near"))
     nearest = nearest.select("folder", F.col("near.given").alias("given"), F.col("near.ancestor").alias("given_by"))
