@@ -294,3 +294,9 @@ def test_sensors_are_clouds_of_their_own_and_empty_frames_are_steps(spark):
     assert got[got.sensor_id == 7].frame_id.tolist() == [0, 1] and (got[got.misses == 0].n_points < 401).all()
     made = pipeline.objects(both, cal, _Sure(), mode=19).toPandas()
     assert sorted(zip(made.sensor_id, made.frame_id, strict=True)) == [(0, 0), (0, 1), (0, 6), (7, 0), (7, 1)]
+
+
+def test_registered_forests_have_the_production_sizes():
+    from voxelry.plans import model_queries
+
+    assert (model_queries.TREES, model_queries.STAGE_TREES, model_queries.DEPTH, model_queries.FOLDS) == (100, 300, 20, 5)

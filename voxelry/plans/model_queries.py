@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from voxelry.functions import features as feats
 from voxelry.functions.geometry import rotation_to_vertical
 from voxelry.operators import classify, evaluation
+from voxelry.operators.classify import DEPTH, STAGE_TREES, TREES
+from voxelry.operators.evaluation import FOLDS
 from voxelry.operators.ground import Calibration
 from voxelry.plans import pipeline
 from voxelry.plans.registry import query
 from voxelry.plans.scene_queries import MIN_POINTS
 from voxelry.sources.adapters import clouds, points
 
-#: Small forests: the adapter's clouds have no structure to learn, these queries exercise the plans.
-TREES, DEPTH, FOLDS = 10, 6, 3
-
 
 def _rows(spark: SparkSession, sf_dir: str, mode: int = 19) -> DataFrame:
     made = feats.features(clouds(spark, sf_dir), mode).drop("pts")
@@ -40,7 +39,7 @@ def rf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rf_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of two stages over stratified folds."""
-    return classify.cross_validate_two_stage(_rows(spark, sf_dir), feats.COMPACT, 3.0, FOLDS, TREES, DEPTH)
+    return classify.cross_validate_two_stage(_rows(spark, sf_dir), feats.COMPACT, 3.0, FOLDS, STAGE_TREES, DEPTH)
 
 
 @query()
