@@ -408,10 +408,35 @@ def test_sources_come_near_their_targets_and_reruns_agree(spark):
 def test_few_cells_give_the_same_mix(spark, docs):
     sized = mixing.mix_sources(docs).select("doc_id", "source", "size")
     goals = mixing.targets(sized)
-    a, b = (mixing.pareto_mix(sized, goals, cells=c).orderBy("doc_id").toPandas() for c in (1, 4096))
+    a, b = (mixing.pareto_mix(sized, goals, cells=c).orderBy("doc_id").toPandas() for c in (1, None))
     assert a.taken.equals(b.taken)
 
 
+def test_order_and_inclusion_rates_are_unequal_within_a_source(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [1 + (i * 37) % 400 for i in range(600)]
+    sized = spark.createDataFrame([(i, "a" if i % 3 else "b", s) for i, s in enumerate(sizes)], "doc_id bigint, source string, size bigint").persist()
+    goals = mixing.targets(sized).persist()
+    runs = [mixing.pareto_mix(sized, goals, seed=k).select("doc_id", "inclusion", "copies", F.lit(k).alias("k")) for k in range(12)]
+    every = pd.concat([r.toPandas() for r in runs])
+    by = every.groupby("doc_id").agg(p=("inclusion", "first"), c=("copies", "mean"), least=("copies", "min"))
+    by["k"] = [s.bit_length() for s in sizes]
+    by["source"] = ["a" if i % 3 else "b" for i in range(600)]
+    for _, g in by.groupby("source"):
+        whole = g.least.min()
+        rates = g[g.p < 1].groupby("k").agg(p=("p", "first"), c=("c", "mean"), n=("c", "size"))
+        assert rates.p.nunique() == len(rates) > 3
+        assert ((rates.c - whole - rates.p).abs() < 5 * np.sqrt(rates.p * (1 - rates.p) / (12 * rates.n)) + 0.02).all()
+    one = every[every.k == 0].set_index("doc_id")
+    u = sized.select("doc_id", mixing.uniform(F.col("doc_id"), 0).alias("u")).toPandas().set_index("doc_id").u
+    chosen = (one.copies > one.copies.groupby(by.source).transform("min")) & (by.p < 1)
+    left = (one.copies == one.copies.groupby(by.source).transform("min")) & (by.p < 1)
+    for source in "ab":
+        mine = by.source == source
+        assert u[mine & chosen].max() > u[mine & left].min()  # by u alone, the chosen would all come first
+
+
 # Licences
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 from functools import cache
@@ -27,9 +28,13 @@ def _own_folder(application: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; our own if unset, on one machine only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else _own_folder(spark.sparkContext.applicationId)
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +48,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that :func:`written` gave, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as make it clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,7 +77,10 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once, however long the texts are."""
+    """Bounds what a Python worker holds at once, however long the texts are.
+
+    Spark reads these settings when a plan runs, which is after the operator returned it, so they stay.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -1,10 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source's target is a capped share of the whole. Whole copies that are certain are given to every
-document; the remaining words come from a Pareto order sample: documents are ranked by their random
-odds divided by their inclusion odds, and the lowest are taken until the source's remainder is met.
-Where the cut falls is found from word counts by source and rank cell, so no task ever orders a source;
-only the documents of one cell are put in order.
+document; the remaining words come from a Pareto order sample with unequal inclusion probabilities:
+longer documents are likelier, in proportion to the number of binary digits of their size, scaled so
+that the expected words meet the source's remainder. Size classes whose probability would reach 1 are
+certain, and the scale is solved anew without them. Documents are ranked by their random odds divided
+by their inclusion odds, and the lowest are taken until the remainder is met. Where the cut falls is
+found from word counts by source and rank cell, so no task ever orders a source; only the documents of
+one cell are put in order.
 """
 
 from __future__ import annotations
@@ -12,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelry.llm.common import WORD, text_or_empty, written
+from voxelry.llm.common import WORD, free_names, text_or_empty, written
 
 #: By rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 #: All words together that the mix takes, as a share of all words; copies of a document at most.
 SHARE, MOST_COPIES = 1.5, 2
-#: Rank cells by source.
-CELLS = 4096
+#: Rank cells by source: one for so many documents of the table, within these bounds.
+CELL_ROWS, LEAST_CELLS, MOST_CELLS = 4096, 4096, 1 << 20
 SEED = 20
 
 
@@ -57,24 +60,57 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.select("source", "source_size", F.when(F.col("cut"), F.col("cap")).otherwise(F.col("w") * F.col("line")).alias("target"))
 
 
-def pareto_mix(sized: DataFrame, goals: DataFrame, cells: int = CELLS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of ``sized`` (doc_id, source, size).
+def size_class(size: Column) -> Column:
+    """Number of binary digits of the size, the measure that inclusion probabilities are proportional to; 1 for 0."""
+    return F.length(F.bin(size)).cast("bigint")
 
-    ``goals`` is what :func:`targets` gives. A document's expected copies are target / source_size: the
-    whole part is certain, the fraction is its inclusion probability. Ranks are ordered by rank, id and
-    size, so reruns agree; a document is taken while that brings its source nearer to the target.
+
+def inclusion(sized: DataFrame, goals: DataFrame) -> DataFrame:
+    """source, source_size, target, whole, scale, certain_above, rest for each source of ``goals``.
+
+    A document of class k is in the sample with probability ``scale`` times k if k is at most
+    ``certain_above``, and for certain otherwise; ``rest`` words are left for the former. With the
+    classes from k upwards certain, the scale is the words left over the sum of class times words below;
+    the largest class whose probability stays below 1 is the last that is not certain. There are a few
+    dozen classes by source, so windows by source are short.
     """
+    by = sized.groupBy("source", size_class(F.col("size")).alias("k")).agg(F.sum("size").cast("double").alias("words")).withColumnRenamed("source", "its_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goals = goals.withColumn("whole", F.floor(rate)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    u = F.col("u")
-    inclusion = F.col("rest") / F.col("source_size")
-    odds = (u / (F.lit(1.0) - u)) / (inclusion / (F.lit(1.0) - inclusion))
-    all_docs = sized.withColumnRenamed("source", "its_source").join(goals, F.col("its_source").eqNullSafe(F.col("source")))
-    rank = F.when((F.col("rest") > 0) & (F.col("source_size") > 0), F.col("odds") / (F.lit(1.0) + F.col("odds")))
+    goals = goals.withColumn("whole", F.floor(rate)).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    each = by.join(goals, F.col("its_source").eqNullSafe(F.col("source")))
+    down = Window.partitionBy("source").orderBy(F.desc("k"))
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    below = F.sum(F.col("k") * F.col("words")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    each = each.withColumn("left", F.col("need") - above).withColumn("mass", below)
+    open_class = F.when((F.col("need") > 0) & (F.col("mass") > 0) & (F.col("k") * F.col("left") < F.col("mass")), F.struct("k", "left", "mass"))
+    found = each.groupBy("source", "source_size", "target", "whole").agg(F.max(open_class).alias("c"), F.max("need").alias("need"))
+    none = F.when(F.col("need") > 0, F.lit(0)).otherwise(F.lit(64))
+    return found.select(
+        "source", "source_size", "target", "whole", F.coalesce(F.col("c.left") / F.col("c.mass"), F.lit(0.0)).alias("scale"),
+        F.coalesce("c.k", none).cast("bigint").alias("certain_above"), F.coalesce("c.left", F.lit(0.0)).alias("rest"),
+    )
+
+
+def pareto_mix(sized: DataFrame, goals: DataFrame, cells: int | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, inclusion, copies, taken for each row of ``sized`` (doc_id, source, size).
+
+    ``goals`` is what :func:`targets` gives. A document's expected copies are the whole part of target /
+    source_size, which is certain, and its inclusion probability. Ranks are ordered by rank, id and
+    size, so reruns agree; a document is taken while that brings its source nearer to the target.
+    """
+    if cells is None:
+        cells = min(max(sized.count() // CELL_ROWS, LEAST_CELLS), MOST_CELLS)
+    goals = written(inclusion(sized, goals).coalesce(1), "inclusion")
+    u, k = F.col("u"), size_class(F.col("size"))
+    chance = F.when(k > F.col("certain_above"), F.lit(1.0)).otherwise(F.col("scale") * k)
+    odds = (u / (F.lit(1.0) - u)) / (F.col("inclusion") / (F.lit(1.0) - F.col("inclusion")))
     ranked = (
-        all_docs.withColumn("u", uniform(F.col("doc_id"), seed))
-        .withColumn("odds", F.when((F.col("rest") > 0) & (F.col("source_size") > 0), odds))
-        .withColumn("rank", rank)
+        sized.withColumnRenamed("source", "its_source")
+        .join(goals, F.col("its_source").eqNullSafe(F.col("source")))
+        .withColumn("u", uniform(F.col("doc_id"), seed))
+        .withColumn("inclusion", chance)
+        .withColumn("odds", F.when((F.col("inclusion") > 0) & (F.col("inclusion") < 1), odds))
+        .withColumn("rank", F.col("odds") / (F.lit(1.0) + F.col("odds")))
         .withColumn("cell", F.floor(F.col("rank") * cells).cast("int"))
     )
     by_cell = ranked.where("cell IS NOT NULL").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
@@ -92,8 +128,9 @@ def pareto_mix(sized: DataFrame, goals: DataFrame, cells: int = CELLS, seed: int
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
     reached = F.col("before") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = inside.withColumn("reached", reached).withColumn("extra", (F.lit(2) * F.col("reached") + F.col("size") <= F.lit(2) * F.col("rest")).cast("int"))
-    clear = placed.where("NOT (cell <=> cut_cell) OR cell IS NULL").withColumn("extra", F.coalesce((F.col("cell") < F.coalesce("cut_cell", F.lit(cells + 1))).cast("int"), F.lit(0)))
-    columns = ["doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies")]
+    below = F.coalesce((F.col("cell") < F.coalesce("cut_cell", F.lit(cells + 1))).cast("int"), (F.col("inclusion") >= 1).cast("int"))
+    clear = placed.where("NOT (cell <=> cut_cell) OR cell IS NULL").withColumn("extra", below)
+    columns = ["doc_id", "source", "size", "source_size", "target", "inclusion", (F.col("whole") + F.col("extra")).alias("copies")]
     both = clear.select(*columns).unionByName(inside.select(*columns))
     return both.withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -104,7 +141,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
     Null texts have size 0 and null sources are a source of their own, ranked last. An empty table
     gives an empty result; columns other than id, text and source are ignored. Repeated ids share a
     random number. A document is taken whole, so a source's words differ from its target by less than
-    half of one document.
+    half of one document. There is one row a source in unpartitioned windows, so sources may be some
+    millions, not more.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("size"))
     sized = written(sized, "sizes")
@@ -113,13 +151,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; rows taken zero times go.
+    """``docs`` with each row repeated as often as the mix takes it; rows taken zero times go; all columns kept.
 
-    Rows of one id are one document and share their number of copies.
+    Rows of one id are one document and share their number of copies. Null and empty texts have no
+    words; whether they stay does not change a source's words. An empty table gives an empty result.
     """
+    id_name, n_name, nth = free_names(docs, "id", "n_copies", "nth_copy")
     copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies", "__copy")
+    copies = copies.select(F.col("doc_id").alias(id_name), F.col("copies").cast("int").alias(n_name))
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col(id_name)))
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n_name)))).drop(id_name, n_name, nth)
 
 
 ORACLE = r"""
@@ -143,17 +184,29 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN cut THEN cap ELSE w * max(CASE WHEN NOT cut THEN level END) OVER () END AS target FROM c
 ), g AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
+), m AS (
+  SELECT *, target - whole * source_size AS need FROM g
+), k AS (
+  SELECT source, length(bin(size)) AS k, sum(size)::DOUBLE AS words FROM d GROUP BY ALL
+), o AS (
+  SELECT m.*, k.k, need - coalesce(sum(words) OVER (PARTITION BY m.source ORDER BY k.k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
+         sum(k.k * words) OVER (PARTITION BY m.source ORDER BY k.k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass
+  FROM m JOIN k ON m.source IS NOT DISTINCT FROM k.source
+), i AS (
+  SELECT source, source_size, target, whole, need, coalesce(max(k) FILTER (need > 0 AND mass > 0 AND k * room < mass), CASE WHEN need > 0 THEN 0 ELSE 64 END) AS top,
+         coalesce(arg_max(room / mass, k) FILTER (need > 0 AND mass > 0 AND k * room < mass), 0) AS scale,
+         coalesce(arg_max(room, k) FILTER (need > 0 AND mass > 0 AND k * room < mass), 0) AS rest
+  FROM o GROUP BY source, source_size, target, whole, need
 ), r AS (
-  SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS rest, d.u
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+  SELECT d.doc_id, d.size, d.u, i.*, CASE WHEN length(bin(d.size)) > top THEN 1.0 ELSE scale * length(bin(d.size)) END AS p
+  FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source
 ), q AS (
-  SELECT *, CASE WHEN rest > 0 AND source_size > 0
-                 THEN (u / (1 - u)) / ((rest / source_size) / (1 - rest / source_size)) END AS odds FROM r
+  SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM r
 ), p AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds / (1 + odds), doc_id, size
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM q
 )
 SELECT doc_id, size, source_size, target,
-       ((whole + CASE WHEN odds IS NOT NULL AND 2 * reached + size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+       ((whole + CASE WHEN p >= 1 OR (odds IS NOT NULL AND 2 * reached + size <= 2 * rest) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM p
 """
