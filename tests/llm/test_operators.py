@@ -314,21 +314,30 @@ def test_simhash_equals_brute_force(spark, sf_dir, table):
     assert got.component_id.to_dict() == _plain_components(prints)
 
 
-@pytest.mark.parametrize("block", [1, 64])
-def test_links_of_dense_groups_hold_every_component_together(spark, block):
-    rng = np.random.default_rng(5)
-    centres = [int(x) for x in rng.integers(0, 1 << 62, 6)]
-    values = {c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for c in centres for _ in range(60)}
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    found = simhash.links(spark.createDataFrame([(signed(v),) for v in values], "fp bigint"), block=block)
-    pairs = [tuple(r) for r in found.collect()]
-    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 2 and a != b for a, b in pairs)
-    roots = {r["node"]: r["root"] for r in components.components(found).collect()}
-    want = _plain_components({signed(v): v for v in values})
-    groups = defaultdict(set)
-    for v in values:
-        groups[want[signed(v)]].add(roots.get(signed(v), signed(v)))
-    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+def _close_values(seed, centres, each):
+    rng = np.random.default_rng(seed)
+    made = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for c in rng.integers(0, 1 << 62, centres) for _ in range(each)}
+    return {v - (1 << 64) if v >> 63 else v for v in made}
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_links_are_all_pairs_within_the_radius(spark, radius):
+    values = sorted(_close_values(5, 4, 40) | set(range(20)))
+    got = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp bigint"), radius).collect()}
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
+    assert got == want and len(want) > 20
+
+
+def test_pivots_discard_pairs_and_never_a_link(spark):
+    fps = spark.createDataFrame([(v,) for v in _close_values(6, 6, 200)], "fp bigint").persist()
+    pairs = simhash.met(fps).distinct().persist()
+    kept = simhash.passed(pairs)
+    gone = pairs.exceptAll(kept).select("x.fp", "y.fp").collect()
+    false = sum(((a ^ b) & (1 << 64) - 1).bit_count() > 2 for a, b in (tuple(r) for r in pairs.select("x.fp", "y.fp").collect()))
+    assert len(gone) > 0.75 * false > 100
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() > 2 for a, b in (tuple(r) for r in gone))
+    lonely = spark.createDataFrame([(int(v),) for v in np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 3000)], "fp bigint")
+    assert simhash.with_company(lonely).count() < 30  # pivot cells leave out what has no partner
 
 
 def _jaccard_components(docs, words=5, least=0.8):

@@ -68,6 +68,33 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Keys that :func:`join_by_key` sends to every task, at most, and from how many rows on.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has one row for each key and the number of rows by key in ``count``.
+
+    The rows of the most frequent keys, HOT_KEYS at most, meet a broadcast of these; all others are
+    shuffled. So no task gets more than one in HOT_KEYS rows of one key.
+    """
+    hot = written(keyed.where(F.col(count) >= HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS).coalesce(1), "hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.drop(count), key)
+    return rows.join(F.broadcast(hot.drop(count)), key).unionByName(rest)
+
+
+#: Shares that the rows of one key are dealt to where the other side has a row by key.
+SALTS = 8
+
+
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def with_all_salts(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
