@@ -475,6 +475,58 @@ def test_a_license_at_the_root_of_relative_paths_is_inherited(spark):
     assert got.origin.to_dict() == {1: "file", 2: "inherited", 3: "inherited", 4: "inherited"} and got.given_by[3] == ""
 
 
+def test_license_scan_equals_plain_python(spark, sf_dir, table):
+    words = lambda t: re.findall(r"[a-z0-9]+(?:\.[0-9]+)?", t.lower())
+    known = {w for t in licenses.TEMPLATES.values() for x in t for w in words(x)}
+    seen = Counter(w for t in table.text for w in known & set(words(t or "")))
+    idf = {w: np.log((1 + len(table)) / (1 + seen[w])) + 1 for w in known}
+
+    def cosine(a, b):
+        x, y = ({w: n * idf.get(w, max(idf.values())) for w, n in Counter(words(t)).items()} for t in (a, b))
+        norm = lambda v: sum(n * n for n in v.values()) ** 0.5
+        return sum(n * y.get(w, 0) for w, n in x.items()) / max(norm(x) * norm(y), 1e-12)
+
+    hints = re.compile("|".join(licenses.ANCHORS))
+    own = {}
+    for d, text in zip(table.doc_id, table.text, strict=True):
+        lines = [x for x in (text or "").splitlines() if x.strip()]
+        at = [i for i, x in enumerate(lines) if hints.search(x.lower())]
+        spans = [(i, i + 1, p) for i in at for p in [lines[i], *[q for q in re.split(r"(?<=[.!?])\s", lines[i]) if hints.search(q.lower())]]]
+        spans += [(j, j + 3, " ".join(lines[j : j + 3])) for i in at for j in range(i - 2, i + 1) if 0 <= j <= len(lines) - 3]
+        if at:
+            spans += [(at[0], at[-1] + 1, " ".join(lines[at[0] : at[-1] + 1]))] * (at[-1] - at[0] > 2) + [(0, len(lines), " ".join(lines))] * (len(lines) > 3)
+        found = [(round(cosine(p, t), 6) * len(words(p)), round(cosine(p, t), 6), n, a, b) for a, b, p in spans for n, ts in licenses.TEMPLATES.items() for t in ts]
+        found = [x for x in found if x[1] >= 0.8]
+        lines_in = {i for x in found for i in range(x[3], x[4])}
+        best = min(((-x[0], -x[1], x[2]) for x in found), default=None)
+        own[d] = best and (best[2], -best[1], sum(len(words(lines[i])) for i in lines_in) / len(words(text)))
+    place = dict(zip(table.doc_id, [f"{s}/{g}" for s, g in zip(table.source, table.lang, strict=True)], strict=True))
+    owners = defaultdict(list)
+    for d, o in own.items():
+        if o and o[2] >= 0.5:
+            owners[place[d]].append((-o[1], o[0]))
+    got = queries.op10_license_scan(spark, sf_dir).toPandas().set_index("doc_id")
+    got = got.astype(object).where(got.notna(), None)
+    assert len(got) == len(table) and sum(o is not None for o in own.values()) > 2
+    for d in own:
+        given = next((min(owners[f]) for f in (place[d], place[d].rsplit("/", 1)[0], "") if f in owners), None)
+        want = (own[d][0], "file" if own[d][2] >= 0.5 else "header") if own[d] else (given[1], "inherited") if given else (None, "none")
+        assert (got.license[d], got.origin[d]) == want, d
+        assert got.score[d] == pytest.approx(own[d][1] if own[d] else 0)
+
+
+def test_whole_texts_of_licenses_are_told_apart(spark):
+    files = []
+    for k, (name, texts) in enumerate(licenses.TEMPLATES.items()):
+        long = max(texts, key=len)
+        if len(long) > 300:
+            broken = re.sub(r"(.{60,80}) ", r"\1\n", long)
+            files += [(2 * k, f"{name}/LICENSE", f"Copyright (c) 2020 Some Body\n{broken}"), (2 * k + 1, f"{name}/src/a.c", "int main() { return 0; }\n" * 3)]
+    got = licenses.resolve(spark.createDataFrame(files, "doc_id bigint, path string, text string")).toPandas()
+    assert len(got) >= 22 and (got.license == got.path.str.split("/").str[0]).all()
+    assert set(got[got.doc_id % 2 == 0].origin) == {"file"} and set(got[got.doc_id % 2 == 1].origin) == {"inherited"}
+
+
 # The pipeline
 
 
