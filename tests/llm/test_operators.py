@@ -386,6 +386,19 @@ def test_the_stage_drops_near_copies_that_two_bits_miss(spark):
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()} == {1, 3}
 
 
+def test_bits_that_are_allowed_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(5000)]
+    worst = 0
+    for n in (9, 20, 60, 200) * 50:
+        w = [words[i] for i in rng.integers(0, 5000, n + 4)]
+        k = int(n / 9)  # of n shingles each, so many differ at a similarity of 0.8
+        a, b = near.shingles(" ".join(w[: n + 4 - k])), near.shingles(" ".join(w[k:]))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            worst = max(worst, ((near.sketch(a) ^ near.sketch(b)) & (1 << 64) - 1).bit_count())
+    assert 10 <= worst <= near.MOST_BITS - 6
+
+
 def test_near_copies_of_odd_and_empty_tables(odd, none):
     assert near.drop_near_copies(odd).columns == odd.columns and near.drop_near_copies(none).count() == 0
     assert near.near_components(odd).count() == odd.count()
@@ -415,7 +428,9 @@ def test_sources_come_near_their_targets_and_reruns_agree(spark):
 
 
 def test_few_cells_give_the_same_mix(spark, docs):
-    sized = mixing.mix_sources(docs).select("doc_id", "source", "size")
+    from pyspark.sql import functions as F
+
+    sized = mixing.mix_sources(docs).select("doc_id", "source", "size", mixing.uniform(F.col("doc_id")).alias("u"))
     goals = mixing.targets(sized)
     a, b = (mixing.pareto_mix(sized, goals, cells=c).orderBy("doc_id").toPandas() for c in (1, None))
     assert a.taken.equals(b.taken)
@@ -427,7 +442,7 @@ def test_order_and_inclusion_rates_are_unequal_within_a_source(spark):
     sizes = [1 + (i * 37) % 400 for i in range(600)]
     sized = spark.createDataFrame([(i, "a" if i % 3 else "b", s) for i, s in enumerate(sizes)], "doc_id bigint, source string, size bigint").persist()
     goals = mixing.targets(sized).persist()
-    runs = [mixing.pareto_mix(sized, goals, seed=k).select("doc_id", "inclusion", "copies", F.lit(k).alias("k")) for k in range(12)]
+    runs = [mixing.pareto_mix(sized.withColumn("u", mixing.uniform(F.col("doc_id"), k)), goals).select("doc_id", "inclusion", "copies", F.lit(k).alias("k")) for k in range(8)]
     every = pd.concat([r.toPandas() for r in runs])
     by = every.groupby("doc_id").agg(p=("inclusion", "first"), c=("copies", "mean"), least=("copies", "min"))
     by["k"] = [s.bit_length() for s in sizes]
@@ -436,7 +451,7 @@ def test_order_and_inclusion_rates_are_unequal_within_a_source(spark):
         whole = g.least.min()
         rates = g[g.p < 1].groupby("k").agg(p=("p", "first"), c=("c", "mean"), n=("c", "size"))
         assert rates.p.nunique() == len(rates) > 3
-        assert ((rates.c - whole - rates.p).abs() < 5 * np.sqrt(rates.p * (1 - rates.p) / (12 * rates.n)) + 0.02).all()
+        assert ((rates.c - whole - rates.p).abs() < 5 * np.sqrt(rates.p * (1 - rates.p) / (8 * rates.n)) + 0.02).all()
     one = every[every.k == 0].set_index("doc_id")
     u = sized.select("doc_id", mixing.uniform(F.col("doc_id"), 0).alias("u")).toPandas().set_index("doc_id").u
     chosen = (one.copies > one.copies.groupby(by.source).transform("min")) & (by.p < 1)
@@ -540,7 +555,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir, table):
     assert kept.columns == docs.columns and set(kept.toPandas().doc_id) == set(table.doc_id) - set(rejected)
     rest = table[~table.doc_id.isin(rejected)].sort_values("doc_id")
     rest = rest[~rest.text.map(lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)).duplicated()]
-    near = _plain_components({d: _plain_fingerprint(t) for d, t in zip(rest.doc_id, rest.text, strict=True)})
+    near = _jaccard_components(dict(zip(rest.doc_id, rest.text, strict=True)))
     rest = rest[[near[d] == d for d in rest.doc_id]]
     mixed = mixing.mix_sources(spark.createDataFrame(rest)).toPandas().set_index("doc_id")
     out = corpus_pipeline.run(spark, sf_dir).toPandas()

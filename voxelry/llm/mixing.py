@@ -7,7 +7,8 @@ that the expected words meet the source's remainder. Size classes whose probabil
 certain, and the scale is solved anew without them. Documents are ranked by their random odds divided
 by their inclusion odds, and the lowest are taken until the remainder is met. Where the cut falls is
 found from word counts by source and rank cell, so no task ever orders a source; only the documents of
-one cell are put in order.
+one cell are put in order. What is taken then depends on a few numbers by source, so texts are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelry.llm.common import WORD, free_names, text_or_empty, written
+from voxelry.llm.common import WORD, text_or_empty, written
 
 #: By rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -91,82 +92,112 @@ def inclusion(sized: DataFrame, goals: DataFrame) -> DataFrame:
     )
 
 
-def pareto_mix(sized: DataFrame, goals: DataFrame, cells: int | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, inclusion, copies, taken for each row of ``sized`` (doc_id, source, size).
+def _ranked(sized: DataFrame, by_source: DataFrame) -> DataFrame:
+    """``sized`` with the numbers of its source, its inclusion probability and rank; no rank where that is 0 or 1."""
+    u, p, k = F.col("u"), F.col("inclusion"), size_class(F.col("size"))
+    odds = (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))
+    return (
+        sized.withColumnRenamed("source", "its_source")
+        .join(by_source, F.col("its_source").eqNullSafe(F.col("source")))
+        .withColumn("inclusion", F.when(k > F.col("certain_above"), F.lit(1.0)).otherwise(F.col("scale") * k))
+        .withColumn("odds", F.when((p > 0) & (p < 1), odds))
+        .withColumn("rank", F.col("odds") / (F.lit(1.0) + F.col("odds")))
+    )
 
-    ``goals`` is what :func:`targets` gives. A document's expected copies are the whole part of target /
-    source_size, which is certain, and its inclusion probability. Ranks are ordered by rank, id and
-    size, so reruns agree; a document is taken while that brings its source nearer to the target.
+
+def _place() -> Column:
+    """What documents of one source are ordered by."""
+    return F.struct(F.col("rank").alias("rank"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))
+
+
+def cut_points(sized: DataFrame, goals: DataFrame, cells: int | None = None) -> DataFrame:
+    """What :func:`inclusion` gives, and ``last``, the place of the last document that its source takes; null if none is.
+
+    Documents are taken in order while that brings the words nearer to the source's remainder. One pass
+    counts words by source and cell, a second one orders the cell in which the remainder is met.
     """
     if cells is None:
         cells = min(max(sized.count() // CELL_ROWS, LEAST_CELLS), MOST_CELLS)
-    goals = written(inclusion(sized, goals).coalesce(1), "inclusion")
-    u, k = F.col("u"), size_class(F.col("size"))
-    chance = F.when(k > F.col("certain_above"), F.lit(1.0)).otherwise(F.col("scale") * k)
-    odds = (u / (F.lit(1.0) - u)) / (F.col("inclusion") / (F.lit(1.0) - F.col("inclusion")))
-    ranked = (
-        sized.withColumnRenamed("source", "its_source")
-        .join(goals, F.col("its_source").eqNullSafe(F.col("source")))
-        .withColumn("u", uniform(F.col("doc_id"), seed))
-        .withColumn("inclusion", chance)
-        .withColumn("odds", F.when((F.col("inclusion") > 0) & (F.col("inclusion") < 1), odds))
-        .withColumn("rank", F.col("odds") / (F.lit(1.0) + F.col("odds")))
-        .withColumn("cell", F.floor(F.col("rank") * cells).cast("int"))
-    )
-    by_cell = ranked.where("cell IS NOT NULL").groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    by_source = written(inclusion(sized, goals).coalesce(1), "inclusion")
+    ranked = _ranked(sized, by_source).withColumn("cell", F.floor(F.col("rank") * cells).cast("int")).where("cell IS NOT NULL")
+    by_cell = ranked.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.max(_place()).alias("last"))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
-    cuts = (
-        by_cell.withColumn("upto", upto)
-        .where("upto >= rest")
-        .groupBy("source")
-        .agg(F.min(F.struct("cell", (F.col("upto") - F.col("words")).alias("before"))).alias("c"))
-        .select(F.col("source").alias("cut_source"), F.col("c.cell").alias("cut_cell"), F.col("c.before").alias("before"))
-    )
-    cuts = written(cuts.coalesce(1), "cuts")
-    placed = ranked.join(cuts, F.col("its_source").eqNullSafe(F.col("cut_source")), "left")
-    inside = placed.where("cell = cut_cell")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size")
-    reached = F.col("before") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = inside.withColumn("reached", reached).withColumn("extra", (F.lit(2) * F.col("reached") + F.col("size") <= F.lit(2) * F.col("rest")).cast("int"))
-    below = F.coalesce((F.col("cell") < F.coalesce("cut_cell", F.lit(cells + 1))).cast("int"), (F.col("inclusion") >= 1).cast("int"))
-    clear = placed.where("NOT (cell <=> cut_cell) OR cell IS NULL").withColumn("extra", below)
-    columns = ["doc_id", "source", "size", "source_size", "target", "inclusion", (F.col("whole") + F.col("extra")).alias("copies")]
-    both = clear.select(*columns).unionByName(inside.select(*columns))
-    return both.withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    by_cell = written(by_cell.withColumn("upto", upto), "cells")
+    before = F.max(F.when(F.col("upto") < F.col("rest"), F.struct("cell", "upto", "last")))
+    at = F.min(F.when(F.col("upto") >= F.col("rest"), F.col("cell")))
+    cuts = by_cell.groupBy("source").agg(before.alias("before"), at.alias("cut_cell"))
+    cuts = written(cuts.select(F.col("source").alias("cut_source"), "cut_cell", F.coalesce("before.upto", F.lit(0)).alias("before"), F.col("before.last").alias("last_before")).coalesce(1), "cuts")
+    inside = ranked.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("cell") == F.col("cut_cell")))
+    order = Window.partitionBy("source").orderBy(_place()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = F.col("before") + F.sum("size").over(order)
+    inside = inside.withColumn("reached", reached).where(F.lit(2) * F.col("reached") - F.col("size") <= F.lit(2) * F.col("rest"))
+    inside = inside.groupBy("cut_source").agg(F.max(_place()).alias("last_inside"))
+    ends = cuts.select("cut_source", "last_before").join(inside.withColumnRenamed("cut_source", "source_inside"), F.col("cut_source").eqNullSafe(F.col("source_inside")), "left")
+    ends = ends.select("cut_source", F.coalesce("last_inside", "last_before").alias("last"))
+    return by_source.join(ends, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+
+
+def taken(sized: DataFrame, by_source: DataFrame) -> DataFrame:
+    """``sized`` with what :func:`cut_points` gives of its source, inclusion, copies and taken, without a shuffle of its rows."""
+    first = F.when(F.col("rank").isNull(), F.col("inclusion") >= 1).otherwise(F.coalesce(_place() <= F.col("last"), F.lit(False))).cast("int")
+    out = _ranked(sized, by_source).withColumn("copies", F.col("whole") + first)
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("its_source", "certain_above", "scale", "rest", "last", "odds", "rank", "whole", "u")
+
+
+def pareto_mix(sized: DataFrame, goals: DataFrame, cells: int | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, inclusion, copies, taken for each row of ``sized`` (doc_id, source, size, u).
+
+    ``goals`` is what :func:`targets` gives. A document's expected copies are the whole part of target /
+    source_size, which is certain, and its inclusion probability. Documents are ordered by rank, id and
+    size, so reruns agree; those that agree in all three are taken together.
+    """
+    return taken(sized, written(cut_points(sized, goals, cells).coalesce(1), "ends"))
+
+
+def _size(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD)).cast("bigint")
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), text)
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, **options) -> DataFrame:
     """Sizes, targets and what the mix takes, one row per document; see :func:`pareto_mix`.
 
     Null texts have size 0 and null sources are a source of their own, ranked last. An empty table
     gives an empty result; columns other than id, text and source are ignored. Repeated ids share a
-    random number. A document is taken whole, so a source's words differ from its target by less than
-    half of one document. There is one row a source in unpartitioned windows, so sources may be some
-    millions, not more.
+    random number; null ids have that of their text. A document is taken whole, so a source's words
+    differ from its target by less than half of one document. There is one row a source in
+    unpartitioned windows, so sources may be some millions, not more.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("size"))
-    sized = written(sized, "sizes")
+    sized = written(_sized(docs, F.col(id_col), seed), "sizes")
     goals = written(targets(sized).coalesce(1), "targets")
     return pareto_mix(sized, goals, **options)
 
 
-def apply_mix(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, doc_id: Column, seed: int, *more: Column) -> DataFrame:
+    return docs.select(doc_id.alias("doc_id"), F.col("source"), _size(text_or_empty()).alias("size"), uniform(_key(doc_id, text_or_empty()), seed).alias("u"), *more)
+
+
+def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; rows taken zero times go; all columns kept.
 
-    Rows of one id are one document and share their number of copies. Null and empty texts have no
-    words; whether they stay does not change a source's words. An empty table gives an empty result.
+    Texts are read twice and never shuffled. Null and empty texts have no words; whether they stay does
+    not change a source's words. Repeated rows are taken together. An empty table gives an empty result.
     """
-    id_name, n_name, nth = free_names(docs, "id", "n_copies", "nth_copy")
-    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias(id_name), F.col("copies").cast("int").alias(n_name))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col(id_name)))
-    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n_name)))).drop(id_name, n_name, nth)
+    sized = written(_sized(docs, F.col("doc_id"), seed), "sizes")
+    goals = written(targets(sized).coalesce(1), "targets")
+    ends = written(cut_points(sized, goals).coalesce(1), "ends")
+    rows = taken(_sized(docs, F.col("doc_id"), seed, F.struct(*[docs[c] for c in docs.columns]).alias("row")), ends)
+    rows = rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
+    return rows.select("row.*")
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+         (('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
