@@ -175,6 +175,75 @@ def test_covariance_stays_positive():
             assert x.a > 0 and x.c > 0 and x.a * x.c - x.b * x.b > -1e-9
 
 
+def test_tracks_follow_a_filter_of_whole_matrices(spark):
+    # Position and velocity in three dimensions with diagonal noise, as one filter of 6 by 6.
+    dt, rng = 0.1, np.random.default_rng(4)
+    move, see = np.eye(6) + dt * np.eye(6, k=3), np.eye(3, 6)
+    noise, seen_noise = np.diag([0.5] * 3 + [2.0] * 3), 0.3 * np.eye(3)
+    x, p = np.zeros(6), np.diag([0.5] * 3 + [10.0] * 3)
+    t = Tracker(dt=dt)
+    track = None
+    for k in range(12):
+        z = np.array([0.3 * k, -0.1 * k, 0.0]) + rng.normal(0, 0.1, 3)
+        if track is None:
+            x[:3] = z
+        else:
+            x, p = move @ x, move @ p @ move.T + noise
+            if k % 4:
+                gain = p @ see.T @ np.linalg.inv(see @ p @ see.T + seen_noise)
+                x, p = x + gain @ (z - see @ x), (np.eye(6) - gain @ see) @ p
+        t.step([{"position": tuple(z), "class_label": "car", "class_confidence": 0.9, "n_points": 10}] if k % 4 or track is None else [])
+        track = t.tracks[0]
+        assert np.allclose([*track.position, *track.velocity], x) and np.isclose(track.a, p[0, 0]) and np.isclose(track.b, p[0, 3]) and np.isclose(track.c, p[3, 3])
+
+
+def test_confidence_is_the_mean_of_the_current_class():
+    t = Tracker(class_gate=False)
+    said = [("car", 0.9), ("pedestrian", 0.95), ("car", 0.5), ("pedestrian", 0.96)]
+    for label, conf in said:
+        t.step([{"position": (0.0, 0, 0), "class_label": label, "class_confidence": conf, "n_points": 10}])
+        track = t.tracks[0]
+        votes = [c for k, c in said[: said.index((label, conf)) + 1] if k == track.class_label]
+        assert track.confidence == pytest.approx(np.mean(votes) if len(said[: said.index((label, conf))]) else 1.0)
+    assert track.class_label == "pedestrian"  # 0.955 against 0.7
+
+
+def test_pieces_of_different_clusters_have_different_ids():
+    pair = np.vstack([_person(0), _person(2.0, seed=1)])
+    clusters = [_cluster(pair) | {"cluster_id": i, "label_id": i} for i in (5, 321, 322)]
+    out = split_frame([*clusters, _cluster(_person(9.0)) | {"cluster_id": 323}], [])
+    assert len(out) == 7 and len({c["cluster_id"] for c in out}) == 7
+
+
+def test_components_and_hulls_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (12, 30, 80):
+        xyz = np.vstack([rng.normal(c, 0.3, (n // 3, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 5, 1))])
+        d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1))
+        eps = 2.5 * np.median(np.sort(d, axis=1)[:, 1])
+        near = d <= eps
+        core = near.sum(1) >= 3
+        group = np.arange(len(xyz))
+        for _ in range(len(xyz)):  # core points take the least number within reach
+            group = np.array([min(group[j] for j in range(len(xyz)) if core[j] and near[i, j]) if core[i] else group[i] for i in range(len(xyz))])
+        # A border point goes to the first group that reaches it; groups are numbered by their first core point.
+        sizes = {}
+        for i in range(len(xyz)):
+            groups = [group[i]] if core[i] else sorted(group[j] for j in range(len(xyz)) if core[j] and near[i, j])[:1]
+            for g in groups:
+                sizes[g] = sizes.get(g, 0) + 1
+        assert feats.component_values(xyz) == ((len(sizes), pytest.approx(max(sizes.values()) / len(xyz))) if sizes else (1.0, 1.0))
+        corners = set()
+        for a in range(len(xyz)):
+            for b in range(a):
+                for c in range(b):  # a triangle with all points on one side is a face
+                    side = (xyz - xyz[a]) @ np.cross(xyz[b] - xyz[a], xyz[c] - xyz[a])
+                    if (side <= 1e-9).all() or (side >= -1e-9).all():
+                        corners |= {a, b, c}
+        if n < 80:
+            assert feats.hull_vertices(xyz) == len(corners)
+
+
 def test_batch_and_stream_give_the_same_tracks(spark, sf_dir):
     from voxelry.plans.evaluation_queries import track_batch, track_stream
 
@@ -249,7 +318,7 @@ def test_bicyclists_have_four_cuts_two_along_the_longer_side(spark):
     assert {s: sorted(c for t, c in got if t == s) for s in (1, 2, 3)} == {1: [0, 1, 2, 3], 2: [0, 1, 2, 3], 3: [0, 1]}
     for s, k in ((1, 1), (2, 3)):
         low, high = [k * t for t in v if t < 0.67 * 0.99], [k * t for t in v[:-1] if t >= 0.33 * 0.99]
-        assert got[s, 2] == pytest.approx(low) and got[s, 3] == pytest.approx(high)
+        assert got[s, 0] == pytest.approx(low) and got[s, 1] == pytest.approx(high)
 
 
 def test_tracks_of_every_sensor_are_listed(spark, sf_dir):

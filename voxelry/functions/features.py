@@ -59,10 +59,18 @@ def _moments(pts: Column) -> Column:
     return F.aggregate(pts, zero, add)
 
 
-def _spread(pts: Column, ax: Column, ay: Column) -> tuple[Column, Column]:
-    u = F.transform(pts, lambda p: p["x"] * ax + p["y"] * ay)
-    v = F.transform(pts, lambda p: p["y"] * ax - p["x"] * ay)
-    return F.array_max(u) - F.array_min(u), F.array_max(v) - F.array_min(v)
+def _sides(uvs: Column) -> tuple[Column, Column]:
+    """Extents of points (u, v, ..)."""
+    side = lambda k: F.array_max(F.transform(uvs, lambda q: q[k])) - F.array_min(F.transform(uvs, lambda q: q[k]))
+    return side("u"), side("v")
+
+
+def _slice(i: int) -> Column:
+    return F.filter("uvs", lambda q: q["s"] == i)
+
+
+def _diagonal(a: Column, b: Column) -> Column:
+    return F.sqrt(a * a + b * b)
 
 
 def native_features(clouds: DataFrame, mode: int = 19) -> DataFrame:
@@ -77,18 +85,25 @@ def native_features(clouds: DataFrame, mode: int = 19) -> DataFrame:
     a = clouds.withColumns({"num_points": n.cast("double"), "m": _moments(F.col("pts")), "zs": F.sort_array(F.transform("pts", lambda p: p["z"]))})
     c = lambda x, y, by: (F.col(f"m.{x}{y}") - F.col(f"m.{x}") * F.col(f"m.{y}") / n) / by
     one_less, plain = F.greatest(n - 1, F.lit(1)), n <= 3
-    a = a.withColumns({"cxx": c("x", "x", n), "cxy": c("x", "y", n), "cyy": c("y", "y", n), "z_range": F.array_max("zs") - F.array_min("zs"), **{f"s{x}{y}": c(x, y, one_less) for x, y in ("xx", "yy", "zz", "xy", "xz", "yz")}})
+    a = a.withColumns({"cxx": c("x", "x", n), "cxy": c("x", "y", n), "cyy": c("y", "y", n), "z_lo": F.get("zs", F.lit(0)), **{f"s{x}{y}": c(x, y, one_less) for x, y in ("xx", "yy", "zz", "xy", "xz", "yz")}})
+    lo, zr = F.col("z_lo"), F.col("z_range")
+    a = a.withColumn("z_range", F.get("zs", n - 1) - lo)
     ax, ay = axis2(F.col("cxx"), F.col("cxy"), F.col("cyy"))
     big, small = eigen2(F.col("cxx"), F.col("cxy"), F.col("cyy"))
     ev = eigen3(*[F.col(f"s{k}") for k in ("xx", "yy", "zz", "xy", "xz", "yz")])
     a = a.withColumns({"ax": F.when(plain, F.lit(1.0)).otherwise(ax), "ay": F.when(plain, F.lit(0.0)).otherwise(ay), "l1": big, "l2": small, "v0": ev[0], "v1": ev[1], "v2": ev[2]})
-    xr, yr = _spread(F.col("pts"), F.col("ax"), F.col("ay"))
-    a = a.withColumns({"x_range": xr, "y_range": yr, **{f"e{i}": F.greatest(finite(F.col(f"v{i}")), F.lit(TINY)) for i in range(3)}})
+    # Each point along the cloud's own axes, with its slice by height: how many of the five upper edges it reaches.
+    reached = lambda z: reduce(lambda x, y: x + y, [(z >= lo + i * zr / 5).cast("int") for i in range(1, 6)])
+    along = F.transform("pts", lambda p: F.struct((p["x"] * F.col("ax") + p["y"] * F.col("ay")).alias("u"), (p["y"] * F.col("ax") - p["x"] * F.col("ay")).alias("v"), reached(p["z"]).alias("s")))
+    layer = lambda z: reduce(lambda x, y: x + y, [((z - lo) / zr >= i / 5).cast("int") for i in range(1, 6)])
+    a = a.withColumns({"uvs": along, "layers": F.when(zr > 0.01, F.transform("zs", layer)), **{f"e{i}": F.greatest(finite(F.col(f"v{i}")), F.lit(TINY)) for i in range(3)}})
+    xr, yr = _sides(F.col("uvs"))
+    a = a.withColumns({"x_range": xr, "y_range": yr, **{f"w{i}": _slice(i) for i in range(5)}})
     xs, ys = F.col("x_range"), F.col("y_range")
     a = a.withColumns({"xy_spread": F.sqrt(xs * xs + ys * ys), "xy_area": F.greatest(xs * ys, F.lit(TINY)), "xy_aspect_ratio": F.when(plain, 1.0).otherwise(F.greatest("l1", F.lit(TINY)) / F.greatest("l2", F.lit(TINY)))})
-    zr, lo, total = F.col("z_range"), F.array_min("zs"), F.col("e0") + F.col("e1") + F.col("e2")
+    total = F.col("e0") + F.col("e1") + F.col("e2")
     foot = F.sqrt("xy_area") if mode == 35 else F.col("xy_spread")
-    share = lambda i: F.size(F.filter("zs", lambda z: ((z - lo) / zr >= i / 5) & ((z - lo) / zr < (i + 1) / 5))) / n
+    share = lambda i: F.size(F.filter("layers", lambda x: x == i)) / n
     a = a.withColumns({
         "bbox_volume": F.greatest(F.col("xy_area") * zr, F.lit(TINY)), "height_to_footprint": zr / F.greatest(foot, F.lit(1e-6)),
         "density": n / F.greatest(F.col("xy_area") * F.sqrt(zr + 1e-6), F.lit(1e-6)),
@@ -98,22 +113,8 @@ def native_features(clouds: DataFrame, mode: int = 19) -> DataFrame:
         "ev_norm_0": F.col("e0") / total, "ev_norm_1": F.col("e1") / total, "ev_norm_2": F.col("e2") / total,
         **{f"layer_frac_{i}": F.when(zr > 0.01, share(i)).otherwise(0.2) for i in range(5)},
     })
-    fractions = F.array(*[F.col(f"layer_frac_{i}") for i in range(5)])
-
-    def section(i: int) -> Column:
-        inside = F.filter("pts", lambda p: (p["z"] >= lo + zr * (i / 5)) & (p["z"] < lo + zr * ((i + 1) / 5)))
-        return inside
-
-    slices = range(5)
-    a = a.withColumns({f"s{i}": section(i) for i in slices}).withColumns({f"m{i}": _moments(F.col(f"s{i}")) for i in slices})
-    cov = lambda i, x, y: (F.col(f"m{i}.{x}{y}") - F.col(f"m{i}.{x}") * F.col(f"m{i}.{y}") / F.size(f"s{i}")) / F.size(f"s{i}")
-    a = a.withColumns({f"c{i}{x}{y}": F.when(F.size(f"s{i}") > 2, cov(i, x, y)) for i in slices for x, y in ("xx", "xy", "yy")})
-    axes = [axis2(*[F.col(f"c{i}{k}") for k in ("xx", "xy", "yy")]) for i in slices]
-    a = a.withColumns({f"{k}{i}": axes[i][j] for i in slices for j, k in enumerate(("ax", "ay"))})
-    sides = [_spread(F.col(f"s{i}"), F.col(f"ax{i}"), F.col(f"ay{i}")) for i in slices]
-    a = a.withColumns({f"{k}{i}": sides[i][j] for i in slices for j, k in enumerate(("u", "w"))})
-    a = a.withColumns({f"w{i}": F.when(F.size(f"s{i}") > 2, F.sqrt(F.col(f"u{i}") * F.col(f"u{i}") + F.col(f"w{i}") * F.col(f"w{i}"))).otherwise(0.0) for i in slices})
-    a = a.withColumn("widths", F.array(*[F.col(f"w{i}") for i in slices])).withColumn("fractions", fractions)
+    width = lambda i: F.when(F.size(f"w{i}") > 2, _diagonal(*_sides(F.col(f"w{i}")))).otherwise(0.0)
+    a = a.withColumn("widths", F.array(*[width(i) for i in range(5)])).withColumn("fractions", F.array(*[F.col(f"layer_frac_{i}") for i in range(5)]))
     widths, wide = F.col("widths"), (zr > 0.1) & (n > 20)
     made = a.withColumns({
         "vertical_uniformity": _std(F.col("fractions")), "cross_section_var": F.when(wide, _std(widths)).otherwise(0.0), "cross_section_mean": F.when(wide, _mean(widths)).otherwise(0.0),
@@ -211,23 +212,41 @@ def _grown(pts: np.ndarray, simplex: tuple[int, int, int, int], eps: float) -> i
     return len({v for f in faces for v in f[:3]})
 
 
-def local_values(xyz: np.ndarray) -> tuple[float, float, float, float]:
-    """nn_dist_std, hull_point_ratio, n_components, largest_component_ratio of one cloud."""
-    n = len(xyz)
-    spread = float(neighbour_distances(xyz, 5).mean(1).std()) if n > 6 else 0.0
-    if n <= 10:
-        return spread, 1.0, 1.0, 1.0
-    hull = hull_vertices(xyz)
+def neighbour_spread(xyz: np.ndarray) -> float:
+    """Spread of the mean distance to the five nearest neighbours; 0 for up to six points."""
+    return float(neighbour_distances(xyz, 5).mean(1).std()) if len(xyz) > 6 else 0.0
+
+
+def hull_ratio(xyz: np.ndarray) -> float:
+    """Share of the points that are vertices of the hull; 1 for up to ten points and flat clouds."""
+    return (hull_vertices(xyz) or len(xyz)) / len(xyz) if len(xyz) > 10 else 1.0
+
+
+def component_values(xyz: np.ndarray) -> tuple[float, float]:
+    """Number of density components and the share of the largest; 1, 1 for up to ten points or without any."""
+    if len(xyz) <= 10:
+        return 1.0, 1.0
     label = density_components(xyz, 2.5 * float(np.median(neighbour_distances(xyz, 2)[:, 0])))
     sizes = np.bincount(label[label >= 0])
-    return spread, (hull / n if hull else 1.0), float(max(len(sizes), 1)), (float(sizes.max() / n) if len(sizes) else 1.0)
+    return (float(len(sizes)), float(sizes.max() / len(xyz))) if len(sizes) else (1.0, 1.0)
+
+
+# What each of these functions gives.
+LOCAL = {("nn_dist_std",): lambda p: (neighbour_spread(p),), ("hull_point_ratio",): lambda p: (hull_ratio(p),), ("n_components", "largest_component_ratio"): component_values}
+
 
+def local_features(clouds: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``clouds`` plus the named features (by default all) of nn_dist_std, hull_point_ratio, n_components and
+    largest_component_ratio, by Arrow batches; only the named ones are computed."""
+    wanted = [(of, f) for of, f in LOCAL.items() if names is None or set(of) & set(names)]
+    if not wanted:
+        return clouds
+    columns = [k for of, _ in wanted for k in of]
 
-def local_features(clouds: DataFrame) -> DataFrame:
-    """``clouds`` plus nn_dist_std, hull_point_ratio, n_components and largest_component_ratio, by Arrow batches."""
-    @F.pandas_udf("nn_dist_std double, hull_point_ratio double, n_components double, largest_component_ratio double")
+    @F.pandas_udf(", ".join(f"{k} double" for k in columns))
     def heavy(pts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([local_values(np.array([(p["x"], p["y"], p["z"]) for p in a], float)) for a in pts], columns=["nn_dist_std", "hull_point_ratio", "n_components", "largest_component_ratio"])
+        clouds = [np.array([(p["x"], p["y"], p["z"]) for p in a], float) for a in pts]
+        return pd.DataFrame([[v for _, f in wanted for v in f(c)] for c in clouds], columns=columns)
 
     return clouds.withColumn("__local", heavy("pts")).select("*", "__local.*").drop("__local")
 
@@ -236,7 +255,7 @@ def features(clouds: DataFrame, mode: int = 23) -> DataFrame:
     """``clouds`` plus the features of the mode, NaN and infinite values as 0."""
     made = native_features(clouds, mode)
     if mode != 19:
-        made = local_features(made)
+        made = local_features(made, MODES[mode])
     kept = [c for c in clouds.columns if c not in MODES[mode]]
     return made.select(*kept, *[finite(F.col(c)).alias(c) for c in MODES[mode]])
 

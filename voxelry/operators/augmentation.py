@@ -13,16 +13,17 @@ from voxelry.schemas import CLOUD
 
 # Least points, height, least and largest width of a complete object by class id.
 FULL = {2: (150, 0.8, 2.5, None), 3: (90, 1.0, None, 2.0), 1: (70, 1.0, None, None)}
-# The shares of an axis that each cut keeps, by class id.
-_THIRD, _TWO = 0.33, 0.67
+# The axis and the shares of it that each cut keeps, by class id. ``long`` is the longer of x and y of each
+# object (of equal ones x), ``short`` the other one.
 AXIS_CUTS: dict[int, list[tuple[str, float, float]]] = {
-    2: [(a, lo, hi) for a in "xy" for lo, hi in ((0.0, 0.5), (0.5, 1.0), (0.0, _THIRD), (_THIRD, _TWO), (_TWO, 1.0), (0.0, _TWO))],
-    3: [("z", _THIRD, 1.0), ("z", 0.0, _TWO)],
-    1: [("z", 0.3, 1.0), ("z", 0.0, 0.7)],
+    2: [
+        ("long", 0.0, 0.5), ("long", 0.5, 1.0), ("short", 0.0, 0.5), ("short", 0.5, 1.0), ("long", 0.0, 0.33), ("long", 0.67, 1.0),
+        ("long", 0.0, 0.67), ("long", 0.33, 1.0), ("short", 0.0, 0.33), ("short", 0.67, 1.0), ("short", 0.0, 0.67), ("short", 0.33, 1.0),
+    ],
+    3: [("z", 0.33, 1.0), ("z", 0.0, 0.67)],
+    1: [("long", 0.0, 0.67), ("long", 0.33, 1.0), ("z", 0.3, 1.0), ("z", 0.0, 0.7)],
 }
-HEIGHT_CUTS: dict[int, list[tuple[float, float]]] = {2: [(_TWO, 1.0), (0.0, _TWO), (0.5, 1.0), (0.0, 0.5)]}
-#: Along the longer of x and y of each object; of equal ones x.
-LONG_CUTS: dict[int, list[tuple[float, float]]] = {1: [(0.0, _TWO), (_THIRD, 1.0)]}
+HEIGHT_CUTS: dict[int, list[tuple[float, float]]] = {2: [(0.67, 1.0), (0.0, 0.67), (0.5, 1.0), (0.0, 0.5)]}
 LEAST_RANGE, LEAST_POINTS, SEED = 0.1, 30, 42
 
 
@@ -53,24 +54,24 @@ def fullness(clouds: DataFrame, limits: dict = FULL) -> DataFrame:
 
 def axis_cuts(clouds: DataFrame, min_points: int = LEAST_POINTS, cuts: dict[int, list[tuple[str, float, float]]] = AXIS_CUTS) -> DataFrame:
     """sample_id, label, cut, pts: half-open shares of each object's extent; thin axes and small cuts are left out."""
+    side = lambda k: F.array_max(_values(k)) - F.array_min(_values(k))
+    a = clouds.withColumn("x_is_long", side("x") >= side("y"))
+    on = {
+        "long": lambda p: F.when(F.col("x_is_long"), p["x"]).otherwise(p["y"]), "short": lambda p: F.when(F.col("x_is_long"), p["y"]).otherwise(p["x"]),
+        "z": lambda p: p["z"],
+    }
+    ends = {axis: F.transform("pts", along) for axis, along in on.items()}
+    a = a.withColumns({f"lo_{k}": F.array_min(v) for k, v in ends.items()} | {f"size_{k}": F.array_max(v) - F.array_min(v) for k, v in ends.items()})
+
     def cut(axis: str, lo: float, hi: float, k: int) -> Column:
-        v = _values(axis)
-        low, r = F.array_min(v), F.array_max(v) - F.array_min(v)
-        kept = F.filter("pts", lambda p: (p[axis] >= low + F.lit(lo) * r) & (p[axis] < low + F.lit(hi) * r))
-        return F.struct(F.lit(k).alias("cut"), F.when(r >= LEAST_RANGE, kept).alias("pts"))
+        low, size = F.col(f"lo_{axis}"), F.col(f"size_{axis}")
+        kept = F.filter("pts", lambda p: (on[axis](p) >= low + F.lit(lo) * size) & (on[axis](p) < low + F.lit(hi) * size))
+        return F.struct(F.lit(k).alias("cut"), F.when(size >= LEAST_RANGE, kept).alias("pts"))
 
     rows = F.array().cast(f"array<struct<cut:int,pts:{CLOUD}>>")
     for label, of_class in cuts.items():
-        rows = F.when(F.col("label") == label, F.array(*[cut(a, lo, hi, k) for k, (a, lo, hi) in enumerate(of_class)])).otherwise(rows)
-    return clouds.select("sample_id", "label", F.explode(rows).alias("c")).select("sample_id", "label", "c.*").where(F.size("pts") >= min_points)
-
-
-def long_cuts(clouds: DataFrame, min_points: int = LEAST_POINTS, cuts: dict[int, list[tuple[float, float]]] = LONG_CUTS, first: int = 2) -> DataFrame:
-    """sample_id, label, cut, pts: shares along the longer of x and y; ``first`` is the first cut's number."""
-    side = {k: F.array_max(_values(k)) - F.array_min(_values(k)) for k in "xy"}
-    along = {"x": side["x"] >= side["y"], "y": side["x"] < side["y"]}
-    x, y = (axis_cuts(clouds.where(along[a]), min_points, {label: [(a, lo, hi) for lo, hi in of_class] for label, of_class in cuts.items()}) for a in "xy")
-    return x.unionByName(y).withColumn("cut", F.col("cut") + first)
+        rows = F.when(F.col("label") == label, F.array(*[cut(x, lo, hi, k) for k, (x, lo, hi) in enumerate(of_class)])).otherwise(rows)
+    return a.select("sample_id", "label", F.explode(rows).alias("c")).select("sample_id", "label", "c.*").where(F.size("pts") >= min_points)
 
 
 def height_axis(xyz: np.ndarray) -> np.ndarray:
@@ -101,8 +102,8 @@ def height_cuts(clouds: DataFrame, min_points: int = LEAST_POINTS, cuts: dict[in
 
 
 def all_cuts(clouds: DataFrame, min_points: int = LEAST_POINTS) -> DataFrame:
-    """sample_id, label, cut, pts of every cut: along the axes, along the longer side, and by height."""
-    return axis_cuts(clouds, min_points).unionByName(long_cuts(clouds, min_points)).unionByName(height_cuts(clouds, min_points))
+    """sample_id, label, cut, pts of every cut: along the axes and by height."""
+    return axis_cuts(clouds, min_points).unionByName(height_cuts(clouds, min_points))
 
 
 def capped(cuts: DataFrame, originals: DataFrame, most: int | None = None, seed: int = SEED) -> DataFrame:

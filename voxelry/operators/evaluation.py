@@ -110,10 +110,27 @@ def miss_rates(routed: DataFrame) -> DataFrame:
     return by.withColumn("hard_rate", F.col("n_hard") / F.col("n"))
 
 
+#: Physical limits by class: least and largest width, least height above ground, largest height. A missing
+#: height above ground is taken for a large one.
+LIMITS = {3: (None, 1.4, 0.7, 2.2), 1: (0.8, 2.6, 0.7, 2.2), 2: (None, 7.0, 0.5, 2.3)}
+NO_HEIGHT = 999.0
+
+
 def sanity_demotion(pred: Column, xy: Column, zag: Column, zr: Column) -> Column:
-    """The class after physical limits, 0 if they are broken; a missing height above ground breaks none."""
-    h = F.coalesce(zag, F.lit(999.0))
-    ped = (xy > 1.4) | (h < 0.7) | (zr > 2.2)
-    bike = (xy > 2.6) | (xy < 0.8) | (h < 0.7) | (zr > 2.2)
-    car = (xy > 7) | (h < 0.5) | (zr > 2.3)
-    return F.when((pred == 3) & ped | (pred == 1) & bike | (pred == 2) & car, F.lit(0)).otherwise(pred)
+    """The class after the physical limits, 0 if they are broken."""
+    h = F.coalesce(zag, F.lit(NO_HEIGHT))
+    out = pred
+    for label, (narrow, wide, low, tall) in LIMITS.items():
+        broken = (xy > wide) | (h < low) | (zr > tall)
+        broken = broken if narrow is None else broken | (xy < narrow)
+        out = F.when((pred == label) & broken, F.lit(0)).otherwise(out)
+    return out
+
+
+def demoted(pred: int, xy: float, zag: float | None, zr: float) -> int:
+    """The same of one cluster, for use inside grouped functions."""
+    if pred not in LIMITS:
+        return pred
+    narrow, wide, low, tall = LIMITS[pred]
+    h = NO_HEIGHT if zag is None or zag != zag else zag
+    return 0 if xy > wide or h < low or zr > tall or (narrow is not None and xy < narrow) else pred

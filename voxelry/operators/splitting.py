@@ -14,6 +14,8 @@ LOW, HIGH, LEAST, MOST, STRICT = 1.0, 2.2, 100, 2000, 150
 MAX_Z_WEIGHT, MIN_LINEARITY = 0.5, 0.3
 BINS, GAP_SHARE = 29, 0.2
 PIECE, PIECE_MOST, EVEN = 20, 1000, 0.25
+#: A cluster has fewer pieces than the histogram has bins, and one for the rest.
+MOST_PIECES = 64
 NARROW, WIDE, TALL, ASPECT, FLAT, ROUGH = 0.3, 1.5, 0.8, 0.8, 0.3, 1.5
 
 
@@ -123,7 +125,7 @@ def split_frame(clusters: list[dict], tracks: list[dict], legacy_gate: bool = Fa
     """Clusters of one frame after splitting. ``legacy_gate``: tracks count only if some cluster is a candidate.
 
     Each cluster is a dict of the cluster schema with ``xyz`` instead of ``pts``. Pieces keep the
-    label, lack a height above ground, and get ids of their own.
+    label, lack a height above ground, and get ids of their own: below zero, so that no label is met.
     """
     tested = [is_candidate(c["xyz"], c["z_range"]) for c in clusters]
     guided = bool(tracks) and (not legacy_gate or any(t[0] for t in tested))
@@ -144,7 +146,7 @@ def split_frame(clusters: list[dict], tracks: list[dict], legacy_gate: bool = Fa
         for k, m in enumerate(masks):
             piece = xyz[m]
             out.append(c | {
-                "cluster_id": c["cluster_id"] * 64 + k + 1 if c["cluster_id"] >= 0 else c["cluster_id"], "xyz": piece, "n_points": len(piece), "z_range": float(np.ptp(piece[:, 2])),
+                "cluster_id": -(c["cluster_id"] * MOST_PIECES + k + 1), "xyz": piece, "n_points": len(piece), "z_range": float(np.ptp(piece[:, 2])),
                 "xy_spread": _width(piece), "z_above_ground": None, "was_split": True, "track_guided": by,
             })
     return out

@@ -130,7 +130,7 @@ def nearest_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.nearest(d, before, 2.0).select("det_id", "track_id", _r("distance").alias("distance"))
 
 
-@query(f"""WITH {DETECTIONS_SQL}, s(v) AS (VALUES (0.25::DOUBLE + 100.0::DOUBLE * 0.01::DOUBLE + 0.25::DOUBLE + 0.3::DOUBLE)), e AS (
+@query(f"""WITH {DETECTIONS_SQL}, s(v) AS (VALUES (0.5::DOUBLE + 10.0::DOUBLE * 0.01::DOUBLE + 0.5::DOUBLE + 0.3::DOUBLE)), e AS (
 SELECT a.det_id, b.det_id AS track_id, ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / v AS d2 FROM s, detections a JOIN detections b ON b.frame_id = a.frame_id - 1 AND a.class_label = b.class_label)
 SELECT det_id, track_id, round(sqrt(d2), 6) AS cost FROM e WHERE d2 <= 7.81""")
 def gating_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +141,10 @@ def gating_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {DETECTIONS_SQL}, o AS (SELECT frame_id, avg(x) AS v, row_number() OVER (ORDER BY frame_id) AS k FROM detections GROUP BY frame_id), f AS (
-  SELECT k, frame_id, v AS p, 0.0::DOUBLE AS s, 0.25::DOUBLE AS a, 0.0::DOUBLE AS b, 100.0::DOUBLE AS c FROM o WHERE k = 1
+  SELECT k, frame_id, v AS p, 0.0::DOUBLE AS s, 0.5::DOUBLE AS a, 0.0::DOUBLE AS b, 10.0::DOUBLE AS c FROM o WHERE k = 1
   UNION ALL
   SELECT o.k, o.frame_id, pp + (pa / (pa + 0.3)) * (o.v - pp), s + (pb / (pa + 0.3)) * (o.v - pp), pa - pa * pa / (pa + 0.3), pb - pa * pb / (pa + 0.3), pc - pb * pb / (pa + 0.3)
-  FROM (SELECT *, p + s * 0.1 AS pp, a + 2 * 0.1 * b + 0.01 * c + 0.25 AS pa, b + 0.1 * c AS pb, c + 4.0 AS pc FROM f) g JOIN o ON o.k = g.k + 1
+  FROM (SELECT *, p + s * 0.1 AS pp, a + 2 * 0.1 * b + 0.01 * c + 0.5 AS pa, b + 0.1 * c AS pb, c + 2.0 AS pc FROM f) g JOIN o ON o.k = g.k + 1
 ) SELECT frame_id, round(p, 4) AS position, round(s, 4) AS velocity FROM f""")
 def kalman_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One track through the mean detection of each frame, along x."""
@@ -180,7 +180,7 @@ def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.summary(tracker.track(_sensor_frames(spark, sf_dir)))
 
 
-_GATE_SQL = f"""{DETECTIONS_SQL}, s(v) AS (VALUES (0.25::DOUBLE + 100.0::DOUBLE * 0.01::DOUBLE + 0.25::DOUBLE + 0.3::DOUBLE)), e AS (
+_GATE_SQL = f"""{DETECTIONS_SQL}, s(v) AS (VALUES (0.5::DOUBLE + 10.0::DOUBLE * 0.01::DOUBLE + 0.5::DOUBLE + 0.3::DOUBLE)), e AS (
 SELECT DISTINCT a.det_id FROM s, detections a JOIN detections b ON b.frame_id = a.frame_id - 1 AND a.class_label = b.class_label WHERE ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / v <= 7.81)"""
 
 

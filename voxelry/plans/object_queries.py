@@ -28,24 +28,15 @@ _EIGEN = f"""{CLOUDS_SQL}, m AS (
 ), h AS (
   SELECT *, greatest(q + 2 * p * cos(phi), 1e-9) AS e2, greatest(q + 2 * p * cos(phi + 2 * pi() / 3), 1e-9) AS e0, greatest(3 * q - 2 * q - 2 * p * cos(phi) - 2 * p * cos(phi + 2 * pi() / 3), 1e-9) AS e1 FROM g
 ), uv AS (
-  SELECT cl.sample_id, (cl.x * b + cl.y * (l1 - a)) / sqrt(b * b + (l1 - a) ** 2) AS u, (cl.y * b - cl.x * (l1 - a)) / sqrt(b * b + (l1 - a) ** 2) AS v FROM cloud cl JOIN e USING (sample_id)
+  SELECT cl.sample_id, cl.z, (cl.x * b + cl.y * (l1 - a)) / sqrt(b * b + (l1 - a) ** 2) AS u, (cl.y * b - cl.x * (l1 - a)) / sqrt(b * b + (l1 - a) ** 2) AS v FROM cloud cl JOIN e USING (sample_id)
 ), w AS (
   SELECT sample_id, max(u) - min(u) AS x_range, max(v) - min(v) AS y_range FROM uv GROUP BY sample_id
 ), layer AS (
   SELECT sample_id, i, count(*) FILTER (s >= i / 5.0::DOUBLE AND s < (i + 1) / 5.0::DOUBLE) / any_value(n) AS frac
   FROM (SELECT cl.sample_id, m.n, (cl.z - m.z_lo) / m.z_range AS s FROM cloud cl JOIN m USING (sample_id)), range(5) r(i) GROUP BY sample_id, i
-), slice AS (
-  SELECT cl.sample_id, i, cl.x, cl.y FROM cloud cl JOIN m USING (sample_id), range(5) r(i)
-  WHERE cl.z >= m.z_lo + m.z_range * (i / 5.0::DOUBLE) AND cl.z < m.z_lo + m.z_range * ((i + 1) / 5.0::DOUBLE)
-), sm AS (
-  SELECT sample_id, i, count(*) AS n, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(y, y) AS c FROM slice GROUP BY sample_id, i
-), sv AS (
-  SELECT *, CASE WHEN abs(b) < 1e-12 THEN CASE WHEN a >= c THEN 1.0 ELSE 0.0 END ELSE b END AS vx,
-         CASE WHEN abs(b) < 1e-12 THEN CASE WHEN a >= c THEN 0.0 ELSE 1.0 END ELSE (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) - a END AS vy FROM sm
 ), sw AS (
-  SELECT s.sample_id, s.i, CASE WHEN any_value(n) > 2 THEN sqrt((max((s.x * vx + s.y * vy) / sqrt(vx * vx + vy * vy)) - min((s.x * vx + s.y * vy) / sqrt(vx * vx + vy * vy))) ** 2
-         + (max((s.y * vx - s.x * vy) / sqrt(vx * vx + vy * vy)) - min((s.y * vx - s.x * vy) / sqrt(vx * vx + vy * vy))) ** 2) ELSE 0 END AS width
-  FROM slice s JOIN sv USING (sample_id, i) GROUP BY s.sample_id, s.i
+  SELECT sample_id, i, CASE WHEN count(*) > 2 THEN sqrt((max(u) - min(u)) ** 2 + (max(v) - min(v)) ** 2) ELSE 0 END AS width
+  FROM uv JOIN m USING (sample_id), range(5) r(i) WHERE uv.z >= m.z_lo + i * m.z_range / 5 AND uv.z < m.z_lo + (i + 1) * m.z_range / 5 GROUP BY sample_id, i
 ), cs AS (
   SELECT sample_id, stddev_pop(coalesce(width, 0)) AS cross_section_var, avg(coalesce(width, 0)) AS cross_section_mean
   FROM (SELECT sample_id, i FROM m, range(5) r(i)) LEFT JOIN sw USING (sample_id, i) GROUP BY sample_id
@@ -104,7 +95,7 @@ def feat_zclean_xsection(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sample_id, round(stddev_pop(m), 6) AS nn_dist_std FROM p GROUP BY sample_id""")
 def feat_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of the mean distance to the five nearest neighbours."""
-    return feats.local_features(clouds(spark, sf_dir)).select("sample_id", _r("nn_dist_std").alias("nn_dist_std"))
+    return feats.local_features(clouds(spark, sf_dir), ["nn_dist_std"]).select("sample_id", _r("nn_dist_std").alias("nn_dist_std"))
 
 
 @query(f"""WITH {_EIGEN}, box AS (SELECT sample_id, (max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)) AS v FROM cloud GROUP BY sample_id)
@@ -119,13 +110,13 @@ def feat_ablation_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def feat_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the points that are vertices of the convex hull."""
-    return feats.local_features(clouds(spark, sf_dir)).select("sample_id", _r("hull_point_ratio").alias("hull_point_ratio"))
+    return feats.local_features(clouds(spark, sf_dir), ["hull_point_ratio"]).select("sample_id", _r("hull_point_ratio").alias("hull_point_ratio"))
 
 
 @query()
 def feat_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density components and the share of the largest."""
-    return feats.local_features(clouds(spark, sf_dir)).select("sample_id", "n_components", _r("largest_component_ratio").alias("largest_component_ratio"))
+    return feats.local_features(clouds(spark, sf_dir), ["n_components"]).select("sample_id", "n_components", _r("largest_component_ratio").alias("largest_component_ratio"))
 
 
 @query()
@@ -191,22 +182,32 @@ def full_object_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Least points, height, least and largest width by class, scaled to the small clouds of the adapter.
 SMALL = {2: (15, 0.08, 0.25, None), 3: (9, 0.1, None, 2.0), 1: (7, 0.1, None, None)}
-_CUTS = ", ".join(f"({label}, {k}, '{axis}', {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for label, cuts in augmentation.AXIS_CUTS.items() for k, (axis, lo, hi) in enumerate(cuts))
+_CUT = f"""{CLOUDS_SQL}, cut(label, cut, axis, lo, hi) AS (VALUES
+  (2, 0, 'long', 0.0, 0.5), (2, 1, 'long', 0.5, 1.0), (2, 2, 'short', 0.0, 0.5), (2, 3, 'short', 0.5, 1.0), (2, 4, 'long', 0.0, 0.33), (2, 5, 'long', 0.67, 1.0),
+  (2, 6, 'long', 0.0, 0.67), (2, 7, 'long', 0.33, 1.0), (2, 8, 'short', 0.0, 0.33), (2, 9, 'short', 0.67, 1.0), (2, 10, 'short', 0.0, 0.67), (2, 11, 'short', 0.33, 1.0),
+  (3, 0, 'z', 0.33, 1.0), (3, 1, 'z', 0.0, 0.67), (1, 0, 'long', 0.0, 0.67), (1, 1, 'long', 0.33, 1.0), (1, 2, 'z', 0.3, 1.0), (1, 3, 'z', 0.0, 0.7)
+), wide AS (
+  SELECT *, max(x) OVER w - min(x) OVER w >= max(y) OVER w - min(y) OVER w AS x_long FROM cloud WINDOW w AS (PARTITION BY sample_id)
+), v AS (
+  SELECT sample_id, label, cut, lo::DOUBLE AS lo, hi::DOUBLE AS hi, CASE WHEN axis = 'z' THEN z WHEN (axis = 'long') = x_long THEN x ELSE y END AS v FROM wide JOIN cut USING (label)
+), e AS (
+  SELECT *, min(v) OVER w AS v0, max(v) OVER w - min(v) OVER w AS r FROM v WINDOW w AS (PARTITION BY sample_id, cut)
+), c AS (
+  SELECT sample_id, label, cut, count(*) AS n FROM e WHERE r >= 0.1 AND v >= v0 + lo * r AND v < v0 + hi * r GROUP BY sample_id, label, cut HAVING count(*) >= 5
+)"""
 
 
-@query(f"""WITH {CLOUDS_SQL}, cut(label, cut, axis, lo, hi) AS (VALUES {_CUTS}), v AS (SELECT cl.*, cut, axis, lo, hi, CASE axis WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END AS v FROM cloud cl JOIN cut USING (label)),
-e AS (SELECT *, min(v) OVER w AS v0, max(v) OVER w - min(v) OVER w AS r FROM v WINDOW w AS (PARTITION BY sample_id, cut))
-SELECT sample_id, label, cut, count(*) AS n FROM e WHERE r >= 0.1 AND v >= v0 + lo * r AND v < v0 + hi * r GROUP BY sample_id, label, cut HAVING count(*) >= 5""")
+@query(f"WITH {_CUT} SELECT sample_id, label, cut, n FROM c")
 def axis_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of each axis-aligned cut of each object."""
     return augmentation.axis_cuts(clouds(spark, sf_dir), min_points=5).select("sample_id", "label", "cut", F.size("pts").cast("bigint").alias("n"))
 
 
-@query(f"""WITH {CLOUDS_SQL}, cut(label, cut, axis, lo, hi) AS (VALUES {_CUTS}), v AS (SELECT cl.*, cut, lo, hi, CASE axis WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END AS v FROM cloud cl JOIN cut USING (label)),
-e AS (SELECT *, min(v) OVER w AS v0, max(v) OVER w - min(v) OVER w AS r FROM v WINDOW w AS (PARTITION BY sample_id, cut)),
-c AS (SELECT sample_id, label, cut, count(*) AS n FROM e WHERE r >= 0.1 AND v >= v0 + lo * r AND v < v0 + hi * r GROUP BY ALL HAVING count(*) >= 5),
-k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || sample_id || ':' || cut), sample_id, cut) AS nth FROM c), size AS (SELECT label, count(DISTINCT sample_id) AS most FROM cloud GROUP BY label)
-SELECT sample_id, label, cut, n FROM k JOIN size USING (label) WHERE nth <= most""")
+@query(f"""WITH {_CUT}, k AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || sample_id || ':' || cut), sample_id, cut) AS nth FROM c
+), size AS (
+  SELECT label, count(DISTINCT sample_id) AS most FROM cloud GROUP BY label
+) SELECT sample_id, label, cut, n FROM k JOIN size USING (label) WHERE nth <= most""")
 def augment_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts kept so that no class gains more objects than it had; the original is the group."""
     kept = augmentation.capped(augmentation.axis_cuts(clouds(spark, sf_dir), min_points=5), clouds(spark, sf_dir))
@@ -215,7 +216,7 @@ def augment_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def augment_capped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every cut that :func:`augmentation.augment` makes, along the longer side and by height too."""
+    """The same of every cut that :func:`augmentation.augment` makes, those by height too."""
     kept = augmentation.capped(augmentation.all_cuts(clouds(spark, sf_dir), min_points=5), clouds(spark, sf_dir))
     return kept.select(F.col("group_id").alias("sample_id"), "label", "cut", F.size("pts").cast("bigint").alias("n"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from voxelry.functions import features as feats
 from voxelry.operators import clustering, ground, merging, splitting
 from voxelry.operators.classify import Forest
+from voxelry.operators.evaluation import demoted
 from voxelry.operators.ground import Calibration
 from voxelry.schemas import CLASSES, CLUSTER, TRACKS, frame_key
 from voxelry.streaming.tracker import COLUMNS, Tracker, track_rows
@@ -44,19 +45,21 @@ def merge_frame(found: list[dict]) -> list[dict]:
     return out
 
 
-def _sides(p: np.ndarray) -> tuple[float, float, np.ndarray]:
-    """Extents along the axes of scatter, the longer scatter first, and the scatter's eigenvalues."""
+def _axes(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues of the horizontal scatter in rising order, and its axes, the longer one first."""
     values, vectors = np.linalg.eigh(np.cov(p.T, bias=True))
-    return (*np.ptp(p @ vectors[:, ::-1], axis=0), values)
+    return values, vectors[:, ::-1]
 
 
 def _sections(xyz: np.ndarray) -> list[float]:
-    """Widths of five slices by height; empty for clouds that are too small or flat."""
-    low, zr = xyz[:, 2].min(), np.ptp(xyz[:, 2])
+    """Widths of five slices by height along the cloud's own axes; empty for clouds that are too small or flat."""
+    z = xyz[:, 2]
+    low, zr = z.min(), np.ptp(z)
     if zr <= 0.1 or len(xyz) <= 20:
         return []
-    slices = [xyz[(xyz[:, 2] >= low + zr * (i / 5)) & (xyz[:, 2] < low + zr * ((i + 1) / 5)), :2] for i in range(5)]
-    return [float(np.hypot(*_sides(p)[:2])) if len(p) > 2 else 0.0 for p in slices]
+    uv = xyz[:, :2] @ _axes(xyz[:, :2])[1]
+    slices = [uv[(z >= low + i * zr / 5) & (z < low + (i + 1) * zr / 5)] for i in range(5)]
+    return [float(np.hypot(*np.ptp(p, axis=0))) if len(p) > 2 else 0.0 for p in slices]
 
 
 def extended_features(xyz: np.ndarray) -> dict[str, float]:
@@ -64,7 +67,8 @@ def extended_features(xyz: np.ndarray) -> dict[str, float]:
     n, z = len(xyz), np.sort(xyz[:, 2])
     zr = float(z[-1] - z[0])
     if n > 3:
-        x, y, l2 = _sides(xyz[:, :2])
+        l2, axes = _axes(xyz[:, :2])
+        x, y = np.ptp(xyz[:, :2] @ axes, axis=0)
         aspect = max(l2[1], 1e-9) / max(l2[0], 1e-9)
     else:
         (x, y), aspect = np.ptp(xyz[:, :2], axis=0), 1.0
@@ -87,23 +91,16 @@ def vector(xyz: np.ndarray, mode: int) -> list[float]:
     """The mode's features of one cloud, in the mode's order; modes 19 and 23."""
     found = extended_features(xyz)
     if mode == 23:
-        found["nn_dist_std"], found["hull_point_ratio"] = feats.local_values(xyz)[:2]
+        found["nn_dist_std"], found["hull_point_ratio"] = feats.neighbour_spread(xyz), feats.hull_ratio(xyz)
     return [found[k] for k in feats.MODES[mode]]
 
 
-def demoted(pred: int, c: dict) -> int:
-    """The class after physical limits; a missing height above ground breaks none."""
-    xy, zr, h = c["xy_spread"], c["z_range"], 999.0 if c["z_above_ground"] is None or np.isnan(c["z_above_ground"]) else c["z_above_ground"]
-    broken = {3: xy > 1.4 or h < 0.7 or zr > 2.2, 1: xy > 2.6 or xy < 0.8 or h < 0.7 or zr > 2.2, 2: xy > 7 or h < 0.5 or zr > 2.3}
-    return 0 if broken.get(pred, False) else pred
-
-
 def classified(found: list[dict], forest: Forest, mode: int) -> list[dict]:
     if not found:
         return []
     proba = forest.proba(np.array([vector(c["xyz"], mode) for c in found]))
     first = proba.argmax(1)
-    return [c | {"pred": demoted(int(k), c), "s2_pred": int(k), "conf": float(p[k]), "proba": p.tolist()} for c, k, p in zip(found, first, proba, strict=True)]
+    return [c | {"pred": demoted(int(k), c["xy_spread"], c["z_above_ground"], c["z_range"]), "s2_pred": int(k), "conf": float(p[k]), "proba": p.tolist()} for c, k, p in zip(found, first, proba, strict=True)]
 
 
 def objects(points: DataFrame, calibration: Calibration, forest: Forest, mode: int = 23, **options) -> DataFrame:
