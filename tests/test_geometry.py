@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from voxelry.functions import features as feats
 from voxelry.functions.geometry import rotation_to_vertical
 from voxelry.operators import ground
-from voxelry.operators.clustering import EDGES, STRIDE, union_find
+from voxelry.operators.clustering import EDGES, STRIDE, component_labels
 from voxelry.operators.merging import fold
 from voxelry.operators.splitting import gap_thresholds, split_frame
 from voxelry.plans import pipeline
@@ -48,7 +48,7 @@ def test_polar_cell_needs_five_points_and_takes_the_kth(spark, n, accepted):
 
 
 def test_diagonal_cells_are_not_connected():
-    label = union_find(np.array([0, 0, 1, 2]), np.array([0, 1, 2, 2]))
+    label = component_labels(np.array([0, 0, 1, 2]), np.array([0, 1, 2, 2]))
     assert len(set(label.tolist())) == 2 and label[0] == label[1] and label[2] == label[3] == STRIDE + 2
 
 
@@ -58,7 +58,7 @@ def test_components_do_not_depend_on_order(cells, random):
     a = sorted(cells)
     b = a[:]
     random.shuffle(b)
-    of = lambda c: dict(zip(c, union_find(np.array([x for x, _ in c]), np.array([y for _, y in c])).tolist(), strict=True))
+    of = lambda c: dict(zip(c, component_labels(np.array([x for x, _ in c]), np.array([y for _, y in c])).tolist(), strict=True))
     assert of(a) == of(b)
 
 

@@ -22,10 +22,13 @@ STRIDE = 1 << 20
 
 
 def with_cells(points: DataFrame, cell: float = CELL, single: bool = False) -> DataFrame:
-    """Adds cx, cy: cells from the frame's least x and y; ``single`` bins in 32-bit arithmetic."""
-    least = points.groupBy(*frame_key(points)).agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
-    joined = points.join(least, frame_key(points))
-    at = (lambda v, o: float_cell(F.col(v), F.col(o), cell)) if single else (lambda v, o: F.floor((F.col(v) - F.col(o)) / F.lit(cell)).cast("bigint"))
+    """Adds cx, cy: cells from the frame's least x and y; ``single`` bins in 32-bit arithmetic.
+
+    A frame is one scan, so a window over it is bounded, and the points are read once.
+    """
+    by = Window.partitionBy(*frame_key(points))
+    joined = points.withColumn("x0", F.min("x").over(by)).withColumn("y0", F.min("y").over(by))
+    at = (lambda v, o: float_cell(F.col(v).cast("float"), F.col(o).cast("float"), cell)) if single else (lambda v, o: F.floor((F.col(v) - F.col(o)) / F.lit(cell)).cast("bigint"))
     return joined.withColumn("cx", at("x", "x0").cast("bigint")).withColumn("cy", at("y", "y0").cast("bigint")).drop("x0", "y0")
 
 
@@ -35,25 +38,35 @@ def bev_cells(celled: DataFrame, occupied: int = OCCUPIED) -> DataFrame:
     return cells.withColumn("height", F.col("z_max") - F.col("z_min")).withColumn("occupied", F.col("n") >= occupied)
 
 
-def union_find(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
-    """Least cell id of each cell's 4-connected component."""
-    ids = cx * STRIDE + cy
-    place = {v: i for i, v in enumerate(ids.tolist())}
-    parent = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def component_labels(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+    """Least cell id of each cell's 4-connected component; cells are distinct.
 
-    for i, v in enumerate(ids.tolist()):
-        for w in (v + STRIDE, v + 1):
-            if (j := place.get(w)) is not None:
-                a, b = find(i), find(j)
-                if a != b:
-                    parent[max(a, b, key=ids.__getitem__)] = min(a, b, key=ids.__getitem__)
-    return ids[[find(i) for i in range(len(ids))]]
+    Labels take the least label across every edge and then that label's own, until nothing changes.
+    """
+    ids = np.asarray(cx, np.int64) * STRIDE + np.asarray(cy, np.int64)
+    order = np.argsort(ids, kind="stable")
+    ordered = ids[order]
+    edges = []
+    for step in (1, STRIDE):
+        at = np.minimum(np.searchsorted(ordered, ordered + step), len(ordered) - 1)
+        met = np.flatnonzero(ordered[at] == ordered + step)
+        edges.append(np.stack([met, at[met]]))
+    a, b = np.concatenate(edges, axis=1) if len(ordered) else np.zeros((2, 0), int)
+    label = np.arange(len(ordered))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, label[a], label[b])
+        np.minimum.at(least, label[b], label[a])
+        least = least[least]
+        while (least != (then := least[least])).any():
+            least = then
+        least = least[label]
+        if (least == label).all():
+            break
+        label = least
+    out = np.empty_like(ids)
+    out[order] = ordered[label]
+    return out
 
 
 def components(cells: DataFrame) -> DataFrame:
@@ -62,28 +75,25 @@ def components(cells: DataFrame) -> DataFrame:
     A frame is one scan, so its cells are bounded; frames are independent.
     """
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(label=union_find(pdf.cx.to_numpy(), pdf.cy.to_numpy()))
+        return pdf.assign(label=component_labels(pdf.cx.to_numpy(), pdf.cy.to_numpy()))
 
     key = frame_key(cells)
     return cells.where("occupied").select(*key, "cx", "cy").groupBy(*key).applyInPandas(label, ", ".join(f"{c} bigint" for c in (*key, "cx", "cy", "label")))
 
 
-def with_labels(celled: DataFrame, labels: DataFrame) -> DataFrame:
-    """Points of occupied cells with their component's label."""
-    return celled.join(labels, [*frame_key(celled), "cx", "cy"])
+def with_labels(celled: DataFrame, occupied: int = OCCUPIED) -> DataFrame:
+    """The points of occupied cells with cx, cy and their component's label, in one pass over each frame's points."""
+    key = frame_key(celled)
+    rows = celled.select(*[F.col(c).cast("bigint").alias(c) for c in key], *[F.col(c).cast("double").alias(c) for c in "xyz"], "cx", "cy")
 
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at, n = np.unique(pdf.cx.to_numpy() * STRIDE + pdf.cy.to_numpy(), return_inverse=True, return_counts=True)
+        full = n >= occupied
+        found = np.zeros(len(ids), np.int64)
+        found[full] = component_labels(ids[full] // STRIDE, ids[full] % STRIDE)
+        return pdf.assign(label=found[at])[full[at]]
 
-def extents(group: list[str], points: DataFrame) -> DataFrame:
-    """The group's columns, n, centroid, z range and widths along the axes of the horizontal scatter."""
-    m = points.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_points"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"), F.min("z").alias("z_min"), F.max("z").alias("z_max"),
-        F.covar_pop("x", "x").alias("cxx"), F.covar_pop("x", "y").alias("cxy"), F.covar_pop("y", "y").alias("cyy"),
-    )
-    ax, ay = axis2(F.col("cxx"), F.col("cxy"), F.col("cyy"))
-    m = m.withColumns({"ax": ax, "ay": ay})
-    u, v = F.col("x") * F.col("ax") + F.col("y") * F.col("ay"), F.col("y") * F.col("ax") - F.col("x") * F.col("ay")
-    wide = points.join(m.select(*group, "ax", "ay"), group).groupBy(*group).agg((F.max(u) - F.min(u)).alias("x_range"), (F.max(v) - F.min(v)).alias("y_range"))
-    return m.drop("cxx", "cxy", "cyy", "ax", "ay").join(wide, group)
+    return rows.groupBy(*key).applyInPandas(label, ", ".join([*[f"{c} bigint" for c in key], "x double, y double, z double, cx bigint, cy bigint, label bigint"]))
 
 
 def trimmed(labelled: DataFrame, ground_height: float) -> DataFrame:
@@ -104,30 +114,42 @@ def reject_reason(min_points: int = MIN_POINTS, max_points: int = MAX_POINTS, ma
     )
 
 
-def clusters(labelled: DataFrame, ground_height: float, min_points: int = MIN_POINTS, max_points: int = MAX_POINTS) -> DataFrame:
-    """One row per label, with its reject reason; sizes before the trim decide ``large``."""
+def clusters(labelled: DataFrame, ground_height: float, min_points: int = MIN_POINTS, max_points: int = MAX_POINTS, with_points: bool = False) -> DataFrame:
+    """One row per label, with its reject reason and on demand its points; sizes before the trim decide ``large``.
+
+    Columns n_points, centroid, z range and widths along the axes of the horizontal scatter. Windows and
+    the final grouping are by frame and label, so all of it shares one shuffle.
+    """
+    group = [*frame_key(labelled), "label"]
+    by = Window.partitionBy(*group)
     points = trimmed(labelled, ground_height)
-    group = [*frame_key(points), "label"]
-    before = points.groupBy(*group).agg(F.max("n_before").alias("n_before"))
-    found = extents(group, points).join(before, group)
+    points = points.withColumns({
+        "n_points": F.count(F.lit(1)).over(by), "mx": F.avg("x").over(by), "my": F.avg("y").over(by), "mz": F.avg("z").over(by), "z_min": F.min("z").over(by), "z_max": F.max("z").over(by),
+        "cxx": F.var_pop("x").over(by), "cxy": F.covar_pop("x", "y").over(by), "cyy": F.var_pop("y").over(by),
+    })
+    ax, ay = axis2(F.col("cxx"), F.col("cxy"), F.col("cyy"))
+    points = points.withColumns({"ax": ax, "ay": ay})
+    u, v = F.col("x") * F.col("ax") + F.col("y") * F.col("ay"), F.col("y") * F.col("ax") - F.col("x") * F.col("ay")
+    same = [F.first(c).alias(c) for c in ("n_before", "n_points", "mx", "my", "mz", "z_min", "z_max")]
+    pts = [F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("pts")] if with_points else []
+    found = points.groupBy(*group).agg(*same, (F.max(u) - F.min(u)).alias("x_range"), (F.max(v) - F.min(v)).alias("y_range"), *pts)
     found = found.withColumns({"z_range": F.col("z_max") - F.col("z_min"), "xy_spread": F.sqrt(F.col("x_range") * F.col("x_range") + F.col("y_range") * F.col("y_range")), "z_above_ground": F.col("z_max") - ground_height})
     return found.withColumn("reject_reason", reject_reason(min_points, max_points))
 
 
-def cluster_points(labelled: DataFrame, ground_height: float, **limits: int) -> DataFrame:
-    """The clusters that pass, with their points as an array of at most ``max_points``."""
-    passed = clusters(labelled, ground_height, **limits).where("reject_reason IS NULL")
-    group = [*frame_key(labelled), "label"]
-    pts = trimmed(labelled, ground_height).join(passed.select(*group), group)
-    pts = pts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("pts"))
-    return passed.join(pts, group)
+def cluster_points(labelled: DataFrame, ground_height: float, min_points: int = MIN_POINTS, max_points: int = MAX_POINTS) -> DataFrame:
+    """The clusters that pass, with their points as an array of at most ``max_points``.
+
+    Labels of too many points are left out before any points are gathered.
+    """
+    by = Window.partitionBy(*frame_key(labelled), "label")
+    small = labelled.withColumn("n_label", F.count(F.lit(1)).over(by)).where(F.col("n_label").between(min_points, max_points)).drop("n_label")
+    return clusters(small, ground_height, min_points, max_points, with_points=True).where("reject_reason IS NULL")
 
 
 def cluster_frame(points: DataFrame, ground_height: float, cell: float = CELL, min_points: int = MIN_POINTS, max_points: int = MAX_POINTS, single: bool = False) -> DataFrame:
-    """Cells, components, labels and clusters of non-ground points in one plan."""
-    celled = with_cells(points, cell, single)
-    labelled = with_labels(celled, components(bev_cells(celled)))
-    return cluster_points(labelled, ground_height, min_points=min_points, max_points=max_points)
+    """Cells, components, labels and clusters of non-ground points in one plan that reads the points once."""
+    return cluster_points(with_labels(with_cells(points, cell, single)), ground_height, min_points, max_points)
 
 
 #: The corners that each of a box's 12 edges joins, as (x, y, z) picks of low (0) or high (1).

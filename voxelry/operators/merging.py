@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HALF = 0.5
@@ -18,16 +18,19 @@ def boxes(labelled: DataFrame) -> DataFrame:
 def candidates(found: DataFrame) -> DataFrame:
     """Pairs of boxes of a frame of which the outer holds the inner and has more than twice its points.
 
-    The frame is the equi-join key; within a frame clusters are few, and the box test is part of the join.
+    A frame's clusters are few: its boxes are gathered once, and each is tested against the others.
     """
-    a, b = found.alias("a"), found.alias("b")
-    inside = [F.col(f"b.{x}_min") >= F.col(f"a.{x}_min") for x in "xyz"] + [F.col(f"b.{x}_max") <= F.col(f"a.{x}_max") for x in "xyz"]
-    on = (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("a.label") != F.col("b.label")) & (F.col("b.n") < F.col("a.n") * HALF)
-    for test in inside:
-        on &= test
-    return a.join(b, on).select(
-        F.col("a.frame_id").alias("frame_id"), F.col("a.label").alias("outer_label"), F.col("b.label").alias("inner_label"), F.col("a.n").alias("outer_n"), F.col("b.n").alias("inner_n")
-    )
+    box = F.struct("label", "n", *[f"{x}_{e}" for x in "xyz" for e in ("min", "max")])
+    frames = found.groupBy("frame_id").agg(F.collect_list(box).alias("boxes")).select("frame_id", "boxes", F.explode("boxes").alias("a"))
+
+    def inside(b: Column) -> Column:
+        test = (b["label"] != F.col("a.label")) & (b["n"] < F.col("a.n") * HALF)
+        for x in "xyz":
+            test &= (b[f"{x}_min"] >= F.col(f"a.{x}_min")) & (b[f"{x}_max"] <= F.col(f"a.{x}_max"))
+        return test
+
+    pairs = frames.select("frame_id", "a", F.explode(F.filter("boxes", inside)).alias("b"))
+    return pairs.select("frame_id", F.col("a.label").alias("outer_label"), F.col("b.label").alias("inner_label"), F.col("a.n").alias("outer_n"), F.col("b.n").alias("inner_n"))
 
 
 def fold(sizes: dict[int, int], pairs: list[tuple[int, int]]) -> dict[int, int]:

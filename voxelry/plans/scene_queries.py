@@ -16,6 +16,8 @@ from voxelry.sources.adapters import POINTS_SQL, points
 #: A slightly tilted sensor; the same numbers stand in the SQL.
 CALIBRATION = Calibration(rotation_to_vertical((0.02, -0.015, 1.0)), -0.55)
 CELL, MIN_POINTS = 2.0, 20
+#: 0.15 as a 32-bit number.
+SINGLE_CELL = 0.15000000596046448
 #: Planes to score: heights in steps of 0.25, with three tilts.
 PLANES = [(i * 3 + j, 0.01 * (j - 1), 0.0, 1.0, -(-1.0 + 0.25 * i)) for i in range(16) for j in range(3)]
 
@@ -97,8 +99,7 @@ def _celled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    celled = _celled(spark, sf_dir)
-    return clustering.with_labels(celled, clustering.components(clustering.bev_cells(celled)))
+    return clustering.with_labels(_celled(spark, sf_dir))
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,18 +290,41 @@ def height_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {LABELS}, p AS (SELECT m.*, l.label FROM masked m LEFT JOIN (SELECT DISTINCT frame_id, x, y, z, label FROM labelled) l USING (frame_id, x, y, z))
-SELECT frame_id, mode, count(*) FILTER (CASE mode WHEN 'all' THEN true WHEN 'ground' THEN is_ground WHEN 'other' THEN NOT is_ground ELSE label IS NOT NULL END) AS n
-FROM p, (VALUES ('all'), ('ground'), ('other'), ('clusters')) v(mode) GROUP BY ALL""")
+SELECT frame_id, mode, count(*) FILTER (CASE mode WHEN 'all' THEN true WHEN 'ground' THEN is_ground WHEN 'other' THEN NOT is_ground WHEN 'clusters' THEN label IS NOT NULL
+  WHEN 'objects' THEN label % 4 = 1 WHEN 'tracked' THEN label % 8 = 1 ELSE least(greatest((z + 1::DOUBLE) / 4.0::DOUBLE, 0), 1) > 0.3 END) AS n
+FROM p, (VALUES ('all'), ('ground'), ('other'), ('clusters'), ('objects'), ('tracked'), ('opaque')) v(mode) GROUP BY ALL""")
 def viewer_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points that each viewer mode shows."""
+    """Points that each viewer mode shows; which clusters are objects and tracked is made up from their labels."""
+    from voxelry.functions.geometry import affine_colour
+
     masked = ground.with_ground(_clipped(spark, sf_dir), CALIBRATION)
     labels = _labelled(spark, sf_dir).select("frame_id", "x", "y", "z", "label").distinct()
     p = masked.join(labels, ["frame_id", "x", "y", "z"], "left")
-    modes = ("all", "ground", "other", "clusters")
+    of_label = lambda m: F.coalesce(F.col("label") % m == 1, F.lit(False))
+    p = p.withColumns({"is_object": of_label(4), "is_tracked": of_label(8), "alpha": affine_colour(F.col("z"), -1.0, 3.0)})
+    modes = ("all", "ground", "other", "clusters", "objects", "tracked", "opaque")
     counts = p.groupBy("frame_id").agg(*[F.count_if(views.shown(m)).alias(m) for m in modes])
     return counts.unpivot("frame_id", list(modes), "mode", "n")
 
 
+#: The production cell in 32-bit arithmetic, over a scene in the size of a street.
+_STREET_CELLS = f"""{CELLS}, single AS (
+  SELECT frame_id, (x * 0.12::DOUBLE)::FLOAT AS x, (y * 0.12::DOUBLE)::FLOAT AS y, z FROM masked WHERE NOT is_ground
+), least AS (SELECT frame_id, min(x) AS x0, min(y) AS y0 FROM single GROUP BY frame_id
+), street AS (
+  SELECT frame_id, trunc(((x - x0)::DOUBLE / {_f(SINGLE_CELL)})::FLOAT)::BIGINT AS cx, trunc(((y - y0)::DOUBLE / {_f(SINGLE_CELL)})::FLOAT)::BIGINT AS cy, z
+  FROM single JOIN least USING (frame_id)
+)"""
+
+
+@query(f"WITH {_STREET_CELLS} SELECT frame_id, cx, cy, count(*) AS n, round(max(z) - min(z), 6) AS height, count(*) >= 2 AS occupied FROM street GROUP BY frame_id, cx, cy")
+def bev_cells_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of 0.15 m in 32-bit arithmetic, as the pipeline bins frames."""
+    street = ground.non_ground(points(spark, sf_dir), CALIBRATION).withColumns({"x": (F.col("x") * 0.12).cast("float"), "y": (F.col("y") * 0.12).cast("float")})
+    cells = clustering.bev_cells(clustering.with_cells(street, clustering.CELL, single=True))
+    return cells.select("frame_id", "cx", "cy", "n", _r("height").alias("height"), "occupied")
+
+
 @query(f"WITH {POINTS_SQL} SELECT frame_id, count(*) AS n FROM points WHERE sqrt((x - 10) ** 2 + (y - 5) ** 2) < 6 GROUP BY frame_id")
 def selected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points around a selected place."""
