@@ -47,6 +47,37 @@ class Ftrl:
         return self._weights(np.arange(self.bias + 1))
 
 
+def fit_binary(
+    at: np.ndarray, start: np.ndarray, more: np.ndarray, labels: np.ndarray, size: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.001,
+    epochs: int = 3, batch: int = 16, seed: int = 7,
+) -> np.ndarray:
+    """Logistic regression by the same rule, some rows at a time: weights of ``size`` cells, of the columns of ``more``, and the bias.
+
+    Row i has the cells ``at[start[i]:start[i + 1]]``, each with value 1.
+    """
+    k = more.shape[1]
+    z, n = np.zeros(size + k + 1), np.zeros(size + k + 1)
+    y, order = labels.astype(float), np.random.default_rng(seed)
+    dense_at = np.arange(size, size + k + 1)
+    for _ in range(epochs):
+        mixed = order.permutation(len(y))
+        for a in range(0, len(mixed), batch):
+            rows = mixed[a : a + batch]
+            cells = np.concatenate([at[start[i] : start[i + 1]] for i in rows])
+            row = np.repeat(np.arange(len(rows)), start[rows + 1] - start[rows])
+            own, place = np.unique(cells, return_inverse=True)
+            touched = np.concatenate([own, dense_at])
+            zt, nt = z[touched], n[touched]
+            w = np.where(np.abs(zt) <= l1, 0.0, -(zt - np.sign(zt) * l1) / ((beta + np.sqrt(nt)) / alpha + l2))
+            x = np.column_stack([more[rows], np.ones(len(rows))])
+            margin = np.bincount(row, weights=w[place], minlength=len(rows)) + x @ w[len(own) :]
+            p = 1.0 / (1.0 + np.exp(-np.clip(margin, -50, 50))) - y[rows]
+            g = np.concatenate([np.bincount(place, weights=p[row], minlength=len(own)), p @ x])
+            z[touched] = zt + g - (np.sqrt(nt + g * g) - np.sqrt(nt)) / alpha * w
+            n[touched] = nt + g * g
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
