@@ -202,6 +202,48 @@ def test_quality_on_held_out_rows(spark):
     assert (good[:, None] > bad[None]).mean() > 0.95 and (out.predicted == out.quality).mean() > 0.9
 
 
+def test_risk_gradient_equals_differences_and_plain_losses():
+    rng = np.random.default_rng(5)
+    xp, xu = (np.column_stack([rng.normal(m, 1, (n, 4)), np.ones(n)]) for m, n in ((0.6, 40), (0.0, 90)))
+    pieces = lambda x, w: (len(x), x.sum(0), *quality.sums(x, w))
+    value = lambda w: quality.risk(w, 0.4, pieces(xp, w), pieces(xu, w))[0]
+    both = set()
+    for scale in (0.3, 4.0):
+        for _ in range(6):
+            w = rng.normal(0, scale, 5)
+            _, gradient, _, counts = quality.risk(w, 0.4, pieces(xp, w), pieces(xu, w))
+            loss = lambda f: np.mean([np.log1p(np.exp(-v)) if v > 0 else -v + np.log1p(np.exp(v)) for v in f])
+            plain = 0.4 * loss(xp @ w) + max(0.0, loss(-(xu @ w)) - 0.4 * loss(-(xp @ w))) + 0.5 * quality.DECAY * (w[:-1] ** 2).sum()
+            assert value(w) == pytest.approx(plain)
+            assert np.allclose(gradient, [(value(w + e) - value(w - e)) / 2e-6 for e in 1e-6 * np.eye(5)], atol=1e-5)
+            both.add(bool(counts))
+    assert True in both
+
+
+def test_prior_is_found_from_positives_and_unlabelled_scores():
+    rng = np.random.default_rng(6)
+    good, bad = (lambda n: np.clip(rng.normal(0.8, 0.1, n), 0, 0.999)), (lambda n: np.clip(rng.normal(0.3, 0.15, n), 0, 0.999))
+    for share in (0.2, 0.5, 0.8):
+        scores = np.concatenate([good(int(20000 * share)), bad(20000 - int(20000 * share))])
+        cells = [np.bincount((x * 1000).astype(int), minlength=1000) for x in (good(3000), scores)]
+        assert quality.estimated_prior(*cells) == pytest.approx(share, abs=0.05)
+
+
+def test_prior_of_the_corpus_is_near_the_labels_share(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.train(spark.read.parquet(f"{folder}/documents.parquet"), labels)
+    assert model.prior == pytest.approx(labels.toPandas().quality.mean(), abs=0.12)
+
+
+def test_language_samples_are_equal_shares_and_bounded(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "a").when(F.col("id") % 10 < 5, "b").otherwise("c").alias("lang"))
+    assert {r["lang"]: r["count"] for r in langid.sampled(rows, 90).groupBy("lang").count().collect()} == {"a": 30, "b": 30, "c": 30}
+    assert {r["lang"]: r["count"] for r in langid.sampled(rows, 3000, 2).groupBy("lang").count().collect()} == {"b": 1500, "c": 1500}
+
+
 def test_quality_labels_of_held_out_rows_are_not_used(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     turned = labels.withColumn("quality", __import__("pyspark.sql.functions", fromlist=["when"]).when(quality.held_out(), 1 - labels.quality).otherwise(labels.quality))

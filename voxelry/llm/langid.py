@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Document frequencies cover every training document; the weights are fitted on a bounded sample of each
-language by follow-the-regularised-leader with elastic-net penalties, and a temperature fitted on rows
+Document frequencies cover every training document; the weights are fitted on a bounded sample, equal
+shares of each language, by follow-the-regularised-leader with elastic-net penalties, and a temperature fitted on rows
 left out of that calibrates the probabilities.
 """
 
@@ -21,8 +21,8 @@ from voxelry.llm.linear import Ftrl, Row, dense, softmax, sparse
 
 #: n-grams of 1 to 3 characters in 2**BITS cells.
 BITS, GRAMS = 15, 3
-#: Labelled rows that the weights are fitted on, by language.
-SAMPLE = 800
+#: Labelled rows that the weights are fitted on, in all, and languages that are learned: the most frequent ones.
+SAMPLE, LANGUAGES = 3200, 256
 UNKNOWN = "und"
 _MIX = np.uint32(0x9E3779B1)
 
@@ -89,17 +89,36 @@ def document_frequencies(docs: DataFrame, bits: int = BITS) -> tuple[np.ndarray,
     return out, total
 
 
+def sampled(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
+    """doc_id and lang of up to ``sample`` rows, equal shares of the most frequent languages, by a hash of the id.
+
+    The rows of each language are counted first; then only rows whose hash is below a bound, which
+    leaves somewhat more than the language's share, are ordered.
+    """
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    found = counts.collect()  # as many rows as languages at most
+    share = max(sample // max(len(found), 1), 1)
+    wide = share + 6 * share**0.5 + 16
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, wide / r["n"])) for r in found], "lang string, bound double")
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    low = docs.select("doc_id", "lang").join(F.broadcast(bounds), "lang").where(hashed < F.col("bound"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return low.withColumn("nth", nth).where(F.col("nth") <= share).select("doc_id", "lang").distinct()
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model | None:
-    """A model from (doc_id, text, lang); rows without id or lang are left out. None if no row is left."""
+    """A model from (doc_id, text, lang); rows without id or lang are left out. None if no row is left.
+
+    Repeated rows of one id and language are fitted once, but count in the document frequencies.
+    """
     small_batches(docs.sparkSession)
     docs = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL")
     found, total = document_frequencies(docs, bits)
     if not total:
         return None
     idf = np.log((1.0 + total) / (1.0 + found)) + 1.0
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= sample).select("doc_id").distinct()
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(sampled(docs, sample)), ["doc_id", "lang"], "left_semi")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +156,10 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score for each row; ``und`` and 0 if the text is null or has no letter, or there is no model."""
+    """doc_id, lang_pred, score for each row; ``und`` and 0 if the text is null or has no letter, or if there is no model at all.
+
+    Of equal probabilities the first language by name is given; texts of any length are read whole.
+    """
     small_batches(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

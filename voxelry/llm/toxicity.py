@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
 
     ``categories`` are columns of the labels (1: the document is of that kind) that come before toxic in
     the chain; without any, kinds are found by :func:`kinds`. Rows with a null id or label are left out, null
-    categories count as 0; of repeated labels the largest counts. Without rows nothing is ever rejected.
+    categories count as 0; of repeated labels the largest counts, of repeated ids the first text. Without rows nothing is ever rejected.
     """
     small_batches(docs.sparkSession)
     most = [F.coalesce(F.max(F.col(c).cast("bigint")), F.lit(0)).alias(f"y{i}") for i, c in enumerate(["toxic", *categories])]
@@ -175,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "at"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))  # repeated ids are one row
     got = rows.select("doc_id", "y", "text").mapInArrow(featured, "doc_id bigint, y array<bigint>, at array<int>").toArrow()
     cells = [np.asarray(got["at"][i].values, np.int64) for i in range(got.num_rows)]
     order = sorted(range(got.num_rows), key=lambda i: (got["doc_id"][i].as_py(), cells[i].tobytes()))
