@@ -269,51 +269,89 @@ def test_texts_without_letters_have_no_language(odd):
 
 
 
+def _match(a, b):
+    """Anchors that both have at their most frequent shift, by plain loops; anchors are (hash, place)."""
+    places = dict(b)
+    shifts = Counter(places[h] - p for h, p in a if h in places)
+    most = max(shifts.values(), default=0)
+    whole = len(a) + len(b) - most
+    return most / whole if whole else 1.0
+
+
+def _split(fingerprint):
+    return [(int(x) >> 25, int(x) & (1 << 24) - 1) for x in fingerprint]
+
+
 def test_edited_texts_and_likeness(spark, sf_dir, table):
     got = queries.op5_syncmer_fingerprints(spark, sf_dir).toPandas().set_index("doc_id")
     t = table.sort_values("doc_id", ascending=False).reset_index(drop=True)
-    prints = {i: set(x) for i, x in got.fingerprint.items()}
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    prints, edited = ({i: _split(x) for i, x in got[c].items()} for c in ("fingerprint", "edited_fingerprint"))
     for i in range(len(t)):
         a, b, d, nxt = t.text[i], t.text[(i + 1) % len(t)], t.doc_id[i], t.doc_id[(i + 1) % len(t)]
         cut = len(a) // 3
         assert got.n_chars[d] == len(a) and got.edited_sha256[d] == hashlib.sha256((a[: len(a) - cut] + b[:cut]).encode()).hexdigest()
-        assert got.near_next[d] == pytest.approx(like(prints[d], prints[nxt]))
-        assert got.near_edited[d] == pytest.approx(like(prints[d], set(got.edited_fingerprint[d])))
-    assert (got.near_edited > got.near_next).mean() > 0.95
+        assert got.near_next[d] == pytest.approx(_match(prints[d], prints[nxt]))
+        assert got.near_edited[d] == pytest.approx(_match(prints[d], edited[d]))
+    assert (got.near_edited > got.near_next).mean() > 0.95 and got.near_edited.mean() > 0.4
+    assert sum(map(len, prints.values())) * 8 < 0.6 * table.text.str.len().sum()
 
 
-@pytest.mark.parametrize(("k", "s"), [(3, 1), (5, 2), (4, 3)])
+def test_moved_passages_match_and_shuffled_ones_do_not(spark):
+    words = [f"w{i}" for i in np.random.default_rng(0).permutation(4000)]
+    blocks = [words[i : i + 12] for i in range(0, 2400, 12)]
+    mixed = [w for i in np.random.default_rng(1).permutation(len(blocks)) for w in blocks[i]]
+    texts = [" ".join(x) for x in (words[:2400], words[3000:3200] + words[:2400], mixed)]
+    prints = syncmers.fingerprints(_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).select("doc_id", "fingerprint").toPandas().set_index("doc_id").fingerprint
+    a, moved, shuffled = (_split(x) for x in prints)
+    assert _match(a, moved) > 0.85 and _match(a, shuffled) < 0.05
+    assert len({h for h, _ in a} & {h for h, _ in shuffled}) > 0.4 * len(a)  # as sets they would be alike
+
+
+@pytest.mark.parametrize(("k", "s"), [(3, 1), (5, 2), (4, 3), (7, 2)])
 def test_syncmers_equal_their_definition(spark, k, s):
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(k)
-    rows = [([int(x) for x in rng.integers(-5, 5, n)],) for n in (0, 1, k - 1, k, k + 1, 40)]
-    d = spark.createDataFrame(rows, "units array<bigint>")
-    inner = lambda w: w[0] if s == 1 else spark.range(1).select(F.xxhash64(*[F.lit(x).cast("bigint") for x in w])).first()[0]
-    for units, found, placed in d.select("units", syncmers.syncmers(F.col("units"), k, s), syncmers.anchors(F.col("units"), k, s)).collect():
-        want = []
+    rows = [(i, [int(x) for x in rng.integers(-5, 5, n)]) for i, n in enumerate((0, 1, k - 1, k, k + 1, 40))]
+    d = spark.createDataFrame(rows, "i int, units array<bigint>")
+    digests = {}
+    for size in {s, k}:
+        want = {tuple(u[i : i + size]) for _, u in rows for i in range(len(u) - size + 1)}
+        table = spark.createDataFrame([(list(w),) for w in want], "w array<bigint>").select("w", F.xxhash64(*[F.get("w", j) for j in range(size)]).alias("h"))
+        digests |= {(size, *r["w"]): r["h"] for r in table.collect()}
+    inner = lambda w: w[0] if s == 1 else digests[(s, *w)]
+    got = {r["i"]: _split(r["f"]) for r in syncmers.with_anchors(d, "units", "f", k, s).collect()}
+    for row, units in rows:
+        want = {}
         for i in range(len(units) - k + 1):
             h = [inner(units[i + j : i + j + s]) for j in range(k - s + 1)]
             if min(h) in (h[0], h[-1]):
-                want.append(i)
-        if len(units) >= k:
-            assert [a["pos"] for a in placed] == want and set(found) == {a["hash"] for a in placed}
+                want.setdefault(digests[(k, *units[i : i + k])] >> 25, i)
+        if want:
+            assert got[row] == sorted(want.items())
         else:
-            assert len(found) == len(placed) == min(len(units), 1)
+            assert len(got[row]) == min(len(units), 1)
 
 
 def test_texts_without_a_chosen_kmer_are_told_apart(spark):
-    from pyspark.sql import functions as F
-
     texts = [f"{a} {b} {c}" for a, b, c in ("abc", "dog", "xyz", "cat", "one", "pqr", "map", "two")]
-    d = _docs(spark, [(i, t, "en", "a") for i, t in enumerate([*texts, ""])])
-    plain = d.select("doc_id", syncmers.syncmers(syncmers.unit_hashes(F.col("text"))).alias("x")).toPandas()
-    assert (plain.x.map(len) == 0).sum() > 1  # some of these three units have no closed syncmer
-    got = syncmers.fingerprints(d).toPandas().set_index("doc_id").fingerprint
-    assert [len(got[i]) for i in range(9)] == [1] * 8 + [0] and len({got[i][0] for i in range(8)}) == 8
-    near = syncmers.edited_fingerprints(d).toPandas()
-    assert (near.near_next == 0).all()
+    d = _docs(spark, [(i, t, "en", "a") for i, t in enumerate([*texts, "", None, " \n"])])
+    got = syncmers.fingerprints(d, k=3, s=1).toPandas().set_index("doc_id").fingerprint
+    assert [len(got[i]) for i in range(11)] == [1] * 8 + [0] * 3 and len({got[i][0] for i in range(8)}) == 8
+    near = syncmers.edited_fingerprints(d).toPandas().set_index("doc_id")
+    assert near.near_next.tolist() == [{9: 1.0, 10: 1.0}.get(i, 0.0) for i in near.index]
+
+
+def test_rows_of_one_id_are_dealt_out_and_keep_their_order(spark):
+    rows = [(None if i % 3 == 0 else i, f"text {i} of some words", "en", "a") for i in range(600)] + [(7, "a", "en", "a")] * 200
+    d = _docs(spark, rows).repartition(4)
+    n, keys = 16, [r[0] for r in rows]
+    keyed = syncmers.next_texts(d).select("doc_id", "text", "next_text", "part").toPandas()
+    assert keyed.part.nunique() >= 12 and keyed.groupby("part").size().max() <= 3 * len(rows) / n + 200
+    digest = {r["text"]: r["h"] for r in d.selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    order = sorted(zip(keys, [r[1] for r in rows], strict=True), key=lambda x: (-(x[0] if x[0] is not None else -(1 << 63)), digest[x[1]] % (1 << 31)))
+    want = Counter((a, x, order[(i + 1) % len(order)][1]) for i, (a, x) in enumerate(order))
+    assert Counter((None if np.isnan(a) else int(a), x, y) for a, x, y in zip(keyed.doc_id, keyed.text, keyed.next_text, strict=True)) == want
 
 
 # Packing
