@@ -49,18 +49,19 @@ class Ftrl:
 
 def fit_binary(
     at: np.ndarray, start: np.ndarray, more: np.ndarray, labels: np.ndarray, size: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.001,
-    epochs: int = 3, batch: int = 16, seed: int = 7,
+    epochs: int = 3, batch: int = 16, seed: int = 7, among: np.ndarray | None = None,
 ) -> np.ndarray:
     """Logistic regression by the same rule, some rows at a time: weights of ``size`` cells, of the columns of ``more``, and the bias.
 
-    Row i has the cells ``at[start[i]:start[i + 1]]``, each with value 1.
+    Row i has the cells ``at[start[i]:start[i + 1]]``, each with value 1; ``among`` are the rows to fit, by default all.
     """
     k = more.shape[1]
     z, n = np.zeros(size + k + 1), np.zeros(size + k + 1)
     y, order = labels.astype(float), np.random.default_rng(seed)
     dense_at = np.arange(size, size + k + 1)
+    among = np.arange(len(y)) if among is None else among
     for _ in range(epochs):
-        mixed = order.permutation(len(y))
+        mixed = among[order.permutation(len(among))]
         for a in range(0, len(mixed), batch):
             rows = mixed[a : a + batch]
             cells = np.concatenate([at[start[i] : start[i + 1]] for i in rows])

@@ -156,12 +156,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    return named(rows, nodes, links(nodes.select("fp"), radius))
+    return named(rows, nodes, components(links(nodes.select("fp"), radius)))
 
 
-def named(rows: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, fp) with the component_id of their node, from nodes (fp, least, n rows) and the links between them."""
-    roots = components(linked)
+def named(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, fp) with the component_id of their node, from nodes (fp, least, n rows) and roots (node, root) of those with links."""
     joined = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = written(salted(joined, "fp").join(with_all_salts(ids), ["root", "salt"]).select("fp", "component_id", "n"), "named")

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ class Cells(dict):
 def _starts(rows: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows end to end, and where each starts."""
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    return np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def kinds(at: np.ndarray, start: np.ndarray, toxic: np.ndarray, size: int, k: int = KINDS, steps: int = 20) -> np.ndarray:
@@ -122,19 +123,12 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, fold
     """
     n, k = labels.shape
     at, start = _starts(rows)
-    seen = np.bincount(at, minlength=1 << bits)
-    kept = seen[at] >= LEAST_ROWS
+    seen = np.bincount(at, minlength=1 << bits) >= LEAST_ROWS
+    kept = seen[at]
     start = np.concatenate([[0], np.cumsum(kept)])[start]
-    cells, at = np.unique(at[kept], return_inverse=True)
+    cells, at = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)[at[kept]]
     earlier, models = np.zeros((n, 0)), []
     fold = np.arange(n) % folds
-
-    def some(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = np.flatnonzero(mask)
-        return _starts([at[start[i] : start[i + 1]] for i in found])
-
-    parts = [(fold != f, fold == f) for f in range(folds)]
-    halves = [(some(inside), some(outside)) for inside, outside in parts]
     for c in range(k):
         y = labels[:, c]
         if not y.any() or y.all():
@@ -143,9 +137,10 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, fold
             out = np.full(n, float(n > 0 and y.all()))
         else:
             out = np.zeros(n)
-            for (inside, outside), (seen_rows, left_rows) in zip(parts, halves, strict=True):
-                if inside.any() and outside.any():
-                    out[outside] = _proba(*left_rows, earlier[outside], fit_binary(*seen_rows, earlier[inside], y[inside], len(cells)))
+            for f in range(folds):
+                inside, outside = np.flatnonzero(fold != f), fold == f
+                if len(inside) and outside.any():
+                    out[outside] = _proba(at, start, earlier, fit_binary(at, start, earlier, y, len(cells), among=inside))[outside]
             w = fit_binary(at, start, earlier, y, len(cells))
         whole = np.zeros((1 << bits) + c + 1)
         whole[cells] = w[: len(cells)]
@@ -177,10 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))  # repeated ids are one row
     got = rows.select("doc_id", "y", "text").mapInArrow(featured, "doc_id bigint, y array<bigint>, at array<int>").toArrow()
-    cells = [np.asarray(got["at"][i].values, np.int64) for i in range(got.num_rows)]
-    order = sorted(range(got.num_rows), key=lambda i: (got["doc_id"][i].as_py(), cells[i].tobytes()))
-    cells = [cells[i] for i in order]
-    y = np.array([got["y"][i].as_py() for i in order], np.int64).reshape(len(order), len(most)) > 0
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    values, ends = got["at"].combine_chunks().flatten().to_numpy(), np.cumsum(np.asarray(pc.list_value_length(got["at"]), int))
+    cells = [values[ends[i - 1] if i else 0 : ends[i]] for i in order]
+    y = np.asarray(got["y"].combine_chunks().flatten(), int).reshape(-1, len(most))[order] > 0
     toxic, before = y[:, :1], y[:, 1:]
     names = tuple(categories)
     if not names:
