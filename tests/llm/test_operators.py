@@ -99,6 +99,7 @@ def test_base_secrets_equal_a_plain_scan(spark, sf_dir, table):
     for doc_id, text in zip(table.doc_id, table.text, strict=True):
         said = ",".join(f"{k}:{a}:{b}" for k, a, b in _spans(text))
         assert got.base_sha256[doc_id] == hashlib.sha256(said.encode()).hexdigest()
+        assert tuple(got.loc[doc_id, ["n_assign", "n_access", "n_hex"]]) == tuple(sum(s[0] == k for s in _spans(text)) for k in ("assign", "access", "hex"))
 
 
 @pytest.mark.parametrize("text", [
@@ -115,6 +116,24 @@ def test_checksums_decide_on_tokens():
     bad = good[:-1] + ("0" if good[-1] != "0" else "1")
     assert ("github", 2, len(good)) in secrets.scan(good, secrets.automaton())
     assert not [s for s in secrets.scan(bad, secrets.automaton()) if s[0] == "github"]
+    assert not [s for s in secrets.scan("x" + good[2:], secrets.automaton()) if s[0] == "github"]  # no start within a word
+    npm = "npm_" + (payload + secrets.base62_crc(payload)).decode()
+    grafana = "glsa_" + "Ab3" * 10 + "xy"
+    grafana += f"_{zlib.crc32(grafana.encode()):08x}"
+    # The example key of the format's published test vectors.
+    age = "AGE-SECRET-KEY-1GFPYYSJZGFPYYSJZGFPYYSJZGFPYYSJZGFPYYSJZGFPYYSJZGFPQ4EGAEX"
+    for kind, token in (("npm", npm), ("grafana", grafana), ("age", age)):
+        assert (kind, 3, 3 + len(token)) in secrets.scan(f"a: {token} z", secrets.automaton())
+        assert not [s for s in secrets.scan(f"a: {token[:-1]}{'2' if token[-1] != '2' else '3'} z", secrets.automaton()) if s[0] == kind]
+
+
+def test_counts_and_values_of_odd_rows(odd):
+    got = secrets.digested(secrets.scan_secrets(odd)).toPandas()
+    empty = got[got.doc_id.isin([1, 2, 3, 5])]
+    assert len(empty) == 5 and set(empty.spans) == {""} and set(empty.base_sha256) == {hashlib.sha256(b"").hexdigest()} and not empty[["n_assign", "n_access", "n_hex"]].any(axis=None)
+    text = next(r for r in odd.collect() if r["doc_id"] == 10)["text"]
+    row = got[got.doc_id == 10].iloc[0]
+    assert (row.n_assign, row.n_access, row.n_hex) == (1, 0, 1) and row.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in _spans(text))
 
 
 # Toxicity, quality and language, by held-out labels

@@ -92,7 +92,8 @@ def salted(rows: DataFrame, by: str) -> DataFrame:
 
 
 def with_all_salts(keyed: DataFrame) -> DataFrame:
-    return keyed.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    """``keyed`` once for each share, to be joined by a shuffle: the planner's sizes know nothing of the repetition."""
+    return keyed.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

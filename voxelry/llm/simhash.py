@@ -127,6 +127,7 @@ def met(fps: DataFrame, radius: int = RADIUS, n: int = PIVOTS) -> DataFrame:
     fine = pivot_table(fps, n).select(F.posexplode(keys).alias("part", "cell"), F.struct("fp", *[f"d{i}" for i in range(n)]).alias("f"))
     x, y = fine.alias("x"), fine.alias("y")
     same = (F.col("x.part") == F.col("y.part")) & (F.col("x.cell") == F.col("y.cell"))
+    y = y.hint("merge")  # the planner's sizes know nothing of the many cells
     return x.join(y, same & (F.col("x.f.fp") > F.col("y.f.fp"))).select(F.col("x.f").alias("x"), F.col("y.f").alias("y"))
 
 

@@ -28,7 +28,7 @@ K, S = 7, 2
 #: An anchor is a 64-bit number: a hash of 39 bits, a free bit, and a place of 24 bits, in which places beyond wrap around.
 PLACE_BITS = 24
 #: Ranges of ids by shuffle partition, and the most of them.
-RANGES, MOST_RANGES = 4, 32768
+RANGES, MOST_RANGES = 16, 32768
 _LAST = -(1 << 63)
 _HASH = -(1 << (PLACE_BITS + 1))
 
@@ -66,7 +66,7 @@ def with_anchors(df: DataFrame, units: str, out: str, k: int = K, s: int = S) ->
         chosen = F.least(hashes[0], hashes[-1]) <= least if inside else F.lit(True)
         return F.when(chosen, _anchor(F.xxhash64(*[F.get(u, i + j) for j in range(k)]), i))
 
-    df = df.withColumn(found, F.when(n >= k, F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(0), n - k), at)))))
+    df = df.withColumn(found, F.when(n >= k, F.sort_array(F.array_compact(F.transform(F.sequence(F.lit(0), n - k), at)))))
     first = F.filter(found, lambda x, i: (i == 0) | (_hash_of(x) != _hash_of(F.get(F.col(found), i - 1))))
     whole = F.array(_anchor(F.xxhash64(u), F.lit(0)))
     made = F.when(F.size(found) > 0, first).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
@@ -77,13 +77,13 @@ def with_matches(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """``df`` with the number of anchors that two fingerprints share at their most frequent shift, as ``out``."""
     merged, shifts = f"{out}_merged", f"{out}_shifts"
     other = F.transform(b, lambda x: x.bitwiseOR(F.lit(1 << PLACE_BITS).cast("bigint")))
-    df = df.withColumn(merged, F.array_sort(F.concat(F.col(a), other)))
+    df = df.withColumn(merged, F.sort_array(F.concat(F.col(a), other)))
     m = F.col(merged)
 
     def shift(x: Column, i: Column) -> Column:
         return F.when(_hash_of(x) == _hash_of(F.get(m, i + 1)), F.get(m, i + 1) - x)
 
-    df = df.withColumn(shifts, F.array_sort(F.array_compact(F.transform(m, shift))))
+    df = df.withColumn(shifts, F.sort_array(F.array_compact(F.transform(m, shift))))
 
     def add(acc: Column, x: Column) -> Column:
         run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(F.lit(1))
