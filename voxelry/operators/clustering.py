@@ -131,7 +131,7 @@ def clusters(labelled: DataFrame, ground_height: float, min_points: int = MIN_PO
     points = points.withColumns({"ax": ax, "ay": ay})
     u, v = F.col("x") * F.col("ax") + F.col("y") * F.col("ay"), F.col("y") * F.col("ax") - F.col("x") * F.col("ay")
     same = [F.first(c).alias(c) for c in ("n_before", "n_points", "mx", "my", "mz", "z_min", "z_max")]
-    pts = [F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("pts")] if with_points else []
+    pts = [F.sort_array(F.collect_list(F.struct("x", "y", "z"))).alias("pts")] if with_points else []
     found = points.groupBy(*group).agg(*same, (F.max(u) - F.min(u)).alias("x_range"), (F.max(v) - F.min(v)).alias("y_range"), *pts)
     found = found.withColumns({"z_range": F.col("z_max") - F.col("z_min"), "xy_spread": F.sqrt(F.col("x_range") * F.col("x_range") + F.col("y_range") * F.col("y_range")), "z_above_ground": F.col("z_max") - ground_height})
     return found.withColumn("reject_reason", reject_reason(min_points, max_points))
