@@ -10,6 +10,7 @@ from voxelry.operators.clustering import EDGES, STRIDE, component_labels
 from voxelry.operators.merging import fold
 from voxelry.operators.splitting import gap_thresholds, split_frame
 from voxelry.plans import pipeline
+from voxelry.schemas import DETECTIONS
 from voxelry.streaming.tracker import FAR, Tracker, assign, assign_feasible
 
 
@@ -328,14 +329,19 @@ def test_tracks_of_every_sensor_are_listed(spark, sf_dir):
     rows = rows[rows.frame_id == rows.groupby("sensor_id").frame_id.transform("max")]
     want = {s: sorted(g.track_id)[:15] for s, g in rows.groupby("sensor_id")}
     got = track_list(spark, sf_dir).toPandas()
+    assert all(g.more.iloc[0] == max((rows.sensor_id == s).sum() - 15, 0) for s, g in got.groupby("sensor_id"))
     assert len(want) > 1 and {s: sorted(g.track_id) for s, g in got.groupby("sensor_id")} == want
 
 
 def test_tracks_die_in_gaps_of_any_length(spark, tmp_path):
     from voxelry.streaming import tracker
 
+    for gap in (1, 2, 3, 4, 64, 65, 1000):
+        rows = [(0, f, f, 0.0, 0.0, 0.0, "car", 0.9, 10) for f in (0, 1, 2, 2 + gap)]
+        tracks = {r["track_id"] for r in tracker.track(spark.createDataFrame(rows, DETECTIONS)).collect()}
+        assert tracks == ({1} if gap <= 3 else {1, 2})  # three misses end a track
     rows = [(0, f, f, 0.0, 0.0, 0.0, "car", 0.9, 10) for f in (0, 1, 2, 102, 103)]
-    frames = spark.createDataFrame(rows, "sensor_id bigint, frame_id bigint, det_id bigint, x double, y double, z double, class_label string, class_confidence double, n_points bigint")
+    frames = spark.createDataFrame(rows, DETECTIONS)
     batch = tracker.track(frames).orderBy("frame_id", "track_id").toPandas()
     assert batch.frame_id.tolist() == [0, 1, 2, 3, 4, 102, 103] and batch.track_id.tolist() == [1] * 5 + [2] * 2
     assert tracker.track_streamed(frames, str(tmp_path)).orderBy("frame_id", "track_id").toPandas().equals(batch)
@@ -369,3 +375,55 @@ def test_registered_forests_have_the_production_sizes():
     from voxelry.plans import model_queries
 
     assert (model_queries.TREES, model_queries.STAGE_TREES, model_queries.DEPTH, model_queries.FOLDS) == (100, 300, 20, 5)
+
+
+def test_results_are_kept_and_tracked_later(spark, tmp_path):
+    class _Sure:
+        def proba(self, x):
+            return np.tile([0.0, 0.0, 1.0, 0.0], (len(x), 1))
+
+    cal = ground.Calibration(np.eye(3), -1.0)
+    points = spark.createDataFrame([r for f in range(4) for r in _car(0, f, 3.0 + 0.1 * f)], "sensor_id bigint, frame_id bigint, x double, y double, z double")
+    kept = pipeline.cached_objects(spark, str(tmp_path / "r"), lambda: pipeline.objects(points, cal, _Sure(), mode=19))
+    again = pipeline.cached_objects(spark, str(tmp_path / "r"), lambda: 1 / 0)
+    assert kept.count() == again.count() == 4 and "proba" not in again.columns and "pts" in again.columns
+    tracks = pipeline.track_cached(again).toPandas().sort_values("frame_id")
+    assert tracks.frame_id.tolist() == [1, 2, 3] and set(tracks.track_id) == {1} and set(tracks.class_label) == {"car"} and tracks.frames_alive.tolist() == [2, 3, 4]
+    live = pipeline.run(points, cal, _Sure(), mode=19).where("status = 'CONFIRMED'").toPandas().sort_values("frame_id")
+    assert np.allclose(live[["x", "y", "z", "vx"]], tracks[["x", "y", "z", "vx"]])
+    with pytest.raises(ZeroDivisionError):
+        pipeline.cached_objects(spark, str(tmp_path / "r"), lambda: 1 / 0, force=True)
+
+
+def test_object_files_and_csv_round_trip(spark, tmp_path):
+    from voxelry.sources import clouds, store
+
+    rows = [(k % 3 + 1, k, [{"x": k + i / 4, "y": 1.0, "z": -i / 2} for i in range(5)]) for k in range(6)]
+    made = spark.createDataFrame(rows, "label int, number int, pts array<struct<x:double,y:double,z:double>>")
+    assert clouds.write_object_files(made, (tmp_path / "out").as_uri()).count() == 6
+    got = sorted((r["label"], [tuple(p) for p in r["pts"]]) for r in clouds.objects(spark, str(tmp_path / "out")).collect())
+    assert got == sorted((a, [(p["x"], p["y"], p["z"]) for p in pts]) for a, _, pts in rows)
+    table = spark.createDataFrame([(1.5, 2.0, 3, "a"), (0.25, -1.0, 0, "b")], "num_points double, z_range double, label int, path string")
+    store.write_feature_csv(table, str(tmp_path / "csv"))
+    assert sorted(map(tuple, store.read_feature_csv(spark, str(tmp_path / "csv"), ["num_points", "z_range"]).collect())) == sorted(map(tuple, table.collect()))
+
+
+def test_planes_are_drawn_from_all_near_points(spark):
+    points = spark.range(20000).selectExpr("cast(id % 100 AS double) / 10 AS x", "cast(id DIV 100 AS double) / 20 AS y", "0.0D AS z")
+    found = ground.hypotheses(points, 50, 1)
+    assert 40 <= len(found) <= 50 and all(abs(p[3]) == 1 for p in found)
+    counts = {r["hyp"]: r["n_inliers"] for r in ground.inlier_counts(points, [(0, 0.0, 0.0, 1.0, 0.0), (1, 1.0, 0.0, 0.0, -5.0)], 0.15).collect()}
+    assert counts == {0: 20000, 1: 600}
+
+
+def test_ablation_summary_and_test_report(spark, sf_dir):
+    from voxelry.operators import classify, evaluation
+    from voxelry.sources.adapters import clouds
+
+    rows = feats.features(clouds(spark, sf_dir), 35).drop("pts").withColumn("group_id", __import__("pyspark.sql.functions", fromlist=["col"]).col("sample_id"))
+    rows = evaluation.with_folds(rows, 3).persist()
+    train, test = rows.where("sample_id % 4 > 0"), rows.where("sample_id % 4 = 0")
+    got = classify.ablation_summary(train, test, (19,), trees=3, depth=3, folds=3).first()
+    assert got["n_features"] == 19 and 0 <= got["cv_f1"] <= 1 and 0 <= got["test_f1"] <= 1 and got["cv_std"] >= 0
+    report = classify.evaluate_on_test(classify.train(train, feats.COMPACT, 3, 3), test)
+    assert report["report"].first()["macro_f1"] == pytest.approx(got["test_f1"]) and set(report) == {"report", "confusion", "confidence", "pairs"}

@@ -92,12 +92,3 @@ def eigen3(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Colum
 def affine_colour(v: Column, low: float, high: float) -> Column:
     """Position of a value between two bounds, clipped to 0..1, as colour maps use."""
     return F.least(F.greatest((v - F.lit(low)) / F.lit(high - low), F.lit(0.0)), F.lit(1.0))
-
-
-def class_colour(class_id: Column) -> Column:
-    """(r, g, b) of a class: grey, blue, red and green."""
-    rgb = {0: (0.5, 0.5, 0.5), 1: (0.2, 0.4, 1.0), 2: (1.0, 0.2, 0.2), 3: (0.2, 1.0, 0.2)}
-    out = F.array(*[F.lit(v) for v in rgb[0]])
-    for k in (1, 2, 3):
-        out = F.when(class_id == k, F.array(*[F.lit(v) for v in rgb[k]])).otherwise(out)
-    return out

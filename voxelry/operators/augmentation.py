@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelry.operators.evaluation import hash_rank
 from voxelry.schemas import CLOUD
 
 # Least points, height, least and largest width of a complete object by class id.
@@ -112,9 +113,8 @@ def capped(cuts: DataFrame, originals: DataFrame, most: int | None = None, seed:
     The group is the object that was cut, so that folds can keep the two together.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("sample_id").cast("string"), F.col("cut").cast("string")))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(key, "sample_id", "cut"))
     limit = originals.groupBy("label").agg((F.lit(most) if most is not None else F.count(F.lit(1))).alias("most"))
-    kept = cuts.withColumn("nth", nth).join(F.broadcast(limit), "label").where("nth <= most")  # limit: a row by class
+    kept = hash_rank(cuts, "label", key, ["sample_id", "cut"]).join(F.broadcast(limit), "label").where("nth <= most")  # limit: a row by class
     return kept.select("label", "cut", "pts", F.col("sample_id").alias("group_id"))
 
 

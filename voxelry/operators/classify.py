@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -103,6 +102,33 @@ def ablation(train_rows: DataFrame, test_rows: DataFrame, modes: tuple[int, ...]
     return out
 
 
+def evaluate_on_test(model: PipelineModel, rows: DataFrame) -> dict[str, DataFrame]:
+    """What :func:`evaluation.evaluate` reports of the model's predictions of labelled rows."""
+    return evaluation.evaluate(predict(model, rows).withColumnRenamed("label", "truth"))
+
+
+def ablation_summary(train_rows: DataFrame, test_rows: DataFrame, modes: tuple[int, ...] = (19, 23, 35), trees: int = TREES, depth: int = DEPTH, folds: int = evaluation.FOLDS) -> DataFrame:
+    """mode, n_features, cv_f1, cv_std, test_f1, conf_right, conf_wrong of each feature set, one row each.
+
+    cv_f1 and cv_std are the mean and the spread of the folds' macro F1 over the training rows, which
+    have a ``fold``.
+    """
+    out = []
+    for mode in modes:
+        names = feats.MODES[mode]
+        got = predict(train(train_rows, names, trees, depth), test_rows).withColumnRenamed("label", "truth").select("truth", "pred", "conf").persist()
+        right = F.col("truth") == F.col("pred")
+        conf = got.agg(F.avg(F.when(right, F.col("conf"))), F.avg(F.when(~right, F.col("conf")))).first()
+        seen = cross_validate(train_rows, names, folds, trees, "fold", depth).persist()
+        scores = [evaluation.precision_recall(seen.where(F.col("fold") == k)).first() for k in range(folds)]
+        f1 = [r["macro_f1"] for r in scores if r]
+        test = evaluation.precision_recall(got).first()
+        out.append((mode, len(names), float(np.mean(f1)) if f1 else None, float(np.std(f1)) if f1 else None, test and test["macro_f1"], conf[0], conf[1]))
+        got.unpersist()
+        seen.unpersist()
+    return train_rows.sparkSession.createDataFrame(out, "mode int, n_features int, cv_f1 double, cv_std double, test_f1 double, conf_right double, conf_wrong double")
+
+
 class Forest:
     """A fitted forest as arrays, for use inside grouped functions; a few MB at most, sent with the task."""
 
@@ -140,9 +166,3 @@ class Forest:
                 at = np.where(inner, np.where(go, left[at], right[at]), at)
             out += value[at]
         return out / len(self.trees)
-
-
-def labelled_frame(pdf: pd.DataFrame, proba: np.ndarray) -> pd.DataFrame:
-    """A frame's clusters with pred, conf from probabilities."""
-    pred = proba.argmax(1)
-    return pdf.assign(pred=pred, conf=proba[np.arange(len(pred)), pred])

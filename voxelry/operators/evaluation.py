@@ -9,12 +9,31 @@ from pyspark.sql import functions as F
 SAFETY, RECOVERY, FOLDS, SEED = 0.70, 0.50, 5, 42
 
 
+#: Leading hexadecimal digits of a hash that rows are dealt out by where they are ranked.
+_DIGITS = 3
+
+
+def hash_rank(rows: DataFrame, by: str, key: Column, ties: list[str]) -> DataFrame:
+    """Adds ``nth``, from 1, by ``key`` (an MD5 in hexadecimal digits) within ``by``, and orders no group in one task.
+
+    Rows are ordered within ranges of the key; the ranges before them are only counted.
+    """
+    keyed = rows.withColumn("__key", key).withColumn("__cell", F.substring("__key", 1, _DIGITS))
+    counts = keyed.groupBy(by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(by).orderBy("__cell")) - F.col("__n")
+    offsets = counts.select(by, "__cell", before.alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(by, "__cell").orderBy("__key", *ties)) + F.col("__before")
+    return keyed.join(offsets, [by, "__cell"]).withColumn("nth", nth).drop("__key", "__cell", "__before")
+
+
 def with_folds(samples: DataFrame, folds: int = FOLDS, seed: int = SEED, id_col: str = "sample_id") -> DataFrame:
-    """Adds ``fold``, stratified by label, and ``group_fold``, equal for rows of one group_id."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    fold = (F.row_number().over(Window.partitionBy("label").orderBy(key, id_col)) - 1) % folds
-    group = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("group_id").cast("string"))), 1, 8), 16, 10).cast("bigint") % folds
-    return samples.withColumn("fold", fold.cast("int")).withColumn("group_fold", group.cast("int"))
+    """Adds ``fold``, stratified by label, and ``group_fold``, equal for rows of one group_id and stratified by the groups' most frequent labels."""
+    hashed = lambda c: F.md5(F.concat_ws(":", F.lit(seed), F.col(c).cast("string")))
+    out = hash_rank(samples, "label", hashed(id_col), [id_col]).withColumn("fold", ((F.col("nth") - 1) % folds).cast("int")).drop("nth")
+    counts = samples.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("group_id").agg(F.min(F.struct(-F.col("n"), "label"))["label"].alias("main"))
+    groups = hash_rank(groups, "main", hashed("group_id"), ["group_id"]).select("group_id", ((F.col("nth") - 1) % folds).cast("int").alias("group_fold"))
+    return out.join(groups, "group_id").select(*samples.columns, "fold", "group_fold")
 
 
 def confusion(preds: DataFrame, k: int = 4) -> DataFrame:
@@ -68,6 +87,11 @@ def most_confident(preds: DataFrame, n: int = 40) -> DataFrame:
     return ranked(preds.where("truth = pred"), ["truth"], [F.desc("conf"), F.asc("doc_id")], max(n // 4, 5))
 
 
+def evaluate(preds: DataFrame) -> dict[str, DataFrame]:
+    """Everything that is reported of predictions (truth, pred, conf): the class-wise report, confusions and confidences."""
+    return {"report": precision_recall(preds), "confusion": confusion(preds), "confidence": confidence_gap(preds), "pairs": confusion_pairs(preds)}
+
+
 #: The confusions that are reported.
 CONFUSIONS = {"car_as_background": (2, 0), "background_as_car": (0, 2), "pedestrian_as_bicyclist": (3, 1), "bicyclist_as_pedestrian": (1, 3)}
 

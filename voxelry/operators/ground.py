@@ -6,9 +6,11 @@ order matters, as clipping changes the cells' order statistics. Points keep thei
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,16 +57,20 @@ def calibration_points(points: DataFrame) -> DataFrame:
     return points.where((F.col("z") > LOWEST) & (F.col("z") < HIGHEST)).withColumn("near", horizontal_range(F.col("x"), F.col("y")) < NEAR_RANGE)
 
 
-def hypotheses(near: DataFrame, n: int, seed: int, pool: int = 3000) -> list[tuple[int, float, float, float, float]]:
-    """Up to ``n`` planes (id, nx, ny, nz, d) through triples of at most ``pool`` points, the first by a seeded hash."""
+def hypotheses(near: DataFrame, n: int, seed: int) -> list[tuple[int, float, float, float, float]]:
+    """Up to ``n`` planes (id, nx, ny, nz, d) through triples of points.
+
+    The 3 n points of least seeded hash are a uniform sample of all near points; each three of them in
+    that order are a triple. Of fewer points, triples are drawn at random.
+    """
     order = F.xxhash64(F.lit(seed), "x", "y", "z")
-    rows = np.array([tuple(r) for r in near.select("x", "y", "z").orderBy(order, "x", "y", "z").limit(pool).collect()], float)
+    rows = np.array([tuple(r) for r in near.select("x", "y", "z").orderBy(order, "x", "y", "z").limit(3 * n).collect()], float)  # 3 n rows
     found = []
     if len(rows) < 3:
         return found
     draw = np.random.default_rng(seed)
     for k in range(n):
-        a, b, c = rows[draw.choice(len(rows), 3, replace=False)]
+        a, b, c = rows[3 * k : 3 * k + 3] if len(rows) == 3 * n else rows[draw.choice(len(rows), 3, replace=False)]
         normal = np.cross(b - a, c - a)
         norm = np.linalg.norm(normal)
         if norm < 1e-10:
@@ -77,19 +83,33 @@ def hypotheses(near: DataFrame, n: int, seed: int, pool: int = 3000) -> list[tup
     return found
 
 
-def inlier_counts(near: DataFrame, planes: DataFrame, threshold: float = INLIER) -> DataFrame:
-    """hyp, n_inliers: points within ``threshold`` of each plane. ``planes`` has a stated number of rows and is broadcast."""
-    p = F.broadcast(planes)
-    distance = F.abs(F.col("x") * F.col("nx") + F.col("y") * F.col("ny") + F.col("z") * F.col("nz") + F.col("d"))
-    return near.crossJoin(p).groupBy("hyp").agg(F.count_if(distance < threshold).alias("n_inliers"))
+def inlier_counts(near: DataFrame, planes: list[tuple[int, float, float, float, float]], threshold: float = INLIER) -> DataFrame:
+    """hyp, n_inliers: points within ``threshold`` of each plane (id, nx, ny, nz, d); each point is read once. Without points no rows.
+
+    A task counts all planes over its points, some at a time, and sends one row by plane.
+    """
+    hyp, coefficients = np.array([p[0] for p in planes], np.int32), np.array([p[1:] for p in planes], float).reshape(-1, 4)
+    nx, ny, nz, d = coefficients.T
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen = np.zeros(len(hyp), np.int64), 0
+        for batch in batches:
+            x, y, z = (np.asarray(batch.column(c), float)[:, None] for c in "xyz")
+            seen += batch.num_rows
+            for a in range(0, batch.num_rows, 1024):
+                part = slice(a, a + 1024)
+                found += (np.abs(x[part] * nx + y[part] * ny + z[part] * nz + d) < threshold).sum(0)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(hyp), pa.array(found)], ["hyp", "n"])
+
+    return near.select("x", "y", "z").mapInArrow(count, "hyp int, n bigint").groupBy("hyp").agg(F.sum("n").alias("n_inliers"))
 
 
 def ransac_plane(near: DataFrame, max_iterations: int = 1000, threshold: float = INLIER, seed: int = 0) -> tuple[float, float, float, float]:
     """The plane of most inliers, of equal ones the first; level at the 20th percentile of z when none is valid."""
     planes = hypotheses(near, max_iterations, seed)
     if planes:
-        table = near.sparkSession.createDataFrame(planes, "hyp int, nx double, ny double, nz double, d double")
-        best = inlier_counts(near, table, threshold).orderBy(F.desc("n_inliers"), "hyp").first()
+        best = inlier_counts(near, planes, threshold).orderBy(F.desc("n_inliers"), "hyp").first()
         if best:
             return next(p[1:] for p in planes if p[0] == best["hyp"])
     low = near.agg(F.percentile("z", F.lit(0.2))).first()[0]

@@ -34,18 +34,26 @@ def is_candidate(xyz: np.ndarray, z_range: float) -> tuple[bool, np.ndarray, flo
     return bool(fits and abs(axis[2]) <= MAX_Z_WEIGHT and linearity > MIN_LINEARITY), axis, linearity
 
 
-def gap_thresholds(counts: np.ndarray, edges: np.ndarray) -> list[float]:
-    """The centre of each run of sparse bins that a full bin ends."""
+def bin_edges(projections: np.ndarray) -> np.ndarray:
+    return np.linspace(projections.min(), projections.max(), BINS + 1)
+
+
+def gaps(counts: np.ndarray, edges: np.ndarray) -> list[tuple[float, int]]:
+    """The centre of each run of sparse bins that a full bin ends, and the number of that bin."""
     sparse = counts < max(counts.mean() * GAP_SHARE, 1)
     centers = (edges[1:] + edges[:-1]) / 2
     ends = np.flatnonzero(sparse[:-1] & ~sparse[1:]) + 1
     starts = np.flatnonzero(sparse & ~np.concatenate([[False], sparse[:-1]]))[: len(ends)]
-    return [float(centers[(a + b) // 2]) for a, b in zip(starts, ends, strict=True)]
+    return [(float(centers[(a + b) // 2]), int(b)) for a, b in zip(starts, ends, strict=True)]
+
+
+def gap_thresholds(counts: np.ndarray, edges: np.ndarray) -> list[float]:
+    return [at for at, _ in gaps(counts, edges)]
 
 
 def split_points(projections: np.ndarray) -> list[float]:
-    counts, edges = np.histogram(projections, bins=np.linspace(projections.min(), projections.max(), BINS + 1))
-    return gap_thresholds(counts, edges)
+    edges = bin_edges(projections)
+    return gap_thresholds(np.histogram(projections, bins=edges)[0], edges)
 
 
 def _width(xyz: np.ndarray) -> float:

@@ -28,6 +28,7 @@ def selected(points: DataFrame, x: float, y: float, xy_spread: float) -> DataFra
 
 
 def track_list(tracks: DataFrame, n: int = LISTED) -> DataFrame:
-    """The first ``n`` of a frame's tracks by id, for each sensor; a bounded list, as a viewer prints it."""
-    nth = F.row_number().over(Window.partitionBy("sensor_id").orderBy("track_id"))
-    return tracks.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
+    """The first ``n`` of a frame's tracks by id, for each sensor, and how many ``more`` there are; a bounded list, as a viewer prints it."""
+    by = Window.partitionBy("sensor_id")
+    ranked = tracks.withColumn("nth", F.row_number().over(by.orderBy("track_id"))).withColumn("more", F.greatest(F.count(F.lit(1)).over(by) - n, F.lit(0)))
+    return ranked.where(F.col("nth") <= n).drop("nth")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelry.functions import features as feats
-from voxelry.operators import augmentation, evaluation, statistics
+from voxelry.operators import augmentation, evaluation, splitting, statistics
 from voxelry.plans.registry import query
 from voxelry.sources.adapters import CLOUDS_SQL, clouds
 
@@ -227,9 +231,46 @@ def pca_height_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augmentation.height_cuts(clouds(spark, sf_dir), min_points=5).select("sample_id", "label", "cut", F.size("pts").cast("bigint").alias("n"))
 
 
-@query(f"""WITH {CLOUDS_SQL}, s AS (SELECT DISTINCT sample_id, label FROM cloud)
-SELECT sample_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || sample_id), sample_id) - 1) % 5)::INT AS fold, (('0x' || substr(md5('42:' || (sample_id // 4)), 1, 8))::BIGINT % 5)::INT AS group_fold FROM s""")
+@query(f"""WITH {CLOUDS_SQL}, s AS (
+  SELECT DISTINCT sample_id, label, sample_id // 4 AS group_id FROM cloud
+), c AS (
+  SELECT group_id, label, count(*) AS n FROM s GROUP BY ALL
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, label) AS nth FROM c
+), g AS (
+  SELECT group_id, ((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || group_id), group_id) - 1) % 5)::INT AS group_fold FROM m WHERE nth = 1
+) SELECT sample_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || sample_id), sample_id) - 1) % 5)::INT AS fold, group_fold FROM s JOIN g USING (group_id)""")
 def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stratified folds, and folds that keep groups together (here four samples each)."""
+    """Stratified folds, and stratified folds that keep groups together (here four samples each)."""
     samples = clouds(spark, sf_dir).select("sample_id", "label").withColumn("group_id", F.floor(F.col("sample_id") / 4))
     return evaluation.with_folds(samples).select("sample_id", "label", "fold", "group_fold")
+
+
+@query(f"""WITH {CLOUDS_SQL}, o AS (
+  SELECT sample_id, min(x) AS lo, (max(x) - min(x)) / 29 AS step, max(x) AS hi, count(*) AS n FROM cloud GROUP BY sample_id
+), edge AS (
+  SELECT sample_id, n, i::INT AS i, CASE WHEN i = 29 THEN hi ELSE lo + i * step END AS at FROM o, range(30) r(i)
+), bin AS (
+  SELECT a.sample_id, a.i, a.n, (a.at + b.at) / 2 AS centre, count(c.x) AS held
+  FROM edge a JOIN edge b ON a.sample_id = b.sample_id AND b.i = a.i + 1 LEFT JOIN cloud c ON c.sample_id = a.sample_id AND c.x >= a.at AND (c.x < b.at OR (a.i = 28 AND c.x <= b.at)) GROUP BY ALL
+), flag AS (
+  SELECT *, held < greatest(n / 29.0::DOUBLE * 0.2::DOUBLE, 1) AS sparse FROM bin
+), run AS (
+  SELECT *, max(CASE WHEN NOT sparse THEN i END) OVER (PARTITION BY sample_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS full_before,
+         lag(sparse) OVER (PARTITION BY sample_id ORDER BY i) AS after_sparse FROM flag
+), cut AS (
+  SELECT sample_id, i AS ends, (coalesce(full_before, -1) + 1 + i) // 2 AS middle FROM run WHERE NOT sparse AND after_sparse
+) SELECT c.sample_id, c.ends, round(b.centre, 8) + 0.0 AS threshold FROM cut c JOIN bin b ON b.sample_id = c.sample_id AND b.i = c.middle""")
+def split_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the gaps of each cloud's projection on x would split it, by the bin that ends the gap."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                x = np.array([p["x"] for p in r.pts], float)
+                edges = splitting.bin_edges(x)
+                out += [(r.sample_id, ends, at) for at, ends in splitting.gaps(np.histogram(x, bins=edges)[0], edges)]
+            yield pd.DataFrame(out, columns=["sample_id", "ends", "threshold"])
+
+    found = clouds(spark, sf_dir).select("sample_id", "pts").mapInPandas(cut, "sample_id bigint, ends int, threshold double")
+    return found.select("sample_id", "ends", _r("threshold", 8).alias("threshold"))

@@ -1,15 +1,18 @@
 """The whole perception pipeline.
 
 Clipping, ground removal and clustering run frame by frame in parallel. Splitting, merging,
-classification and tracking depend on the frame before, so they are one stateful function by sensor;
-without feedback they run frame by frame as well.
+classification and tracking depend on the frame before, so they are one stateful function by sensor,
+which streams through the frames in order; without feedback they run frame by frame as well, and their
+results can be kept and tracked later.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelry.functions import features as feats
@@ -18,7 +21,9 @@ from voxelry.operators.classify import Forest
 from voxelry.operators.evaluation import demoted
 from voxelry.operators.ground import Calibration
 from voxelry.schemas import CLASSES, CLUSTER, TRACKS, frame_key
-from voxelry.streaming.tracker import COLUMNS, Tracker, track_rows
+from voxelry.sources import store
+from voxelry.streaming.tracker import COLUMNS, Tracker, track_rows, whole_frames
+from voxelry.streaming.tracker import track as tracker_of
 
 GATE_DISTANCE, MAX_MISSES = 5.0, 3
 
@@ -126,17 +131,35 @@ def run(points: DataFrame, calibration: Calibration, forest: Forest, mode: int =
     sensor = F.coalesce(F.col("sensor_id").cast("bigint"), F.lit(-1)) if "sensor_id" in points.columns else F.lit(0)
     points = points.withColumn("sensor_id", sensor.cast("bigint"))
     found, frames = clusters(points, calibration, **options), points.select("sensor_id", "frame_id").distinct()
-
-    def of_sensor(pdf: pd.DataFrame, seen_frames: pd.DataFrame) -> pd.DataFrame:
-        tracker, guides, out = Tracker(MAX_MISSES, 2, GATE_DISTANCE, dt, class_gate), [], []
-        by_frame = dict(iter(pdf.groupby("frame_id")))
-        for frame in sorted(seen_frames.frame_id):
-            rows = by_frame.get(frame)
-            here = merge_frame(splitting.split_frame(splitting.clusters_of(rows), guides, legacy_split_gate)) if rows is not None else []
+    # A frame without clusters is a row without cluster_id.
+    every = found.unionByName(frames, allowMissingColumns=True).repartition("sensor_id").sortWithinPartitions("sensor_id", "frame_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, tracker, guides = None, None, []
+        for sensor, frame, rows in whole_frames(batches):
+            if sensor != at:
+                at, tracker, guides = sensor, Tracker(MAX_MISSES, 2, GATE_DISTANCE, dt, class_gate), []
+            rows = rows[rows.cluster_id.notna()].astype({"cluster_id": "int64", "label_id": "int64", "n_points": "int64"})
+            here = merge_frame(splitting.split_frame(splitting.clusters_of(rows), guides, legacy_split_gate))
             seen = [c for c in classified(here, forest, mode) if c["pred"] > 0]
             tracks = tracker.step([{"position": c["xyz"].mean(0), "class_label": CLASSES[c["pred"]], "class_confidence": c["conf"], "n_points": c["n_points"]} for c in seen])
-            out += track_rows(int(seen_frames.sensor_id.iloc[0]), int(frame), tracks)
+            yield pd.DataFrame(track_rows(sensor, frame, tracks), columns=COLUMNS)
             guides = [{"position": t.position, "class_label": t.last_class} for t in tracker.confirmed() if t.last_class != "background"]
-        return pd.DataFrame(out, columns=COLUMNS)
 
-    return found.groupBy("sensor_id").cogroup(frames.toDF(*frames.columns).groupBy("sensor_id")).applyInPandas(of_sensor, TRACKS)
+    return every.mapInPandas(run, TRACKS)
+
+
+def cached_objects(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """Every frame's objects from the table at ``path`` if there is one, else what ``make`` gives, written there; see :func:`objects`."""
+    return store.cached_results(spark, path, make, force)
+
+
+def track_cached(found: DataFrame, dt: float = 0.1) -> DataFrame:
+    """Confirmed tracks of kept objects, with the class and confidence of the last detection; no feedback on splits."""
+    names = F.create_map(*[F.lit(v) for kv in CLASSES.items() for v in kv])
+    sensor = F.col("sensor_id") if "sensor_id" in found.columns else F.lit(0).cast("bigint")
+    seen = found.where("pred > 0").select(
+        sensor.alias("sensor_id"), "frame_id", F.col("cluster_id").alias("det_id"), "centroid.*", names[F.col("pred")].alias("class_label"), F.col("conf").alias("class_confidence"), "n_points"
+    )
+    tracks = tracker_of(seen, max_misses=MAX_MISSES, gate_distance=GATE_DISTANCE, dt=dt).where("status = 'CONFIRMED'")
+    return tracks.withColumn("class_label", F.col("last_class")).withColumn("class_confidence", F.col("last_confidence"))

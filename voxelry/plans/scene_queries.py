@@ -137,7 +137,7 @@ SELECT hyp, n_inliers, row_number() OVER (ORDER BY n_inliers DESC, hyp) = 1 AS b
 def ransac_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inliers of each plane hypothesis, and the winner: most inliers, of equal ones the first."""
     near = ground.calibration_points(points(spark, sf_dir)).where("near")
-    counts = ground.inlier_counts(near, spark.createDataFrame(PLANES, "hyp int, nx double, ny double, nz double, d double"))
+    counts = ground.inlier_counts(near, PLANES)
     return counts.withColumn("best", F.row_number().over(Window.orderBy(F.desc("n_inliers"), "hyp")) == 1)
 
 
@@ -252,29 +252,27 @@ def split_track_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(found, tracks).select("frame_id", "label_id", "cluster_id", "n_points", "was_split", "track_guided")
 
 
-@query(f"""WITH {POINTS_SQL} SELECT frame_id, count(*) AS n_points, round(min(x), 8) AS x_min, round(max(x), 8) AS x_max, round(min(y), 8) AS y_min, round(max(y), 8) AS y_max,
-round(min(z), 8) AS z_min, round(max(z), 8) AS z_max, round(avg(intensity), 8) AS mean_intensity, count(DISTINCT ring) AS n_rings,
+@query(f"""WITH {POINTS_SQL} SELECT frame_id, count(*) AS n_points, {', '.join(f'round(min({a}), 8) AS {a}_min, round(max({a}), 8) AS {a}_max, round(max({a}) - min({a}), 8) AS {a}_span' for a in 'xyz')},
+round(avg(intensity), 8) AS mean_intensity, round(min(intensity), 8) AS min_intensity, round(max(intensity), 8) AS max_intensity, count(DISTINCT ring) AS n_rings,
 round(count(*) / greatest((max(x) - min(x)) * (max(y) - min(y)), 1e-6::DOUBLE), 8) AS per_area FROM points GROUP BY frame_id""")
 def scene_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, extents and densities of each frame."""
-    return _scene(points(spark, sf_dir))
-
-
-def _scene(p: DataFrame) -> DataFrame:
-    ends = [_r(f(a), 8).alias(f"{a}_{n}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))]
+    ends = [e for a in "xyz" for e in (_r(F.min(a), 8).alias(f"{a}_min"), _r(F.max(a), 8).alias(f"{a}_max"), _r(F.max(a) - F.min(a), 8).alias(f"{a}_span"))]
     area = F.greatest((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), F.lit(1e-6))
-    return p.groupBy("frame_id").agg(
-        F.count(F.lit(1)).alias("n_points"), *ends, _r(F.avg("intensity"), 8).alias("mean_intensity"), F.count_distinct("ring").alias("n_rings"), _r(F.count(F.lit(1)) / area, 8).alias("per_area"),
+    return points(spark, sf_dir).groupBy("frame_id").agg(
+        F.count(F.lit(1)).alias("n_points"), *ends, _r(F.avg("intensity"), 8).alias("mean_intensity"), _r(F.min("intensity"), 8).alias("min_intensity"), _r(F.max("intensity"), 8).alias("max_intensity"),
+        F.count_distinct("ring").alias("n_rings"), _r(F.count(F.lit(1)) / area, 8).alias("per_area"),
     )
 
 
-@query(f"""WITH {POINTS_SQL}, s AS (SELECT frame_id, count(*) AS n, min(z) AS zm FROM points GROUP BY frame_id)
-SELECT count(*) AS n_frames, min(n) AS n_min, max(n) AS n_max, round(avg(n), 8) AS n_mean, round(max(zm) - min(zm), 8) AS z_min_spread, max(zm) - min(zm) < 0.5 AS ground_consistent FROM s""")
+@query(f"""WITH {POINTS_SQL}, s AS (SELECT frame_id, count(*) AS n, min(z) AS lo, max(z) AS hi FROM points GROUP BY frame_id)
+SELECT count(*) AS n_frames, min(n) AS n_min, max(n) AS n_max, round(avg(n), 8) AS n_mean, round(min(lo), 8) AS z_min_least, round(max(lo), 8) AS z_min_most, round(min(hi), 8) AS z_max_least,
+       round(max(hi), 8) AS z_max_most, max(lo) - min(lo) < 0.5 AS ground_consistent FROM s""")
 def cross_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much the frames differ."""
-    s = points(spark, sf_dir).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("zm"))
-    spread = F.max("zm") - F.min("zm")
-    return s.agg(F.count(F.lit(1)).alias("n_frames"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), _r(F.avg("n"), 8).alias("n_mean"), _r(spread, 8).alias("z_min_spread"), (spread < 0.5).alias("ground_consistent"))
+    s = points(spark, sf_dir).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi"))
+    ends = [_r(f(c), 8).alias(f"z_{n}_{e}") for c, n in (("lo", "min"), ("hi", "max")) for f, e in ((F.min, "least"), (F.max, "most"))]
+    return s.agg(F.count(F.lit(1)).alias("n_frames"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), _r(F.avg("n"), 8).alias("n_mean"), *ends, (F.max("lo") - F.min("lo") < 0.5).alias("ground_consistent"))
 
 
 @query(f"""WITH {POINTS_SQL} SELECT frame_id, CASE WHEN z < 0 THEN 'low' WHEN z < 2 THEN 'middle' ELSE 'high' END AS band, count(*) AS n,

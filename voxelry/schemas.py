@@ -12,8 +12,10 @@ CLUSTER = (
 )
 TRACKS = (
     "sensor_id bigint, frame_id bigint, track_id bigint, x double, y double, z double, vx double, vy double, vz double, speed double, class_label string, "
-    "class_confidence double, hits int, misses int, age int, status string, n_points bigint"
+    "class_confidence double, hits int, misses int, age int, status string, n_points bigint, last_class string, last_confidence double, frames_alive int"
 )
+#: Detections that the tracker takes in.
+DETECTIONS = "sensor_id bigint, frame_id bigint, det_id bigint, x double, y double, z double, class_label string, class_confidence double, n_points bigint"
 #: Class ids and names.
 CLASSES = {0: "background", 1: "bicyclist", 2: "car", 3: "pedestrian"}
 

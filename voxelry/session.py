@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+from functools import cache
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -10,8 +15,12 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # What a Python worker holds at once, however many points a cloud has.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.ui.enabled": "false",
 }
+#: Used where the session names no shared folder, as in tests on one machine.
+OWN_FOLDER = "/tmp/checkpoints/voxelry"
 
 
 def session(master: str | None = None, **more: str) -> SparkSession:
@@ -20,3 +29,21 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).getOrCreate()
+
+
+@cache
+def _own_folder(application: str) -> str:
+    """A folder for one application on one machine; it goes when Python ends."""
+    path = f"{OWN_FOLDER}/{application}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; our own if unset, on one machine only."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return _own_folder(spark.sparkContext.applicationId)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +81,23 @@ def write_objects(clouds: DataFrame, folder: str) -> None:
     clouds.withColumn("class", names[F.col("label")]).write.partitionBy("class").parquet(folder)
 
 
-def packed(clouds: DataFrame, width: int = OBJECT_WIDTH) -> DataFrame:
-    """Adds ``content``: each cloud's points as the bytes of an object file."""
-    @F.pandas_udf("binary")
-    def pack(pts: pd.Series) -> pd.Series:
-        return pts.map(lambda a: np.array([(p["x"], p["y"], p["z"]) for p in a], "<f4").tobytes())
+def write_object_files(clouds: DataFrame, folder: str) -> DataFrame:
+    """Writes clouds (label, number, pts) as ``class/aug_NNNNNN.bin`` below ``folder``, which driver and executors share.
 
-    return clouds.withColumn("content", pack("pts"))
+    Gives path and n_points of each file. A file is written whole under its own name, so a task that
+    runs again writes the same file again.
+    """
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                path = f"{root}/{CLASSES[r.label]}/aug_{r.number:06d}.bin"
+                store.create_dir(path.rsplit("/", 1)[0])
+                with store.open_output_stream(path) as file:
+                    file.write(np.array([(p["x"], p["y"], p["z"]) for p in r.pts], "<f4").tobytes())
+                out.append((path, len(r.pts)))
+            yield pd.DataFrame(out, columns=["path", "n_points"])
+
+    done = clouds.select("label", "number", "pts").mapInPandas(write, "path string, n_points bigint")
+    return clouds.sparkSession.createDataFrame(done.toArrow())  # a row by file; the files are written once

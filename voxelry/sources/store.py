@@ -4,22 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def cached_features(spark: SparkSession, path: str, names: list[str], rows: int, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table at ``path`` if it has the named columns and as many rows, else what ``make`` gives, written there."""
-    if not force:
-        try:
-            found = spark.read.parquet(path)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            if set(names) <= set(found.columns) and found.count() == rows:
-                return found
+    found = None if force else _table(spark, path)
+    if found is not None and set(names) <= set(found.columns) and found.count() == rows:
+        return found
     make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -45,10 +39,30 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]
     return PipelineModel.load(f"{path}/model"), list(meta["names"]), meta["mode"]
 
 
-def cacheable(tracks: DataFrame) -> DataFrame:
-    """Frame results in the form that is cached: one row per track, partitioned by frame when written."""
-    return tracks.drop("pts") if "pts" in tracks.columns else tracks
+def cacheable(found: DataFrame) -> DataFrame:
+    """Classified clusters in the form that is kept: without probabilities and heights above ground."""
+    return found.drop("proba", "z_above_ground")
 
 
-def write_results(tracks: DataFrame, path: str) -> None:
-    cacheable(tracks).repartition(F.col("frame_id")).write.mode("overwrite").partitionBy("frame_id").parquet(path)
+def write_results(found: DataFrame, path: str) -> None:
+    """Writes the clusters of all frames, a frame's together."""
+    cacheable(found).repartition("frame_id").sortWithinPartitions("frame_id", "cluster_id").write.mode("overwrite").parquet(path)
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def cached_results(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """The results at ``path`` if there are any, else what ``make`` gives, written there."""
+    found = None if force else _table(spark, path)
+    if found is None:
+        write_results(make(), path)
+        found = spark.read.parquet(path)
+    return found
