@@ -2,59 +2,39 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
 import uuid
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelry.session import shared_folder
+
 #: The only white space that these operators split on.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used where the session names no shared folder, as in tests on one machine.
-OWN_FOLDER = "/tmp/checkpoints/voxelry"
-
-
-@cache
-def _own_folder(application: str) -> str:
-    """A folder for one application on one machine; it goes when Python ends."""
-    path = f"{OWN_FOLDER}/{application}"
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; our own if unset, on one machine only."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return _own_folder(spark.sparkContext.applicationId)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again.
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder, or to ``path``, and reads it again.
 
     This cuts the lineage like checkpoint() does, survives lost executors, and is columnar, so that
     later reads prune columns and the planner knows the size.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(*tables: DataFrame) -> None:
-    """Removes tables that :func:`written` gave, once nothing that is still to run reads them."""
-    for df in tables:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a written table, once nothing that is still to run reads it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

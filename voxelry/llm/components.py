@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.llm.common import forget, salted, with_all_salts, written
+from voxelry.llm.common import forget, new_path, salted, with_all_salts, written
 
 #: Each two rounds at least halve the longest way to a centre, so this many are never needed; then an error is raised.
 MOST_ROUNDS = 60
@@ -34,11 +34,14 @@ def components(edges: DataFrame) -> DataFrame:
     reach the driver. A node of many edges is dealt to several tasks. An edge table that has no rows
     gives an empty result.
     """
-    edges = written(edges.select("a", "b").where("a <> b"), "edges")
+    spark = edges.sparkSession
+    path = new_path(spark, "edges")
+    edges = written(edges.select("a", "b").where("a <> b"), "edges", path)
     before = None
     for _ in range(MOST_ROUNDS):
-        last, edges = edges, written(_small_star(_large_star(edges)), "stars")
-        forget(last)
+        last, path = path, new_path(spark, "stars")
+        edges = written(_small_star(_large_star(edges)), "stars", path)
+        forget(spark, last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

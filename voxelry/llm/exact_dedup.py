@@ -8,10 +8,10 @@ are grouped by an ordinary shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.llm.common import SPACE, text_or_empty, written
+from voxelry.llm.common import SPACE, free_names, text_or_empty, written
 
 #: The summary tracks so many digests and proposes so many; both bound what is broadcast.
 TRACKED, PROPOSED = 8192, 1000
@@ -53,12 +53,10 @@ def exact_dedup(
     rows = written(rows, "digests")
     winners = written(_winners(rows, tracked, proposed, hot_rows).coalesce(1), "winners")
     hot = rows.join(F.broadcast(winners), "digest")
-    by = Window.partitionBy("digest")
-    cold = (
-        rows.join(F.broadcast(winners), "digest", "left_anti")
-        .withColumn("n", F.count(F.lit(1)).over(by))
-        .withColumn("first", F.min("row").over(by))
-    )
+    cold = rows.join(F.broadcast(winners), "digest", "left_anti")
+    # Grouped map-side first, so that a group beyond the broadcast ones does not gather its rows either.
+    groups = cold.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    cold = cold.join(groups, "digest")
     return hot.unionByName(cold).select(
         F.col("row.id").alias("doc_id"),
         F.col("first.id").alias("keep_id"),
@@ -69,19 +67,22 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept.
+    """``docs`` with one row of each group of equal texts, that of the smallest id; all columns kept.
 
-    Survivors are found by id and digest, so rows that share an id but not a text are told apart; rows
-    that share both are reduced to one.
+    Null and empty texts are equal. Survivors are found by id and digest, so rows that share an id but
+    not a text are told apart; rows that share both are reduced to one. Which of these stays is not
+    said, as their ids and texts agree. An empty table gives an empty result.
     """
+    id_name, digest_name, many, own = free_names(docs, "kept_id", "kept_digest", "repeated", "own_digest")
     kept = exact_dedup(docs, **options)
-    one = kept.groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    one = written(one.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"), F.col("rows").alias("__rows")), "kept")
-    marked = docs.withColumn("__digest", digest())
-    same = marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__digest"] == F.col("__kept"))
-    single = marked.join(one.where("__rows = 1"), same, "left_semi")
-    repeated = marked.join(one.where("__rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return single.unionByName(repeated).drop("__digest")
+    one = kept.groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    one = written(one.where("kept").select(F.col("doc_id").alias(id_name), F.col("digest").alias(digest_name), (F.col("n") > 1).alias(many)), "kept")
+    marked = docs.withColumn(own, digest())
+    found = marked.join(one, docs["doc_id"].eqNullSafe(F.col(id_name)) & (F.col(own) == F.col(digest_name)))
+    repeated = one.where(many).limit(1).count() > 0
+    single = found.where(~F.col(many)) if repeated else found
+    out = single.unionByName(found.where(many).dropDuplicates(["doc_id", own])) if repeated else single
+    return out.drop(id_name, digest_name, many, own)
 
 
 ORACLE = r"""

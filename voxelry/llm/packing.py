@@ -28,7 +28,7 @@ from voxelry.llm.common import small_batches, texts
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that are packed together, and the most cached spellings in a Python worker.
-CHUNK, CACHE = 512, 600_000
+CHUNK, CACHE = 512, 400_000
 #: The share of a window that differencing leaves open, to be filled with cut-off tokens.
 OPEN = 1 / 32
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"

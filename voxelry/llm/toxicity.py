@@ -33,7 +33,7 @@ LEAST_ROWS = 4
 #: Labelled rows that the chain is fitted on.
 SAMPLE = 8000
 #: Words whose cells a Python worker remembers.
-CACHE = 200_000
+CACHE = 20_000
 _WORD = re.compile(r"\w+")
 
 
