@@ -117,7 +117,30 @@ def feat_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.local_features(clouds(spark, sf_dir), ["hull_point_ratio"]).select("sample_id", _r("hull_point_ratio").alias("hull_point_ratio"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLOUDS_SQL}, d AS (
+  SELECT a.sample_id, a.j AS a, b.j AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS d2 FROM cloud a JOIN cloud b USING (sample_id)
+), nn AS (
+  SELECT sample_id, a, min(sqrt(d2)) FILTER (a <> b) AS m FROM d GROUP BY ALL
+), e AS (
+  SELECT sample_id, 2.5 * median(m) AS eps FROM nn GROUP BY sample_id
+), near AS (
+  SELECT sample_id, a, b FROM d JOIN e USING (sample_id) WHERE d2 <= eps * eps
+), core AS (
+  SELECT sample_id, a FROM near GROUP BY ALL HAVING count(*) >= 3
+), link AS (
+  SELECT n.* FROM near n JOIN core c ON c.sample_id = n.sample_id AND c.a = n.a JOIN core k ON k.sample_id = n.sample_id AND k.a = n.b
+), reach(sample_id, a, b) AS (
+  SELECT * FROM link UNION SELECT r.sample_id, r.a, l.b FROM reach r JOIN link l ON l.sample_id = r.sample_id AND l.a = r.b
+), root AS (
+  SELECT sample_id, a, min(b) AS root FROM reach GROUP BY ALL
+), member AS (
+  SELECT sample_id, a, root FROM root
+  UNION ALL SELECT n.sample_id, n.a, min(r.root) FROM near n JOIN root r ON r.sample_id = n.sample_id AND r.a = n.b WHERE (n.sample_id, n.a) NOT IN (SELECT sample_id, a FROM core) GROUP BY ALL
+), size AS (
+  SELECT sample_id, root, count(*) AS n FROM member GROUP BY ALL
+), s AS (
+  SELECT sample_id, count(*) AS n, max(n) AS most FROM size GROUP BY ALL
+) SELECT sample_id, coalesce(n, 1)::DOUBLE AS n_components, round(coalesce(most / 21, 1), 6)::DOUBLE AS largest_component_ratio FROM e LEFT JOIN s USING (sample_id)""")
 def feat_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density components and the share of the largest."""
     return feats.local_features(clouds(spark, sf_dir), ["n_components"]).select("sample_id", "n_components", _r("largest_component_ratio").alias("largest_component_ratio"))

@@ -229,11 +229,22 @@ def merge_engulfed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.absorbed(boxes).select("frame_id", "label", "owner", "owner_n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLUSTERS}, m AS (
+  SELECT frame_id, label, any_value(c.n_points) AS n_points, any_value(c.z_max - c.z_min) AS zr, var_pop(x) AS xx, var_pop(y) AS yy, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz
+  FROM kept JOIN clusters c USING (frame_id, label) WHERE reject_reason IS NULL GROUP BY frame_id, label
+), q AS (
+  SELECT *, (xx + yy + zz) / 3 AS q, sqrt(((xx - (xx + yy + zz) / 3) ** 2 + (yy - (xx + yy + zz) / 3) ** 2 + (zz - (xx + yy + zz) / 3) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM m
+), phi AS (
+  SELECT *, acos(least(greatest(((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p), -1), 1)) / 3 AS phi FROM q
+), ev AS (
+  SELECT *, q + 2 * p * cos(phi) AS e2, q + 2 * p * cos(phi + 2 * pi() / 3) AS e0 FROM phi
+), lin AS (
+  SELECT *, (e2 - (3 * q - e2 - e0)) / (3 * q + 1e-12) AS linearity, sqrt(((e2 - xx) * (e2 - yy) - xy * xy) / ((e2 - (3 * q - e2 - e0)) * (e2 - e0))) AS z_weight FROM ev
+) SELECT frame_id, label, n_points, zr BETWEEN 1.0 AND 2.2 AND n_points BETWEEN 100 AND 2000 AND n_points > 150 AND z_weight <= 0.5 AND linearity > 0.3 AS candidate, round(linearity, 6) AS linearity FROM lin""")
 def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters that look like pedestrians side by side."""
     found = clustering.cluster_points(_labelled(spark, sf_dir), CALIBRATION.ground_height, min_points=MIN_POINTS)
-    return splitting.candidates(found).select("frame_id", "label", "n_points", "candidate", _r("linearity", 8).alias("linearity"))
+    return splitting.candidates(found).select("frame_id", "label", "n_points", "candidate", _r("linearity").alias("linearity"))
 
 
 @query()
