@@ -67,6 +67,26 @@ def test_odd_and_empty_tables_keep_their_rows(spark, odd, none, name):
     assert _all(spark, none)[name]().count() == 0
 
 
+def test_values_of_null_empty_blank_long_and_repeated_rows(spark, odd):
+    got = {k: f().toPandas() for k, f in _all(spark, odd).items() if k not in ("secrets", "langid", "syncmers")}
+    of = lambda name, i: got[name][got[name].doc_id == i]
+    exact = got["exact"]
+    empty = exact[exact.text_sha256 == hashlib.sha256(b"").hexdigest()]
+    assert len(empty) == 3 and set(empty.keep_id) == {1} and set(empty.group_size) == {3} and empty.kept.sum() == 1  # null, "" and a null id
+    assert of("exact", 3).text_sha256.item() == hashlib.sha256(b" ").hexdigest() and of("exact", 3).group_size.item() == 1
+    assert sorted(exact[exact.group_size == 4].kept) == [False] * 3 + [True]  # seven words, with other white space too
+    sim = got["simhash"]
+    assert set(sim[sim.fp == 0].component_id) == {1} and len(sim[sim.fp == 0]) == 4
+    mix = got["mixing"]
+    assert (mix[mix["size"] == 0].taken == 0).all() and (mix["size"] == 0).sum() == 4 and of("mixing", 4)["size"].item() == 100000 and (mix.taken <= 2 * mix["size"]).all()
+    assert set(of("mixing", 6).source.isna()) == {True} and of("mixing", 6).source_size.item() == 7
+    for name, column in (("toxicity", "p_toxic"), ("quality", "score")):
+        assert of(name, 1)[column].item() == of(name, 2)[column].item() and of(name, 5)[column].nunique() == 1 and got[name][column].between(0, 1).all()
+    assert not got["toxicity"][got["toxicity"].doc_id.isin([1, 2, 3])].rejected.any()
+    found = got["licenses"]
+    assert found.license.isna().all() and set(found.origin) == {"none"} and (found.score == 0).all() and found.path.notna().all()
+
+
 def test_packing_of_odd_and_empty_tables(odd, none):
     got = packing.pack(odd).toPandas()
     assert got.groupby(got.doc_id.fillna(-1)).length.sum().sum() == got.length.sum()
@@ -75,8 +95,12 @@ def test_packing_of_odd_and_empty_tables(odd, none):
 
 def test_stages_on_odd_and_empty_tables(spark, odd, none):
     chain = toxicity.train(odd, spark.createDataFrame([], LABELS))
-    for stage in (lambda d: toxicity.drop_toxic(d, chain), exact_dedup.drop_copies, simhash.drop_near_copies, mixing.apply_mix):
-        assert stage(odd).columns == odd.columns and stage(none).count() == 0
+    clash = odd.withColumnsRenamed({"fp": "kept_id", "copies": "own_digest", "units": "row", "at": "salt", "x": "u"})
+    for stage in (lambda d: toxicity.drop_toxic(d, chain), exact_dedup.drop_copies, near.drop_near_copies, mixing.apply_mix):
+        assert stage(clash).columns == clash.columns and stage(none).count() == 0
+        assert {tuple(r) for r in stage(clash).collect()} <= {tuple(r) for r in clash.collect()}
+    packed = packing.pack(clash).toPandas()
+    assert packing.pack(none).count() == 0 and packed.groupby("sequence_id").length.sum().max() <= 4096
     assert toxicity.drop_toxic(odd, chain).count() == odd.count()
     # Three groups of equal texts: the empty ones with the blank one apart, the seven words, and the rest alone.
     norm = Counter(re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in odd.toPandas().text)

@@ -206,7 +206,7 @@ class Scorer:
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id, a probability by category, and ``rejected`` (the last is over the threshold) for each row.
+    """doc_id, a probability by category, and ``rejected`` (the last is over the threshold, so not where nothing was learnt) for each row.
 
     Null and empty texts are scored like texts without words; texts of any length are read whole.
     Repeated rows are kept and scored alike; an empty table gives an empty result; other columns are
@@ -219,7 +219,7 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
         score = Scorer(chain)
         for batch in batches:
             p = score(texts(batch))
-            columns = [batch.column("doc_id"), *[pa.array(p[:, c]) for c in range(len(names))], pa.array(p[:, -1] >= THRESHOLD)]
+            columns = [batch.column("doc_id"), *[pa.array(p[:, c]) for c in range(len(names))], pa.array(p[:, -1] > THRESHOLD)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "rejected"])
 
     schema = ", ".join(["doc_id bigint", *[f"{x} double" for x in names], "rejected boolean"])
@@ -237,6 +237,6 @@ def drop_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(chain)
         for batch in batches:
-            yield batch.filter(pa.array(score(texts(batch))[:, -1] < THRESHOLD))
+            yield batch.filter(pa.array(score(texts(batch))[:, -1] <= THRESHOLD))
 
     return docs.mapInArrow(passed, docs.schema)
