@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,16 @@ from voxelry.operators.ground import Calibration
 from voxelry.plans import pipeline
 from voxelry.plans.registry import query
 from voxelry.plans.scene_queries import MIN_POINTS
+from voxelry.session import shared_folder
 from voxelry.sources.adapters import clouds, points
 
 
 def _rows(spark: SparkSession, sf_dir: str, mode: int = 19) -> DataFrame:
+    """Features with folds, written once: forests read them again and again."""
     made = feats.features(clouds(spark, sf_dir), mode).drop("pts")
-    return evaluation.with_folds(made.withColumn("group_id", F.floor(F.col("sample_id") / 4)), FOLDS).persist()
+    path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    evaluation.with_folds(made.withColumn("group_id", F.floor(F.col("sample_id") / 4)), FOLDS).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query()
