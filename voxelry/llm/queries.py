@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelry.llm import exact_dedup, langid, licenses, mixing, packing, quality, secrets, simhash, syncmers, toxicity
+from voxelry.llm import exact_dedup, infill, langid, licenses, merkle, mixing, packing, quality, secrets, simhash, syncmers, tokencount, toxicity
 from voxelry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.resolve(licenses.as_files(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered=merkle.seventh(docs["doc_id"]))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = infill.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
@@ -66,6 +81,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op11_merkle": op11_merkle,
+    "op12_token_counts": op12_token_counts,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_merkle": merkle.ORACLE, "op13_fill_in_middle": infill.ORACLE}
