@@ -21,8 +21,8 @@ from voxelry.llm.linear import Ftrl, Row, dense, softmax, sparse
 
 #: n-grams of 1 to 3 characters in 2**BITS cells.
 BITS, GRAMS = 15, 3
-#: Labelled rows that the weights are fitted on, in all, and languages that are learned: the most frequent ones.
-SAMPLE, LANGUAGES = 3200, 256
+#: Labelled rows that the weights are fitted on, in all, and the least by language, however many there are.
+SAMPLE, LEAST = 3200, 8
 UNKNOWN = "und"
 _MIX = np.uint32(0x9E3779B1)
 
@@ -89,15 +89,14 @@ def document_frequencies(docs: DataFrame, bits: int = BITS) -> tuple[np.ndarray,
     return out, total
 
 
-def sampled(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
-    """doc_id and lang of up to ``sample`` rows, equal shares of the most frequent languages, by a hash of the id.
+def sampled(docs: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
+    """doc_id and lang of up to ``sample`` rows, equal shares of all languages, ``least`` of each if there are so many; by a hash of the id.
 
     The rows of each language are counted first; then only rows whose hash is below a bound, which
     leaves somewhat more than the language's share, are ordered.
     """
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    found = counts.collect()  # as many rows as languages at most
-    share = max(sample // max(len(found), 1), 1)
+    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language, all of which the model holds
+    share = max(sample // max(len(found), 1), least)
     wide = share + 6 * share**0.5 + 16
     bounds = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, wide / r["n"])) for r in found], "lang string, bound double")
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -138,8 +137,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model | No
         if len(at):
             features.append(tf_idf(at, got["counts"][i].values.to_numpy(), idf))
             labels.append(languages.index(got["lang"][i].as_py()))
-    apart = [i for i in range(len(labels)) if i % 5 == 0]
-    fit = [i for i in range(len(labels)) if i % 5]
+    # Each fifth row of a language is left out for the temperature, so that every language is learned.
+    fit, apart, seen = [], [], np.zeros(len(languages), int)
+    for i, k in enumerate(labels):
+        seen[k] += 1
+        (fit if seen[k] % 5 else apart).append(i)
     learner = Ftrl(1 << bits, len(languages), alpha=1.0, l1=0.02)
     learner.fit([features[i] for i in fit], [labels[i] for i in fit])
     weights = learner.weights()
