@@ -25,8 +25,9 @@ from voxelry.llm.common import text_or_empty, written
 UNIT = r"[^\x20\x09-\x0D]{1,8}"
 #: A k-mer is chosen with a probability of 2 / (K - S + 1).
 K, S = 7, 2
-#: An anchor is a 64-bit number: a hash of 39 bits, a free bit, and a place of 24 bits, in which places beyond wrap around.
-PLACE_BITS = 24
+#: An anchor is a 64-bit number: a hash of 33 bits, a free bit, and a place of 30 bits, which hold every place: a string has
+#: at most 2**31 bytes, and a unit with the space behind it two at least.
+PLACE_BITS = 30
 #: Ranges of ids by shuffle partition, and the most of them.
 RANGES, MOST_RANGES = 16, 32768
 _LAST = -(1 << 63)
