@@ -284,7 +284,18 @@ def test_language_samples_are_equal_shares_and_bounded(spark):
 
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "a").when(F.col("id") % 10 < 5, "b").otherwise("c").alias("lang"))
     assert {r["lang"]: r["count"] for r in langid.sampled(rows, 90).groupBy("lang").count().collect()} == {"a": 30, "b": 30, "c": 30}
-    assert {r["lang"]: r["count"] for r in langid.sampled(rows, 3000, 2).groupBy("lang").count().collect()} == {"b": 1500, "c": 1500}
+    assert {r["lang"]: r["count"] for r in langid.sampled(rows, 3, 5).groupBy("lang").count().collect()} == {"a": 5, "b": 5, "c": 5}
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(1)
+    letters = [chr(i) for i in range(0x4E00, 0x4E00 + 1200)]
+    rows = [(10 * k + i, "".join(rng.choice(letters[4 * k : 4 * k + 4], 60)), f"l{k:03}", "s") for k in range(300) for i in range(10)]
+    docs = _docs(spark, rows).select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    assert model.languages == [f"l{k:03}" for k in range(300)]
+    got = langid.predict(docs, model).toPandas().set_index("doc_id").lang_pred
+    assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.95 and got.nunique() == 300
 
 
 def test_quality_labels_of_held_out_rows_are_not_used(spark, docs, sf_dir):
@@ -322,7 +333,7 @@ def _match(a, b):
 
 
 def _split(fingerprint):
-    return [(int(x) >> 25, int(x) & (1 << 24) - 1) for x in fingerprint]
+    return [(int(x) >> 31, int(x) & (1 << 30) - 1) for x in fingerprint]
 
 
 def test_edited_texts_and_likeness(spark, sf_dir, table):
@@ -369,7 +380,7 @@ def test_syncmers_equal_their_definition(spark, k, s):
         for i in range(len(units) - k + 1):
             h = [inner(units[i + j : i + j + s]) for j in range(k - s + 1)]
             if min(h) in (h[0], h[-1]):
-                want.setdefault(digests[(k, *units[i : i + k])] >> 25, i)
+                want.setdefault(digests[(k, *units[i : i + k])] >> 31, i)
         if want:
             assert got[row] == sorted(want.items())
         else:
@@ -561,17 +572,34 @@ def test_the_stage_drops_near_copies_that_two_bits_miss(spark):
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()} == {1, 3}
 
 
-def test_bits_that_are_allowed_lose_no_similar_pair():
+@pytest.mark.parametrize("bits", [0, 28])
+def test_small_sets_lose_no_similar_pair(spark, bits, monkeypatch):
+    monkeypatch.setattr(near, "MOST_BITS", bits)
     rng = np.random.default_rng(3)
-    words = [f"w{i}" for i in range(5000)]
-    worst = 0
-    for n in (9, 20, 60, 200) * 50:
-        w = [words[i] for i in rng.integers(0, 5000, n + 4)]
-        k = int(n / 9)  # of n shingles each, so many differ at a similarity of 0.8
-        a, b = near.shingles(" ".join(w[: n + 4 - k])), near.shingles(" ".join(w[k:]))
-        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
-            worst = max(worst, ((near.sketch(a) ^ near.sketch(b)) & (1 << 64) - 1).bit_count())
-    assert 10 <= worst <= near.MOST_BITS - 6
+    rows = {}
+    for k in range(60):
+        w = [f"w{i}" for i in rng.integers(0, 5000, 8 + k % 5)]  # 4 to 8 shingles
+        rows[3 * k], rows[3 * k + 1], rows[3 * k + 2] = " ".join(w), " ".join([*w, "more"]), " ".join([*w[1:], "else"])
+    got = near.near_components(_docs(spark, [(k, t, "en", "a") for k, t in rows.items()])).toPandas().set_index("doc_id")
+    want = _jaccard_components(rows)
+    assert got.component_id.to_dict() == want and 60 < len(set(want.values())) < 180
+
+
+def test_pages_of_one_template_meet_few_pairs(spark, monkeypatch):
+    """85 common and 15 own shingles each, a similarity of 0.74: none is a near copy, and none is compared with all others."""
+    rng = np.random.default_rng(4)
+    common = " ".join(f"c{i}" for i in range(89))
+    rows = [(k, f"{' '.join(f'o{k}x{i}' for i in range(15))} {common}", "en", "a") for k in range(700)]
+    rows += [(1000 + k, rows[k][1] + " end", "en", "a") for k in range(5)]
+    compared, similar = [], near._similar
+
+    def counted(pairs, *more):
+        compared.append(pairs.distinct().count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(near, "_similar", counted)
+    got = near.near_components(_docs(spark, rows)).toPandas().set_index("doc_id").component_id
+    assert got.to_dict() == {r[0]: r[0] % 1000 for r in rows} and sum(compared) < 3 * len(rows)
 
 
 def test_near_copies_of_odd_and_empty_tables(odd, none):
