@@ -36,7 +36,9 @@ def test_calibration_finds_a_tilted_plane(spark):
 
 def test_calibration_without_three_near_points_is_level(spark):
     points = spark.createDataFrame([(50.0, 0.0, 1.0), (60.0, 0.0, 2.0)], "x double, y double, z double")
-    assert ground.calibrate(points).normal == (0.0, 0.0, 1.0)
+    with pytest.warns(UserWarning, match="no valid plane"):
+        found = ground.calibrate(points)
+    assert found.normal == (0.0, 0.0, 1.0) and not found.fitted
 
 
 @pytest.mark.parametrize(("n", "accepted"), [(4, False), (5, True), (39, True), (40, True)])
@@ -408,10 +410,8 @@ def test_object_files_and_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, store.read_feature_csv(spark, str(tmp_path / "csv"), ["num_points", "z_range"]).collect())) == sorted(map(tuple, table.collect()))
 
 
-def test_planes_are_drawn_from_all_near_points(spark):
+def test_inliers_of_given_planes(spark):
     points = spark.range(20000).selectExpr("cast(id % 100 AS double) / 10 AS x", "cast(id DIV 100 AS double) / 20 AS y", "0.0D AS z")
-    found = ground.hypotheses(points, 50, 1)
-    assert 40 <= len(found) <= 50 and all(abs(p[3]) == 1 for p in found)
     counts = {r["hyp"]: r["n_inliers"] for r in ground.inlier_counts(points, [(0, 0.0, 0.0, 1.0, 0.0), (1, 1.0, 0.0, 0.0, -5.0)], 0.15).collect()}
     assert counts == {0: 20000, 1: 600}
 

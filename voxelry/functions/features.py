@@ -125,34 +125,123 @@ def native_features(clouds: DataFrame, mode: int = 19) -> DataFrame:
     return made.select(*clouds.columns, *[k for k in FULL if k in made.columns and k not in clouds.columns])
 
 
-def neighbour_distances(xyz: np.ndarray, k: int, block: int = 512) -> np.ndarray:
-    """(n, k) distances to the nearest other points, in rising order; computed in blocks."""
-    out = []
-    for at in range(0, len(xyz), block):
-        d = np.sqrt(((xyz[at : at + block, None, :] - xyz[None, :, :]) ** 2).sum(-1))
-        out.append(np.sort(np.partition(d, k, axis=1)[:, : k + 1], axis=1)[:, 1:])
-    return np.concatenate(out)
-
-
-def density_components(xyz: np.ndarray, eps: float, least: int = 3, block: int = 512) -> np.ndarray:
-    """DBSCAN labels from 0, -1 for noise: core points within ``eps`` of each other share a label."""
-    n = len(xyz)
-    near = [np.flatnonzero(row) for at in range(0, n, block) for row in ((xyz[at : at + block, None, :] - xyz[None, :, :]) ** 2).sum(-1) <= eps * eps]
-    core = np.array([len(x) >= least for x in near])
-    label = np.full(n, -1)
-    found = 0
-    for i in range(n):
-        if label[i] >= 0 or not core[i]:
+def _leaves(xyz: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A k-d tree's leaves of ``most`` points at most: the points' order, and where each leaf starts, with the end at last.
+
+    Boxes are halved by rank along their longest side, so repeated points are divided too.
+    """
+    order, starts, todo = np.arange(len(xyz)), [], [(0, len(xyz))]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= most:
+            starts.append(a)
             continue
-        label[i], todo = found, [i]
-        while todo:
-            for j in near[todo.pop()]:
-                if label[j] < 0:
-                    label[j] = found
-                    if core[j]:
-                        todo.append(int(j))
-        found += 1
-    return label
+        inside = xyz[order[a:b]]
+        half = (b - a) // 2
+        order[a:b] = order[a:b][np.argpartition(inside[:, np.argmax(np.ptp(inside, axis=0))], half)]
+        todo += [(a, a + half), (a + half, b)]
+    return order, np.array(sorted(starts) + [len(xyz)])
+
+
+class _Tree:
+    """Points in leaves, with the leaves' boxes. Distances between boxes bound those between their points."""
+
+    def __init__(self, xyz: np.ndarray, most: int = 16) -> None:
+        self.order, self.starts = _leaves(xyz, most)
+        self.xyz = xyz[self.order]
+        self.low, self.high = np.minimum.reduceat(self.xyz, self.starts[:-1]), np.maximum.reduceat(self.xyz, self.starts[:-1])
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def apart(self, leaf: int) -> np.ndarray:
+        """The squared distance of each leaf's box from this leaf's."""
+        gap = np.maximum(np.maximum(self.low - self.high[leaf], self.low[leaf] - self.high), 0.0)
+        return (gap * gap).sum(1)
+
+    def rows(self, leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.starts[i], self.starts[i + 1]) for i in leaves])
+
+    def squares(self, leaf: int, rows: np.ndarray) -> np.ndarray:
+        """Squared distances of this leaf's points from those in ``rows``."""
+        own, other, out = self.xyz[self.starts[leaf] : self.starts[leaf + 1]], self.xyz[rows], 0.0
+        for axis in range(3):
+            step = own[:, None, axis] - other[None, :, axis]
+            out = out + step * step
+        return out
+
+
+def neighbour_distances(xyz: np.ndarray, k: int) -> np.ndarray:
+    """(n, k) distances to the nearest other points, in rising order; there are more than k points.
+
+    Each leaf looks at a few leaves around it first; the farthest of the k found there bounds the leaves that can hold a
+    nearer point, and only these are looked at again. A little slack covers rounding in the boxes' distances.
+    """
+    tree, out = _Tree(xyz), np.empty((len(xyz), k))
+    few = -(-2 * (k + 1) // max(1, len(xyz) // len(tree))) + 4
+    for leaf in range(len(tree)):
+        apart = tree.apart(leaf)
+        if len(tree) > few:
+            rows = tree.rows(np.argpartition(apart, few)[:few])
+            # A point's k nearest here, itself among them, are no nearer than its k nearest of all.
+            bound = np.partition(tree.squares(leaf, rows), k, axis=1)[:, k].max()
+            rows = tree.rows(np.flatnonzero(apart <= bound * (1 + 1e-9)))
+        else:
+            rows = np.arange(len(xyz))
+        d = np.partition(tree.squares(leaf, rows), k, axis=1)[:, : k + 1]
+        out[tree.order[tree.starts[leaf] : tree.starts[leaf + 1]]] = np.sqrt(np.sort(d, axis=1)[:, 1:])
+    return out
+
+
+def _joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Puts the sets of each pair together; the least member stands for a set."""
+    while len(a):
+        x, y = parent[a], parent[b]
+        while ((then := parent[x]) != x).any():
+            x = then
+        while ((then := parent[y]) != y).any():
+            y = then
+        apart = x != y
+        a, b = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(parent, b, a)
+
+
+def density_components(xyz: np.ndarray, eps: float, least: int = 3) -> np.ndarray:
+    """DBSCAN labels from 0, -1 for noise: core points within ``eps`` of each other share a label.
+
+    Labels count by the first core point of each component; a point at the edge takes the least label around it.
+    Repeated points are looked at once. Pairs are met leaf by leaf and never held all at once.
+    """
+    points, first, of, times = np.unique(xyz, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    of = of.reshape(-1)
+    by_first = np.argsort(first, kind="stable")  # so that the least number of a set is that of its first point
+    points, times = points[by_first], times[by_first]
+    of = np.argsort(by_first)[of]
+    tree, n = _Tree(points), np.zeros(len(points), np.int64)
+    near = [np.flatnonzero(tree.apart(leaf) <= eps * eps * (1 + 1e-9)) for leaf in range(len(tree))]
+    weight = times[tree.order]
+    for leaf in range(len(tree)):
+        rows = tree.rows(near[leaf])
+        n[tree.order[tree.starts[leaf] : tree.starts[leaf + 1]]] = (tree.squares(leaf, rows) <= eps * eps) @ weight[rows]
+    core = n >= least
+    parent, edge = np.arange(len(points)), np.full(len(points), len(points))
+    pairs = []
+    for leaf in range(len(tree)):
+        rows = tree.rows(near[leaf])
+        i, j = np.nonzero(tree.squares(leaf, rows) <= eps * eps)
+        a, b = tree.order[tree.starts[leaf] + i], tree.order[rows[j]]
+        both = core[a] & core[b] & (a < b)
+        _joined(parent, a[both], b[both])
+        outer = ~core[a] & core[b]
+        pairs.append((a[outer], b[outer]))  # fewer than ``least`` for each point
+    root = parent
+    while ((then := root[root]) != root).any():
+        root = then
+    for a, b in pairs:
+        np.minimum.at(edge, a, root[b])
+    label = np.where(core, root, edge)
+    found = np.unique(label[label < len(points)])
+    return np.where(label < len(points), np.searchsorted(found, label), -1)[of]
 
 
 def hull_vertices(xyz: np.ndarray) -> int | None:

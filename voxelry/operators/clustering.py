@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelry.functions.geometry import axis2, float_cell
 from voxelry.schemas import frame_key
+from voxelry.session import written
 
 # Cell size, occupancy, and the reject limits in the order they are tested.
 CELL, OCCUPIED = 0.15, 2
@@ -96,6 +97,77 @@ def with_labels(celled: DataFrame, occupied: int = OCCUPIED) -> DataFrame:
     return rows.groupBy(*key).applyInPandas(label, ", ".join([*[f"{c} bigint" for c in key], "x double, y double, z double, cx bigint, cy bigint, label bigint"]))
 
 
+# Frames that are larger than a task
+
+
+def cells_from(points: DataFrame, cell: float = CELL) -> DataFrame:
+    """As :func:`with_cells`, for frames of any size: their least x and y are aggregates, one row a frame."""
+    key = frame_key(points)
+    least = points.groupBy(*key).agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    at = lambda v: F.floor((F.col(v) - F.col(f"{v}0")) / F.lit(cell)).cast("bigint")
+    return points.join(least, key).withColumn("cx", at("x")).withColumn("cy", at("y")).drop("x0", "y0")
+
+
+def _border_links(cells: DataFrame, tile: int) -> DataFrame:
+    """The frame's key, a, b: labels (``local``) of cells that touch across a border between tiles. Only cells at a border are joined."""
+    key = frame_key(cells)
+    found = None
+    for x, y in ((1, 0), (0, 1)):
+        last = F.pmod("cx" if x else "cy", F.lit(tile))
+        before = cells.where(last == tile - 1).select(*key, (F.col("cx") + x).alias("cx"), (F.col("cy") + y).alias("cy"), F.col("local").alias("a"))
+        after = cells.where(last == 0).select(*key, "cx", "cy", F.col("local").alias("b"))
+        links = before.join(after, [*key, "cx", "cy"]).select(*key, "a", "b")
+        found = links if found is None else found.unionByName(links)
+    return found.distinct()
+
+
+def linked_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct labels of a graph's edges, and the least label of each one's component."""
+    labels, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = of[: len(a)], of[len(a) :], np.arange(len(labels))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, root[a], root[b])
+        np.minimum.at(least, root[b], root[a])
+        while (least != (then := least[least])).any():
+            least = then
+        least = least[root]
+        if (least == root).all():
+            return labels, labels[root]
+        root = least
+
+
+def tiled_components(cells: DataFrame, tile: int) -> DataFrame:
+    """The rows of :func:`components`, for frames of any size: components by tile of ``tile`` x ``tile`` cells, merged across borders.
+
+    A tile's cells are labelled in one group, of ``tile`` squared cells at most. Labels that meet across a border form a graph
+    of at most two edges for each cell at a border, which is solved by frame; the labels it changes are joined back.
+    """
+    key = frame_key(cells)
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(local=component_labels(pdf.cx.to_numpy(), pdf.cy.to_numpy()))[[*key, "cx", "cy", "local"]]
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels, root = linked_labels(pdf.a.to_numpy(), pdf.b.to_numpy())
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "local": labels, "merged": root})
+
+    longs = lambda names: ", ".join(f"{c} bigint" for c in names)
+    tiles = [F.floor(F.col(c) / tile).alias(t) for c, t in (("cx", "tx"), ("cy", "ty"))]
+    local = cells.where("occupied").select(*[F.col(k).cast("bigint").alias(k) for k in key], "cx", "cy", *tiles)
+    local = written(local.groupBy(*key, "tx", "ty").applyInPandas(label, longs([*key, "cx", "cy", "local"])), "tiles")
+    merged = _border_links(local, tile).groupBy(*key).applyInPandas(merge, longs([*key, "local", "merged"]))
+    return local.join(merged, [*key, "local"], "left").select(*key, "cx", "cy", F.coalesce("merged", "local").alias("label"))
+
+
+def tiled_labels(celled: DataFrame, tile: int, occupied: int = OCCUPIED) -> DataFrame:
+    """The rows of :func:`with_labels`, for frames of any size; points meet their cell's label by a join. ``celled`` is read twice."""
+    key = [*frame_key(celled), "cx", "cy"]
+    labels = tiled_components(bev_cells(celled, occupied), tile)
+    rows = celled.select(*[F.col(c).cast("bigint").alias(c) for c in key[:-2]], *[F.col(c).cast("double").alias(c) for c in "xyz"], "cx", "cy")
+    return rows.join(labels, key).select(*key[:-2], "x", "y", "z", "cx", "cy", "label")
+
+
 def trimmed(labelled: DataFrame, ground_height: float) -> DataFrame:
     """Drops the low skirt of clusters near the ground: keeps z above the floor-rank 5th percentile."""
     by = Window.partitionBy(*frame_key(labelled), "label")

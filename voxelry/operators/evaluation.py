@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelry.operators.quantiles import quantiles
+
 # Stage 1's confidence for background, stage 2's least confidence, and the folds.
 SAFETY, RECOVERY, FOLDS, SEED = 0.70, 0.50, 5, 42
 
@@ -119,12 +121,9 @@ def safety_net(routed: DataFrame) -> DataFrame:
     """By true class: rows sent on, recovered, given a wrong class, or rejected, and quantiles of the recovered rows' confidence."""
     u = routed.where("uncertain")
     right, wrong = F.col("pred") == F.col("truth"), (F.col("pred") > 0) & (F.col("pred") != F.col("truth"))
-    hit = F.when(right & (F.col("truth") > 0), F.col("conf"))
-    quantile = lambda q: F.percentile(hit, F.lit(q))
-    return u.groupBy("truth").agg(
-        F.count(F.lit(1)).alias("n_routed"), F.count_if(right & (F.col("truth") > 0)).alias("n_recovered"), F.count_if(wrong).alias("n_wrong"), F.count_if(F.col("pred") == 0).alias("n_rejected"),
-        quantile(0.25).alias("q25"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"),
-    )
+    hit = right & (F.col("truth") > 0)
+    counts = u.groupBy("truth").agg(F.count(F.lit(1)).alias("n_routed"), F.count_if(hit).alias("n_recovered"), F.count_if(wrong).alias("n_wrong"), F.count_if(F.col("pred") == 0).alias("n_rejected"))
+    return counts.join(quantiles(u.where(hit), ["truth"], "conf", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), "truth", "left")
 
 
 def miss_rates(routed: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelry.operators.quantiles import quantiles
 from voxelry.schemas import classes
+from voxelry.session import written
 
 METRICS = ("n_points", "z_range", "xy_spread", "density")
 #: Pairs of classes that are compared.
@@ -38,9 +40,10 @@ def _long(clouds: DataFrame) -> DataFrame:
 
 def class_metrics(clouds: DataFrame) -> DataFrame:
     """mean, std (population), median, p10, p90 of each metric by class."""
-    return _long(clouds).groupBy("label", "metric").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.median("v").alias("median"), F.percentile("v", F.lit(0.1)).alias("p10"), F.percentile("v", F.lit(0.9)).alias("p90")
-    )
+    values = written(_long(clouds).select("label", "metric", "v"), "metrics")
+    means = values.groupBy("label", "metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    found = quantiles(values, ["label", "metric"], "v", {"median": 0.5, "p10": 0.1, "p90": 0.9}).withColumnsRenamed({"label": "of", "metric": "by"})
+    return means.join(found, means["label"].eqNullSafe(found["of"]) & (means["metric"] == found["by"]), "left").drop("of", "by")
 
 
 def class_overlap(clouds: DataFrame, pairs: tuple[tuple[int, int], ...] = PAIRS) -> DataFrame:

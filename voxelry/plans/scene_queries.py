@@ -11,6 +11,7 @@ from voxelry.functions.geometry import rotated, rotation_to_vertical
 from voxelry.operators import clustering, ground, merging, splitting, views
 from voxelry.operators.ground import Calibration
 from voxelry.plans.registry import query
+from voxelry.session import written
 from voxelry.sources.adapters import POINTS_SQL, points
 
 #: A slightly tilted sensor; the same numbers stand in the SQL.
@@ -153,6 +154,48 @@ def calib_ground_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.agg(_r(F.max("ground_height")).alias("ground_height"), _r(share).alias("share_near"))
 
 
+_SEED, _DRAWS = 0, 1000
+_HEX = "('0x' || substr(h, {}, {}))::BIGINT"
+#: The same points and triples are drawn: both depend on MD5 alone.
+_PLANES = f"""{POINTS_SQL}, valid AS (SELECT frame_id, x, y, z, sqrt(x * x + y * y) < 10 AS near FROM points WHERE z > -10 AND z < 30
+), hashed AS (
+  SELECT DISTINCT frame_id, floor(x * 1e6::DOUBLE)::BIGINT AS qx, floor(y * 1e6::DOUBLE)::BIGINT AS qy, floor(z * 1e6::DOUBLE)::BIGINT AS qz FROM valid WHERE near
+), slotted AS (
+  SELECT *, ('0x' || substr(md5('{_SEED}:' || qx || ':' || qy || ':' || qz), 1, 15))::BIGINT AS h FROM hashed
+), kept AS (
+  SELECT *, row_number() OVER (PARTITION BY frame_id, h % 4096 ORDER BY h) AS nth FROM slotted
+), drawn AS (
+  SELECT frame_id, qx / 1e6::DOUBLE AS x, qy / 1e6::DOUBLE AS y, qz / 1e6::DOUBLE AS z, row_number() OVER (PARTITION BY frame_id ORDER BY h, h % 4096) - 1 AS place, count(*) OVER (PARTITION BY frame_id) AS m FROM kept WHERE nth = 1
+), number AS (
+  SELECT hyp, {_HEX.format(1, 8)} AS h1, {_HEX.format(9, 8)} AS h2, {_HEX.format(17, 8)} AS h3 FROM (SELECT range AS hyp, md5('{_SEED}:' || range) AS h FROM range({_DRAWS}))
+), two AS (
+  SELECT frame_id, m, hyp, h1 % m AS a, (h1 % m + 1 + h2 % (m - 1)) % m AS b, h3 % (m - 2) AS c FROM number, (SELECT DISTINCT frame_id, m FROM drawn WHERE m >= 3)
+), skip AS (SELECT frame_id, hyp, a, b, c + (c >= least(a, b))::INT AS c FROM two
+), three AS (SELECT frame_id, hyp, a, b, c + (c >= greatest(a, b))::INT AS c FROM skip
+), cross_ AS (
+  SELECT t.frame_id, hyp, a.x AS ax, a.y AS ay, a.z AS az, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS cx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS cz
+  FROM three t JOIN drawn a ON a.frame_id = t.frame_id AND a.place = t.a JOIN drawn b ON b.frame_id = t.frame_id AND b.place = t.b JOIN drawn c ON c.frame_id = t.frame_id AND c.place = t.c
+), unit AS (
+  SELECT frame_id, hyp, ax, ay, az, cx / s AS nx, cy / s AS ny, cz / s AS nz FROM (SELECT *, CASE WHEN cz < 0 THEN -1 ELSE 1 END * sqrt(cx * cx + cy * cy + cz * cz) AS s FROM cross_) WHERE abs(s) >= 1e-10
+), planes AS (SELECT frame_id, hyp, nx, ny, nz, -(nx * ax + ny * ay + nz * az) AS d FROM unit WHERE nz >= 0.7
+), counts AS (
+  SELECT p.frame_id, hyp, nx, ny, nz, d, count(*) FILTER (abs(x * nx + y * ny + z * nz + d) < 0.3) AS n_inliers FROM planes p JOIN valid v ON v.frame_id = p.frame_id AND near GROUP BY ALL
+), best AS (
+  SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY n_inliers DESC, hyp) = 1
+), made AS (
+  SELECT frame_id, coalesce(nx, 0) AS nx, coalesce(ny, 0) AS ny, coalesce(nz, 1) AS nz, coalesce(d, -low, 0) AS d, coalesce(n_inliers, 0) AS n_inliers, nz IS NOT NULL AS fitted
+  FROM (SELECT frame_id, quantile_cont(z, 0.2) FILTER (near) AS low FROM valid GROUP BY frame_id) LEFT JOIN best USING (frame_id)
+)"""
+
+
+@query(f"""WITH {_PLANES} SELECT frame_id, round(nx, 6) + 0.0 AS nx, round(ny, 6) + 0.0 AS ny, round(nz, 6) + 0.0 AS nz, round(d, 6) + 0.0 AS d, n_inliers, fitted,
+round(quantile_cont(x * nx + y * ny + z * nz, 0.05), 6) + 0.0 AS ground_height FROM made JOIN valid USING (frame_id) GROUP BY frame_id, nx, ny, nz, d, n_inliers, fitted""")
+def calib_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration of each frame from end to end: drawn planes, the best one, and the height of the ground along it."""
+    found = ground.calibrations(points(spark, sf_dir), _DRAWS, seed=_SEED)
+    return found.select("frame_id", *[_r(c).alias(c) for c in ("nx", "ny", "nz", "d")], "n_inliers", "fitted", _r("ground_height").alias("ground_height"))
+
+
 @query(f"WITH {CELLS} SELECT frame_id, r_bin, theta_bin, n, round(local, 6) AS local, accepted, round(CASE WHEN accepted THEN local ELSE {_GH} END, 6) AS ground FROM cells")
 def polar_cell_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground height of each polar cell, with the fallback to the calibrated height."""
@@ -180,6 +223,30 @@ def bev_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.components(clustering.bev_cells(_celled(spark, sf_dir))).groupBy("frame_id", "label").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+#: Cells of a tile's side; a frame of the tables has 20 such tiles.
+TILE = 16
+
+
+def _tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in cells, read from a written table, as frames of any size are read several times."""
+    return clustering.cells_from(written(ground.non_ground(points(spark, sf_dir), CALIBRATION), "other"), CELL)
+
+
+@query(f"WITH RECURSIVE {LABELS} SELECT frame_id, label, count(*) AS n_cells FROM cc GROUP BY ALL")
+def bev_components_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4-connected components of the occupied cells, by tile and merged across borders."""
+    return clustering.tiled_components(clustering.bev_cells(_tiled(spark, sf_dir)), TILE).groupBy("frame_id", "label").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@query(f"""WITH RECURSIVE {CLUSTERS} SELECT frame_id, label, n_before, n_points, round(mx, 8) + 0.0 AS mx, round(my, 8) + 0.0 AS my, round(mz, 8) + 0.0 AS mz, round(z_range, 8) AS z_range,
+round(xy_spread, 8) AS xy_spread, reject_reason FROM clusters""")
+def cluster_extract_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of frames that no task holds whole: cells and components by tile."""
+    rounded = [_r(c, 8).alias(c) for c in ("mx", "my", "mz", "z_range", "xy_spread")]
+    found = clustering.clusters(clustering.tiled_labels(_tiled(spark, sf_dir), TILE), CALIBRATION.ground_height, MIN_POINTS)
+    return found.select("frame_id", "label", "n_before", "n_points", *rounded, "reject_reason")
+
+
 @query(f"WITH RECURSIVE {LABELS} SELECT frame_id, label, count(*) AS n_points, round(avg(z), 8) + 0.0 AS mean_z FROM labelled GROUP BY ALL")
 def point_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points by the label of their cell."""

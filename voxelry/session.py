@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import re
 import shutil
+import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -47,3 +48,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return _own_folder(spark.sparkContext.applicationId)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again, which cuts lineage, survives lost executors and tells the planner its size."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
