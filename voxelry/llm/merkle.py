@@ -190,30 +190,37 @@ def _grown(nodes: DataFrame, folder: str, fanout: int, depth: int) -> list[DataF
     return out
 
 
-def _down(tables: list[DataFrame], fanout: int, depth: int) -> DataFrame | None:
-    """tree, block, path: the steps above each block of the lowest table, where its tree has several."""
-    size, above = fanout**depth, None
+_STEPS = pa.list_(pa.struct([("before", pa.binary()), ("after", pa.binary())]))
+_ENTRY = pa.schema([("tree", pa.string()), ("at", pa.int64()), ("path", _STEPS), ("subroot", pa.string())])
+
+
+def _opened(blocks: DataFrame, fanout: int, depth: int) -> DataFrame:
+    """tree, at, path, subroot for each node of ``blocks``: its siblings in its block, then the block's own path."""
+    size = fanout**depth
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(_matrix(row["digests"]), fanout, depth if row["n"] > 1 else None)
-                for i, own in enumerate(block.paths()):
-                    yield pa.RecordBatch.from_pylist([{"tree": row["tree"], "at": row["block"] * size + i, "path": own + (row["path"] or [])}], schema)
+                first = row["block"] * size
+                yield pa.RecordBatch.from_pylist([{"tree": row["tree"], "at": first + i, "path": own + row["path"], "subroot": row["subroot"]} for i, own in enumerate(block.paths())], _ENTRY)
 
-    step = pa.list_(pa.struct([("before", pa.binary()), ("after", pa.binary())]))
-    schema = pa.schema([("tree", pa.string()), ("at", pa.int64()), ("path", step)])
-    for table in reversed(tables[1:]):
-        rows = table.select("tree", "block", "n", "digests")
-        rows = rows.withColumn("path", F.lit(None).cast(STEP)) if above is None else rows.join(above, ["tree", "block"], "left")
-        above = rows.mapInArrow(opened, f"tree string, at bigint, path {STEP}").withColumnRenamed("at", "block")
-    return above
+    return blocks.mapInArrow(opened, f"tree string, at bigint, path {STEP}, subroot string")
 
 
-def _with_paths(tables: list[DataFrame], fanout: int, depth: int, *columns: str) -> DataFrame:
-    """The lowest table's columns with ``path``, null where a tree is one block."""
-    above, lowest = _down(tables, fanout, depth), tables[0].select("tree", "block", "n", *columns)
-    return lowest.withColumn("path", F.lit(None).cast(STEP)) if above is None else lowest.join(above, ["tree", "block"], "left")
+def _with_paths(tables: list[DataFrame], ends: DataFrame, fanout: int, depth: int) -> DataFrame:
+    """The lowest table with ``path`` and ``subroot`` of each block. ``ends`` has them by tree, for its last block.
+
+    Paths come down by tree and block, so that no join is by a tree alone, however many blocks it has.
+    """
+    above, key = None, ["tree", "block"]
+    for i, table in reversed(list(enumerate(tables))):
+        rows = table.where("n = 1").join(ends, key)
+        if above is not None:
+            rows = rows.unionByName(table.where("n > 1").join(above, key))
+        if i:
+            above = _opened(rows, fanout, depth).withColumnRenamed("at", "block")
+    return rows
 
 
 def _fold(node: bytes, path: list[dict]) -> bytes:
@@ -248,25 +255,17 @@ def manifest(docs: DataFrame, fanout: int = FANOUT, depth: int = DEPTH, tampered
     whole = ranked(tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("top").alias("digest")), f"{folder}/tops", ["name"])
     highest = _grown(whole.select("tree", "at", "n", "digest"), f"{folder}/trees", fanout, depth)
     root = highest[-1].where("n = 1").select(F.col("top").alias("root"))  # one row
-    size = fanout**depth
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                paths = Block(_matrix(row["digests"]), fanout, depth if row["n"] > 1 else None).paths()
-                yield pa.RecordBatch.from_pylist([{"at": row["block"] * size + i, "rest": own + (row["path"] or [])} for i, own in enumerate(paths)], ends)
-
-    step = pa.list_(pa.struct([("before", pa.binary()), ("after", pa.binary())]))
-    ends = pa.schema([("at", pa.int64()), ("rest", step)])
-    rest = _with_paths(highest, fanout, depth, "digests").mapInArrow(opened, f"at bigint, rest {STEP}")
-    trees = whole.select(F.col("name").alias("tree"), "at", F.col("digest").alias("subroot")).join(rest, "at").drop("at").crossJoin(F.broadcast(root))
+    no_path = F.array().cast(STEP)
+    top = spark.range(1).select(F.lit("").alias("tree"), F.col("id").alias("block"), no_path.alias("path"), F.lit("").alias("subroot"))  # one row
+    rest = _opened(_with_paths(highest, top, fanout, depth), fanout, depth).select("at", "path")
+    ends = whole.select(F.col("name").alias("tree"), "at", F.col("digest").alias("subroot"), F.lit(0).cast("bigint").alias("block")).join(rest, "at").drop("at")
 
     def proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own, changed = _matrix(row["digests"]), _matrix(row["tampered"])
                 block = Block(own, fanout, depth if row["n"] > 1 else None)
-                path = (row["path"] or []) + row["rest"]
+                path = row["path"]
                 above = b"".join(s["before"] + s["after"] for s in path)
                 starts = [r.tobytes() for r in block.folded(changed)]
                 top = {s: _fold(s, path).decode() for s in set(starts)}
@@ -278,7 +277,7 @@ def manifest(docs: DataFrame, fanout: int = FANOUT, depth: int = DEPTH, tampered
 
     text = pa.string()
     out = pa.schema([("doc_id", pa.int64()), ("leaf", text), ("subroot", text), ("root", text), ("proof_sha256", text), ("folded_root", text), ("verified", pa.bool_())])
-    found = _with_paths(lowest, fanout, depth, "digests", "doc_id", "tampered").join(trees, "tree")
+    found = _with_paths(lowest, ends, fanout, depth).crossJoin(F.broadcast(root))
     return found.mapInArrow(proved, "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
