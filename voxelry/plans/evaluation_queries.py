@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxelry.operators import evaluation, tracks, views
 from voxelry.plans.registry import query
 from voxelry.sources.adapters import DETECTIONS_SQL, PREDS_SQL, detections, predictions
-from voxelry.streaming import tracker
+from voxelry.streaming import timed, tracker
 
 
 def _r(c: str | Column, digits: int = 6) -> Column:
@@ -155,6 +155,8 @@ def kalman_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Events are dealt to so many sensors; at sf0.1 a frame then has about as many detections as a street scene.
 SENSORS = 16
+#: Frames behind the last one, more than any track outlives.
+SILENT = 5
 
 
 def _sensor_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +176,14 @@ def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.track_streamed(_sensor_frames(spark, sf_dir))
 
 
+@query()
+def track_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tracks from a stream with timers, with the misses behind each sensor's last frame, by which all of them die."""
+    frames = _sensor_frames(spark, sf_dir)
+    last = frames.agg(F.max("frame_id")).first()[0] or 0
+    return timed.track_timed_streamed(frames, last + SILENT)
+
+
 @query()
 def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique tracks, and confirmed ones in the last frame by class."""
