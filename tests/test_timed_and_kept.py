@@ -93,3 +93,17 @@ def test_object_frames_without_objects_are_not_computed_again(spark, tmp_path):
     for _ in range(2):
         assert store.kept_by_frame(spark, str(tmp_path / "k"), {"a": 1}, frames, make).count() == 1
     assert asked == [2]
+
+
+def test_forest_arrays_give_the_models_probabilities(spark, sf_dir):
+    from voxelry.functions import features as feats
+    from voxelry.operators import classify
+    from voxelry.sources.adapters import clouds
+
+    rows = feats.features(clouds(spark, sf_dir), 19).drop("pts").persist()
+    model = classify.train(rows, feats.COMPACT, 7, 6)
+    got = classify.predict(model, rows).select(*feats.COMPACT, "proba").toPandas()
+    forest = classify.Forest(model)
+    assert np.allclose(forest.proba(got[list(feats.COMPACT)].to_numpy(float), 100), np.stack(got.proba.to_numpy()), atol=1e-12)
+    assert forest.proba(np.zeros((0, 19))).shape == (0, 4)
+    assert forest.digest() == classify.Forest(model).digest() != classify.Forest(classify.train(rows, feats.COMPACT, 3, 6)).digest()

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelry.functions import features as feats
 from voxelry.operators import evaluation
+from voxelry.session import shared_folder
 
 # The forests' sizes and the penalties tried for a missed object.
 TREES, STAGE_TREES, DEPTH, LEAF, SEED, MAX_BINS = 100, 300, 20, 5, 42, 128
@@ -130,39 +134,43 @@ def ablation_summary(train_rows: DataFrame, test_rows: DataFrame, modes: tuple[i
 
 
 class Forest:
-    """A fitted forest as arrays, for use inside grouped functions; a few MB at most, sent with the task."""
+    """A fitted forest as arrays, for use inside grouped functions; a few MB at most, sent with the task.
+
+    The nodes come from the table that the model is saved as, in one pass; all trees' nodes are numbered through.
+    """
 
     def __init__(self, model: PipelineModel) -> None:
-        rf = model.stages[-1]
+        rf, spark = model.stages[-1], SparkSession.getActiveSession()
+        path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+        rf.write().save(path)
+        node = F.col("nodeData")
+        nodes = spark.read.parquet(f"{path}/data").select(
+            "treeID", node["id"].alias("id"), node["leftChild"].alias("left"), node["rightChild"].alias("right"), node["split"]["featureIndex"].alias("feature"),
+            F.get(node["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"), node["impurityStats"].alias("stats"),
+        ).toPandas().sort_values(["treeID", "id"], ignore_index=True)
         self.classes = rf.numClasses
-        self.trees = [self._tree(t._call_java("rootNode")) for t in rf.trees]
-
-    def _tree(self, root: object) -> tuple[np.ndarray, ...]:
-        feature, threshold, left, right, value = [], [], [], [], []
-
-        def add(node: object) -> int:
-            i = len(feature)
-            for a in (feature, threshold, left, right, value):
-                a.append(0)
-            stats = np.array(list(node.impurityStats().stats()), float)
-            value[i] = stats / max(stats.sum(), 1e-12)
-            if node.getClass().getSimpleName() == "InternalNode":
-                split = node.split()
-                feature[i], threshold[i] = split.featureIndex(), split.threshold()
-                left[i], right[i] = add(node.leftChild()), add(node.rightChild())
-            else:
-                feature[i] = -1
-            return i
-
-        add(root)
-        return np.array(feature), np.array(threshold, float), np.array(left), np.array(right), np.array(value)
-
-    def proba(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.classes))
-        for feature, threshold, left, right, value in self.trees:
-            at = np.zeros(len(x), int)
-            while (inner := feature[at] >= 0).any():
-                go = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= threshold[at]
-                at = np.where(inner, np.where(go, left[at], right[at]), at)
-            out += value[at]
-        return out / len(self.trees)
+        # A node's id is its place in its tree.
+        self.roots = np.flatnonzero(nodes.id.to_numpy() == 0)
+        start = np.repeat(self.roots, np.diff(self.roots, append=len(nodes)))
+        leaf = nodes.left.to_numpy() < 0
+        self.feature = np.where(leaf, -1, nodes.feature.to_numpy())
+        self.threshold = nodes.threshold.fillna(0.0).to_numpy(float)
+        self.left, self.right = np.where(leaf, 0, nodes.left.to_numpy() + start), np.where(leaf, 0, nodes.right.to_numpy() + start)
+        stats = np.stack(nodes.stats.to_numpy())
+        self.value = stats / np.maximum(stats.sum(1, keepdims=True), 1e-12)
+
+    def digest(self) -> str:
+        """Equal for forests of equal nodes."""
+        return hashlib.sha256(b"".join(np.ascontiguousarray(a).tobytes() for a in (self.feature, self.threshold, self.left, self.right, self.value))).hexdigest()
+
+    def proba(self, x: np.ndarray, rows: int = 4096) -> np.ndarray:
+        """Class probabilities; all trees go down a level at a time, some rows at once."""
+        out = [np.zeros((0, self.classes))]
+        for at in range(0, len(x), rows):
+            some = x[at : at + rows]
+            node, of = np.tile(self.roots, (len(some), 1)), np.arange(len(some))[:, None]
+            while (inner := self.feature[node] >= 0).any():
+                down = np.where(some[of, np.maximum(self.feature[node], 0)] <= self.threshold[node], self.left[node], self.right[node])
+                node = np.where(inner, down, node)
+            out.append(self.value[node].sum(1) / len(self.roots))
+        return np.concatenate(out)

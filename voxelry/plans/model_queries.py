@@ -82,3 +82,13 @@ def pipeline_stateless(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames to classified objects, each frame on its own."""
     model = classify.train(_rows(spark, sf_dir), feats.COMPACT, TREES, DEPTH)
     return pipeline.objects(_street(spark, sf_dir), STREET, classify.Forest(model), mode=19, cell=STREET_CELL, min_points=MIN_POINTS).drop("pts", "proba")
+
+
+@query()
+def pipeline_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed tracks of kept objects: the earlier half of the frames is computed and kept first, then only the others."""
+    forest = classify.Forest(classify.train(_rows(spark, sf_dir), feats.COMPACT, TREES, DEPTH))
+    scene, path, options = _street(spark, sf_dir), f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}", {"mode": 19, "cell": STREET_CELL, "min_points": MIN_POINTS}
+    middle = scene.agg((F.min("frame_id") + F.max("frame_id")) / 2).first()[0] or 0
+    pipeline.kept_objects(scene.where(F.col("frame_id") <= middle), STREET, forest, path, **options)
+    return pipeline.track_cached(pipeline.kept_objects(scene, STREET, forest, path, **options))

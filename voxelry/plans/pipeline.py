@@ -154,6 +154,20 @@ def cached_objects(spark: SparkSession, path: str, make: Callable[[], DataFrame]
     return store.cached_results(spark, path, make, force)
 
 
+def kept_objects(points: DataFrame, calibration: Calibration, forest: Forest, path: str, mode: int = 23, **options) -> DataFrame:
+    """The objects of every frame of ``points`` as they are kept at ``path``; only frames that are not there yet are computed.
+
+    Frames are kept by calibration, forest, mode and options; see :func:`voxelry.sources.store.kept_by_frame`.
+    """
+    keys = frame_key(points)
+    parameters = {"rotation": calibration.rotation.tolist(), "ground_height": calibration.ground_height, "forest": forest.digest(), "mode": mode, **options}
+
+    def make(missing: DataFrame) -> DataFrame:
+        return store.cacheable(objects(points.join(missing, store.same_key(points, missing, keys), "left_semi"), calibration, forest, mode, **options))
+
+    return store.kept_by_frame(points.sparkSession, path, parameters, points.select(*keys).distinct(), make)
+
+
 def track_cached(found: DataFrame, dt: float = 0.1) -> DataFrame:
     """Confirmed tracks of kept objects, with the class and confidence of the last detection; no feedback on splits."""
     names = F.create_map(*[F.lit(v) for kv in CLASSES.items() for v in kv])
