@@ -115,8 +115,8 @@ class TimedTracker(StatefulProcessor):
 def track_timed(frames: DataFrame, dt: float = 0.1, delay: float = 0.0, **options) -> DataFrame:
     """Track rows from a stream of detections (see DETECTIONS), by sensor and frame, as soon as the watermark passes a frame.
 
-    Frame k, from 0, is at (k + 1) * dt seconds, as the watermark starts at 0; rows may come up to ``delay`` seconds after the latest frame of any sensor, later ones are
-    dropped. Null sensors are sensor -1. The session's state store has to be STORE.
+    Frame k, from 0, is at (k + 1) * dt seconds, as the watermark starts at 0; rows may come up to ``delay`` seconds after the
+    latest frame of any sensor, later ones are dropped. Null sensors are sensor -1. The session's state store has to be STORE.
     """
     rows = frames.withColumn("sensor_id", F.coalesce(F.col("sensor_id").cast("bigint"), F.lit(-1))).withColumn("at", F.timestamp_millis(((F.col("frame_id") + 1) * round(dt * 1000)).cast("bigint")))
     timed = rows.withWatermark("at", f"{round(delay * 1000)} milliseconds")
@@ -130,7 +130,6 @@ def track_timed_streamed(frames: DataFrame, until: int, parts: int = 3, files: i
     -2, behind ``until``: it moves the watermark, as the clock of a live source would, and is left out of the result.
     """
     spark = frames.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     folder = f"{shared_folder(spark)}/timed-{uuid.uuid4().hex}"
     names = [c.split()[0] for c in DETECTIONS.split(", ")]
     lo, hi = frames.agg(F.min("frame_id"), F.max("frame_id")).first()
@@ -142,6 +141,12 @@ def track_timed_streamed(frames: DataFrame, until: int, parts: int = 3, files: i
     end = spark.range(1).select(F.lit(-2).cast("bigint").alias("sensor_id"), F.lit(until + 1).cast("bigint").alias("frame_id"), F.lit(0).cast("bigint").alias("det_id"), *[F.lit(0.0).alias(c) for c in "xyz"], F.lit("car").alias("class_label"), F.lit(0.0).alias("class_confidence"), F.lit(0).cast("bigint").alias("n_points"))
     end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(DETECTIONS).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
-    run = track_timed(stream, dt, **options).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STORE)
+    try:
+        run = track_timed(stream, dt, **options).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(key, before)  # other streams of the session keep their own
     return spark.read.schema(TRACKS).parquet(f"{folder}/out").where("sensor_id <> -2")
