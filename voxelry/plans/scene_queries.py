@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from voxelry.functions.geometry import rotated, rotation_to_vertical
 from voxelry.operators import clustering, ground, merging, splitting, views
 from voxelry.operators.ground import Calibration
 from voxelry.plans.registry import query
-from voxelry.session import written
-from voxelry.sources.adapters import POINTS_SQL, points
+from voxelry.session import shared_folder, written
+from voxelry.sources import clouds
+from voxelry.sources.adapters import POINTS_SQL, TIMED_SQL, points, timed_points
+from voxelry.streaming import frames
 
 #: A slightly tilted sensor; the same numbers stand in the SQL.
 CALIBRATION = Calibration(rotation_to_vertical((0.02, -0.015, 1.0)), -0.55)
@@ -405,3 +408,15 @@ def bev_cells_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points around a selected place."""
     return views.selected(points(spark, sf_dir), 10.0, 5.0, 6.0).groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TIMED_SQL} SELECT frame_ns, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, intensity::DOUBLE AS intensity, ring::INT AS ring FROM timed")
+def frames_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of frames that are written as files in two parts and taken up by one stream, which stops between them."""
+    made, folder = timed_points(spark, sf_dir), f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    middle = (made.agg(F.max("frame_ns")).first()[0] or 0) // 2
+    clouds.write_frames(made.where(F.col("frame_ns") <= middle), f"{folder}/files")
+    frames.take_up(spark, f"{folder}/files", f"{folder}/kept")
+    clouds.write_frames(made.where(F.col("frame_ns") > middle), f"{folder}/files")
+    kept = frames.take_up(spark, f"{folder}/files", f"{folder}/kept")
+    return kept.select("frame_ns", *[F.col(k).cast("double").alias(k) for k in ("x", "y", "z", "intensity")], F.col("ring").cast("int").alias("ring"))

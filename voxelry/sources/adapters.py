@@ -17,6 +17,14 @@ points AS (
   FROM lineitem
 )"""
 
+#: Frames by 1,024 orders, a tenth of a second apart, in single precision as in files; their number grows with the data.
+TIMED_SQL = """
+timed AS (
+  SELECT (l_orderkey // 1024) * 100000000 AS frame_ns, ((l_partkey % 160) - 80 + l_discount * 5)::FLOAT AS x, ((l_suppkey % 100) - 50 + l_tax * 5)::FLOAT AS y,
+         (l_quantity / 10 - 1)::FLOAT AS z, (l_extendedprice / 1000)::FLOAT AS intensity, l_linenumber::FLOAT AS ring
+  FROM lineitem
+)"""
+
 CLOUDS_SQL = """
 cloud AS (
   SELECT vec_id AS sample_id, (label % 4)::INT AS label, j::INT AS j, embedding[3 * j + 1]::DOUBLE AS x, embedding[3 * j + 2]::DOUBLE AS y, embedding[3 * j + 3]::DOUBLE AS z
@@ -57,6 +65,16 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame_ns, point_id, x, y, z, intensity, ring: one row per point; point_id only orders the points of a frame."""
+    places = [
+        (F.col("l_partkey") % 160) - 80 + F.col("l_discount") * 5, (F.col("l_suppkey") % 100) - 50 + F.col("l_tax") * 5, F.col("l_quantity") / 10 - 1,
+        F.col("l_extendedprice") / 1000, F.col("l_linenumber"),
+    ]
+    made = _table(spark, sf_dir, "lineitem").select((F.floor(F.col("l_orderkey") / 1024) * 100_000_000).cast("bigint").alias("frame_ns"), *[c.cast("float").alias(n) for c, n in zip(places, ("x", "y", "z", "intensity", "ring"), strict=True)])
+    return made.withColumn("point_id", F.xxhash64("x", "y", "z", "intensity", "ring"))
+
+
 def clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_id, label, pts: one row per pre-segmented object, its points as an array; no shuffle."""
     e = lambda j, k: F.get("embedding", j * 3 + k).cast("double")

@@ -1,8 +1,8 @@
 """Binary point-cloud files as DataFrames, and the sinks that write them.
 
 A file is little-endian float32, ``width`` values a point. The reader is a Python data source,
-registered as ``pointcloud``; each file is one partition's unit of work and is read through Spark's own
-file access, so any store that Spark reads will do.
+registered as ``pointcloud``; the readers here go through Spark's own file access, so any store that Spark
+reads will do. The writers and the stream of frames use that data source.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelry.schemas import CLASSES, CLOUD, POINTS, classes
+from voxelry.sources import pointcloud
 
 FRAME_WIDTH, OBJECT_WIDTH = 5, 3
 
@@ -31,7 +31,7 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
     The stem of a file's name is its time in nanoseconds. Files that are not of whole points raise.
     """
-    found = files(spark, folder, FRAME_WIDTH, recursive=False)
+    found = files(spark, folder, FRAME_WIDTH)
     found = found.withColumn("frame_ns", F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("bigint"))
     return found.withColumn("ok", F.assert_true("valid", F.concat(F.lit("not whole points: "), F.col("path")))).where("ok IS NULL").select("frame_ns", "content").mapInPandas(
         _unpacked, "frame_ns bigint, point_id bigint, x float, y float, z float, intensity float, ring float"
@@ -81,23 +81,32 @@ def write_objects(clouds: DataFrame, folder: str) -> None:
     clouds.withColumn("class", names[F.col("label")]).write.partitionBy("class").parquet(folder)
 
 
+def _save(points: DataFrame, folder: str, width: int) -> None:
+    """Points with their ``file`` as files: a file's rows meet in one partition, sorted, and are published together."""
+    pointcloud.register(points.sparkSession)
+    rows = points.repartition("file").sortWithinPartitions("file", "point_id").select("file", *pointcloud.NAMES[:width])
+    rows.write.format("pointcloud").option("width", width).mode("append").save(folder)
+
+
 def write_object_files(clouds: DataFrame, folder: str) -> DataFrame:
-    """Writes clouds (label, number, pts) as ``class/aug_NNNNNN.bin`` below ``folder``, which driver and executors share.
+    """Writes clouds (label, number, pts) as ``class/aug_NNNNNN.bin``, in a folder for this write below ``folder``, which driver and executors share.
 
-    Gives path and n_points of each file. A file is written whole under its own name, so a task that
-    runs again writes the same file again.
+    Gives path and n_points of each file below ``folder``. Clouds without points make no file.
     """
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = fs.FileSystem.from_uri(folder)
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                path = f"{root}/{CLASSES[r.label]}/aug_{r.number:06d}.bin"
-                store.create_dir(path.rsplit("/", 1)[0])
-                with store.open_output_stream(path) as file:
-                    file.write(np.array([(p["x"], p["y"], p["z"]) for p in r.pts], "<f4").tobytes())
-                out.append((path, len(r.pts)))
-            yield pd.DataFrame(out, columns=["path", "n_points"])
-
-    done = clouds.select("label", "number", "pts").mapInPandas(write, "path string, n_points bigint")
-    return clouds.sparkSession.createDataFrame(done.toArrow())  # a row by file; the files are written once
+    names = F.create_map(*[F.lit(v) for kv in CLASSES.items() for v in kv])
+    file = F.format_string("%s/aug_%06d.bin", names[F.col("label")], F.col("number"))
+    points = clouds.select(file.alias("file"), F.posexplode("pts").alias("point_id", "p")).select("file", "point_id", "p.*")
+    _save(points, folder, OBJECT_WIDTH)
+    return files(clouds.sparkSession, folder, OBJECT_WIDTH).select("path", (F.col("length") / (4 * OBJECT_WIDTH)).cast("bigint").alias("n_points"))
+
+
+def write_frames(points: DataFrame, folder: str) -> None:
+    """Writes points (frame_ns, point_id, x, y, z, intensity, ring) as ``NS.bin``, a file a frame; a reader finds all frames of a call or none."""
+    _save(points.withColumn("file", F.concat(F.col("frame_ns").cast("string"), F.lit(".bin"))), folder, FRAME_WIDTH)
+
+
+def stream_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """The frames below ``folder`` as a stream of points, with frame_ns; frames appear in order of time (see :mod:`voxelry.sources.pointcloud`)."""
+    pointcloud.register(spark)
+    found = spark.readStream.format("pointcloud").option("width", FRAME_WIDTH).load(folder)
+    return found.select(F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("bigint").alias("frame_ns"), "point_id", *pointcloud.NAMES)
