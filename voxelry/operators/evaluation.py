@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators.quantiles import quantiles
+from voxelry.session import written
 
 # Stage 1's confidence for background, stage 2's least confidence, and the folds.
 SAFETY, RECOVERY, FOLDS, SEED = 0.70, 0.50, 5, 42
@@ -23,19 +28,99 @@ def hash_rank(rows: DataFrame, by: str, key: Column, ties: list[str]) -> DataFra
     keyed = rows.withColumn("__key", key).withColumn("__cell", F.substring("__key", 1, _DIGITS))
     counts = keyed.groupBy(by, "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(by).orderBy("__cell")) - F.col("__n")
-    offsets = counts.select(by, "__cell", before.alias("__before"))
+    offsets = counts.select(F.col(by).alias("__by"), F.col("__cell").alias("__at"), before.alias("__before"))
     nth = F.row_number().over(Window.partitionBy(by, "__cell").orderBy("__key", *ties)) + F.col("__before")
-    return keyed.join(offsets, [by, "__cell"]).withColumn("nth", nth).drop("__key", "__cell", "__before")
+    same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__cell") == F.col("__at"))  # rows of null ``by`` are ranked too
+    return keyed.join(offsets, same).withColumn("nth", nth).drop("__key", "__cell", "__before", "__by", "__at")
+
+
+#: Kinds of groups that one task deals out.
+KINDS = 4096
+
+
+def _least(load: np.ndarray, held: np.ndarray, weights: np.ndarray, free: list[int]) -> int:
+    """Of the free folds the one whose class shares spread least once ``held`` is added to its load, the first of equal ones.
+
+    The sum over folds of squared shares grows by the same amount everywhere, but for twice this product. Terms are
+    added class by class, so SQL finds the same sums.
+    """
+    costs = [sum(int(h) * int(n) / float(w) for h, n, w in zip(held, load[f], weights, strict=True)) for f in free]
+    return free[costs.index(min(costs))]
+
+
+def group_folds(samples: DataFrame, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
+    """group_id, group_fold: groups stay whole, and each class is shared out over the folds as evenly as a greedy deal can.
+
+    Groups with equal counts of every class are one kind. Of each kind, as many groups as ``folds`` divides are dealt in
+    turn by the hash of their id, which is even whatever the kind. Those that are left, fewer than ``folds`` of a kind, are
+    taken by size, largest first, each to the fold where the squared shares of the classes then sum to least. One task
+    deals out :data:`KINDS` kinds or so; where there are more, tasks deal kinds of their own, by hash, and the folds of
+    each task are matched to the whole's folds by the same rule. Rows of null group_id or label are a group or class
+    like any other; an empty table gives no rows.
+    """
+    label = F.regexp_replace(F.coalesce(F.col("label").cast("string"), F.lit("")), r"([\\:,])", r"\\$1")  # kinds stay apart whatever the names
+    counts = samples.groupBy("group_id", label.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    groups = written(counts.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("held")).withColumn("kind", F.array_join(F.transform("held", lambda h: F.concat_ws(":", h["c"], h["n"])), ",")), "groups")
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("group_id").cast("string"), F.lit(""))))
+    kinds = groups.groupBy("kind").agg(F.any_value("held").alias("held"), F.count(F.lit(1)).alias("m"))
+    # One row a class, so the driver holds the classes and their counts.
+    totals = {r["c"]: r["n"] for r in groups.select(F.explode("held").alias("h")).groupBy("h.c").agg(F.sum("h.n").alias("n")).collect()}
+    classes = sorted(totals)
+    weights = np.array([float(totals[c]) * float(totals[c]) for c in classes])
+    parts = 1 + kinds.count() // KINDS
+
+    def vector(held: Iterable) -> np.ndarray:
+        by = {h["c"]: h["n"] for h in held}
+        return np.array([by.get(c, 0) for c in classes], np.int64)
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        units = [(-v.sum(), kind, nth, v) for kind, left, v in zip(pdf.kind, pdf.left, map(vector, pdf.held), strict=True) for nth in range(left)]
+        load, out = np.zeros((folds, len(classes)), np.int64), []
+        for _, kind, nth, v in sorted(units, key=lambda u: u[:3]):
+            fold = _least(load, v, weights, list(range(folds)))
+            load[fold] += v
+            out.append((int(pdf.part.iloc[0]), kind, nth, fold))
+        return pd.DataFrame(out, columns=["part", "kind", "nth", "fold"])
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Each part's folds to the whole's, one to one, the largest first; a part has a row a fold."""
+        load, out = np.zeros((folds, len(classes)), np.int64), []
+        for part, rows in pdf.groupby("part"):
+            own = np.zeros((folds, len(classes)), np.int64)
+            for r in rows.itertuples():
+                own[r.fold] = vector(r.held)
+            free = list(range(folds))
+            for fold in sorted(range(folds), key=lambda f: (-own[f].sum(), f)):
+                to = _least(load, own[fold], weights, free)
+                free.remove(to)
+                out.append((int(part), fold, to))
+            for _, fold, to in out[-folds:]:
+                load[to] += own[fold]
+        return pd.DataFrame(out, columns=["part", "fold", "to"])
+
+    left = kinds.select("kind", "held", (F.col("m") % folds).cast("int").alias("left"), F.pmod(F.xxhash64("kind"), F.lit(parts)).cast("int").alias("part")).where("left > 0")
+    dealt = left.groupBy("part").applyInPandas(deal, "part int, kind string, nth int, fold int")
+    if parts > 1:
+        dealt = written(dealt, "dealt")
+        held = dealt.join(left.select("kind", F.explode("held").alias("h")), "kind").groupBy("part", "fold", "h.c").agg(F.sum("h.n").alias("n"))
+        held = held.groupBy("part", "fold").agg(F.collect_list(F.struct("c", "n")).alias("held"))
+        # One row for each part and fold: a few for KINDS kinds.
+        dealt = dealt.join(held.groupBy(F.lit(0).alias("all")).applyInPandas(match, "part int, fold int, to int"), ["part", "fold"]).withColumn("fold", F.col("to"))
+    ranked = hash_rank(groups.select("group_id", "kind"), "kind", key, ["group_id"]).join(kinds.select("kind", "m"), "kind")
+    even = F.col("m") - F.col("m") % folds
+    ranked = ranked.withColumn("nth", F.col("nth") - 1)
+    ranked = ranked.withColumn("left_nth", F.when(F.col("nth") >= even, F.col("nth") - even).cast("int"))
+    dealt = dealt.select("kind", F.col("nth").alias("left_nth"), "fold")
+    found = ranked.join(dealt, ["kind", "left_nth"], "left")
+    return found.select("group_id", F.coalesce("fold", F.col("nth") % folds).cast("int").alias("group_fold"))
 
 
 def with_folds(samples: DataFrame, folds: int = FOLDS, seed: int = SEED, id_col: str = "sample_id") -> DataFrame:
-    """Adds ``fold``, stratified by label, and ``group_fold``, equal for rows of one group_id and stratified by the groups' most frequent labels."""
-    hashed = lambda c: F.md5(F.concat_ws(":", F.lit(seed), F.col(c).cast("string")))
-    out = hash_rank(samples, "label", hashed(id_col), [id_col]).withColumn("fold", ((F.col("nth") - 1) % folds).cast("int")).drop("nth")
-    counts = samples.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.groupBy("group_id").agg(F.min(F.struct(-F.col("n"), "label"))["label"].alias("main"))
-    groups = hash_rank(groups, "main", hashed("group_id"), ["group_id"]).select("group_id", ((F.col("nth") - 1) % folds).cast("int").alias("group_fold"))
-    return out.join(groups, "group_id").select(*samples.columns, "fold", "group_fold")
+    """Adds ``fold``, stratified by label, and ``group_fold``, equal for rows of one group_id and balanced by class (:func:`group_folds`)."""
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
+    out = hash_rank(samples, "label", hashed, [id_col]).withColumn("fold", ((F.col("nth") - 1) % folds).cast("int")).drop("nth")
+    groups = group_folds(samples, folds, seed).withColumnRenamed("group_id", "__group")
+    return out.join(groups, F.col("group_id").eqNullSafe(F.col("__group"))).select(*samples.columns, "fold", "group_fold")
 
 
 def confusion(preds: DataFrame, k: int = 4) -> DataFrame:

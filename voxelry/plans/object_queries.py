@@ -254,18 +254,35 @@ def pca_height_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augmentation.height_cuts(clouds(spark, sf_dir), min_points=5).select("sample_id", "label", "cut", F.size("pts").cast("bigint").alias("n"))
 
 
-@query(f"""WITH {CLOUDS_SQL}, s AS (
-  SELECT DISTINCT sample_id, label, sample_id // 4 AS group_id FROM cloud
+#: Groups of one to seven samples.
+_GROUP_SQL = "sample_id - sample_id % 64 + (sample_id % 64) // (1 + sample_id // 64 % 7)"
+
+
+@query(f"""WITH RECURSIVE {CLOUDS_SQL}, s AS (
+  SELECT DISTINCT sample_id, label, {_GROUP_SQL} AS group_id FROM cloud
+), total AS (
+  SELECT {', '.join(f'count(*) FILTER (label = {c})::DOUBLE AS t{c}' for c in range(4))} FROM s
 ), c AS (
   SELECT group_id, label, count(*) AS n FROM s GROUP BY ALL
-), m AS (
-  SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, label) AS nth FROM c
 ), g AS (
-  SELECT group_id, ((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || group_id), group_id) - 1) % 5)::INT AS group_fold FROM m WHERE nth = 1
-) SELECT sample_id, label, ((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || sample_id), sample_id) - 1) % 5)::INT AS fold, group_fold FROM s JOIN g USING (group_id)""")
+  SELECT group_id, string_agg(label || ':' || n, ',' ORDER BY label) AS kind, {', '.join(f'coalesce(sum(n) FILTER (label = {c}), 0)::BIGINT AS h{c}' for c in range(4))}, sum(n)::BIGINT AS size FROM c GROUP BY group_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42:' || group_id), group_id) - 1 AS nth, count(*) OVER (PARTITION BY kind) AS m FROM g
+), u AS (
+  SELECT *, row_number() OVER (ORDER BY size DESC, kind, nth) AS k FROM r WHERE nth >= m - m % 5
+), d AS (
+  SELECT 0::BIGINT AS k, [{', '.join(['0::BIGINT'] * 20)}] AS held, 0 AS fold
+  UNION ALL
+  SELECT k, [{', '.join(f'held[{i + 1}] + CASE WHEN fold = {i // 4} THEN h{i % 4} ELSE 0 END' for i in range(20))}], fold FROM (
+    SELECT *, (list_position(costs, list_min(costs)) - 1)::INT AS fold FROM (
+      SELECT u.k, u.h0, u.h1, u.h2, u.h3, d.held, [{', '.join(' + '.join(f'CASE WHEN t{c} > 0 THEN h{c} * held[{4 * f + c + 1}] / (t{c} * t{c}) ELSE 0 END' for c in range(4)) for f in range(5))}] AS costs FROM d JOIN u ON u.k = d.k + 1, total))
+) SELECT s.sample_id, s.label, ((row_number() OVER (PARTITION BY s.label ORDER BY md5('42:' || s.sample_id), s.sample_id) - 1) % 5)::INT AS fold, coalesce(d.fold, r.nth % 5)::INT AS group_fold
+FROM s JOIN r USING (group_id) LEFT JOIN u USING (group_id) LEFT JOIN d ON d.k = u.k""")
 def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stratified folds, and stratified folds that keep groups together (here four samples each)."""
-    samples = clouds(spark, sf_dir).select("sample_id", "label").withColumn("group_id", F.floor(F.col("sample_id") / 4))
+    """Stratified folds, and balanced folds that keep groups of uneven sizes together."""
+    i = F.col("sample_id")
+    group = i - i % 64 + F.floor((i % 64) / (1 + F.floor(i / 64) % 7))
+    samples = clouds(spark, sf_dir).select("sample_id", "label").withColumn("group_id", group.cast("bigint"))
     return evaluation.with_folds(samples).select("sample_id", "label", "fold", "group_fold")
 
 
