@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelry.operators import evaluation, tracks, views
+from voxelry.operators import assignment, evaluation, tracks, views
 from voxelry.plans.registry import query
 from voxelry.sources.adapters import DETECTIONS_SQL, PREDS_SQL, detections, predictions
 from voxelry.streaming import timed, tracker
@@ -140,6 +140,36 @@ def gating_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.gated(d, before, tracker.first_innovation(0.1)).select("det_id", "track_id", _r("cost").alias("cost"))
 
 
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame_id, det_id, track_id, cost of :func:`gating_edges`."""
+    frames = detections(spark, sf_dir).select("det_id", "frame_id")
+    return gating_edges(spark, sf_dir).join(frames, "det_id").select("frame_id", "det_id", "track_id", "cost")
+
+
+@query(f"""WITH RECURSIVE {DETECTIONS_SQL}, s(v) AS (VALUES (0.5::DOUBLE + 10.0::DOUBLE * 0.01::DOUBLE + 0.5::DOUBLE + 0.3::DOUBLE)), e AS (
+  SELECT 2 * a.det_id AS d, 2 * b.det_id + 1 AS t FROM s, detections a JOIN detections b ON b.frame_id = a.frame_id - 1 AND a.class_label = b.class_label
+  WHERE ((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / v <= 7.81
+), l AS (SELECT d AS a, t AS b FROM e UNION ALL SELECT t, d FROM e), n AS (SELECT DISTINCT a AS id FROM l), c(id, least) USING KEY (id) AS (
+  SELECT id, id FROM n
+  UNION
+  (SELECT DISTINCT ON (u.id) u.id, v.least FROM recurring.c u JOIN l ON u.id = l.a JOIN c v ON l.b = v.id WHERE v.least < u.least ORDER BY u.id, v.least)
+), k AS (
+  SELECT least, count(*) FILTER (id % 2 = 0) AS n_detections, count(*) FILTER (id % 2 = 1) AS n_tracks, min(id // 2) FILTER (id % 2 = 0) AS first_det FROM c GROUP BY least
+), m AS (
+  SELECT c.least, count(*) AS n_edges FROM e JOIN c ON c.id = e.d GROUP BY c.least
+) SELECT first_det, n_detections, n_tracks, n_edges FROM k JOIN m USING (least)""")
+def gate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connected groups of detections and tracks that gates join, by their first detection."""
+    found = assignment.grouped(_gated(spark, sf_dir)).groupBy("group_node")
+    return found.agg(F.min("det_id").alias("first_det"), F.count_distinct("det_id").alias("n_detections"), F.count_distinct("track_id").alias("n_tracks"), F.count(F.lit(1)).alias("n_edges")).drop("group_node")
+
+
+@query()
+def assigned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections and tracks that are paired: as many as gates allow, at the least total cost, group by group."""
+    return assignment.assigned(_gated(spark, sf_dir)).select("frame_id", "det_id", "track_id", "cost")
+
+
 @query(f"""WITH RECURSIVE {DETECTIONS_SQL}, o AS (SELECT frame_id, avg(x) AS v, row_number() OVER (ORDER BY frame_id) AS k FROM detections GROUP BY frame_id), f AS (
   SELECT k, frame_id, v AS p, 0.0::DOUBLE AS s, 0.5::DOUBLE AS a, 0.0::DOUBLE AS b, 10.0::DOUBLE AS c FROM o WHERE k = 1
   UNION ALL
