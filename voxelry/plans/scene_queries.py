@@ -292,7 +292,25 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.candidates(_boxes(spark, sf_dir)).select("frame_id", "outer_label", "inner_label", "outer_n", "inner_n")
 
 
-@query()
+def _grown(x: str) -> str:
+    """A label's points by now: its own and those of the labels it took in."""
+    return f"({x}_n + coalesce(list_sum([t.n for t in taken if t.owner = {x}_label]), 0))"
+
+
+@query(f"""WITH RECURSIVE {BOXES}, p AS (
+  SELECT a.frame_id, a.label AS outer_label, b.label AS inner_label, a.n AS outer_n, b.n AS inner_n, row_number() OVER (PARTITION BY a.frame_id ORDER BY a.label, b.label) AS k
+  FROM box a JOIN box b ON a.frame_id = b.frame_id AND a.label <> b.label AND b.x_min >= a.x_min AND b.x_max <= a.x_max AND b.y_min >= a.y_min AND b.y_max <= a.y_max AND b.z_min >= a.z_min AND b.z_max <= a.z_max
+), pass AS (
+  SELECT frame_id, 0::BIGINT AS k, []::STRUCT("owner" BIGINT, label BIGINT, n BIGINT)[] AS taken FROM (SELECT DISTINCT frame_id FROM box)
+  UNION ALL
+  SELECT frame_id, p.k, CASE WHEN len([t for t in taken if t.label = outer_label OR t.label = inner_label]) = 0 AND {_grown('inner')} < 0.5 * {_grown('outer')}
+    THEN list_append(taken, {{'owner': outer_label::BIGINT, 'label': inner_label::BIGINT, 'n': inner_n::BIGINT}}) ELSE taken END
+  FROM pass JOIN p USING (frame_id) WHERE p.k = pass.k + 1
+), t AS (
+  SELECT frame_id, unnest(taken) AS t FROM (SELECT frame_id, arg_max(taken, k) AS taken FROM pass GROUP BY frame_id)
+), o AS (
+  SELECT box.frame_id, box.label, box.n, coalesce(t.t.owner, box.label) AS owner FROM box LEFT JOIN t ON t.frame_id = box.frame_id AND t.t.label = box.label
+) SELECT frame_id, label, owner, (sum(n) OVER (PARTITION BY frame_id, owner))::BIGINT AS owner_n FROM o""")
 def merge_engulfed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cluster and the one that takes it in, by the greedy pass."""
     boxes = _boxes(spark, sf_dir)
