@@ -118,7 +118,7 @@ def test_features_of_small_clouds_agree_with_numpy(spark, n):
     assert all(np.isfinite(row[k]) for k in feats.FULL)
     assert sum(row[f"layer_frac_{i}"] for i in range(5)) <= 1 + 1e-9
     got = feats.features(spark.createDataFrame([(1, 2, pts)], "sample_id bigint, label int, pts array<struct<x:double,y:double,z:double>>"), 23).first()
-    for k, want in zip(feats.EXTENDED, pipeline.vector(xyz, 23), strict=True):
+    for k, want in zip(feats.EXTENDED, feats.matrix([xyz], 23)[0], strict=True):
         assert got[k] == pytest.approx(want, rel=1e-6, abs=1e-7), k
 
 

@@ -1,7 +1,8 @@
 """Geometric features of point clouds.
 
-A cloud is one row with its points as an array, bounded by the largest cluster. Everything but nearest
-neighbours, hulls and density components is column expressions on that array: no shuffle and no Python.
+A cloud is one row with its points as an array, bounded by the largest cluster, so features need no shuffle.
+They are computed on Arrow batches: shapes by array operations over the points of many clouds at once
+(:mod:`voxelry.functions.ragged`), neighbours, hulls and density components cloud by cloud.
 Names and formulas differ by mode where noted; select columns by name, never by position.
 """
 
@@ -10,11 +11,13 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.functions.geometry import axis2, eigen2, eigen3, finite, floor_rank
+from voxelry.functions.geometry import finite
+from voxelry.functions.ragged import Ragged, shape_features
 
 # Feature names by mode, in the order that models expect.
 COMPACT = (
@@ -28,101 +31,7 @@ FULL = (
     "nn_dist_std xy_aspect_ratio bottom_to_top_ratio hull_point_ratio n_components largest_component_ratio ground_gap_ratio z_range_cleaned"
 ).split()
 MODES = {19: COMPACT, 23: EXTENDED, 35: FULL}
-TINY = 1e-9
-
-
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-
-
-def _mean(a: Column) -> Column:
-    return _sum(a) / F.size(a)
-
-
-def _std(a: Column) -> Column:
-    """Population standard deviation of an array column's values."""
-    return F.sqrt(F.greatest(_mean(F.transform(a, lambda v: v * v)) - F.pow(_mean(a), F.lit(2.0)), F.lit(0.0)))
-
-
-def _moments(pts: Column) -> Column:
-    """Sums of x, y, z and their products about the first point, which keeps them exact enough."""
-    o = pts[0]
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz")])
-
-    def add(s: Column, p: Column) -> Column:
-        x, y, z = p["x"] - o["x"], p["y"] - o["y"], p["z"] - o["z"]
-        return F.struct(
-            (s["x"] + x).alias("x"), (s["y"] + y).alias("y"), (s["z"] + z).alias("z"), (s["xx"] + x * x).alias("xx"), (s["yy"] + y * y).alias("yy"),
-            (s["zz"] + z * z).alias("zz"), (s["xy"] + x * y).alias("xy"), (s["xz"] + x * z).alias("xz"), (s["yz"] + y * z).alias("yz"),
-        )
-
-    return F.aggregate(pts, zero, add)
-
-
-def _sides(uvs: Column) -> tuple[Column, Column]:
-    """Extents of points (u, v, ..)."""
-    side = lambda k: F.array_max(F.transform(uvs, lambda q: q[k])) - F.array_min(F.transform(uvs, lambda q: q[k]))
-    return side("u"), side("v")
-
-
-def _slice(i: int) -> Column:
-    return F.filter("uvs", lambda q: q["s"] == i)
-
-
-def _diagonal(a: Column, b: Column) -> Column:
-    return F.sqrt(a * a + b * b)
-
-
-def native_features(clouds: DataFrame, mode: int = 19) -> DataFrame:
-    """``clouds`` (with pts) plus every feature that needs no neighbours, hull or components.
-
-    Modes 19 and 23 set height_to_footprint by xy_spread, mode 35 by the root of xy_area. Clouds are
-    not empty.
-    """
-    if mode not in MODES:
-        raise ValueError(f"the mode is 19, 23 or 35, not {mode}")
-    n = F.size("pts")
-    a = clouds.withColumns({"num_points": n.cast("double"), "m": _moments(F.col("pts")), "zs": F.sort_array(F.transform("pts", lambda p: p["z"]))})
-    c = lambda x, y, by: (F.col(f"m.{x}{y}") - F.col(f"m.{x}") * F.col(f"m.{y}") / n) / by
-    one_less, plain = F.greatest(n - 1, F.lit(1)), n <= 3
-    a = a.withColumns({"cxx": c("x", "x", n), "cxy": c("x", "y", n), "cyy": c("y", "y", n), "z_lo": F.get("zs", F.lit(0)), **{f"s{x}{y}": c(x, y, one_less) for x, y in ("xx", "yy", "zz", "xy", "xz", "yz")}})
-    lo, zr = F.col("z_lo"), F.col("z_range")
-    a = a.withColumn("z_range", F.get("zs", n - 1) - lo)
-    ax, ay = axis2(F.col("cxx"), F.col("cxy"), F.col("cyy"))
-    big, small = eigen2(F.col("cxx"), F.col("cxy"), F.col("cyy"))
-    ev = eigen3(*[F.col(f"s{k}") for k in ("xx", "yy", "zz", "xy", "xz", "yz")])
-    a = a.withColumns({"ax": F.when(plain, F.lit(1.0)).otherwise(ax), "ay": F.when(plain, F.lit(0.0)).otherwise(ay), "l1": big, "l2": small, "v0": ev[0], "v1": ev[1], "v2": ev[2]})
-    # Each point along the cloud's own axes, with its slice by height: how many of the five upper edges it reaches.
-    reached = lambda z: reduce(lambda x, y: x + y, [(z >= lo + i * zr / 5).cast("int") for i in range(1, 6)])
-    along = F.transform("pts", lambda p: F.struct((p["x"] * F.col("ax") + p["y"] * F.col("ay")).alias("u"), (p["y"] * F.col("ax") - p["x"] * F.col("ay")).alias("v"), reached(p["z"]).alias("s")))
-    layer = lambda z: reduce(lambda x, y: x + y, [((z - lo) / zr >= i / 5).cast("int") for i in range(1, 6)])
-    a = a.withColumns({"uvs": along, "layers": F.when(zr > 0.01, F.transform("zs", layer)), **{f"e{i}": F.greatest(finite(F.col(f"v{i}")), F.lit(TINY)) for i in range(3)}})
-    xr, yr = _sides(F.col("uvs"))
-    a = a.withColumns({"x_range": xr, "y_range": yr, **{f"w{i}": _slice(i) for i in range(5)}})
-    xs, ys = F.col("x_range"), F.col("y_range")
-    a = a.withColumns({"xy_spread": F.sqrt(xs * xs + ys * ys), "xy_area": F.greatest(xs * ys, F.lit(TINY)), "xy_aspect_ratio": F.when(plain, 1.0).otherwise(F.greatest("l1", F.lit(TINY)) / F.greatest("l2", F.lit(TINY)))})
-    total = F.col("e0") + F.col("e1") + F.col("e2")
-    foot = F.sqrt("xy_area") if mode == 35 else F.col("xy_spread")
-    share = lambda i: F.size(F.filter("layers", lambda x: x == i)) / n
-    a = a.withColumns({
-        "bbox_volume": F.greatest(F.col("xy_area") * zr, F.lit(TINY)), "height_to_footprint": zr / F.greatest(foot, F.lit(1e-6)),
-        "density": n / F.greatest(F.col("xy_area") * F.sqrt(zr + 1e-6), F.lit(1e-6)),
-        "z_25": floor_rank(F.col("zs"), 0.25), "z_75": floor_rank(F.col("zs"), 0.75), "z_std": F.sqrt(F.greatest((F.col("m.zz") - F.col("m.z") * F.col("m.z") / n) / n, F.lit(0.0))),
-        "z_median": (F.get("zs", F.floor((n - 1) / 2).cast("int")) + F.get("zs", F.floor(n / 2).cast("int"))) / 2,
-        "scattering": F.col("e0") / F.col("e2"), "linearity": (F.col("e2") - F.col("e1")) / F.col("e2"), "planarity": (F.col("e1") - F.col("e0")) / F.col("e2"),
-        "ev_norm_0": F.col("e0") / total, "ev_norm_1": F.col("e1") / total, "ev_norm_2": F.col("e2") / total,
-        **{f"layer_frac_{i}": F.when(zr > 0.01, share(i)).otherwise(0.2) for i in range(5)},
-    })
-    width = lambda i: F.when(F.size(f"w{i}") > 2, _diagonal(*_sides(F.col(f"w{i}")))).otherwise(0.0)
-    a = a.withColumn("widths", F.array(*[width(i) for i in range(5)])).withColumn("fractions", F.array(*[F.col(f"layer_frac_{i}") for i in range(5)]))
-    widths, wide = F.col("widths"), (zr > 0.1) & (n > 20)
-    made = a.withColumns({
-        "vertical_uniformity": _std(F.col("fractions")), "cross_section_var": F.when(wide, _std(widths)).otherwise(0.0), "cross_section_mean": F.when(wide, _mean(widths)).otherwise(0.0),
-        "bottom_to_top_ratio": F.col("layer_frac_0") / F.greatest(F.col("layer_frac_4"), F.lit(1e-6)),
-        "z_range_cleaned": F.when(n > 10, floor_rank(F.col("zs"), 0.95) - floor_rank(F.col("zs"), 0.05)).otherwise(zr),
-        "ground_gap_ratio": F.when(zr > 0.1, (floor_rank(F.col("zs"), 0.10) - floor_rank(F.col("zs"), 0.05)) / zr).otherwise(0.0),
-    })
-    return made.select(*clouds.columns, *[k for k in FULL if k in made.columns and k not in clouds.columns])
+LOCAL_NAMES = {"nn_dist_std", "hull_point_ratio", "n_components", "largest_component_ratio"}
 
 
 def _leaves(xyz: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,31 +231,79 @@ def component_values(xyz: np.ndarray) -> tuple[float, float]:
 
 # What each of these functions gives.
 LOCAL = {("nn_dist_std",): lambda p: (neighbour_spread(p),), ("hull_point_ratio",): lambda p: (hull_ratio(p),), ("n_components", "largest_component_ratio"): component_values}
+#: Points that are looked at together, but for larger clouds; bounds the arrays of a task.
+TOGETHER = 1 << 18
+
+
+def table(xyz: np.ndarray, sizes: np.ndarray, names: list[str], mode: int) -> dict[str, np.ndarray]:
+    """The named features, a value a cloud. ``xyz`` (n, 3) holds the clouds' points one after another; empty clouds give 0."""
+    out = {k: np.zeros(len(sizes)) for k in names}
+    full = np.flatnonzero(sizes > 0)
+    at = np.concatenate([[0], np.cumsum(sizes[full])])
+    heavy = [(of, f) for of, f in LOCAL.items() if set(of) & set(names)]
+    first = 0
+    while first < len(full):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + TOGETHER, side="right")) - 1)
+        rows, points = full[first:last], xyz[at[first] : at[last]]
+        with np.errstate(all="ignore"):
+            found = shape_features(Ragged(points, at[first : last + 1] - at[first]), mode) if set(names) - LOCAL_NAMES else {}
+        for k in names:
+            if k in found:
+                out[k][rows] = found[k]
+        for i, row in enumerate(rows):
+            cloud = points[at[first + i] - at[first] : at[first + i + 1] - at[first]]
+            for of, f in heavy:
+                for k, v in zip(of, f(cloud), strict=True):
+                    if k in out:
+                        out[k][row] = v
+        first = last
+    return out
 
 
-def local_features(clouds: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """``clouds`` plus the named features (by default all) of nn_dist_std, hull_point_ratio, n_components and
-    largest_component_ratio, by Arrow batches; only the named ones are computed."""
-    wanted = [(of, f) for of, f in LOCAL.items() if names is None or set(of) & set(names)]
-    if not wanted:
-        return clouds
-    columns = [k for of, _ in wanted for k in of]
+def matrix(clouds: list[np.ndarray], mode: int) -> np.ndarray:
+    """(clouds, features): the mode's features in the mode's order, 0 where a value is not finite; for use inside tasks."""
+    xyz = np.concatenate(clouds) if clouds else np.zeros((0, 3))
+    found = table(xyz, np.array([len(c) for c in clouds], np.int64), MODES[mode], mode)
+    return np.nan_to_num(np.column_stack([found[k] for k in MODES[mode]]), nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def _with(clouds: DataFrame, names: list[str], mode: int) -> DataFrame:
+    """``clouds`` plus the named features, from Arrow arrays: points go to NumPy as they are, never as Python objects."""
+    @F.arrow_udf(", ".join(f"{k} double" for k in names))
+    def found(pts: pa.Array) -> pa.Array:
+        points = pts.flatten()
+        xyz = np.column_stack([pc.struct_field(points, k).to_numpy(zero_copy_only=False).astype(float) for k in "xyz"])
+        sizes = pc.fill_null(pc.list_value_length(pts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = table(xyz, sizes, names, mode)
+        return pa.StructArray.from_arrays([pa.array(values[k]) for k in names], names=names)
+
+    return clouds.withColumn("__found", found("pts")).select(*[c for c in clouds.columns if c not in names], *[F.col("__found")[k].alias(k) for k in names])
+
 
-    @F.pandas_udf(", ".join(f"{k} double" for k in columns))
-    def heavy(pts: pd.Series) -> pd.DataFrame:
-        clouds = [np.array([(p["x"], p["y"], p["z"]) for p in a], float) for a in pts]
-        return pd.DataFrame([[v for _, f in wanted for v in f(c)] for c in clouds], columns=columns)
+def native_features(clouds: DataFrame, mode: int = 19) -> DataFrame:
+    """``clouds`` (with pts) plus every feature that needs no neighbours, hull or components, those of mode 35 in all modes.
+
+    Modes 19 and 23 set height_to_footprint by xy_spread, mode 35 by the root of xy_area. Null and empty clouds give 0,
+    columns of ``clouds`` that are named like a feature are replaced.
+    """
+    if mode not in MODES:
+        raise ValueError(f"the mode is 19, 23 or 35, not {mode}")
+    return _with(clouds, [k for k in FULL if k not in LOCAL_NAMES], mode)
 
-    return clouds.withColumn("__local", heavy("pts")).select("*", "__local.*").drop("__local")
+
+def local_features(clouds: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``clouds`` plus the named features (by default all) of nn_dist_std, hull_point_ratio, n_components and
+    largest_component_ratio; only the named ones are computed, and those that come with them."""
+    wanted = [k for of in LOCAL if names is None or set(of) & set(names) for k in of]
+    return _with(clouds, wanted, 23) if wanted else clouds
 
 
 def features(clouds: DataFrame, mode: int = 23) -> DataFrame:
-    """``clouds`` plus the features of the mode, NaN and infinite values as 0."""
-    made = native_features(clouds, mode)
-    if mode != 19:
-        made = local_features(made, MODES[mode])
-    kept = [c for c in clouds.columns if c not in MODES[mode]]
-    return made.select(*kept, *[finite(F.col(c)).alias(c) for c in MODES[mode]])
+    """``clouds`` plus the features of the mode, NaN and infinite values as 0; null and empty clouds give 0."""
+    if mode not in MODES:
+        raise ValueError(f"the mode is 19, 23 or 35, not {mode}")
+    made = _with(clouds, MODES[mode], mode)
+    return made.select(*[c for c in clouds.columns if c not in MODES[mode]], *[finite(F.col(c)).alias(c) for c in MODES[mode]])
 
 
 def ablation_variants(clouds: DataFrame) -> DataFrame:

@@ -53,12 +53,6 @@ def finite(c: Column) -> Column:
     return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(c)
 
 
-def floor_rank(ordered: Column, q: float) -> Column:
-    """The order statistic at index floor(q * (n - 1)) of a sorted array; null if it is empty."""
-    n = F.size(ordered)
-    return F.when(n > 0, F.get(ordered, F.greatest(F.floor(F.lit(q) * (n - 1)), F.lit(0)).cast("int")))
-
-
 def eigen2(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     """Eigenvalues of [[a, b], [b, c]], larger first."""
     mid, off = (a + c) / 2, F.sqrt(F.pow((a - c) / 2, F.lit(2.0)) + b * b)
@@ -75,20 +69,6 @@ def axis2(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     return x / n, y / n
 
 
-def eigen3(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> tuple[Column, Column, Column]:
-    """Eigenvalues of a symmetric 3x3 matrix in rising order, by the trigonometric closed form (Smith, CACM 1961)."""
-    q = (xx + yy + zz) / 3
-    p2 = F.pow(xx - q, F.lit(2.0)) + F.pow(yy - q, F.lit(2.0)) + F.pow(zz - q, F.lit(2.0)) + 2 * (xy * xy + xz * xz + yz * yz)
-    p = F.sqrt(p2 / 6)
-    a, b, c = xx - q, yy - q, zz - q
-    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
-    r = F.when(p > 1e-15, det / (2 * p * p * p)).otherwise(0.0)
-    phi = F.acos(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))) / 3
-    big = q + 2 * p * F.cos(phi)
-    small = q + 2 * p * F.cos(phi + 2 * math.pi / 3)
-    return small, 3 * q - big - small, big
-
-
 def affine_colour(v: Column, low: float, high: float) -> Column:
     """Position of a value between two bounds, clipped to 0..1, as colour maps use."""
     return F.least(F.greatest((v - F.lit(low)) / F.lit(high - low), F.lit(0.0)), F.lit(1.0))

@@ -60,7 +60,6 @@ _TERMS = {
     "vertical_uniformity": "vertical_uniformity", "cross_section_var": "cross_section_var", "cross_section_mean": "cross_section_mean", "bottom_to_top_ratio": "f0 / greatest(f4, 1e-6)",
     "ground_gap_ratio": f"CASE WHEN z_range > 0.1 THEN ({_RANK.format(q=0.10)} - {_RANK.format(q=0.05)}) / z_range ELSE 0 END", "z_range_cleaned": f"{_RANK.format(q=0.95)} - {_RANK.format(q=0.05)}",
 }
-_LOCAL = {"nn_dist_std", "hull_point_ratio", "n_components", "largest_component_ratio"}
 
 
 def _feature_sql(names: list[str], foot: str, digits: int = 5) -> str:
@@ -78,7 +77,7 @@ def feat_compact_19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(feats.features(clouds(spark, sf_dir), 19), feats.COMPACT)
 
 
-_FULL_NATIVE = [k for k in feats.FULL if k not in _LOCAL]
+_FULL_NATIVE = [k for k in feats.FULL if k not in feats.LOCAL_NAMES]
 
 
 @query(_feature_sql(_FULL_NATIVE, "sqrt(xy_area)"))

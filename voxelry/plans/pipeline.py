@@ -50,60 +50,10 @@ def merge_frame(found: list[dict]) -> list[dict]:
     return out
 
 
-def _axes(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues of the horizontal scatter in rising order, and its axes, the longer one first."""
-    values, vectors = np.linalg.eigh(np.cov(p.T, bias=True))
-    return values, vectors[:, ::-1]
-
-
-def _sections(xyz: np.ndarray) -> list[float]:
-    """Widths of five slices by height along the cloud's own axes; empty for clouds that are too small or flat."""
-    z = xyz[:, 2]
-    low, zr = z.min(), np.ptp(z)
-    if zr <= 0.1 or len(xyz) <= 20:
-        return []
-    uv = xyz[:, :2] @ _axes(xyz[:, :2])[1]
-    slices = [uv[(z >= low + i * zr / 5) & (z < low + (i + 1) * zr / 5)] for i in range(5)]
-    return [float(np.hypot(*np.ptp(p, axis=0))) if len(p) > 2 else 0.0 for p in slices]
-
-
-def extended_features(xyz: np.ndarray) -> dict[str, float]:
-    """The features of mode 23 of one cloud in NumPy, for use inside stateful functions; as :func:`features.features` gives them."""
-    n, z = len(xyz), np.sort(xyz[:, 2])
-    zr = float(z[-1] - z[0])
-    if n > 3:
-        l2, axes = _axes(xyz[:, :2])
-        x, y = np.ptp(xyz[:, :2] @ axes, axis=0)
-        aspect = max(l2[1], 1e-9) / max(l2[0], 1e-9)
-    else:
-        (x, y), aspect = np.ptp(xyz[:, :2], axis=0), 1.0
-    e = np.maximum(np.nan_to_num(np.linalg.eigvalsh(np.cov(xyz.T))) if n > 1 else np.zeros(3), 1e-9)
-    spread, area = float(np.hypot(x, y)), max(float(x * y), 1e-9)
-    s = (xyz[:, 2] - z[0]) / zr if zr > 0.01 else None
-    layers = [float(((s >= i / 5) & (s < (i + 1) / 5)).mean()) if s is not None else 0.2 for i in range(5)]
-    widths = _sections(xyz)
-    rank = lambda q: float(z[int(q * (n - 1))])
-    found = {
-        "num_points": n, "xy_spread": spread, "xy_area": area, "z_range": zr, "height_to_footprint": zr / max(spread, 1e-6), "density": n / max(area * np.sqrt(zr + 1e-6), 1e-6),
-        "z_25": rank(0.25), "z_75": rank(0.75), "z_std": z.std(), "xy_aspect_ratio": aspect, "scattering": e[0] / e[2], "linearity": (e[2] - e[1]) / e[2], "planarity": (e[1] - e[0]) / e[2],
-        **{f"layer_frac_{i}": v for i, v in enumerate(layers)}, "cross_section_var": np.std(widths) if widths else 0.0, "cross_section_mean": np.mean(widths) if widths else 0.0,
-        "z_range_cleaned": rank(0.95) - rank(0.05) if n > 10 else zr,
-    }
-    return {k: float(np.nan_to_num(v, nan=0.0, posinf=0.0, neginf=0.0)) for k, v in found.items()}
-
-
-def vector(xyz: np.ndarray, mode: int) -> list[float]:
-    """The mode's features of one cloud, in the mode's order; modes 19 and 23."""
-    found = extended_features(xyz)
-    if mode == 23:
-        found["nn_dist_std"], found["hull_point_ratio"] = feats.neighbour_spread(xyz), feats.hull_ratio(xyz)
-    return [found[k] for k in feats.MODES[mode]]
-
-
 def classified(found: list[dict], forest: Forest, mode: int) -> list[dict]:
     if not found:
         return []
-    proba = forest.proba(np.array([vector(c["xyz"], mode) for c in found]))
+    proba = forest.proba(feats.matrix([c["xyz"] for c in found], mode))
     first = proba.argmax(1)
     return [c | {"pred": demoted(int(k), c["xy_spread"], c["z_above_ground"], c["z_range"]), "s2_pred": int(k), "conf": float(p[k]), "proba": p.tolist()} for c, k, p in zip(found, first, proba, strict=True)]
 
