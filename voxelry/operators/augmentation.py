@@ -82,18 +82,22 @@ def height_axis(xyz: np.ndarray) -> np.ndarray:
 
 
 def height_cuts(clouds: DataFrame, min_points: int = LEAST_POINTS, cuts: dict[int, list[tuple[float, float]]] = HEIGHT_CUTS, first: int = 12) -> DataFrame:
-    """sample_id, label, cut, pts: shares along the axis of least scatter; ``first`` is the first cut's number."""
+    """sample_id, label, cut, pts: shares along the axis of least scatter; ``first`` is the first cut's number.
+
+    Shares are half-open; a share that ends at 1 leaves out the farthest points, however the sum of start and size is
+    rounded. Null clouds and those of fewer than four points give no cut.
+    """
     def cut(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             out = []
             for r in pdf.itertuples():
-                xyz = np.array([(p["x"], p["y"], p["z"]) for p in r.pts], float)
+                xyz = np.array([(p["x"], p["y"], p["z"]) for p in r.pts if p is not None] if r.pts is not None else [], float)
                 if len(xyz) < 4:
                     continue
                 along = (xyz - xyz.mean(0)) @ height_axis(xyz)
                 low, size = along.min(), np.ptp(along)
                 for k, (lo, hi) in enumerate(cuts[r.label]):
-                    kept = xyz[(along >= low + lo * size) & (along < low + hi * size)]
+                    kept = xyz[(along >= low + lo * size) & (along < (low + hi * size if hi < 1 else along.max()))]
                     if size >= LEAST_RANGE and len(kept) >= min_points:
                         out.append((r.sample_id, r.label, first + k, [{"x": x, "y": y, "z": z} for x, y, z in kept.tolist()]))
             yield pd.DataFrame(out, columns=["sample_id", "label", "cut", "pts"])

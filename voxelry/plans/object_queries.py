@@ -92,10 +92,15 @@ def feat_zclean_xsection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(feats.native_features(clouds(spark, sf_dir), 23), ["z_range_cleaned", "cross_section_mean"])
 
 
-@query(f"""WITH {CLOUDS_SQL}, d AS (
+_NEAREST = """apart AS (
   SELECT a.sample_id, a.j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d, row_number() OVER (PARTITION BY a.sample_id, a.j ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS k
-  FROM cloud a JOIN cloud b ON a.sample_id = b.sample_id AND a.j <> b.j), p AS (SELECT sample_id, j, avg(d) AS m FROM d WHERE k <= 5 GROUP BY ALL)
-SELECT sample_id, round(stddev_pop(m), 6) AS nn_dist_std FROM p GROUP BY sample_id""")
+  FROM cloud a JOIN cloud b ON a.sample_id = b.sample_id AND a.j <> b.j
+), nearest AS (
+  SELECT sample_id, stddev_pop(m) AS nn_dist_std FROM (SELECT sample_id, j, avg(d) AS m FROM apart WHERE k <= 5 GROUP BY ALL) GROUP BY sample_id
+)"""
+
+
+@query(f"WITH {CLOUDS_SQL}, {_NEAREST} SELECT sample_id, round(nn_dist_std, 6) AS nn_dist_std FROM nearest")
 def feat_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of the mean distance to the five nearest neighbours."""
     return feats.local_features(clouds(spark, sf_dir), ["nn_dist_std"]).select("sample_id", _r("nn_dist_std").alias("nn_dist_std"))
@@ -110,7 +115,22 @@ def feat_ablation_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("sample_id", "label", _r("density", 4).alias("density"), _r("height_to_footprint", 5).alias("height_to_footprint"), _r("density_aligned", 4).alias("density_aligned"))
 
 
-@query()
+#: Points of a cloud that are corners of a triangle with all others on one side of it.
+_HULL = """tri AS (
+  SELECT a.sample_id, a.j AS a, b.j AS b, c.j AS c, a.x, a.y, a.z, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) AS nx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) AS ny,
+         (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS nz
+  FROM cloud a JOIN cloud b ON a.sample_id = b.sample_id AND b.j > a.j JOIN cloud c ON a.sample_id = c.sample_id AND c.j > b.j
+), face AS (
+  SELECT t.sample_id, t.a, t.b, t.c FROM tri t JOIN cloud d ON d.sample_id = t.sample_id AND d.j NOT IN (t.a, t.b, t.c)
+  GROUP BY ALL HAVING min((d.x - t.x) * nx + (d.y - t.y) * ny + (d.z - t.z) * nz) >= 0 OR max((d.x - t.x) * nx + (d.y - t.y) * ny + (d.z - t.z) * nz) <= 0
+), corner AS (
+  SELECT sample_id, count(DISTINCT j) AS corners FROM (SELECT sample_id, unnest([a, b, c]) AS j FROM face) GROUP BY sample_id
+), hull AS (
+  SELECT sample_id, coalesce(any_value(corners), 0) / count(*) AS hull_point_ratio FROM cloud LEFT JOIN corner USING (sample_id) GROUP BY sample_id
+)"""
+
+
+@query(f"WITH {CLOUDS_SQL}, {_HULL} SELECT sample_id, round(hull_point_ratio, 6) AS hull_point_ratio FROM hull")
 def feat_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the points that are vertices of the convex hull."""
     return feats.local_features(clouds(spark, sf_dir), ["hull_point_ratio"]).select("sample_id", _r("hull_point_ratio").alias("hull_point_ratio"))
@@ -145,7 +165,11 @@ def feat_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.local_features(clouds(spark, sf_dir), ["n_components"]).select("sample_id", "n_components", _r("largest_component_ratio").alias("largest_component_ratio"))
 
 
-@query()
+_ALL_23 = _TERMS | {"height_to_footprint": "z_range / greatest(xy_spread, 1e-6)", "nn_dist_std": "nn_dist_std", "hull_point_ratio": "hull_point_ratio"}
+
+
+@query(f"""WITH {_EIGEN}, {_NEAREST}, {_HULL} SELECT sample_id, label, {', '.join(f'round({_ALL_23[k]}, 5) AS {k}' for k in feats.EXTENDED)}
+FROM feat JOIN nearest USING (sample_id) JOIN hull USING (sample_id)""")
 def feat_extended_23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of mode 23."""
     return _rounded(feats.features(clouds(spark, sf_dir), 23), feats.EXTENDED)
@@ -216,10 +240,29 @@ _CUT = f"""{CLOUDS_SQL}, cut(label, cut, axis, lo, hi) AS (VALUES
   SELECT *, max(x) OVER w - min(x) OVER w >= max(y) OVER w - min(y) OVER w AS x_long FROM cloud WINDOW w AS (PARTITION BY sample_id)
 ), v AS (
   SELECT sample_id, label, cut, lo::DOUBLE AS lo, hi::DOUBLE AS hi, CASE WHEN axis = 'z' THEN z WHEN (axis = 'long') = x_long THEN x ELSE y END AS v FROM wide JOIN cut USING (label)
-), e AS (
+), part AS (
   SELECT *, min(v) OVER w AS v0, max(v) OVER w - min(v) OVER w AS r FROM v WINDOW w AS (PARTITION BY sample_id, cut)
 ), c AS (
-  SELECT sample_id, label, cut, count(*) AS n FROM e WHERE r >= 0.1 AND v >= v0 + lo * r AND v < v0 + hi * r GROUP BY sample_id, label, cut HAVING count(*) >= 5
+  SELECT sample_id, label, cut, count(*) AS n FROM part WHERE r >= 0.1 AND v >= v0 + lo * r AND v < v0 + hi * r GROUP BY sample_id, label, cut HAVING count(*) >= 5
+)"""
+
+
+#: Along the eigenvector of the least eigenvalue: the longest of the cross products of two rows of the matrix less that value.
+_HEIGHT_CUT = f"""ev AS (
+  SELECT h.sample_id, h.label, xx - e0 AS p, yy - e0 AS q, zz - e0 AS r, xy, xz, yz FROM h
+), cross3 AS (
+  SELECT sample_id, label, unnest([
+    {{'x': xy * yz - xz * q, 'y': xz * xy - p * yz, 'z': p * q - xy * xy}}, {{'x': xy * r - xz * yz, 'y': xz * xz - p * r, 'z': p * yz - xy * xz}}, {{'x': q * r - yz * yz, 'y': yz * xz - xy * r, 'z': xy * yz - q * xz}}]) AS v FROM ev
+), ax AS (
+  SELECT sample_id, label, arg_max(v, v.x * v.x + v.y * v.y + v.z * v.z) AS v FROM cross3 GROUP BY ALL
+), al AS (
+  SELECT cl.sample_id, cl.label, CASE WHEN v.z >= 0 THEN 1 ELSE -1 END * ((x - avg(x) OVER w) * v.x + (y - avg(y) OVER w) * v.y + (z - avg(z) OVER w) * v.z) / sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS v
+  FROM cloud cl JOIN ax USING (sample_id) WINDOW w AS (PARTITION BY cl.sample_id)
+), he AS (
+  SELECT *, min(v) OVER w AS v0, max(v) OVER w AS v1, max(v) OVER w - min(v) OVER w AS r FROM al WINDOW w AS (PARTITION BY sample_id)
+), hc AS (
+  SELECT sample_id, label, cut, count(*) AS n FROM he, (VALUES (2, 12, 0.67::DOUBLE, 1::DOUBLE), (2, 13, 0::DOUBLE, 0.67::DOUBLE), (2, 14, 0.5::DOUBLE, 1::DOUBLE), (2, 15, 0::DOUBLE, 0.5::DOUBLE)) k(class, cut, lo, hi)
+  WHERE label = class AND r >= 0.1 AND v >= v0 + lo * r AND v < CASE WHEN hi < 1 THEN v0 + hi * r ELSE v1 END GROUP BY sample_id, label, cut HAVING count(*) >= 5
 )"""
 
 
@@ -240,14 +283,20 @@ def augment_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("group_id").alias("sample_id"), "label", "cut", F.size("pts").cast("bigint").alias("n"))
 
 
-@query()
+@query(f"""WITH {_EIGEN}, {_CUT.removeprefix(CLOUDS_SQL).lstrip(', ')}, {_HEIGHT_CUT}, every AS (
+  SELECT * FROM c UNION ALL SELECT * FROM hc
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || sample_id || ':' || cut), sample_id, cut) AS nth FROM every
+), size AS (
+  SELECT label, count(DISTINCT sample_id) AS most FROM cloud GROUP BY label
+) SELECT sample_id, label, cut, n FROM k JOIN size USING (label) WHERE nth <= most""")
 def augment_capped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of every cut that :func:`augmentation.augment` makes, those by height too."""
     kept = augmentation.capped(augmentation.all_cuts(clouds(spark, sf_dir), min_points=5), clouds(spark, sf_dir))
     return kept.select(F.col("group_id").alias("sample_id"), "label", "cut", F.size("pts").cast("bigint").alias("n"))
 
 
-@query()
+@query(f"WITH {_EIGEN}, {_HEIGHT_CUT} SELECT sample_id, label, cut, n FROM hc")
 def pca_height_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts along the axis of least scatter."""
     return augmentation.height_cuts(clouds(spark, sf_dir), min_points=5).select("sample_id", "label", "cut", F.size("pts").cast("bigint").alias("n"))
