@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelry.operators import assignment, evaluation, tracks, views
+from voxelry.operators import assignment, evaluation, latency, tracks, views
 from voxelry.plans.registry import query
 from voxelry.sources.adapters import DETECTIONS_SQL, PREDS_SQL, detections, predictions
 from voxelry.streaming import timed, tracker
@@ -113,6 +113,15 @@ def sanity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).select("doc_id", "pred", final.cast("int").alias("final"))
 
 
+@query("""SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(list_sort(list(value))[1 + floor(0.95::DOUBLE * (count(*) - 1))::BIGINT], 6) AS p95,
+round(max(value), 6) AS most FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long stages took; here an event's value is its time, its type the stage."""
+    times = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stage"), F.col("value").alias("ms"))
+    found = latency.summary(times, ["stage"])
+    return found.select("stage", "n", *[_r(k).alias(k) for k in ("mean", "median", "p95", "most")])
+
+
 @query("""WITH t AS (SELECT DISTINCT ts FROM events), d AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS d FROM t) SELECT round(median(d) / 1000000, 6) AS dt FROM d""")
 def frame_dt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median time between frames."""

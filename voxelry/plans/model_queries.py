@@ -55,6 +55,25 @@ def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(classify.importances(model, feats.COMPACT), "feature string, importance double")
 
 
+#: Every fourth object is a test object; so are those that come from the same group.
+_TEST = "group_id % 4 = 3"
+
+
+@query()
+def rf_test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-wise report, and confidences of right and wrong predictions, of objects that the forest never saw."""
+    rows = _rows(spark, sf_dir)
+    found = classify.evaluate_on_test(classify.train(rows.where(f"NOT {_TEST}"), feats.COMPACT, TREES, DEPTH), rows.where(_TEST))
+    return found["report"].join(found["confidence"].withColumnRenamed("truth", "class_id"), "class_id", "left")
+
+
+@query()
+def rf_ablation_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature set's macro F1 over folds and on test objects, with the confidences."""
+    rows = _rows(spark, sf_dir, 35)
+    return classify.ablation_summary(rows.where(f"NOT {_TEST}"), rows.where(_TEST), trees=TREES, depth=DEPTH)
+
+
 @query()
 def rf_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of the three feature sets."""
@@ -84,6 +103,13 @@ def pipeline_stateless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.objects(_street(spark, sf_dir), STREET, classify.Forest(model), mode=19, cell=STREET_CELL, min_points=MIN_POINTS).drop("pts", "proba")
 
 
+@query()
+def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame, stage, rows and milliseconds of frames to classified objects."""
+    model = classify.train(_rows(spark, sf_dir), feats.COMPACT, TREES, DEPTH)
+    return pipeline.latencies(_street(spark, sf_dir), STREET, classify.Forest(model), mode=19, cell=STREET_CELL, min_points=MIN_POINTS)
+
+
 @query()
 def pipeline_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed tracks of kept objects: the earlier half of the frames is computed and kept first, then only the others."""

@@ -8,6 +8,7 @@ results can be kept and tracked later.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from voxelry.operators import clustering, ground, merging, splitting
 from voxelry.operators.classify import Forest
 from voxelry.operators.evaluation import demoted
 from voxelry.operators.ground import Calibration
+from voxelry.operators.latency import timed
 from voxelry.schemas import CLASSES, CLUSTER, TRACKS, frame_key
 from voxelry.sources import store
 from voxelry.streaming.tracker import COLUMNS, Tracker, track_rows, whole_frames
@@ -50,14 +52,33 @@ def merge_frame(found: list[dict]) -> list[dict]:
     return out
 
 
-def classified(found: list[dict], forest: Forest, mode: int) -> list[dict]:
+def with_features(found: list[dict], mode: int) -> list[dict]:
+    """Clusters of one frame with their ``features``, all at once."""
+    return [c | {"features": row} for c, row in zip(found, feats.matrix([c["xyz"] for c in found], mode), strict=True)]
+
+
+def predicted(found: list[dict], forest: Forest) -> list[dict]:
+    """Clusters with features, with their class and probabilities."""
     if not found:
         return []
-    proba = forest.proba(feats.matrix([c["xyz"] for c in found], mode))
+    proba = forest.proba(np.array([c["features"] for c in found]))
     first = proba.argmax(1)
     return [c | {"pred": demoted(int(k), c["xy_spread"], c["z_above_ground"], c["z_range"]), "s2_pred": int(k), "conf": float(p[k]), "proba": p.tolist()} for c, k, p in zip(found, first, proba, strict=True)]
 
 
+def classified(found: list[dict], forest: Forest, mode: int) -> list[dict]:
+    return predicted(with_features(found, mode), forest)
+
+
+def frame_steps(pdf: pd.DataFrame, forest: Forest, mode: int) -> Iterator[tuple[str, list[dict]]]:
+    """What is done with one frame's clusters without tracks: each step's name and the clusters after it."""
+    yield "read", (found := splitting.clusters_of(pdf))
+    yield "split", (found := splitting.split_frame(found, []))
+    yield "merge", (found := merge_frame(found))
+    yield "features", (found := with_features(found, mode))
+    yield "predict", predicted(found, forest)
+
+
 def objects(points: DataFrame, calibration: Calibration, forest: Forest, mode: int = 23, **options) -> DataFrame:
     """Every frame's clusters with their class, split and merged without tracks."""
     made = clusters(points, calibration, **options)
@@ -66,12 +87,37 @@ def objects(points: DataFrame, calibration: Calibration, forest: Forest, mode: i
     schema = f"{CLUSTER}, pred int, s2_pred int, conf double, proba array<double>"
 
     def of_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = classified(merge_frame(splitting.split_frame(splitting.clusters_of(pdf), [])), forest, mode)
+        *_, (_, found) = frame_steps(pdf, forest, mode)
         return splitting.rows_of(found).assign(**{c: pdf[c].iloc[0] for c in sensors}, pred=[c["pred"] for c in found], s2_pred=[c["s2_pred"] for c in found], conf=[c["conf"] for c in found], proba=[c["proba"] for c in found])
 
     return made.groupBy(*key).applyInPandas(of_frame, ", ".join([*[f"{c} bigint" for c in sensors], schema]))
 
 
+def latencies(points: DataFrame, calibration: Calibration, forest: Forest, mode: int = 23, cell: float = clustering.CELL, min_points: int = clustering.MIN_POINTS) -> DataFrame:
+    """The frame's key, stage, rows, ms of a run without tracks; ``rows`` are those that the stage leaves.
+
+    The steps on a frame's clusters are timed where they run, a row for each frame that has clusters. Ground removal and
+    clustering run on all frames together and have one row each, without frame: the time of the whole job, which reads
+    what the stage before wrote. Nothing is computed twice.
+    """
+    made, rows, took = timed(ground.non_ground(points, calibration), "ground")
+    stages = [("ground", rows, took)]
+    made, rows, took = timed(splitting.as_clusters(clustering.cluster_frame(made, calibration.ground_height, cell, min_points)), "clusters")
+    stages.append(("clusters", rows, took))
+    key = frame_key(made)
+
+    def clocked(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, began = [], time.perf_counter()
+        for stage, found in frame_steps(pdf, forest, mode):
+            out.append((*[pdf[k].iloc[0] for k in key], stage, len(found), (time.perf_counter() - began) * 1000))
+            began = time.perf_counter()
+        return pd.DataFrame(out, columns=[*key, "stage", "rows", "ms"])
+
+    schema = "stage string, rows bigint, ms double"
+    whole = made.sparkSession.createDataFrame(stages, schema)
+    return made.groupBy(*key).applyInPandas(clocked, f"{', '.join(f'{k} bigint' for k in key)}, {schema}").unionByName(whole, allowMissingColumns=True)
+
+
 def run(points: DataFrame, calibration: Calibration, forest: Forest, mode: int = 23, dt: float = 0.1, legacy_split_gate: bool = False, class_gate: bool = True, **options) -> DataFrame:
     """Track rows of all frames. Points may have a sensor_id; sensors run in parallel, a sensor's frames in order.
 

@@ -404,6 +404,45 @@ def viewer_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.unpivot("frame_id", list(modes), "mode", "n")
 
 
+#: Classes and flags are made up from labels; the largest cluster of a frame is the selected one.
+_CLASS_OF = "CASE label % 5 WHEN 0 THEN 'car' WHEN 1 THEN 'pedestrian' WHEN 2 THEN 'bicyclist' WHEN 3 THEN 'background' ELSE 'tram' END"
+
+
+@query(f"""WITH RECURSIVE {BOXES}, e(edge, p, q) AS (VALUES {_CORNERS}), chosen AS (
+  SELECT *, {_CLASS_OF} AS class_label, label % 7 = 0 AS was_split, label % 11 = 0 AS guided, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, label) = 1 AS selected FROM box WHERE n >= {MIN_POINTS}
+), c AS (
+  SELECT *, CASE WHEN selected THEN [1, 1, 1, 1] WHEN guided THEN [0, 1, 1, 0.25] WHEN was_split THEN [1, 0, 1, 0.25] WHEN class_label = 'car' THEN [0.2, 0.6, 1, 0.25]
+    WHEN class_label = 'pedestrian' THEN [1, 0.3, 0.3, 0.25] WHEN class_label = 'bicyclist' THEN [1, 0.8, 0, 0.25] ELSE [0.7, 0.7, 0.7, 0.175] END AS rgba FROM chosen WHERE class_label <> 'background'
+) SELECT frame_id, label, class_label, edge, {', '.join(f"{_pick(a, s, v)} AS {a}{i}" for i, s in ((1, 'p'), (2, 'q')) for a, v in (('x', 1), ('y', 2), ('z', 4)))},
+  {', '.join(f'rgba[{i}]::DOUBLE AS {k}' for i, k in enumerate(('r', 'g', 'b', 'alpha'), 1))} FROM c, e""")
+def bbox_wireframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of each object's box in the colour of its class, of how it was split, or of the selection."""
+    boxes = _boxes(spark, sf_dir).where(F.col("n") >= MIN_POINTS)
+    largest = F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("n"), "label")) == 1
+    marked = boxes.withColumns({"class_label": F.expr(_CLASS_OF), "was_split": F.col("label") % 7 == 0, "track_guided": F.col("label") % 11 == 0, "is_largest": largest})
+    edges = views.wireframe(marked, F.col("is_largest"))
+    return edges.select("frame_id", "label", "class_label", "edge", *[_r(f"{a}{i}").alias(f"{a}{i}") for i in (1, 2) for a in "xyz"], "r", "g", "b", "alpha")
+
+
+@query(f"""WITH RECURSIVE {LABELS}, p AS (
+  SELECT m.frame_id, m.is_ground, l.label, {_CLASS_OF} AS class_label FROM masked m LEFT JOIN (SELECT DISTINCT frame_id, x, y, z, label FROM labelled) l USING (frame_id, x, y, z)
+), every AS (
+  SELECT frame_id, palette, CASE WHEN is_ground THEN [0.1, 0.8, 0.1, CASE palette WHEN 'tracks' THEN 0.5 ELSE 0.6 END]
+    WHEN label IS NULL THEN CASE palette WHEN 'tracks' THEN [0.15, 0.15, 0.15, 0.2] ELSE [0.2, 0.2, 0.2, 0.3] END
+    WHEN class_label = 'car' THEN [0.2, 0.6, 1, 1] WHEN class_label = 'pedestrian' THEN [1, 0.3, 0.3, 1] WHEN class_label = 'bicyclist' THEN [1, 0.8, 0, 1]
+    WHEN class_label = 'background' THEN [0.7, 0.7, 0.7, CASE palette WHEN 'tracks' THEN 0.7 ELSE 1 END] ELSE [0.5, 0.5, 0.5, 1] END AS c
+  FROM p, (VALUES ('tracks'), ('clusters')) v(palette)
+) SELECT frame_id, palette, {', '.join(f'c[{i}]::DOUBLE AS {k}' for i, k in enumerate(('r', 'g', 'b', 'alpha'), 1))}, count(*) AS n FROM every GROUP BY ALL""")
+def point_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each frame by the colour that they have in either palette."""
+    masked = ground.with_ground(_clipped(spark, sf_dir), CALIBRATION)
+    labels = _labelled(spark, sf_dir).select("frame_id", "x", "y", "z", "label").distinct()
+    p = masked.join(labels, ["frame_id", "x", "y", "z"], "left").withColumn("class_label", F.when(F.col("label").isNotNull(), F.expr(_CLASS_OF)))
+    colours = [F.struct(F.lit(k).alias("palette"), views.point_colour(F.col("is_ground"), F.col("label").isNotNull(), F.col("class_label"), k).alias("c")) for k in views.PALETTES]
+    rows = p.select("frame_id", F.explode(F.array(*colours)).alias("v")).select("frame_id", "v.palette", "v.c.*")
+    return rows.groupBy("frame_id", "palette", "r", "g", "b", "alpha").agg(F.count(F.lit(1)).alias("n"))
+
+
 #: The production cell in 32-bit arithmetic, over a scene in the size of a street.
 _STREET_CELLS = f"""{CELLS}, single AS (
   SELECT frame_id, (x * 0.12::DOUBLE)::FLOAT AS x, (y * 0.12::DOUBLE)::FLOAT AS y, z FROM masked WHERE NOT is_ground
