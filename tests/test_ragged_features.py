@@ -83,3 +83,12 @@ def test_null_and_empty_clouds_nan_points_and_clashing_columns(spark):
     assert feats.matrix([], 23).shape == (0, 23)
     with pytest.raises(ValueError):
         feats.features(rows, 20)
+
+
+def test_stacked_neighbours_equal_one_cloud_at_a_time(monkeypatch):
+    clouds = [*_random([1, 6, 7, 7, 8, 21, 21, 127, 128, 129, 300, 12]), np.ones((9, 3)), np.repeat(_random([6])[0], 3, axis=0)]
+    want = [feats.neighbour_spread(c) for c in clouds]
+    assert feats.neighbour_spreads(clouds) == pytest.approx(want, rel=1e-12, abs=1e-15)
+    monkeypatch.setattr(feats, "SQUARES", 500)
+    assert feats.neighbour_spreads(clouds) == pytest.approx(want, rel=1e-12, abs=1e-15)
+    assert len(feats.neighbour_spreads([])) == 0

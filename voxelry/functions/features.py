@@ -215,6 +215,36 @@ def neighbour_spread(xyz: np.ndarray) -> float:
     return float(neighbour_distances(xyz, 5).mean(1).std()) if len(xyz) > 6 else 0.0
 
 
+#: Clouds of no more points are looked at together by :func:`neighbour_spreads`, so many distances at a time; larger ones need a tree.
+SMALL, SQUARES = 128, 1 << 21
+
+
+def neighbour_spreads(clouds: list[np.ndarray]) -> np.ndarray:
+    """:func:`neighbour_spread` of each cloud. Small ones are stacked by rising size, with places without point infinitely far."""
+    out, sizes = np.zeros(len(clouds)), np.array([len(c) for c in clouds], np.int64)
+    for i in np.flatnonzero(sizes > SMALL):
+        out[i] = neighbour_spread(clouds[i])
+    left = np.flatnonzero((sizes > 6) & (sizes <= SMALL))
+    left = left[np.argsort(sizes[left], kind="stable")]
+    while len(left):
+        # As many as fit at the size of the largest of them, one at least.
+        fits = np.arange(1, len(left) + 1) * sizes[left] ** 2 <= SQUARES
+        now, left = left[: (k := max(1, int(fits.sum())))], left[k:]
+        n, most = sizes[now], int(sizes[now[-1]])
+        there = np.arange(most) < n[:, None]
+        stacked = np.zeros((len(now), most, 3))
+        stacked[there] = np.concatenate([clouds[i] for i in now])
+        squares = 0.0
+        for axis in range(3):
+            step = stacked[:, :, None, axis] - stacked[:, None, :, axis]
+            squares = squares + step * step
+        squares[np.broadcast_to(~there[:, None, :], squares.shape)] = np.inf
+        means = np.sqrt(np.sort(np.partition(squares, 5, axis=2)[:, :, :6], axis=2)[:, :, 1:]).mean(2)
+        mean = np.where(there, means, 0.0).sum(1) / n
+        out[now] = np.sqrt(np.where(there, (means - mean[:, None]) ** 2, 0.0).sum(1) / n)
+    return out
+
+
 def hull_ratio(xyz: np.ndarray) -> float:
     """Share of the points that are vertices of the hull; 1 for up to ten points and flat clouds."""
     return (hull_vertices(xyz) or len(xyz)) / len(xyz) if len(xyz) > 10 else 1.0
@@ -229,8 +259,11 @@ def component_values(xyz: np.ndarray) -> tuple[float, float]:
     return (float(len(sizes)), float(sizes.max() / len(xyz))) if len(sizes) else (1.0, 1.0)
 
 
-# What each of these functions gives.
-LOCAL = {("nn_dist_std",): lambda p: (neighbour_spread(p),), ("hull_point_ratio",): lambda p: (hull_ratio(p),), ("n_components", "largest_component_ratio"): component_values}
+# What each of these functions gives for a list of clouds, a column each.
+LOCAL = {
+    ("nn_dist_std",): lambda clouds: [neighbour_spreads(clouds)], ("hull_point_ratio",): lambda clouds: [[hull_ratio(c) for c in clouds]],
+    ("n_components", "largest_component_ratio"): lambda clouds: list(zip(*map(component_values, clouds), strict=True)),
+}
 #: Points that are looked at together, but for larger clouds; bounds the arrays of a task.
 TOGETHER = 1 << 18
 
@@ -250,12 +283,11 @@ def table(xyz: np.ndarray, sizes: np.ndarray, names: list[str], mode: int) -> di
         for k in names:
             if k in found:
                 out[k][rows] = found[k]
-        for i, row in enumerate(rows):
-            cloud = points[at[first + i] - at[first] : at[first + i + 1] - at[first]]
-            for of, f in heavy:
-                for k, v in zip(of, f(cloud), strict=True):
-                    if k in out:
-                        out[k][row] = v
+        apart = np.split(points, at[first + 1 : last] - at[first]) if heavy else []
+        for of, f in heavy:
+            for k, v in zip(of, f(apart), strict=True):
+                if k in out:
+                    out[k][rows] = v
         first = last
     return out
 
