@@ -1,13 +1,14 @@
 """The whole perception pipeline.
 
-Clipping, ground removal and clustering run frame by frame in parallel. Splitting, merging,
-classification and tracking depend on the frame before, so they are one stateful function by sensor,
-which streams through the frames in order; without feedback they run frame by frame as well, and their
-results can be kept and tracked later.
+Clipping, ground removal and clustering run frame by frame in parallel, and so do splitting, merging and
+classification without tracks. What tracks change depends on the frame before, so it is one stateful function
+by sensor, which streams through the frames in order; without feedback there is none, and results can be kept
+and tracked later.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -23,6 +24,7 @@ from voxelry.operators.evaluation import demoted
 from voxelry.operators.ground import Calibration
 from voxelry.operators.latency import timed
 from voxelry.schemas import CLASSES, CLUSTER, TRACKS, frame_key
+from voxelry.session import written
 from voxelry.sources import store
 from voxelry.streaming.tracker import COLUMNS, Tracker, track_rows, whole_frames
 from voxelry.streaming.tracker import track as tracker_of
@@ -57,17 +59,27 @@ def with_features(found: list[dict], mode: int) -> list[dict]:
     return [c | {"features": row} for c, row in zip(found, feats.matrix([c["xyz"] for c in found], mode), strict=True)]
 
 
+def _decided(c: dict, proba: np.ndarray) -> dict:
+    k = int(np.argmax(proba))
+    return c | {"pred": demoted(k, c["xy_spread"], c["z_above_ground"], c["z_range"]), "s2_pred": k, "conf": float(proba[k]), "proba": list(map(float, proba))}
+
+
 def predicted(found: list[dict], forest: Forest) -> list[dict]:
     """Clusters with features, with their class and probabilities."""
-    if not found:
-        return []
-    proba = forest.proba(np.array([c["features"] for c in found]))
-    first = proba.argmax(1)
-    return [c | {"pred": demoted(int(k), c["xy_spread"], c["z_above_ground"], c["z_range"]), "s2_pred": int(k), "conf": float(p[k]), "proba": p.tolist()} for c, k, p in zip(found, first, proba, strict=True)]
+    return [_decided(c, p) for c, p in zip(found, forest.proba(np.array([c["features"] for c in found])), strict=True)] if found else []
+
 
+def _digest(c: dict) -> bytes:
+    """Tells clusters of a frame apart by their points, in their order."""
+    return hashlib.sha256(c["xyz"].tobytes()).digest()
 
-def classified(found: list[dict], forest: Forest, mode: int) -> list[dict]:
-    return predicted(with_features(found, mode), forest)
+
+def classified(found: list[dict], forest: Forest, mode: int, known: dict[bytes, np.ndarray]) -> list[dict]:
+    """Clusters with their class and probabilities; only those whose points have no ``known`` probabilities are looked at."""
+    digests = [_digest(c) for c in found]
+    new = [c for c, d in zip(found, digests, strict=True) if d not in known]
+    fresh = iter(predicted(with_features(new, mode), forest))
+    return [_decided(c, known[d]) if d in known else next(fresh) for c, d in zip(found, digests, strict=True)]
 
 
 def frame_steps(pdf: pd.DataFrame, forest: Forest, mode: int) -> Iterator[tuple[str, list[dict]]]:
@@ -122,22 +134,33 @@ def run(points: DataFrame, calibration: Calibration, forest: Forest, mode: int =
     """Track rows of all frames. Points may have a sensor_id; sensors run in parallel, a sensor's frames in order.
 
     Without sensor_id the sensor is 0; null ones are sensor -1. Tracks take a step in every frame that
-    has points, also where no cluster passes.
+    has points, also where no cluster passes. What does not depend on tracks is done before, by frame and in parallel:
+    each frame is split, merged and classified as if there were no tracks. In a sensor's sequence only clusters
+    that a track made different are classified again.
     """
     sensor = F.coalesce(F.col("sensor_id").cast("bigint"), F.lit(-1)) if "sensor_id" in points.columns else F.lit(0)
     points = points.withColumn("sensor_id", sensor.cast("bigint"))
-    found, frames = clusters(points, calibration, **options), points.select("sensor_id", "frame_id").distinct()
-    # A frame without clusters is a row without cluster_id.
-    every = found.unionByName(frames, allowMissingColumns=True).repartition("sensor_id").sortWithinPartitions("sensor_id", "frame_id")
+    found, frames = written(clusters(points, calibration, **options), "clusters"), points.select("sensor_id", "frame_id").distinct()
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        *_, (_, here) = frame_steps(pdf, forest, mode)
+        return pd.DataFrame([(pdf.sensor_id.iloc[0], pdf.frame_id.iloc[0], _digest(c), c["proba"]) for c in here], columns=["sensor_id", "frame_id", "digest", "proba"])
+
+    known = found.groupBy("sensor_id", "frame_id").applyInPandas(alone, "sensor_id bigint, frame_id bigint, digest binary, proba array<double>")
+    # Rows without cluster_id are what is known of a frame's clusters, and the frame itself, which may have no clusters.
+    every = found.unionByName(known, allowMissingColumns=True).unionByName(frames, allowMissingColumns=True)
+    every = every.repartition("sensor_id").sortWithinPartitions("sensor_id", "frame_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, tracker, guides = None, None, []
         for sensor, frame, rows in whole_frames(batches):
             if sensor != at:
                 at, tracker, guides = sensor, Tracker(MAX_MISSES, 2, GATE_DISTANCE, dt, class_gate), []
-            rows = rows[rows.cluster_id.notna()].astype({"cluster_id": "int64", "label_id": "int64", "n_points": "int64"})
+            told = rows[rows.digest.notna()]
+            before = {bytes(d): np.asarray(p, float) for d, p in zip(told.digest, told.proba, strict=True)}
+            rows = rows[rows.cluster_id.notna()].drop(columns=["digest", "proba"]).astype({"cluster_id": "int64", "label_id": "int64", "n_points": "int64"})
             here = merge_frame(splitting.split_frame(splitting.clusters_of(rows), guides, legacy_split_gate))
-            seen = [c for c in classified(here, forest, mode) if c["pred"] > 0]
+            seen = [c for c in classified(here, forest, mode, before) if c["pred"] > 0]
             tracks = tracker.step([{"position": c["xyz"].mean(0), "class_label": CLASSES[c["pred"]], "class_confidence": c["conf"], "n_points": c["n_points"]} for c in seen])
             yield pd.DataFrame(track_rows(sensor, frame, tracks), columns=COLUMNS)
             guides = [{"position": t.position, "class_label": t.last_class} for t in tracker.confirmed() if t.last_class != "background"]
