@@ -7,7 +7,8 @@ prefixes: in any fixed order of shingles, sets of similarity s share one of thei
 shingles. The order is by frequency in a sample of the texts, then by hash, so that common passages come
 last; the result does not depend on it. Pairs that meet are kept only if the places of their common
 shingle leave room for enough overlap. Those whose fingerprints differ in MOST_BITS at most are compared set by set
-first; the others are compared only if nothing links them by then, so no pair is lost. Shingles of many prefixes are not
+first; the others are compared only if nothing links them by then, so no pair is lost. Before any set is moved, a bit of
+parity for each shingle tells of most pairs that their sets differ in too many shingles. Shingles of many prefixes are not
 paired up at once: their members are compared with one of them first, and then those that no link joins yet meet by
 shingle and size.
 """
@@ -18,6 +19,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -65,9 +67,21 @@ def prefix(found: np.ndarray, often: np.ndarray, times: np.ndarray, similarity:
     return found[np.lexsort((found, rank))][: n - math.ceil(similarity * n - _SLACK) + 1]
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Of a set of n shingles, whether an odd number of them falls to each of n to 2n places (a power of two, 64 at least)."""
+    places = max(64, 1 << max(len(found) - 1, 0).bit_length())
+    return np.packbits(np.bincount(found & (places - 1), minlength=places).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """From the sets' parities, in how many shingles they differ at least: each changes one place. The longer one is folded."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
+
+
 def _mapped(docs: DataFrame, of_text: Callable[[str], dict], schema: str) -> DataFrame:
     """doc_id and what ``of_text`` gives of each text."""
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
     fields = pa.schema([(k, kinds[t]) for k, t in (x.split() for x in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +109,20 @@ def _may_be(x: str, y: str, similarity: float) -> Column:
     return (left >= similarity / (1 + similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - _SLACK)
 
 
+def _not_apart(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b and others) without those whose parities show that the sets are not similar. No similar pair goes."""
+    @F.pandas_udf("bigint")
+    def differ(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([apart(p, q) for p, q in zip(x, y, strict=True)], dtype="int64")
+
+    ids = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    known = rows.select("fp", "n", "parity").join(ids, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    of = lambda side: known.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}"))
+    # Sets of similarity s differ in (1 - s) / (1 + s) of their sizes at most.
+    most = (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + _SLACK
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(differ("parity_a", "parity_b") <= most).select(*pairs.columns)
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar. The sets are removed once they are compared."""
     spark = docs.sparkSession
@@ -120,7 +148,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, si
 def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """node and root, as :func:`components.components` gives them, of the similar nodes.
 
-    ``rows`` have doc_id, fp, sketch, n and prefix; ``nodes`` their fp and least id.
+    ``rows`` have doc_id, fp, sketch, n, parity and prefix; ``nodes`` their fp and least id.
     """
     # Equal sets have equal prefixes, so any of them will do. Size and place share a number on their way through the shuffle.
     each = rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "prefix")]).select("fp", "sketch", "n", F.posexplode("prefix").alias("pos", "shingle"))
@@ -134,14 +162,14 @@ def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORD
     first = many.groupBy("shingle").agg(F.min_by(F.struct("fp", "sketch", "n", "pos"), F.struct("pos", "fp")).alias("y")).select("shingle", "y.*")
     first = written(first, "first")
     met = met.unionByName(many.alias("x").join(first.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.fp") != F.col("y.fp")) & _may_be("x", "y", similarity)).select(*pair))
-    met = written(met.distinct(), "candidates")
+    met = written(_not_apart(written(met.distinct(), "candidates"), rows, similarity), "alike")
     found = _similar(met.where("close").drop("close"), docs, nodes, words, similarity)
     roots = written(components(found), "roots")
     # Pairs of far fingerprints and pairs that share frequent shingles only are compared where nothing links them yet.
     far = met.where("NOT close").drop("close")
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     far = far.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    rest = far if first.isEmpty() else far.unionByName(_unlinked(many, first, roots, similarity))
+    rest = far if first.isEmpty() else far.unionByName(_not_apart(written(_unlinked(many, first, roots, similarity).distinct(), "unlinked"), rows, similarity))
     more = _similar(rest, docs, nodes, words, similarity)
     return roots if more.isEmpty() else components(found.unionByName(more))
 
@@ -185,9 +213,9 @@ def near_components(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     def of_text(text: str) -> dict:
         found = shingles(text, words)
-        return {"fp": node(found), "sketch": sketch(found), "n": len(found), "prefix": prefix(found, often, times, similarity) if len(found) else []}
+        return {"fp": node(found), "sketch": sketch(found), "n": len(found), "parity": parity(found), "prefix": prefix(found, often, times, similarity) if len(found) else []}
 
-    rows = written(_mapped(docs, of_text, "doc_id bigint, fp bigint, sketch bigint, n int, prefix array<bigint>"), "shingled")
+    rows = written(_mapped(docs, of_text, "doc_id bigint, fp bigint, sketch bigint, n int, parity binary, prefix array<bigint>"), "shingled")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     return named(rows.select("doc_id", "fp"), nodes, linked(docs, rows, nodes, words, similarity, block))
 
