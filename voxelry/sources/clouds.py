@@ -109,4 +109,4 @@ def stream_frames(spark: SparkSession, folder: str) -> DataFrame:
     """The frames below ``folder`` as a stream of points, with frame_ns; frames appear in order of time (see :mod:`voxelry.sources.pointcloud`)."""
     pointcloud.register(spark)
     found = spark.readStream.format("pointcloud").option("width", FRAME_WIDTH).load(folder)
-    return found.select(F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("bigint").alias("frame_ns"), "point_id", *pointcloud.NAMES)
+    return found.select(F.regexp_extract(F.substring_index("file", "/", -1), r"(\d+)\.bin$", 1).cast("bigint").alias("frame_ns"), "point_id", *pointcloud.NAMES)

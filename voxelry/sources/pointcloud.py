@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 
 NAMES = ("x", "y", "z", "intensity", "ring")
 #: Bytes of files that share a partition, and points of one batch.
-PARTITION_BYTES, BATCH_POINTS = 64 << 20, 1 << 16
+PARTITION_BYTES, BATCH_POINTS = 8 << 20, 1 << 16
 
 
 class PointCloudSource(DataSource):
@@ -162,18 +162,18 @@ class _Attempts:
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         import numpy as np
+        import pyarrow.compute as pc
 
         own = f"{self.pending}/{uuid.uuid4().hex}"
         name, file, seen, n_points = object(), None, set(), 0  # no name yet
         try:
             for batch in iterator:
-                files = batch.column("file").to_numpy(zero_copy_only=False)
+                runs = pc.run_end_encode(batch.column("file"))  # no name becomes a Python object for every point
                 xyz = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype("<f4") for n in self.names], 1)
-                ends = np.append(np.flatnonzero(files[1:] != files[:-1]) + 1, len(files)) if len(files) else []
                 at = 0
-                for end in ends:
-                    if files[at] != name:
-                        name = files[at]
+                for found, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                    if found != name:
+                        name = found
                         if not name or not name.endswith(".bin") or name.startswith("/") or any(p[:1] in ("", "_", ".") for p in name.split("/")):
                             raise ValueError(f"not a name for a file of points: {name!r}")
                         if file:
@@ -183,7 +183,7 @@ class _Attempts:
                         seen.add(name)
                     file.write(np.ascontiguousarray(xyz[at:end]).tobytes())
                     at = end
-                n_points += len(files)
+                n_points += batch.num_rows
         finally:
             if file:
                 file.close()
