@@ -13,10 +13,13 @@ whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import count, islice
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,9 @@ from pyspark.sql import functions as F
 
 from voxelry.llm.common import small_batches, texts
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 WINDOW, END_ID = 4096, 2
 #: Pieces that are packed together, and the most cached spellings in a Python worker.
 CHUNK, CACHE = 512, 400_000
@@ -37,6 +43,8 @@ _TASK_BITS = 36
 MARKS = b".,!?;:#%*|()[]{}\"/"
 #: Words that are spelled at once.
 JOINED = 64
+#: Words that the tokenizer's normalizer leaves alone and its pattern takes whole: letters of ASCII and Latin-1 in lower case.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 def tokenizer_path() -> str:
@@ -51,32 +59,43 @@ class Spellings:
     The tokenizer drops white space, never joins text across it and lower-cases, so a text's ids are
     those of its parts between ASCII white space, lower-cased in ASCII. Marks after a letter are words of
     their own, and each word ends in one of the vocabulary's end pieces, so words made of letters are
-    spelled many at a time. Texts that hold a special token's string are given to the tokenizer whole.
+    spelled many at a time; plain ones need the tokenizer's merges only, not its normalizer and patterns.
+    Texts that hold a special token's string are given to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core of its own, threads only share it
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def _spell(self, parts: list[bytes]) -> None:
-        words, rest = [], []
-        for x in parts:
-            (words if x.decode().isalpha() else rest).append(x)
-        for at in range(0, len(words), JOINED):
-            some = words[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+    def _joined(self, tokenizer: Tokenizer, words: list[bytes]) -> list[bytes]:
+        """Spells words made of letters, some in one text. Returns those of texts whose pieces do not tell the words apart."""
+        rest = []
+        some = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for part, found in zip(some, tokenizer.encode_batch_fast([b" ".join(x).decode() for x in some], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) == len(some):
+            if len(cuts) == len(part):
                 raw = ids.tobytes()
-                self.known.update((x, raw[a:b]) for x, a, b in zip(some, [0, *cuts], cuts, strict=False))
+                self.known.update((x, raw[a:b]) for x, a, b in zip(part, [0, *cuts], cuts, strict=False))
             else:
-                rest += some
+                rest += part
+        return rest
+
+    def _spell(self, parts: Iterable[bytes]) -> None:
+        plain, words, rest = [], [], []
+        for x in parts:
+            text = x.decode()
+            (plain if PLAIN(text) else words if text.isalpha() else rest).append(x)
+        rest += self._joined(self.merges, plain) + self._joined(self.tokenizer, words)
         found = self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)
         self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(rest, found, strict=True))
 
@@ -85,15 +104,14 @@ class Spellings:
         if len(known) > CACHE:  # common spellings come early, so the early half stays
             self.known = known = dict(islice(known.items(), CACHE // 2))
         new, marked = set(), []
-        for x in parts:
-            if x not in known:
-                word = x.rstrip(MARKS)
-                if len(word) < len(x) and word[-1:].isalpha():
-                    marked.append((x, word, x[len(word) :]))
-                    new.update(marked[-1][1:])
-                else:
-                    new.add(x)
-        self._spell(sorted(x for x in new if x not in known))
+        for x in parts.difference(known):
+            word = x.rstrip(MARKS)
+            if len(word) < len(x) and word[-1:].isalpha():
+                marked.append((x, word, x[len(word) :]))
+                new.update(marked[-1][1:])
+            else:
+                new.add(x)
+        self._spell(new.difference(known))
         for x, word, marks in marked:
             known[x] = known[word] + known[marks]
 
