@@ -1,16 +1,21 @@
 """Near duplicates at a similarity of word shingles: SimHash says which pairs come first, the sets decide.
 
-SimHash fingerprints of texts at Jaccard 0.8 differ in ten bits of 64 on average and in up to some
-twenty, which no cell of pivot distances or of a 64-bit fingerprint holds together: two random
-fingerprints' distances to a pivot differ by less than that in all but a few cases. So pairs meet by
-prefixes: in any fixed order of shingles, sets of similarity s share one of their first n - ceil(s n) + 1
-shingles. The order is by frequency in a sample of the texts, then by hash, so that common passages come
+Pairs meet in two ways. First the fingerprints are searched in op8's tables of pivot distances (cells, largest coordinate
+difference, bits), which finds sets that differ in few shingles. Fingerprints of texts at Jaccard 0.8 differ in ten bits of
+64 on average and in up to some twenty, which no cell of pivot distances or of a 64-bit fingerprint holds together. So
+pairs also meet by prefixes: in any fixed order of shingles, sets of similarity s share one of their first
+n - ceil(s n) + 1 shingles. The order is by frequency in a sample of the texts, then by hash, so that common passages come
 last; the result does not depend on it. Pairs that meet are kept only if the places of their common
-shingle leave room for enough overlap. Those whose fingerprints differ in MOST_BITS at most are compared set by set
-first; the others are compared only if nothing links them by then, so no pair is lost. Before any set is moved, a bit of
-parity for each shingle tells of most pairs that their sets differ in too many shingles. Shingles of many prefixes are not
-paired up at once: their members are compared with one of them first, and then those that no link joins yet meet by
-shingle and size.
+shingle leave room for enough overlap.
+
+Before any set is moved, tables of pivot distances discard pairs. A pivot is the set of all shingles whose hash has a
+certain bit, so a set's distance to it (in how many shingles they differ, but for the pivot's own size) is the count whose
+sign is a bit of SimHash. By the triangle inequality two sets differ in as many shingles at least as their distances to a
+pivot do, and that holds for each part of the shingles on its own: the largest coordinate differences of all parts add up
+to a bound that discards no similar pair. A bit of parity for each shingle gives another. Pairs whose fingerprints differ in
+MOST_BITS at most are compared set by set first; the others are compared only if nothing links them by then, so no pair is
+lost. Shingles of many prefixes are not paired up at once: their members are compared with one of them first, and then those
+that no link joins yet meet by shingle and size.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from voxelry.llm.common import forget, new_path, small_batches, texts, written
 from voxelry.llm.components import components
-from voxelry.llm.simhash import hashed, named, without_copies
+from voxelry.llm.simhash import PIVOTS, hashed, links, named, without_copies
 
 WORDS, SIMILARITY = 5, 0.8
 #: Pairs whose fingerprints differ in no more bits are compared first; of large sets nearly all similar pairs are among them.
@@ -38,6 +43,8 @@ BLOCK = 64
 BUCKET = 1.05
 #: One text in so many is read for frequencies; shingles that are rarer there count as unseen, and so many are kept.
 SAMPLE, OFTEN, MOST = 16, 4, 1 << 16
+#: Shingles of a part in tables of pivot distances, up to twice as many, and the first of the bits that make pivots; parts go by low bits.
+PART, FIRST_BIT = 8, 32
 _SLACK = 1e-9
 
 
@@ -79,6 +86,25 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
 
 
+def distances(found: np.ndarray) -> bytes:
+    """The set's distances to the pivots, less the pivots' sizes, a byte for each pivot and part (a power of two); empty if one needs more."""
+    parts = max(1, 1 << (len(found) // PART).bit_length() >> 1)
+    part = found & (parts - 1)
+    held = [np.bincount(part[(found >> (FIRST_BIT + j)) & 1 == 1], minlength=parts) for j in range(PIVOTS)]
+    table = np.bincount(part, minlength=parts) - 2 * np.stack(held)
+    return table.astype(np.int8).tobytes() if np.abs(table).max() < 128 else b""
+
+
+def apart_by_pivots(x: bytes, y: bytes) -> int:
+    """From the sets' distances, in how many shingles they differ at least: by part, the largest coordinate difference. The longer table is folded."""
+    if not x or not y:
+        return 0
+    a, b = sorted((np.frombuffer(x, np.int8), np.frombuffer(y, np.int8)), key=len)
+    a = a.reshape(PIVOTS, -1)
+    b = b.reshape(PIVOTS, -1, a.shape[1]).sum(axis=1, dtype=np.int64)
+    return int(np.abs(a - b).max(axis=0).sum())
+
+
 def _mapped(docs: DataFrame, of_text: Callable[[str], dict], schema: str) -> DataFrame:
     """doc_id and what ``of_text`` gives of each text."""
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
@@ -110,17 +136,33 @@ def _may_be(x: str, y: str, similarity: float) -> Column:
 
 
 def _not_apart(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b and others) without those whose parities show that the sets are not similar. No similar pair goes."""
+    """``pairs`` (a, b and others) without those whose pivot distances or parities show that the sets are not similar. No similar pair goes."""
     @F.pandas_udf("bigint")
-    def differ(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([apart(p, q) for p, q in zip(x, y, strict=True)], dtype="int64")
+    def differ(x: pd.Series, y: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([max(apart_by_pivots(a, b), apart(c, d)) for a, b, c, d in zip(x, y, p, q, strict=True)], dtype="int64")
 
     ids = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    known = rows.select("fp", "n", "parity").join(ids, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-    of = lambda side: known.select(F.col("fp").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}"))
+    held = ("n", "pivots", "parity")
+    known = rows.select("fp", *held).join(ids, "fp", "left_semi").groupBy("fp").agg(*[F.first(c).alias(c) for c in held])
+    of = lambda side: known.select(F.col("fp").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in held])
     # Sets of similarity s differ in (1 - s) / (1 + s) of their sizes at most.
     most = (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + _SLACK
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(differ("parity_a", "parity_b") <= most).select(*pairs.columns)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(differ("pivots_a", "pivots_b", "parity_a", "parity_b") <= most).select(*pairs.columns)
+
+
+def searched(rows: DataFrame) -> DataFrame:
+    """a, b: nodes whose fingerprints op8's search in tables of pivot distances finds together, or that are equal.
+
+    A fingerprint stands for its least node, to which its other nodes are paired, and is paired with the least one that the
+    search finds for it, so there are no more pairs than nodes. All others meet by prefixes.
+    """
+    each = rows.groupBy("fp").agg(F.first("sketch").alias("sketch"))
+    least = written(each.groupBy("sketch").agg(F.min("fp").alias("least")), "sketches")
+    found = links(least.select(F.col("sketch").alias("fp"))).groupBy("a").agg(F.min("b").alias("b"))
+    of = lambda side: least.select(F.col("sketch").alias(side), F.col("least").alias(f"least_{side}"))
+    close = found.join(of("a"), "a").join(of("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    pairs = close.unionByName(each.join(least, "sketch").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -148,7 +190,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, si
 def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """node and root, as :func:`components.components` gives them, of the similar nodes.
 
-    ``rows`` have doc_id, fp, sketch, n, parity and prefix; ``nodes`` their fp and least id.
+    ``rows`` have doc_id, fp, sketch, n, pivots, parity and prefix; ``nodes`` their fp and least id.
     """
     # Equal sets have equal prefixes, so any of them will do. Size and place share a number on their way through the shuffle.
     each = rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "prefix")]).select("fp", "sketch", "n", F.posexplode("prefix").alias("pos", "shingle"))
@@ -162,6 +204,7 @@ def linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORD
     first = many.groupBy("shingle").agg(F.min_by(F.struct("fp", "sketch", "n", "pos"), F.struct("pos", "fp")).alias("y")).select("shingle", "y.*")
     first = written(first, "first")
     met = met.unionByName(many.alias("x").join(first.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.fp") != F.col("y.fp")) & _may_be("x", "y", similarity)).select(*pair))
+    met = met.unionByName(written(searched(rows), "searched").withColumn("close", F.lit(True)))
     met = written(_not_apart(written(met.distinct(), "candidates"), rows, similarity), "alike")
     found = _similar(met.where("close").drop("close"), docs, nodes, words, similarity)
     roots = written(components(found), "roots")
@@ -213,9 +256,9 @@ def near_components(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     def of_text(text: str) -> dict:
         found = shingles(text, words)
-        return {"fp": node(found), "sketch": sketch(found), "n": len(found), "parity": parity(found), "prefix": prefix(found, often, times, similarity) if len(found) else []}
+        return {"fp": node(found), "sketch": sketch(found), "n": len(found), "pivots": distances(found), "parity": parity(found), "prefix": prefix(found, often, times, similarity) if len(found) else []}
 
-    rows = written(_mapped(docs, of_text, "doc_id bigint, fp bigint, sketch bigint, n int, parity binary, prefix array<bigint>"), "shingled")
+    rows = written(_mapped(docs, of_text, "doc_id bigint, fp bigint, sketch bigint, n int, pivots binary, parity binary, prefix array<bigint>"), "shingled")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     return named(rows.select("doc_id", "fp"), nodes, linked(docs, rows, nodes, words, similarity, block))
 
