@@ -9,6 +9,7 @@ without tracks and without waiting rows has no timer and costs nothing.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,10 @@ from voxelry.streaming.tracker import COLUMNS, Track, Tracker, track_rows
 
 #: The state store that timers and lists need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WAITING = "frame_id bigint, det_id bigint, x double, y double, z double, class_label string, class_confidence double, n_points bigint"
+#: A frame's rows wait as columns, some rows in one entry, so that no task ever holds all that waits.
+FRAME = "frame_id bigint, part int"
+WAITING = "det_id array<bigint>, x array<double>, y array<double>, z array<double>, class_label array<string>, class_confidence array<double>, n_points array<bigint>"
+ENTRY = 4096
 #: A track's state, a column each.
 STATE = (
     "track_id bigint, x double, y double, z double, vx double, vy double, vz double, a double, b double, c double, class_label string, confidence double, n_points bigint, hits int, misses int, age int, "
@@ -54,7 +58,7 @@ class TimedTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.waiting = handle.getMapState("waiting", FRAME, WAITING)
         self.tracks = handle.getListState("tracks", STATE)
         self.place = handle.getValueState("place", "last bigint, born bigint")
 
@@ -68,45 +72,53 @@ class TimedTracker(StatefulProcessor):
         self.handle.registerTimer(self._time(frame))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in WAITING.split(", ")]
-        new = [r for pdf in rows for r in pdf[names].itertuples(index=False, name=None)]
-        new = [(int(r[0]), int(r[1]), *map(float, r[2:5]), r[5], float(r[6]), int(r[7])) for r in new]
-        if new:
-            self.waiting.appendList(new)
+        names, first, parts = [c.split()[0] for c in WAITING.split(", ")], None, self._parts()
+        for pdf in rows:
+            for frame, new in pdf.groupby("frame_id"):
+                frame = int(frame)
+                for at in range(0, len(new), ENTRY):
+                    columns = new.iloc[at : at + ENTRY]
+                    entry = tuple((columns[c] if c == "class_label" else columns[c].astype("int64" if c in ("det_id", "n_points") else float)).tolist() for c in names)
+                    self.waiting.updateValue((frame, parts.get(frame, 0)), entry)
+                    parts[frame] = parts.get(frame, 0) + 1
+                first = frame if first is None else min(first, frame)
+        if first is not None:
             due = list(self.handle.listTimers())
-            first = min(r[0] for r in new)
             if not due or self._time(first) < min(due):
                 self._timer(first)
         return iter(())
 
+    def _parts(self) -> dict[int, int]:
+        """The entries of each frame that waits."""
+        return dict(Counter(int(k[0]) for k in self.waiting.keys()))
+
+    def _taken(self, frame: int, parts: int) -> list[dict]:
+        """A frame's detections by id, which wait no longer."""
+        found = []
+        for part in range(parts):
+            found += zip(*self.waiting.getValue((frame, part)), strict=True)
+            self.waiting.removeKey((frame, part))
+        return [{"position": r[1:4], "class_label": r[4], "class_confidence": r[5], "n_points": int(r[6])} for r in sorted(found, key=lambda r: r[0])]
+
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting: dict[int, list] = {}
-        for r in self.waiting.get():
-            waiting.setdefault(int(r[0]), []).append(r)
+        waiting = self._parts()
         last, born = self.place.get() if self.place.exists() else (None, 0)
         tracker = Tracker(**self.options, tracks=[from_row(r) for r in self.tracks.get()], born=int(born))
-        out = []
         while True:
             due = min(waiting, default=None)
             frame = int(last) + 1 if tracker.tracks else due
             if frame is None or self._time(frame) >= passed:
                 break
-            found = sorted(waiting.pop(frame, []), key=lambda r: r[1])
-            seen = [{"position": r[2:5], "class_label": r[5], "class_confidence": r[6], "n_points": int(r[7])} for r in found]
-            out += track_rows(int(key[0]), frame, tracker.step(seen))
+            yield pd.DataFrame(track_rows(int(key[0]), frame, tracker.step(self._taken(frame, waiting.pop(frame, 0)))), columns=COLUMNS)
             last = frame
-        self.waiting.clear()
-        if rest := [r for rows in waiting.values() for r in rows]:
-            self.waiting.put([tuple(r) for r in rest])
         self.tracks.clear()
-        if tracker.tracks:
-            self.tracks.put([to_row(t) for t in tracker.tracks])
+        for at in range(0, len(tracker.tracks), ENTRY):
+            self.tracks.appendList([to_row(t) for t in tracker.tracks[at : at + ENTRY]])
         if last is not None:
             self.place.update((int(last), tracker.born))
         if frame is not None:
             self._timer(frame)
-        yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
